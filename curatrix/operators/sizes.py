@@ -1,0 +1,27 @@
+"""Size checks that gate every explicit broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import stage_column_stats
+
+LIST_LIMIT = 64 << 20
+
+
+def fits_broadcast(df: DataFrame, limit: int = LIST_LIMIT) -> bool:
+    """True when the optimizer's size estimate is known and within ``limit`` bytes."""
+    size = stage_column_stats(df)
+    return size is not None and size <= limit
+
+
+def small_enough(df: DataFrame, what: str, limit: int = LIST_LIMIT) -> None:
+    """Refuse to carry a list along that is not a list any more."""
+    if not fits_broadcast(df, limit):
+        raise ValueError(f"{what} is larger than {limit} bytes; join it by key instead")
+
+
+def maybe_broadcast(df: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
+    """Broadcast hint only for a side whose size is known; otherwise leave the choice to AQE."""
+    return F.broadcast(df) if fits_broadcast(df, limit) else df
