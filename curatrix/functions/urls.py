@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import alnum_only, col, is_placeholder_source, text
+from .text import alnum_only, col, is_placeholder_source, let, text
 
 PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#([\s\S]*))?$"
 
@@ -184,13 +184,16 @@ def url_identity(c: Column | str) -> Column:
 
 def unwrap_next(c: Column | str, host_part: str, depth: int = 3) -> Column:
     """Follow up to ``depth`` nested ``next=`` redirects of login pages on one platform."""
-    cur = text(c)
-    for _ in range(depth):
+    def hop(cur):
         nxt = F.trim(F.try_url_decode(F.regexp_extract(query(cur), r"(?:^|&)next=([^&]*)", 1)))
         absolute = F.when(nxt.startswith("/"), F.concat(F.lit(f"https://www.{host_part}"), nxt)).otherwise(nxt)
         login = netloc(cur).contains(host_part) & F.lower(path(cur)).rlike("/login|/recover/initiate")
-        cur = F.when(login & (F.coalesce(nxt, F.lit("")) != ""), absolute).otherwise(cur)
-    return cur
+        return F.when(login & (F.coalesce(nxt, F.lit("")) != ""), absolute).otherwise(cur)
+
+    out = text(c)
+    for _ in range(depth):
+        out = let(out, hop)
+    return out
 
 
 def source_from_url(c: Column | str) -> Column:
