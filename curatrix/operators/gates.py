@@ -356,3 +356,8 @@ def split_bad_stamp(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
 
     parsed = df.withColumn("parsed_stamp", parse_event_ts(column))
     return parsed.filter(F.col("parsed_stamp").isNotNull()), parsed.filter(F.col("parsed_stamp").isNull()).drop("parsed_stamp")
+
+
+def low_quality_location_penalty(c: Column | str, points: float = 5.0) -> Column:
+    """Negative points for location text that must not become canonical."""
+    return F.when(tx.low_quality_location(c), -points).otherwise(0.0)
