@@ -33,27 +33,32 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * _lcs(_masks(a), len(a), b) / (len(a) + len(b))
 
 
-def partial(a: str, b: str) -> float:
-    """Best ratio of the shorter text against windows of the longer one."""
+def partial(a: str, b: str, cutoff: float = 0.0) -> float:
+    """Best ratio of the shorter text against windows of the longer one; 0 when below ``cutoff``."""
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 100.0 if not b else 0.0
-    best = _partial_into(a, b)
-    return max(best, _partial_into(b, a)) if len(a) == len(b) and best < 100 else best
+    masks = _masks(a)
+    whole = _lcs(masks, len(a), b)
+    # a window of w characters scores 200*lcs/(m+w) with lcs <= whole and w >= lcs
+    if whole == 0 or 200.0 * whole / (len(a) + whole) < cutoff:
+        return 0.0
+    best = _partial_into(a, b, masks, whole)
+    if len(a) == len(b) and best < 100:
+        best = max(best, _partial_into(b, a, _masks(b), whole))
+    return best if best >= cutoff else 0.0
 
 
-def _partial_into(short: str, long: str) -> float:
+def _partial_into(short: str, long: str, masks: dict[str, int], whole: int) -> float:
     m, n = len(short), len(long)
-    masks = _masks(short)
     best = 0.0
     for end in range(1, n + m):
         lo, hi = max(0, end - m), min(end, n)
-        if end <= n and long[hi - 1] not in masks:
-            continue
-        if end > n and long[lo] not in masks:
+        width = hi - lo
+        if long[hi - 1 if end <= n else lo] not in masks or 200.0 * min(whole, width) / (m + width) <= best:
             continue
-        best = max(best, 200.0 * _lcs(masks, m, long[lo:hi]) / (m + hi - lo))
+        best = max(best, 200.0 * _lcs(masks, m, long[lo:hi]) / (m + width))
         if best == 100.0:
             break
     return best
@@ -97,8 +102,8 @@ SCORES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("ratio", "part
 
 @F.pandas_udf(SCORES)
 def name_scores(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """The three scores the address tiers use, in one pass over the batch."""
-    rows = [(ratio(x, y), partial(x, y), token_set(x, y)) for x, y in zip(a, b)]
+    """The three scores the address tiers use, in one pass; partial scores below every tier's limit come back as 0."""
+    rows = [(ratio(x, y), partial(x, y, 80.0), token_set(x, y)) for x, y in zip(a, b)]
     return pd.DataFrame(rows, columns=["ratio", "partial", "token_set"], dtype="float64")
 
 

@@ -1,0 +1,293 @@
+"""Resolving location text against the address table."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import fuzzy as fz
+from ..functions import text as tx
+from .keyed import global_rank, spread
+from .normalize import STREET_TYPES, build_full_address
+from .sizes import maybe_broadcast, small_enough
+
+
+def match_street(df: DataFrame, addr: DataFrame, key: str, location: str) -> DataFrame:
+    """Address whose street number is the first number in the text and whose street name occurs in it (lowest id)."""
+    probe = df.select(key, F.col(location).alias("_loc"), F.regexp_extract(location, r"(\d+)", 1).alias("_num")).filter("_num <> ''")
+    a = addr.filter(F.col("street_name").isNotNull()).select("address_id", F.col("street_number").alias("_num"), "street_name")
+    return probe.join(a, "_num").filter(F.contains("_loc", "street_name")).groupBy(key).agg(F.min("address_id").alias("address_id"))
+
+
+def alias_match(df: DataFrame, rules: DataFrame, key: str, texts: list[str]) -> DataFrame:
+    """First alias rule that fits a row: exact text first, then specific aliases inside the text.
+
+    ``rules``: rule_order, rule_name, alias, source_equals, url_contains, address_id,
+    street_number, postal_code. A rule whose street number or postal code contradicts
+    the row is reported as skipped_conflict and not applied. The rule list is one array
+    column, so rows stay where they are.
+    """
+    small_enough(rules, "alias rules")
+    packed = rules.select(F.struct(
+        "rule_order", tx.alias_text("alias").alias("alias"), "rule_name", F.lower(tx.text("source_equals")).alias("src"),
+        F.lower(tx.text("url_contains")).alias("url"), "address_id", F.lower(tx.text("street_number")).alias("num"),
+        F.upper(F.regexp_replace(tx.text("postal_code"), r"\s", "")).alias("post"),
+    ).alias("r")).filter("r.alias <> ''").agg(F.array_sort(F.collect_list("r")).alias("_rules"))
+    cand = F.filter(F.array(*[tx.alias_text(t) for t in texts]), lambda t: t != "")
+    have = set(df.columns)
+
+    def get(c):
+        return tx.text(c) if c in have else F.lit("")
+
+    rows = df.join(F.broadcast(packed)).withColumns({"_cand": cand, "_src": F.lower(get("source")), "_url": F.lower(get("url"))})
+    ctx = F.filter("_rules", lambda r: ((r["src"] == "") | (r["src"] == F.col("_src"))) & ((r["url"] == "") | F.contains(F.col("_url"), r["url"])))
+    exact = F.get(F.filter("_ctx", lambda r: F.array_contains(F.col("_cand"), r["alias"])), F.lit(0))
+    specific = F.get(F.filter("_ctx", lambda r: (
+        (F.length(r["alias"]) >= 10) | F.contains(r["alias"], F.lit(" "))) & F.exists("_cand", lambda t: F.contains(t, r["alias"]))), F.lit(0))
+    hit = rows.withColumn("_ctx", ctx).withColumns({"_e": exact, "_s": specific}).withColumn("_m", F.coalesce("_e", "_s")).filter(F.col("_m").isNotNull())
+    num, post = F.lower(get("street_number")), F.upper(F.regexp_replace(get("postal_code"), r"\s", ""))
+    conflict = ((num != "") & (F.col("_m.num") != "") & (num != F.col("_m.num"))) | ((post != "") & (F.col("_m.post") != "") & (post != F.col("_m.post")))
+    return hit.select(
+        key, F.col("_m.address_id").alias("address_id"), F.col("_m.rule_name").alias("rule_name"), F.col("_m.alias").alias("matched_alias"),
+        F.when(F.col("_e").isNotNull(), "exact").otherwise("substring").alias("match_type"),
+        F.when(conflict, "skipped_conflict").otherwise("applied").alias("decision"),
+    )
+
+
+def name_keys(c: Column | str) -> Column:
+    """Join keys of a venue name: its distinguishing tokens, or all its words when it has none."""
+    plain = F.regexp_extract_all(F.lower(tx.text(c)), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.transform(
+        F.when(F.size(tx.venue_tokens(c)) > 0, F.transform(tx.venue_tokens(c), lambda t: F.concat(F.lit("t:"), t)))
+        .otherwise(F.transform(F.array_distinct(plain), lambda t: F.concat(F.lit("w:"), t))), lambda t: t)
+
+
+def scored_names(left: DataFrame, right: DataFrame, scores: Callable = fz.name_scores, lower: bool = False) -> DataFrame:
+    """(left_name, right_name, s): scores of distinct names that share a distinguishing token.
+
+    Names without such tokens meet names without them on their plain words. Both sides
+    are reduced to distinct names first, so repeated names cost one comparison.
+    """
+    def side(df, out):
+        names = df.select(F.col("name").alias(out)).filter(~tx.blank(out)).distinct()
+        return names.select(out, F.explode(name_keys(out)).alias("_t"))
+
+    met = side(left, "left_name").join(side(right, "right_name"), "_t").select("left_name", "right_name")
+    pairs = spread(met, "left_name", "right_name").distinct()
+    a, b = F.col("left_name"), F.col("right_name")
+    return pairs.withColumn("s", scores(F.lower(a), F.lower(b)) if lower else scores(a, b))
+
+
+def resolve_address(parsed: DataFrame, addr: DataFrame, key: str, scores: Callable = fz.name_scores, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(matched, inserts): each parsed address gets the first tier that finds an existing row.
+
+    Tiers: alias rule; postal code and number; number and street; city and name; name
+    alone; name inside a name. Within a tier the lowest address_id wins. Candidates come
+    from equi-joins on the tier's keys and from one scored table of distinct name pairs.
+    ``inserts`` holds the distinct full addresses of the rest with new ids.
+    """
+    c = F.col
+    p = parsed.select(
+        key, *[tx.text(x).alias(x) if x in parsed.columns else F.lit("").alias(x)
+               for x in ("building_name", "street_number", "street_name", "street_type", "direction", "city", "province_or_state", "postal_code", "country_id")]
+    )
+    a = addr.select(
+        F.col("address_id"), *[tx.text(x).alias(f"a_{x}") if x in addr.columns else F.lit("").alias(f"a_{x}") for x in ("building_name", "street_number", "street_name", "city", "postal_code")]
+    )
+    sim = scored_names(p.select(c("building_name").alias("name")), a.select(c("a_building_name").alias("name")), scores)
+    sim = sim.select("left_name", "right_name", "s.*")
+
+    def keyed_tier(tier, probe, on, ratio, partial, token):
+        met = probe.join(a, on)
+        single = met.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        named = met.filter("building_name <> '' and a_building_name <> ''").join(
+            sim, (c("building_name") == c("left_name")) & (c("a_building_name") == c("right_name"))
+        ).filter((c("ratio") >= ratio) | (c("partial") >= partial) | (c("token_set") >= token)).select(key, "address_id")
+        bare = met.filter("building_name = '' and a_building_name = ''").join(single.filter("_n = 1"), key).select(key, "address_id")
+        return named.unionByName(bare).groupBy(key).agg(F.min("address_id").alias("address_id")).withColumn("tier", F.lit(tier))
+
+    t1 = keyed_tier(
+        2, p.filter("postal_code <> '' and street_number <> ''"),
+        (F.lower("postal_code") == F.lower("a_postal_code")) & (F.lower("street_number") == F.lower("a_street_number")), 85, 95, 90)
+    t2 = keyed_tier(
+        3, p.filter("street_number <> '' and street_name <> ''"),
+        (F.lower("street_number") == F.lower("a_street_number")) & (F.lower("street_name") == F.lower("a_street_name")), 75, 90, 85)
+    by_name = a.filter("a_building_name <> ''").groupBy(c("a_building_name").alias("right_name")).agg(F.min("address_id").alias("address_id"))
+    by_city = a.filter("a_building_name <> '' and a_city <> ''").groupBy(c("a_building_name").alias("right_name"), F.lower("a_city").alias("_city")).agg(F.min("address_id").alias("address_id"))
+    named = p.filter("building_name <> ''").select(key, c("building_name").alias("left_name"), F.lower("city").alias("_city"))
+
+    def best(df, tier):
+        return df.groupBy(key).agg(F.min("address_id").alias("address_id")).withColumn("tier", F.lit(tier))
+
+    strong = sim.filter((c("ratio") >= 90) | (c("partial") >= 95) | (c("token_set") >= 95))
+    t3 = best(named.filter("_city <> ''").join(strong, "left_name").join(by_city, ["right_name", "_city"]), 4)
+    sure = sim.filter((c("ratio") >= 95) | ((c("partial") >= 98) & (c("token_set") >= 95)))
+    t4 = best(named.join(sure, "left_name").join(by_name, "right_name"), 5)
+    inside = sim.filter((c("partial") >= 80) & (F.length("left_name") > 2)).join(by_name, "right_name").groupBy("left_name").agg(
+        F.max_by("address_id", F.struct("partial", -c("address_id"))).alias("address_id"))
+    t5 = named.join(inside, "left_name").select(key, "address_id", F.lit(6).alias("tier"))
+    tiers = [t1, t2, t3, t4, t5]
+    if aliases is not None:
+        tiers.insert(0, aliases.filter("decision = 'applied'").select(key, "address_id", F.lit(1).alias("tier")))
+    hits = tiers[0]
+    for t in tiers[1:]:
+        hits = hits.unionByName(t)
+    matched = hits.groupBy(key).agg(F.min_by(F.struct("address_id", "tier"), F.struct("tier", "address_id")).alias("m")).select(key, "m.address_id", "m.tier")
+    rest = p.join(matched, key, "left_anti")
+    rest = rest.withColumn("full_address", build_full_address(rest)).filter(~tx.blank("full_address"))
+    one = rest.groupBy("full_address").agg(F.min(F.struct(*[x for x in rest.columns if x not in ("full_address", key)])).alias("r"))
+    top = addr.agg(F.coalesce(F.max("address_id"), F.lit(0)).alias("_top"))
+    ranked = global_rank(one.withColumn("_b", F.substring("full_address", 1, 3)), "_b", ["full_address"], "_rank").drop("_b")
+    inserts = ranked.join(F.broadcast(top)).select((c("_top") + c("_rank")).alias("address_id"), "full_address", "r.*")
+    return matched, inserts
+
+
+def quick_lookup(df: DataFrame, addr: DataFrame, key: str, location: str, scores: Callable = fz.name_scores, ratio: Callable = fz.indel_ratio) -> DataFrame:
+    """(key, address_id, step): exact text, single street match, best name on the street, best name, near-equal text."""
+    c = F.col
+    d = df.select(key, tx.text(location).alias("_loc")).filter("_loc <> ''")
+    a = addr.select("address_id", tx.text("building_name").alias("_b"), tx.text("full_address").alias("_f"), F.lower(tx.text("street_number")).alias("_n"), F.lower(tx.text("street_name")).alias("_s"))
+    full = a.filter("_f <> ''").groupBy(F.lower("_f").alias("_lf")).agg(F.min("address_id").alias("address_id"))
+    exact = d.join(full, F.lower("_loc") == c("_lf")).select(key, "address_id", F.lit(1).alias("step"))
+    street = rf"(?i)(\d+)\s+([A-Za-z\s]+?)(?:,|\s+(?:{STREET_TYPES}))"
+    parsed = d.withColumns({
+        "_num": F.regexp_extract("_loc", street, 1),
+        "_str": F.lower(F.trim(F.regexp_replace(F.regexp_extract("_loc", street, 2), rf"(?i)\b(?:{STREET_TYPES})\b", ""))),
+        "_bld": F.trim(F.regexp_extract("_loc", r"^([^,\d]+?)(?:,|\s+\d+)", 1)),
+    })
+    on_street = parsed.filter("_num <> ''").join(a, (c("_num") == c("_n")) & (c("_str") == c("_s")))
+    counted = on_street.groupBy(key).agg(F.count(F.lit(1)).alias("_k"), F.min("address_id").alias("address_id"))
+    single = counted.filter("_k = 1").select(key, "address_id", F.lit(2).alias("step"))
+    several = on_street.join(counted.filter("_k > 1").select(key), key).filter("_bld <> '' and _b <> ''").filter(
+        tx.token_overlap(tx.venue_tokens("_bld"), tx.venue_tokens("_b"))
+    ).withColumn("_r", ratio(F.lower("_bld"), F.lower("_b"))).filter("_r >= 85")
+    named = several.groupBy(key).agg(F.max_by("address_id", F.struct("_r", -c("address_id"))).alias("address_id")).withColumn("step", F.lit(3))
+    free = parsed.filter("_num = ''").select(key, c("_loc").alias("left_name"))
+    sim = scored_names(free.select(c("left_name").alias("name")), a.select(c("_b").alias("name")), scores, lower=True)
+    sim = sim.withColumn("_r", F.greatest("s.ratio", "s.partial")).filter("_r >= 80")
+    by_name = a.filter("_b <> ''").groupBy(c("_b").alias("right_name")).agg(F.min("address_id").alias("address_id"))
+    best = sim.join(by_name, "right_name").groupBy("left_name").agg(F.max_by("address_id", F.struct("_r", -c("address_id"))).alias("address_id"))
+    by_text = free.join(best, "left_name").select(key, "address_id", F.lit(4).alias("step"))
+    hits = exact.unionByName(single).unionByName(named).unionByName(by_text)
+    # near-equal text: a row's building name must share a word with the text, so that word is the join key
+    rest = d.join(hits.select(key).distinct(), key, "left_anti")
+    probe = rest.select("_loc", F.explode(name_keys("_loc")).alias("_t")).distinct()
+    own = F.when(F.size(tx.venue_tokens("_b")) > 0, name_keys("_b")).otherwise(name_keys("_f"))
+    index = a.filter("_f <> ''").select(c("_f"), F.explode(own).alias("_t")).distinct()
+    close = F.least(F.length("_loc"), F.length("_f")) * 200 >= 90 * (F.length("_loc") + F.length("_f"))
+    near = spread(probe.join(index, "_t").filter(close).select("_loc", "_f"), "_loc", "_f").distinct()
+    near = near.filter(ratio(F.lower("_loc"), F.lower("_f")) >= 90)
+    last = rest.join(near, "_loc").join(a, "_f").groupBy(key).agg(F.min("address_id").alias("address_id")).withColumn("step", F.lit(5))
+    hits = hits.unionByName(last)
+    return hits.groupBy(key).agg(F.min_by(F.struct("address_id", "step"), F.struct("step", "address_id")).alias("m")).select(key, "m.address_id", "m.step")
+
+
+def supports_candidate(raw: Column | str) -> Column:
+    """Location text is consistent with an address row (building_name, street_number, street_name, direction, full_address)."""
+    t = F.lower(tx.text(raw))
+    num, name, full, d = (F.lower(tx.text(x)) for x in ("street_number", "street_name", "full_address", "direction"))
+    building = ~tx.blank("building_name") & tx.token_overlap(tx.venue_tokens(t), tx.venue_tokens("building_name"))
+    words = F.filter(F.split(name, r"[\s,/.-]+"), lambda w: (F.length(w) > 2) | w.rlike("^[0-9]+$"))
+    words_ok = F.forall(words, lambda w: F.contains(t, w))
+    num_ok = (num == "") | F.contains(t, num)
+    dir_bad = d.isin("n", "s", "e", "w") & ~F.regexp_like(t, F.concat(F.lit(r"\b"), F.when(num != "", F.concat(num, F.lit(r"\s+"))).otherwise(""), d, F.lit(r"\b")))
+    return (
+        F.when(t == "", True)
+        .when(~num_ok, F.when((name != "") | (full != ""), False).otherwise(building))
+        .when((name != "") & ~words_ok, F.when((num != "") | (full != ""), False).otherwise(building))
+        .when(dir_bad, False)
+        .when((name != "") & (num != ""), True)
+        .otherwise(building | (name != "") | (num != ""))
+    )
+
+
+def cache_lookup(df: DataFrame, cache: DataFrame, addr: DataFrame, key: str, location: str) -> DataFrame:
+    """Cached address of a raw location text, dropped where the text contradicts the address."""
+    cached = cache.select(F.col("raw_location").alias("_raw"), F.col("address_id").alias("_cid"))
+    joined = df.select(key, F.col(location).alias("_loc")).join(cached, F.col("_loc") == F.col("_raw"))
+    have = addr.join(joined.select("_cid").distinct(), addr["address_id"] == F.col("_cid"), "left_semi")
+    cols = {c: (F.col(c) if c in addr.columns else F.lit("").alias(c)) for c in ("building_name", "street_number", "street_name", "direction", "full_address")}
+    a = have.select(F.col("address_id").alias("_aid"), *[v.alias(c) for c, v in cols.items()])
+    return joined.join(a, F.col("_cid") == F.col("_aid"), "left").filter(supports_candidate("_loc")).select(key, F.col("_cid").alias("address_id"))
+
+
+def cache_insert(cache: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Cache plus the texts it did not have (smallest address_id per text)."""
+    new = fresh.join(cache.select("raw_location"), "raw_location", "left_anti").groupBy("raw_location").agg(F.min("address_id").alias("address_id"))
+    return cache.select("raw_location", "address_id").unionByName(new)
+
+
+def contained_in_text(docs: DataFrame, doc_key: str, body: str, needles: DataFrame, needle_key: str, needle: str, lower: bool = True) -> DataFrame:
+    """(doc_key, needle_key) pairs where the document contains the needle literally.
+
+    A needle of three or more words has inner words that must occur whole in any text
+    that contains it, so it is looked up by its longest inner word through an equi-join
+    on the words of the text. Shorter needles have no such word; they are few by size
+    check and tested in place.
+    """
+    t = (lambda c: F.lower(c)) if lower else (lambda c: c)
+    n = needles.select(needle_key, t(F.col(needle)).alias("_n")).filter("_n <> ''")
+    words = n.withColumn("_inner", F.regexp_extract_all(F.regexp_replace("_n", r"^[\p{L}\p{N}]*|[\p{L}\p{N}]*$", ""), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    by_len = F.transform("_inner", lambda w: F.struct(F.length(w).alias("l"), w.alias("w")))
+    words = words.withColumn("_w", F.array_max(by_len)["w"])
+    d = docs.select(doc_key, t(F.col(body)).alias("_b"))
+    tokens = d.select(doc_key, F.explode(F.array_distinct(F.regexp_extract_all("_b", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("_w"))
+    long = words.filter("_w is not null").select(needle_key, "_n", "_w")
+    wanted = long.select("_w").distinct()
+    cand = tokens.join(maybe_broadcast(wanted), "_w", "left_semi").join(maybe_broadcast(long), "_w").drop("_w")
+    hits = cand.join(d, doc_key).filter(F.contains("_b", "_n")).select(doc_key, needle_key)
+    short = words.filter("_w is null").select(F.struct("_n", needle_key).alias("x"))
+    small_enough(short, "short needles")
+    packed = short.agg(F.collect_list("x").alias("_list"))
+    near = d.join(F.broadcast(packed)).select(doc_key, F.explode(F.filter("_list", lambda x: F.contains(F.col("_b"), x["_n"]))).alias("x")).select(doc_key, f"x.{needle_key}")
+    return hits.unionByName(near)
+
+
+def name_in_text(df: DataFrame, addr: DataFrame, key: str, body: str, partial: Callable = fz.partial_ratio, threshold: float = 80) -> DataFrame:
+    """(key, address_id, how): a building name contained in the text, else the closest one above the threshold.
+
+    The fuzzy step looks at names of six or more characters that share a distinguishing
+    word with the text.
+    """
+    names = addr.filter(~tx.blank("building_name")).groupBy(F.lower(tx.text("building_name")).alias("name")).agg(F.max("address_id").alias("address_id"), F.min("address_id").alias("first_id"))
+    inside = contained_in_text(df, key, body, names, "first_id", "name")
+    exact = inside.join(names.select("first_id", "address_id"), "first_id").groupBy(key).agg(
+        F.min_by("address_id", "first_id").alias("address_id")).withColumn("how", F.lit("contains"))
+    rest = df.join(exact, key, "left_anti").select(key, F.lower(tx.text(body)).alias("_b"))
+    probe = rest.select(key, F.explode(tx.venue_tokens("_b")).alias("_t"))
+    index = names.filter(F.length("name") >= 6).select("name", "address_id", F.explode(tx.venue_tokens("name")).alias("_t"))
+    pairs = probe.join(maybe_broadcast(index), "_t").select(key, "name", "address_id").distinct()
+    scored = pairs.join(rest, key).withColumn("_s", partial(F.col("name"), F.col("_b"))).filter(F.col("_s") > threshold)
+    fuzzy = scored.groupBy(key).agg(F.max_by("address_id", F.struct("_s", -F.col("address_id"))).alias("address_id")).withColumn("how", F.lit("fuzzy"))
+    return exact.unionByName(fuzzy)
+
+
+def postal_lookup(df: DataFrame, civic: DataFrame, key: str, location: str, postal: str) -> DataFrame:
+    """Civic row for a postal code: the one whose number is the first number in the text, else the first row."""
+    d = df.select(key, F.col(postal).alias("_pc"), F.regexp_extract(location, r"(\d+)", 1).try_cast("int").alias("_num"))
+    rows = civic.select(F.col("postal_code").alias("_pc"), "civic_no", "civic_id", "formatted")
+    met = d.join(rows, "_pc")
+    order = F.struct(F.when(F.col("civic_no") == F.col("_num"), 0).otherwise(1), F.col("civic_id"))
+    return met.groupBy(key).agg(F.min_by(F.struct("civic_id", "formatted"), order).alias("m")).select(key, "m.*")
+
+
+def best_building(df: DataFrame, addr: DataFrame, key: str, location: str, scores: Callable = fz.name_scores, threshold: float = 85) -> DataFrame:
+    """Best partial score of at least the threshold per location; poor texts and names are left out."""
+    c = F.col
+    loc = df.filter(~tx.low_quality_location(location)).select(key, c(location).alias("left_name"))
+    good = addr.filter(~tx.low_quality_name("building_name") & ~tx.low_quality_location("full_address"))
+    sim = scored_names(loc.select(c("left_name").alias("name")), good.select(c("building_name").alias("name")), scores, lower=True).filter(c("s.partial") >= threshold)
+    by_name = good.groupBy(c("building_name").alias("right_name")).agg(F.min("address_id").alias("address_id"))
+    best = sim.join(by_name, "right_name").groupBy("left_name").agg(F.max_by(F.struct("address_id", c("s.partial").alias("score")), F.struct("s.partial", -c("address_id"))).alias("m"))
+    return loc.join(best, "left_name").select(key, "m.address_id", "m.score")
+
+
+def best_name_match(left: DataFrame, cand: DataFrame, key: str, search: str, name: str, cand_id: str, score: Callable = fz.indel_ratio, threshold: float = 80) -> DataFrame:
+    """Per row the candidate of the same search key with the best name score of at least the threshold."""
+    a = left.select(key, search, F.col(name).alias("_a"))
+    b = cand.groupBy(search, F.col(name).alias("_b")).agg(F.min(cand_id).alias(cand_id))
+    names = a.select(search, "_a").distinct().join(b, search).withColumn("score", score(F.col("_a"), F.col("_b"))).filter(F.col("score") >= threshold)
+    best = names.groupBy(search, "_a").agg(F.max_by(F.struct(cand_id, "score"), F.struct("score", -F.col(cand_id))).alias("m"))
+    return a.join(best, [search, "_a"]).select(key, f"m.{cand_id}", "m.score")

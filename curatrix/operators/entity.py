@@ -15,7 +15,7 @@ from ..functions import text as tx
 from ..functions import urls as u
 from .gates import low_quality_location_penalty
 from .graph import connected_components
-from .keyed import with_group_agg
+from .keyed import spread, with_group_agg
 from .sizes import maybe_broadcast
 
 
@@ -35,7 +35,7 @@ def name_pairs(names: DataFrame, block: Sequence[str], name: str, key: str, thre
     b = base.select(*block, F.col("_cls").alias("_c"), F.col(name).alias("_nb"), F.col(key).alias("id_b"), F.col("_len").alias("_lb"))
     ordered = (F.col("_la") < F.col("_lb")) | ((F.col("_la") == F.col("_lb")) & (F.col("_na") < F.col("_nb")))
     near = F.col("_la") * 200.0 > F.lit(threshold) * (F.col("_la") + F.col("_lb"))
-    met = a.join(b, [*block, "_c"]).filter(ordered & near)
+    met = spread(a.join(b, [*block, "_c"]).filter(ordered & near), "id_a", "id_b")
     return met.withColumn("score", score(F.col("_na"), F.col("_nb"))).filter(F.col("score") > threshold).select("id_a", "id_b", "score")
 
 

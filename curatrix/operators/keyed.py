@@ -65,3 +65,15 @@ def global_rank(keys: DataFrame, bucket: str, order: Sequence[str], out: str) ->
         .withColumn(out, (F.col("_rn") + F.col("_offset")).cast("long"))
         .drop("_rn", "_offset", "_b")
     )
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition rows in front of a CPU-heavy Python step.
+
+    Such rows are small in bytes, so adaptive coalescing would put them into few tasks;
+    an explicit partition count keeps all cores busy. Grouping on the same columns
+    afterwards needs no further shuffle.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *cols)

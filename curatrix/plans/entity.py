@@ -18,13 +18,13 @@ from .registry import query
 def _docs(spark, d):
     t = table(spark, d, "documents")
     return t.select(
-        F.col("doc_id").alias("event_id"), F.substring("text", 1, 40).alias("event_name"), F.substring("text", 1, 8).alias("block"), "lang",
+        F.col("doc_id").alias("event_id"), F.regexp_replace(F.substring("text", 1, 40), "[^ -~]", "_").alias("event_name"), F.substring("text", 1, 8).alias("block"), "lang",
         F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("https://www."), "source", F.lit(".org/"))).alias("url"), "source",
         F.when(F.col("doc_id") % 4 != 0, F.col("n_chars").cast("string")).alias("location"), F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")).alias("time_stamp"),
     )
 
 
-_DOC = """doc AS (SELECT doc_id AS event_id, substr(text, 1, 40) AS event_name, substr(text, 1, 8) AS block, lang, CASE WHEN doc_id%3=0 THEN '' ELSE 'u' END AS url, source,
+_DOC = """doc AS (SELECT doc_id AS event_id, regexp_replace(substr(text, 1, 40), '[^ -~]', '_', 'g') AS event_name, substr(text, 1, 8) AS block, lang, CASE WHEN doc_id%3=0 THEN '' ELSE 'u' END AS url, source,
  CASE WHEN doc_id%4<>0 THEN CAST(n_chars AS VARCHAR) END AS location FROM documents)"""
 _LEV = "(1-levenshtein({a}, {b})/greatest(length({a}), length({b})))*100"
 def _recursive(edges_cte: str, edges: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.urls import netloc as part_netloc
 from ..operators import metrics
 from ..operators import normalize
 from ..operators import selection as op
@@ -63,14 +64,17 @@ def _(spark, d):
 
 
 @query("capped_promotion", f"""
-WITH q AS (SELECT page_id, url, {netloc('url')} AS dom, substr(url, length(url), 1) AS arch, page_id%9<>0 AS elig, page_id%5=0 AS known, page_id%7=3 AS held FROM pages),
+WITH q AS (SELECT page_id, {netloc('url')} AS dom, substr(url, length(url), 1) AS arch, page_id%9<>0 AS elig, page_id%5=0 AS known, page_id%7=3 AS held FROM pages),
 st AS (SELECT dom, arch, count(*) AS n FROM q WHERE known GROUP BY 1, 2),
 e AS (SELECT q.*, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY dom, arch ORDER BY page_id) AS rn FROM q LEFT JOIN st USING (dom, arch) WHERE NOT held AND NOT known AND elig),
 w AS (SELECT *, row_number() OVER (ORDER BY page_id) AS g FROM e WHERE rn+n<=2)
 SELECT q.page_id, CASE WHEN q.held THEN 'evaluation_url_excluded' WHEN q.known THEN 'duplicate_url' WHEN NOT q.elig THEN 'not_training_eligible'
  WHEN g<=60 THEN 'promoted' WHEN g IS NOT NULL THEN 'promotion_limit_reached' ELSE 'domain_archetype_cap_reached' END AS outcome FROM q LEFT JOIN w USING (page_id)""")
 def _(spark, d):
-    p = table(spark, d, "pages").select("page_id", "url", F.right("url", F.lit(1)).alias("archetype"), (F.col("page_id") % 9 != 0).alias("training_eligible"))
+    own = F.concat(F.lit("https://"), part_netloc("url"), F.lit("/p"), F.col("page_id").cast("string"))
+    p = table(spark, d, "pages").select(
+        "page_id", own.alias("url"), F.right("url", F.lit(1)).alias("archetype"), (F.col("page_id") % 9 != 0).alias("training_eligible")
+    )
     stored = p.filter("page_id % 5 = 0").select("url", "archetype")
     held = p.filter("page_id % 7 = 3").select("url")
     return op.capped_promotion(p, stored, held, [F.asc("page_id")], 60, 2).select("page_id", "outcome")
