@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 _SKIP = {"script", "style", "noscript", "template", "svg"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _MAIN_CLASSES = {"event", "event-content"}
+_CARD_WORDS = ("event", "card", "listing", "show", "calendar")  # fixed values: class names of listing items
 
 
 class _Walk(HTMLParser):
@@ -22,7 +23,8 @@ class _Walk(HTMLParser):
         self.skip = self.depth = 0
         self.main_depth = None
         self.main_done = False
-        self.counts = {"address": 0, "time": 0, "itemtype_event": 0, "ticket_links": 0, "cards": 0}
+        self.cards: dict[str, int] = {}
+        self.counts = {"address": 0, "time": 0, "itemtype_event": 0, "ticket_links": 0}
 
     def handle_starttag(self, tag, attrs):
         attr = {k: (v or "") for k, v in attrs}
@@ -36,8 +38,9 @@ class _Walk(HTMLParser):
             self.counts["itemtype_event"] += 1
         if tag == "a" and "ticket" in attr.get("href", "").lower():
             self.counts["ticket_links"] += 1
-        if any("card" in c.lower() for c in classes):
-            self.counts["cards"] += 1
+        for c in classes:
+            if any(word in c.lower() for word in _CARD_WORDS):
+                self.cards[c.lower()] = self.cards.get(c.lower(), 0) + 1
         if tag in _VOID:
             return
         self.depth += 1
@@ -88,4 +91,8 @@ HTML_STATS = T.StructType([
 @F.pandas_udf(HTML_STATS)
 def html_stats(pages: pd.Series) -> pd.DataFrame:
     """Element counts that need a parser."""
-    return pd.DataFrame([_walk(p).counts for p in pages], columns=[f.name for f in HTML_STATS.fields])
+    def one(page):
+        w = _walk(page)
+        return {**w.counts, "cards": max(w.cards.values(), default=0)}
+
+    return pd.DataFrame([one(p) for p in pages], columns=[f.name for f in HTML_STATS.fields])

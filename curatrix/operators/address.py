@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fuzzy as fz
 from ..functions import text as tx
+from ..session import cut_lineage
 from .keyed import global_rank, spread
 from .normalize import STREET_TYPES, build_full_address
 from .sizes import maybe_broadcast, small_enough
@@ -97,7 +98,8 @@ def resolve_address(parsed: DataFrame, addr: DataFrame, key: str, scores: Callab
         F.col("address_id"), *[tx.text(x).alias(f"a_{x}") if x in addr.columns else F.lit("").alias(f"a_{x}") for x in ("building_name", "street_number", "street_name", "city", "postal_code")]
     )
     sim = scored_names(p.select(c("building_name").alias("name")), a.select(c("a_building_name").alias("name")), scores)
-    sim = sim.select("left_name", "right_name", "s.*")
+    # five tiers read the scores; written once so that the UDF does not run per tier
+    sim = cut_lineage(sim.select("left_name", "right_name", "s.*"))
 
     def keyed_tier(tier, probe, on, ratio, partial, token):
         met = probe.join(a, on)

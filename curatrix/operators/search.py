@@ -122,15 +122,16 @@ def question_tags(question: Column | str) -> Column:
 def _tags(low: Column) -> Column:
     everything = tx.contains_any(low, ALL_STYLES)
 
-    def any_word(words, before):
-        return low.rlike("|".join(rf"{before}\b{w}\b" for w in words))
+    def any_word(words, look=None):
+        # the look-behind stands after the word, so it only runs where the word occurs
+        return low.rlike("|".join(rf"\b{w}\b" + (f"{look[0]}{look[1]}{w})" if look else "") for w in words))
 
     def collect(pairs):
         return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in pairs]))
 
-    include = collect([(s, any_word(syn, f"(?<!{_NEGATED})")) for s, syn in STYLE_SYNONYMS.items()])
-    exclude = collect([(s, any_word(syn, f"(?<={_EXCLUDED})")) for s, syn in STYLE_SYNONYMS.items()])
-    types = collect([(t, any_word(ws, "")) for t, ws in TYPE_WORDS.items()])
+    include = collect([(s, any_word(syn, ("(?<!", _NEGATED))) for s, syn in STYLE_SYNONYMS.items()])
+    exclude = collect([(s, any_word(syn, ("(?<=", _EXCLUDED))) for s, syn in STYLE_SYNONYMS.items()])
+    types = collect([(t, any_word(ws)) for t, ws in TYPE_WORDS.items()])
     def negated(word):
         # a negation within the 24 characters before the first mention
         pos = F.regexp_instr(low, F.lit(rf"\b{word}\b"))
