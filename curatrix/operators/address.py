@@ -150,7 +150,7 @@ def quick_lookup(df: DataFrame, addr: DataFrame, key: str, location: str, scores
     """(key, address_id, step): exact text, single street match, best name on the street, best name, near-equal text."""
     c = F.col
     d = df.select(key, tx.text(location).alias("_loc")).filter("_loc <> ''")
-    a = addr.select("address_id", tx.text("building_name").alias("_b"), tx.text("full_address").alias("_f"), F.lower(tx.text("street_number")).alias("_n"), F.lower(tx.text("street_name")).alias("_s"))
+    a = addr.select("address_id", tx.text("building_name").alias("_b"), (tx.text("full_address") if "full_address" in addr.columns else F.lit("")).alias("_f"), F.lower(tx.text("street_number")).alias("_n"), F.lower(tx.text("street_name")).alias("_s"))
     full = a.filter("_f <> ''").groupBy(F.lower("_f").alias("_lf")).agg(F.min("address_id").alias("address_id"))
     exact = d.join(full, F.lower("_loc") == c("_lf")).select(key, "address_id", F.lit(1).alias("step"))
     street = rf"(?i)(\d+)\s+([A-Za-z\s]+?)(?:,|\s+(?:{STREET_TYPES}))"

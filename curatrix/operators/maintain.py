@@ -71,7 +71,7 @@ def append_with_ids(base: DataFrame, rows: DataFrame, key: str, bucket: Column,
     top = base.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
     ranked = global_rank(rows.withColumn("_bucket", bucket), "_bucket", order, "_rank").drop("_bucket")
     numbered = ranked.join(F.broadcast(top)).withColumn(key, F.col("_top") + F.col("_rank")).drop("_top", "_rank")
-    return numbered.select(*base.columns)
+    return base.unionByName(numbered.select(*base.columns))
 
 
 def snapshot_history(events: DataFrame, history: DataFrame) -> DataFrame:
@@ -136,3 +136,12 @@ def sync_window(source: DataFrame, target: DataFrame, stamp: str, keys: Sequence
     return upsert(target, source.filter(F.col(stamp) >= F.date_sub(as_of, days).cast("timestamp_ntz")), keys)
 
 
+
+
+def write_method(prompt: str, url: str, parent: str) -> Column:
+    """How a row was extracted, when not given: vision prompt, calendar URL, else model."""
+    both = F.lower(F.concat_ws(" ", tx.text(url), tx.text(parent)))
+    return (
+        F.when(F.lower(tx.text(prompt)) == "vision_extraction", "vision_extraction")
+        .when(both.contains("calendar"), "google_calendar_fetch").otherwise("llm_extraction")
+    )

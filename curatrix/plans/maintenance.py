@@ -1,0 +1,199 @@
+"""Table maintenance over the benchmark data."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import dates as dt
+from ..functions import fuzzy as fz
+from ..operators import maintain as op
+from ..operators import writing
+from ..sources.adapters import customer_address, ev, table
+from .common import ADDR, EV, ORD
+from .registry import query
+
+
+def _day(t):
+    return F.lit(t).cast("date")
+
+
+def _base_delta(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    base = c.filter("c_custkey % 3 <> 0")
+    delta = c.filter("c_custkey % 2 = 0").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, F.concat("c_name", F.lit("!"))).alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    return base, delta
+
+
+_UP = """b AS (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey%3<>0), x AS (SELECT c_custkey, CASE WHEN c_custkey%4=0 THEN c_name||'!' END AS n, c_acctbal+1 AS a FROM customer WHERE c_custkey%2=0)"""
+
+
+@query("upsert_overwrite", f"""
+WITH {_UP} SELECT coalesce(x.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN x.c_custkey IS NOT NULL THEN n ELSE c_name END AS c_name, round(coalesce(a, c_acctbal), 2) AS c_acctbal FROM b FULL JOIN x ON b.c_custkey=x.c_custkey""")
+def _(spark, d):
+    return op.upsert(*_base_delta(spark, d), ["c_custkey"]).withColumn("c_acctbal", F.round("c_acctbal", 2))
+
+
+@query("upsert_keep_old", f"""
+WITH {_UP} SELECT coalesce(x.c_custkey, b.c_custkey) AS c_custkey, coalesce(n, c_name) AS c_name, round(coalesce(a, c_acctbal), 2) AS c_acctbal FROM b FULL JOIN x ON b.c_custkey=x.c_custkey""")
+def _(spark, d):
+    return op.upsert(*_base_delta(spark, d), ["c_custkey"], True).withColumn("c_acctbal", F.round("c_acctbal", 2))
+
+
+@query("insert_ignore", """
+SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey%4<>0 UNION ALL SELECT o_orderkey, -1 FROM orders WHERE o_orderkey%4=0 AND o_orderkey%8=0""")
+def _(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    delta = o.filter("o_orderkey % 2 = 0 and (o_orderkey % 4 <> 0 or o_orderkey % 8 = 0)").withColumn("o_custkey", F.lit(-1).cast("bigint"))
+    return op.insert_ignore(o.filter("o_orderkey % 4 <> 0"), delta.unionByName(delta), ["o_orderkey"])
+
+
+def _deleted(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), "o_custkey", "o_orderstatus", "o_totalprice")
+    return op.audited_delete(o, F.col("o_totalprice") < 50000, "db.delete_old_events", "end_date_older_than_7_days", F.lit("2001-08-01 00:00:00"), {"limit": "50000"})
+
+
+@query("audited_delete", """
+SELECT o_orderkey AS event_id, CASE WHEN o_totalprice<50000 THEN 'deleted' ELSE 'kept' END AS side, CASE WHEN o_totalprice<50000 THEN CAST(o_custkey AS VARCHAR) ELSE '' END AS old_key FROM orders""")
+def _(spark, d):
+    kept, audit = _deleted(spark, d)
+    return kept.select("event_id", F.lit("kept").alias("side"), F.lit("").alias("old_key")).unionByName(
+        audit.select("event_id", F.lit("deleted").alias("side"), F.get_json_object("event_json", "$.o_custkey").alias("old_key")))
+
+
+@query("delete_attribution", """
+SELECT o_orderkey AS event_id, 'end_date_older_than_days' AS delete_reason_code, true AS reason_registered, CASE WHEN o_orderkey%2=0 THEN 'scraper' ELSE 'none' END AS created_by_step FROM orders WHERE o_totalprice<50000""")
+def _(spark, d):
+    _, audit = _deleted(spark, d)
+    writes = table(spark, d, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("event_id"), F.lit("scraper").alias("step_name"))
+    a = op.delete_attribution(audit, writes, "r1", "db")
+    return a.select("event_id", "delete_reason_code", "reason_registered", F.coalesce("created_by_step", F.lit("none")).alias("created_by_step"))
+
+
+@query("write_attribution", """
+SELECT event_id, 'r1' AS run_id, event_type AS step_name, CASE WHEN user_id%3=0 THEN 'vision_extraction' WHEN user_id%3=1 THEN 'google_calendar_fetch' ELSE 'llm_extraction' END AS write_method FROM events""")
+def _(spark, d):
+    k = F.col("user_id") % 3
+    e = table(spark, d, "events").withColumns({"prompt": F.when(k == 0, "Vision_extraction "), "url": F.when(k == 1, "https://Calendar.org").otherwise("u"), "parent": F.lit(None).cast("string")})
+    return op.write_attribution(e, F.lit("r1"), F.col("event_type"), op.write_method("prompt", "url", "parent"))
+
+
+@query("append_with_ids", f"""
+WITH {ORD} SELECT o_orderkey AS id, o_custkey FROM o WHERE o_orderkey<100 UNION ALL
+SELECT 99+row_number() OVER (ORDER BY d, o_custkey, o_orderkey), o_custkey FROM o WHERE o_orderkey>=100""")
+def _(spark, d):
+    o = table(spark, d, "orders").withColumn("d", F.to_date("o_orderdate"))
+    base = o.filter("o_orderkey < 100").select(F.col("o_orderkey").alias("id"), "o_custkey")
+    return op.append_with_ids(base, o.filter("o_orderkey >= 100").select("o_custkey", "o_orderkey", "d"), "id", F.col("d"), ["o_custkey", "o_orderkey"])
+
+
+@query("snapshot_history", """
+SELECT event_id, CASE WHEN event_id%2=0 THEN event_id ELSE -1 END AS original_event_id FROM events""")
+def _(spark, d):
+    e = table(spark, d, "events").select("event_id", "event_type")
+    out = op.snapshot_history(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1").withColumn("original_event_id", F.lit(-1).cast("bigint")))
+    return out.select("event_id", "original_event_id")
+
+
+@query("restore_deleted", """
+WITH a AS (SELECT user_id AS event_id, arg_max(value, ts) AS v FROM events WHERE event_type='signup' AND ts>=TIMESTAMP '2024-01-05' GROUP BY 1)
+SELECT event_id, v AS value FROM a WHERE event_id%2=0 UNION ALL SELECT c_custkey, -1.0 FROM customer WHERE c_custkey<150 AND c_custkey%2=1""")
+def _(spark, d):
+    e = table(spark, d, "events").filter("event_type = 'signup'")
+    audit = e.select(
+        F.col("user_id").alias("event_id"), F.col("ts").alias("deleted_at"), F.to_json(F.struct(F.col("user_id").alias("event_id"), "value")).alias("event_json"))
+    base = table(spark, d, "customer").filter("c_custkey < 150 and c_custkey % 2 = 1").select(F.col("c_custkey").alias("event_id"), F.lit(-1.0).alias("value"))
+    since = F.lit("2024-01-05 00:00:00").cast("timestamp_ntz")
+    return op.restore_deleted(audit, base, F.col("deleted_at") >= since, "event_id bigint, value double")
+
+
+@query("overlay_update", """
+SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey%4=0 AND o_orderkey%3<>0 THEN 'new' ELSE o_orderpriority END AS name, CASE WHEN o_orderkey%4=0 THEN 'u2' ELSE 'u1' END AS url FROM orders""")
+def _(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("name"), F.lit("u1").alias("url"))
+    delta = o.filter("o_orderkey % 4 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, " ").otherwise("new").alias("name"), F.lit("u2").alias("url"))
+    return op.overlay(o, delta, ["o_orderkey"])
+
+
+@query("expire_sessions", """
+SELECT event_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type='error' GROUP BY 1 HAVING max(ts)>=TIMESTAMP '2024-01-29') AND event_type='error'""")
+def _(spark, d):
+    e = table(spark, d, "events").filter("event_type = 'error'")
+    return op.expire_sessions(e, "user_id", "ts", _day("2024-01-31"), 2).select("event_id")
+
+
+def _candidates(spark, d):
+    e, k = ev(spark, d), F.col("event_id")
+    stamp = F.substring(F.col("ts").cast("string"), 1, 19)
+    return e.select(
+        k.alias("row_id"), F.when(k % 11 == 0, "events").otherwise(F.concat(F.lit("Show "), F.col("place").cast("string"))).alias("event_name"),
+        F.lit("").alias("dance_style"), F.when(k % 13 == 0, "weekend in Lisbon").otherwise("social evening with salsa").alias("description"),
+        dt.weekday_name("start_date").alias("day_of_week"), stamp.alias("start_ts"), stamp.alias("end_ts"),
+        F.when(k % 5 == 0, "unknown").otherwise(F.col("event_type")).alias("source"),
+        F.concat((F.col("place") % 600).cast("string"), F.lit(" Street "), (F.col("place") % 37).cast("string"), F.lit(", Victoria")).alias("location"),
+        F.when(k % 7 == 0, "https://www.example.com/x").otherwise("").alias("url"), F.when(k % 2 == 0, "live music").otherwise("class").alias("event_type"),
+        F.concat(F.lit("https://hall"), F.col("place").cast("string"), F.lit(".org/list")).alias("batch_url"), F.lit("").alias("batch_parent"),
+        F.lit("").alias("batch_source"), F.lit("swing, tango").alias("batch_keywords"),
+    )
+
+
+def _written(spark, d):
+    rules = writing.WriteRules(_day("2024-01-31"), 20, scores=fz.lev_scores, ratio=fz.lev_ratio)
+    return writing.write_events(_candidates(spark, d), customer_address(spark, d), rules)
+
+
+_WR = f"""{EV}, x AS (SELECT event_id, place, event_type, start_date, CASE WHEN event_id%11=0 THEN 'insufficient_event_data' WHEN event_id%13=0 THEN 'out_of_scope_location'
+  WHEN start_date<DATE '2024-01-31'-20 THEN 'older_than_limit' ELSE 'accepted' END AS r FROM ev)"""
+
+
+@query("write_events", f"""
+WITH {_WR} SELECT event_id AS row_id, CASE WHEN event_id%5=0 THEN 'hall'||CAST(place AS VARCHAR) ELSE event_type END AS source, CASE WHEN event_id%2=0 THEN 'salsa' ELSE 'swing, tango' END AS dance_style,
+ 'https://hall'||CAST(place AS VARCHAR)||'.org/list' AS url, place AS address_id FROM x WHERE r='accepted'""")
+def _(spark, d):
+    return _written(spark, d)[0].select("row_id", "source", "dance_style", "url", "address_id")
+
+
+@query("write_rejects", f"WITH {_WR} SELECT event_id AS row_id, r AS reject_reason FROM x WHERE r<>'accepted'")
+def _(spark, d):
+    return _written(spark, d)[1].select("row_id", "reject_reason")
+
+
+@query("write_url_log", f"""
+WITH {_WR} SELECT 'https://hall'||CAST(place AS VARCHAR)||'.org/list' AS link, count(*) FILTER (WHERE r='accepted')>0 AS relevant, count(*) FILTER (WHERE r='accepted') AS events_written FROM x GROUP BY 1""")
+def _(spark, d):
+    return _written(spark, d)[3].select("link", "relevant", "events_written")
+
+
+def _event_table(spark, d):
+    e, k = ev(spark, d), F.col("event_id")
+    return e.select(
+        "event_id", F.concat(F.lit("Show "), F.translate(F.lpad((k * 7919 % 100003).cast("string"), 6, "0"), "0123456789", "abcdefghij")).alias("event_name"), F.lit("salsa").alias("dance_style"),
+        F.when(k % 17 == 0, "trip to France").otherwise("a night").alias("description"), F.lit("Monday").alias("day_of_week"), "start_date", F.col("start_date").alias("end_date"),
+        F.when(k % 19 != 0, F.col("start_sec")).alias("start_sec"), F.when(k % 19 != 0, F.col("end_sec")).alias("end_sec"), F.col("event_type").alias("source"), F.lit("hall").alias("location"),
+        F.lit("").alias("price"), F.lit("https://a.org").alias("url"), F.lit("class").alias("event_type"), F.when(k % 23 == 0, F.lit(10**9)).otherwise(F.col("place")).cast("bigint").alias("address_id"), F.col("ts").alias("time_stamp"),
+    )
+
+
+_NC = f"""{EV}, x AS (SELECT event_id, place, start_date, start_sec, end_sec, event_id%23=0 AS lost,
+  CASE WHEN start_date<DATE '2024-01-31'-20 THEN 'end_date_older_than_20_days' WHEN event_id%19=0 THEN 'null_start_date_start_time_or_null_start_end_time' WHEN event_id%17=0 THEN 'foreign_location' END AS r FROM ev),
+ k AS (SELECT * FROM x WHERE r IS NULL),
+ w AS (SELECT DISTINCT a.event_id FROM k a JOIN k b ON a.start_date=b.start_date AND a.event_id<b.event_id AND CASE WHEN a.lost THEN -1 ELSE a.place END = CASE WHEN b.lost THEN -1 ELSE b.place END AND abs(a.start_sec-b.start_sec)<=900 AND abs(a.end_sec-b.end_sec)<=900)"""
+
+
+@query("nightly_cleanup", f"""
+WITH {_NC} SELECT event_id, coalesce(r, CASE WHEN event_id IN (SELECT event_id FROM w) THEN 'exact_time_window_duplicate' WHEN lost THEN 'orphaned_address_id_reference' END) AS deletion_reason
+FROM x WHERE deletion_reason IS NOT NULL""")
+def _(spark, d):
+    rules = writing.CleanupRules(_day("2024-01-31"), F.lit("2024-01-31 00:00:00"), 20, countries=("France",), province="BC", score=fz.lev_ratio, fuzzy_threshold=99)
+    addr = customer_address(spark, d).withColumns({"province_or_state": F.lit(None).cast("string"), "country_id": F.lit(None).cast("string")})
+    _, _, audit = writing.nightly_cleanup(_event_table(spark, d), addr, rules)
+    return audit.select("event_id", "deletion_reason")
+
+
+@query("rule_cleanup", f"""
+WITH {EV} SELECT event_id, CASE WHEN place=7 THEN 'closed_venue' WHEN start_date>DATE '2024-01-25' THEN 'too_far_future' WHEN source='view' THEN 'known_incorrect_rules' ELSE 'kept' END AS outcome FROM ev""")
+def _(spark, d):
+    e = _event_table(spark, d).withColumn("address_id", (F.col("address_id") % 1000000000)).join(ev(spark, d).select("event_id", F.col("place").alias("_p")), "event_id").withColumn("location", F.when(F.col("_p") == 7, "Old Hall").otherwise("hall")).drop("_p")
+    kw = table(spark, d, "region").select(F.lower("r_name").alias("keyword"))
+    fill = table(spark, d, "region").select(F.col("r_regionkey").alias("rule_order"), F.col("r_name").alias("match_text"), F.col("r_regionkey").cast("bigint").alias("key_value"), F.col("r_name").alias("full_text"))
+    kept, audit = writing.rule_cleanup(e, kw, fill, F.col("location").ilike("%old hall%"), F.col("source") == "view", F.date_sub(_day("2024-01-25"), 270), F.lit("2024-01-31"))
+    return kept.select("event_id", F.lit("kept").alias("outcome")).unionByName(audit.select("event_id", F.col("deletion_reason").alias("outcome")))
