@@ -224,25 +224,51 @@ def cache_insert(cache: DataFrame, fresh: DataFrame) -> DataFrame:
 def contained_in_text(docs: DataFrame, doc_key: str, body: str, needles: DataFrame, needle_key: str, needle: str, lower: bool = True) -> DataFrame:
     """(doc_key, needle_key) pairs where the document contains the needle literally.
 
-    A needle of three or more words has inner words that must occur whole in any text
-    that contains it, so it is looked up by its longest inner word through an equi-join
-    on the words of the text. Shorter needles have no such word; they are few by size
-    check and tested in place.
+    Each needle is looked up by one word: an inner word stands whole in any text that
+    contains the needle, its first word ends a word of the text, its last word begins
+    one, and a lone word lies inside one. The words of a text are exploded into exactly
+    the kinds and lengths that occur among the needles and joined by equality, so the
+    work grows with the text, not with text times needles. Needles without any word are
+    tested in place and must be few.
     """
-    t = (lambda c: F.lower(c)) if lower else (lambda c: c)
-    n = needles.select(needle_key, t(F.col(needle)).alias("_n")).filter("_n <> ''")
-    words = n.withColumn("_inner", F.regexp_extract_all(F.regexp_replace("_n", r"^[\p{L}\p{N}]*|[\p{L}\p{N}]*$", ""), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    by_len = F.transform("_inner", lambda w: F.struct(F.length(w).alias("l"), w.alias("w")))
-    words = words.withColumn("_w", F.array_max(by_len)["w"])
-    d = docs.select(doc_key, t(F.col(body)).alias("_b"))
-    tokens = d.select(doc_key, F.explode(F.array_distinct(F.regexp_extract_all("_b", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("_w"))
-    long = words.filter("_w is not null").select(needle_key, "_n", "_w")
-    wanted = long.select("_w").distinct()
-    cand = tokens.join(maybe_broadcast(wanted), "_w", "left_semi").join(maybe_broadcast(long), "_w").drop("_w")
-    hits = cand.join(d, doc_key).filter(F.contains("_b", "_n")).select(doc_key, needle_key)
-    short = words.filter("_w is null").select(F.struct("_n", needle_key).alias("x"))
-    small_enough(short, "short needles")
-    packed = short.agg(F.collect_list("x").alias("_list"))
+    def fold(c):
+        return F.lower(c) if lower else c
+
+    word = r"[\p{L}\p{N}]+"
+    n = needles.select(needle_key, fold(F.col(needle)).alias("_n")).filter("_n <> ''")
+    inner = F.regexp_extract_all(F.regexp_replace("_n", r"^[\p{L}\p{N}]*|[\p{L}\p{N}]*$", ""), F.lit(word), F.lit(0))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
+    head, tail = F.regexp_extract("_n", rf"^({word})", 1), F.regexp_extract("_n", rf"({word})$", 1)
+    use_tail = (tail != "") & ((head == "") | (F.length(tail) >= F.length(head)))
+    key = (
+        F.when(longest.isNotNull(), F.struct(F.lit("w").alias("k"), longest.alias("t")))
+        .when((head != "") & (head == F.col("_n")), F.struct(F.lit("x").alias("k"), head.alias("t")))
+        .when(use_tail, F.struct(F.lit("p").alias("k"), tail.alias("t")))
+        .when(head != "", F.struct(F.lit("s").alias("k"), head.alias("t")))
+    )
+    keyed = n.withColumn("_key", key)
+    index = keyed.filter("_key is not null").select(needle_key, "_n", F.concat_ws(":", "_key.k", "_key.t").alias("_w"), F.col("_key.k").alias("_k"), F.length("_key.t").alias("_l"))
+    shapes = index.agg(F.collect_set(F.struct(F.col("_k").alias("k"), F.col("_l").alias("l"))).alias("_shapes"))
+    none = F.array().cast("array<string>")
+
+    def keys_of(t, s):
+        size, end = s["l"], F.length(t)
+        return (
+            F.when(end < size, none)
+            .when(s["k"] == "w", F.when(end == size, F.array(F.concat(F.lit("w:"), t))).otherwise(none))
+            .when(s["k"] == "p", F.array(F.concat(F.lit("p:"), F.substring(t, F.lit(1), size))))
+            .when(s["k"] == "s", F.array(F.concat(F.lit("s:"), F.substring(t, end - size + 1, size))))
+            .otherwise(F.transform(F.sequence(F.lit(1), end - size + 1), lambda i: F.concat(F.lit("x:"), F.substring(t, i, size))))
+        )
+
+    d = docs.select(doc_key, fold(F.col(body)).alias("_b"))
+    words = d.select(doc_key, F.explode(F.array_distinct(F.regexp_extract_all("_b", F.lit(word), F.lit(0)))).alias("_t"))
+    probes = words.join(F.broadcast(shapes)).select(doc_key, F.explode(F.flatten(F.transform("_shapes", lambda s: keys_of(F.col("_t"), s)))).alias("_w"))
+    met = probes.join(maybe_broadcast(index.select(needle_key, "_n", "_w")), "_w").select(doc_key, needle_key, "_n").distinct()
+    hits = met.join(d, doc_key).filter(F.contains("_b", "_n")).select(doc_key, needle_key)
+    bare = keyed.filter("_key is null").select(F.struct("_n", needle_key).alias("x"))
+    small_enough(bare, "needles without words")
+    packed = bare.agg(F.collect_list("x").alias("_list"))
     near = d.join(F.broadcast(packed)).select(doc_key, F.explode(F.filter("_list", lambda x: F.contains(F.col("_b"), x["_n"]))).alias("x")).select(doc_key, f"x.{needle_key}")
     return hits.unionByName(near)
 

@@ -16,9 +16,23 @@ def fits_broadcast(df: DataFrame, limit: int = LIST_LIMIT) -> bool:
     return size is not None and size <= limit
 
 
-def small_enough(df: DataFrame, what: str, limit: int = LIST_LIMIT) -> None:
-    """Refuse to carry a list along that is not a list any more."""
-    if not fits_broadcast(df, limit):
+def measured_bytes(df: DataFrame, max_rows: int) -> int | None:
+    """Bytes of ``df`` as text, read from at most ``max_rows`` rows; None when it has more."""
+    probe = df.limit(max_rows + 1).select(F.length(F.to_json(F.struct("*"))).alias("n"))
+    rows, size = probe.agg(F.count("n"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return None if rows > max_rows else int(size)
+
+
+def small_enough(df: DataFrame, what: str, limit: int = LIST_LIMIT, max_rows: int = 1_000_000) -> None:
+    """Refuse to carry a list along that is not a list any more.
+
+    The optimizer's estimate decides when it is small; after joins it multiplies sizes,
+    so a large estimate is checked against the rows themselves.
+    """
+    if fits_broadcast(df, limit):
+        return
+    size = measured_bytes(df, max_rows)
+    if size is None or size > limit:
         raise ValueError(f"{what} is larger than {limit} bytes; join it by key instead")
 
 

@@ -85,15 +85,15 @@ def write_events(df: DataFrame, addr: DataFrame, rules: WriteRules) -> tuple[Dat
     """(accepted, rejected, new_addresses, url_log).
 
     Cheap gates run before the address lookup, so only rows that may be written reach its
-    joins. Rows are rejected with the reason of the first gate they fail.
+    joins. Rows are rejected with the reason of the first gate they fail. The repaired
+    rows feed the rejects, the lookups and the log, so they are written once.
     """
-    ready = prepare(df, rules)
+    ready = cut_lineage(prepare(df, rules))
     pre = (
         F.when(~F.col("keep"), "missing_or_blocked_url")
         .when(gates.is_us_address("location"), "us_postal_code_location")
         .otherwise(F.coalesce(_quality(rules, False), F.when(gates.is_old(rules.as_of, rules.old_days, "drop"), "older_than_limit")))
     )
-    # the repaired rows feed the rejects, five lookups and the log; written once
     gated = cut_lineage(ready.withColumn("reject_reason", pre).drop("keep"))
     passed = gated.filter(F.col("reject_reason").isNull())
     located, inserts = locate(passed, addr, rules)
@@ -118,12 +118,14 @@ def locate(df: DataFrame, addr: DataFrame, rules: WriteRules) -> tuple[DataFrame
     quick = ad.quick_lookup(df, addr, "row_id", "location", rules.scores, rules.ratio)
     hits = hits.unionByName(quick.select("row_id", "address_id", F.lit(4).alias("step")))
     found = cut_lineage(hits.groupBy("row_id").agg(F.min_by("address_id", F.struct("step", "address_id")).alias("address_id")))
-    rest = df.drop("address_id").join(found, "row_id", "left_anti")
+    # what the cheap steps leave over is small; written once, because three lookups read it
+    rest = cut_lineage(df.drop("address_id").join(found, "row_id", "left_anti"))
     body = rest.withColumn("_body", F.concat_ws(" ", tx.text("event_name"), tx.text("description")))
     named = ad.name_in_text(body, addr, "row_id", "_body", rules.ratio if rules.ratio is not fz.indel_ratio else fz.partial_ratio).select("row_id", "address_id")
     parsed = rest.join(named, "row_id", "left_anti").filter(~tx.blank("location")).withColumn("_p", norm.split_full_address("location")).select(
         "row_id", F.when(F.col("_p.street_number").isNull(), F.trim(F.substring_index("location", ",", 1))).otherwise(
             F.nullif(F.trim(F.regexp_extract("location", r"^([^,\d]+),", 1)), F.lit(""))).alias("building_name"), "_p.*")
+    parsed = cut_lineage(parsed)
     matched, inserts = ad.resolve_address(parsed, addr, "row_id", rules.scores)
     new_ids = parsed.withColumn("full_address", norm.build_full_address(parsed)).join(inserts.select("full_address", "address_id"), "full_address").select("row_id", "address_id")
     known = found.unionByName(named).unionByName(matched.select("row_id", "address_id")).unionByName(new_ids.join(matched, "row_id", "left_anti").select("row_id", "address_id"))
