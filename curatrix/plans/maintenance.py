@@ -121,8 +121,9 @@ def _(spark, d):
     return op.expire_sessions(e, "user_id", "ts", _day("2024-01-31"), 2).select("event_id")
 
 
-def _candidates(spark, d):
-    e, k = ev(spark, d), F.col("event_id")
+def candidates(e):
+    """Candidate rows in the shape the write path takes."""
+    k = F.col("event_id")
     stamp = F.substring(F.col("ts").cast("string"), 1, 19)
     return e.select(
         k.alias("row_id"), F.when(k % 11 == 0, "events").otherwise(F.concat(F.lit("Show "), F.col("place").cast("string"))).alias("event_name"),
@@ -138,7 +139,7 @@ def _candidates(spark, d):
 
 def _written(spark, d):
     rules = writing.WriteRules(_day("2024-01-31"), 20, scores=fz.lev_scores, ratio=fz.lev_ratio)
-    return writing.write_events(_candidates(spark, d), customer_address(spark, d), rules)
+    return writing.write_events(candidates(ev(spark, d)), customer_address(spark, d), rules)
 
 
 _WR = f"""{EV}, x AS (SELECT event_id, place, event_type, start_date, CASE WHEN event_id%11=0 THEN 'insufficient_event_data' WHEN event_id%13=0 THEN 'out_of_scope_location'

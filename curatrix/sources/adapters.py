@@ -17,7 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event rows: date, seconds of day, place and source from the event stream table."""
-    e = table(spark, sf_dir, "events")
+    return as_events(table(spark, sf_dir, "events"))
+
+
+def as_events(e: DataFrame) -> DataFrame:
     start = day_seconds("ts")
     return e.select(
         "event_id",
