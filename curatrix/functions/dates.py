@@ -12,7 +12,6 @@ WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday",
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 # Weekday fields that only restate the date.
 RELATIVE_WEEKDAYS = ("today", "tonight", "tomorrow", "this evening", "this afternoon", "this morning")
-TIMESTAMP_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "MM/dd/yyyy")
 RECURRENCE = (
     r"\b(every|weekly|recurs?|each|mondays?|tuesdays?|wednesdays?|thursdays?|fridays?|saturdays?|sundays?)\b"
 )
@@ -65,36 +64,15 @@ def clock(sec: Column | str) -> Column:
 
 
 def parse_event_ts(c: Column | str, zone: str = "America/Los_Angeles") -> Column:
-    """Zone-free local stamp from text; zoned stamps are converted to ``zone``, bad text gives NULL."""
-    t = text(c)
-    zoned = t.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & t.rlike(r"\d{2}:\d{2}")
-    offset = F.regexp_replace(F.regexp_extract(t, r"(Z|[+-]\d{2}:?\d{2})$", 1), r"^([+-]\d{2})(\d{2})$", "$1:$2")
-    bare = F.regexp_replace(t, r"\s*(Z|[+-]\d{2}:?\d{2})$", "")
-
-    def first(x):
-        return F.coalesce(*[F.to_timestamp_ntz(F.when(_fits(x, f), x), F.lit(f)) for f in TIMESTAMP_FORMATS])
-
-    local = F.convert_timezone(
-        F.when(offset == "Z", F.lit("UTC")).when(offset != "", offset).otherwise(F.lit("UTC")), F.lit(zone), first(bare)
-    )
-    return F.when(zoned, local).otherwise(first(t))
-
-
-def _fits(x: Column, fmt: str) -> Column:
-    """Cheap guard so that strict parsing under ANSI mode only sees plausible text."""
-    day = r"(20|19)\d{2}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])"
-    time = r"([01]\d|2[0-3]):[0-5]\d"
-    pattern = {
-        "yyyy-MM-dd HH:mm:ss": f"^{day} {time}:[0-5]\\d$",
-        "yyyy-MM-dd'T'HH:mm:ss": f"^{day}T{time}:[0-5]\\d$",
-        "yyyy-MM-dd HH:mm": f"^{day} {time}$",
-        "yyyy-MM-dd": f"^{day}$",
-        "MM/dd/yyyy": r"^(0[1-9]|1[0-2])/(0[1-9]|[12]\d|3[01])/(20|19)\d{2}$",
-    }[fmt]
-    valid_day = F.when(x.rlike("^" + day), F.substring(x, 1, 10).try_cast("date").isNotNull()).otherwise(
-        F.concat_ws("-", F.substring(x, 7, 4), F.substring(x, 1, 2), F.substring(x, 4, 2)).try_cast("date").isNotNull()
-    )
-    return x.rlike(pattern) & valid_day
+    """Zone-free local stamp from ISO or month/day/year text; zoned stamps are converted to ``zone``, bad text gives NULL."""
+    def parse(t):
+        iso = F.regexp_replace(t, r"^(\d{2})/(\d{2})/(\d{4})", "$3-$1-$2")
+        offset = F.regexp_extract(t, r"\d{2}:\d{2}[\d:.]*\s*(Z|[+-]\d{2}:?\d{2})$", 1)
+        named = F.when(offset == "Z", "UTC").otherwise(F.regexp_replace(offset, r"^([+-]\d{2})(\d{2})$", "$1:$2"))
+        local = iso.try_cast("timestamp_ntz")
+        return F.when(offset != "", F.convert_timezone(named, F.lit(zone), local)).otherwise(local)
+
+    return let(text(c), parse)
 
 
 def time_norm(c: Column | str) -> Column:

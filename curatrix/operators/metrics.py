@@ -491,18 +491,49 @@ def review_summary(df: DataFrame, label: Column, truth: Column | None = None) ->
     )
 
 
+def exact_percentiles(df: DataFrame, group: str, value: str, shares: dict[str, float], bins: int = 1024) -> DataFrame:
+    """(group, one column per share): interpolated percentiles by two-level selection.
+
+    Values are counted in equal bins first; only the bins that hold the wanted ranks are
+    opened, as counts per distinct value. No task holds a group's values.
+    """
+    v = df.filter(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"))
+    span = v.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / bins).otherwise(F.lit(1.0))
+    binned = v.join(span, "_g").withColumn("_b", F.floor((F.col("_v") - F.col("_lo")) / width))
+    below = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    bins_of = binned.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n")).withColumn("_before", F.coalesce(F.sum("_c").over(below), F.lit(0)))
+    wanted = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("name"), (F.lit(q) * (F.col("_n") - 1)).alias("rank")) for name, q in shares.items()
+    ]))
+    ranks = span.select("_g", wanted.alias("w")).select("_g", "w.name", "w.rank", F.explode(F.array_distinct(F.array(F.floor("w.rank"), F.ceil("w.rank")))).alias("_r"))
+    hit = bins_of.join(ranks, "_g").filter((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_c"))).select(
+        "_g", "_b", "_before", "name", "rank", "_r")
+    opened = binned.join(F.broadcast(hit.select("_g", "_b").distinct()), ["_g", "_b"], "left_semi").groupBy("_g", "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    inner = Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = opened.withColumn("_in", F.coalesce(F.sum("_c").over(inner), F.lit(0))).join(hit, ["_g", "_b"])
+    at = placed.filter((F.col("_r") >= F.col("_before") + F.col("_in")) & (F.col("_r") < F.col("_before") + F.col("_in") + F.col("_c")))
+    lo, hi = F.min_by("_v", "_r"), F.max_by("_v", "_r")
+    pts = at.groupBy("_g", "name").agg((lo + (hi - lo) * (F.first("rank") - F.floor(F.first("rank")))).alias("p"))
+    return pts.groupBy("_g").pivot("name", list(shares)).agg(F.first("p")).withColumnRenamed("_g", group)
+
+
 def latency_summary(df: DataFrame, group: str, value: str, failed: Column, limit: float, exact: bool = True) -> DataFrame:
-    """Latency per group. ``exact`` percentiles sort a histogram per group; the sketch form has constant state."""
-    v = F.when(~failed, F.col(value))
-    p50, p95 = (
-        (F.percentile(v, F.lit(0.5)), F.percentile(v, F.lit(0.95))) if exact
-        else (F.approx_percentile(v, 0.5, 10000), F.approx_percentile(v, 0.95, 10000))
-    )
-    return df.groupBy(group).agg(
-        F.count(F.lit(1)).alias("attempts"), F.count_if(failed).alias("failures"), F.round(F.avg(v), 4).alias("avg"),
-        F.round(p50, 4).alias("p50"), F.round(p95, 4).alias("p95"), F.min(v).alias("min"), F.max(v).alias("max"),
-        pct(F.count_if(v <= limit), F.count(v)).alias("within_limit_pct"),
-    )
+    """Attempts, failures, mean, median, p95, extremes and the share within ``limit`` per group.
+
+    Percentiles are exact by selection, or approximate from one pass with constant state.
+    """
+    rows = df.select(group, F.when(~failed, F.col(value)).alias("_val"), failed.alias("_failed"))
+    v = F.col("_val")
+    sketch = [] if exact else [F.round(F.approx_percentile(v, q, 10000), 4).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95))]
+    out = rows.groupBy(group).agg(
+        F.count(F.lit(1)).alias("attempts"), F.count_if("_failed").alias("failures"), F.round(F.avg(v), 4).alias("avg"), *sketch,
+        F.min(v).alias("min"), F.max(v).alias("max"), pct(F.count_if(v <= limit), F.count(v)).alias("within_limit_pct"),
+    )
+    if not exact:
+        return out
+    p = exact_percentiles(rows, group, "_val", {"p50": 0.5, "p95": 0.95}).withColumnRenamed(group, "_pg")
+    return out.join(p, out[group].eqNullSafe(p["_pg"]), "left").drop("_pg").withColumns({"p50": F.round("p50", 4), "p95": F.round("p95", 4)})
 
 
 def block_triage(occ: DataFrame, keys: Sequence[str], url: str) -> DataFrame:

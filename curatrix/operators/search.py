@@ -207,7 +207,8 @@ def search_events(events: DataFrame, constraints: DataFrame, default_limit: int
     met = events.withColumn("_month", F.trunc("start_date", "month")).join(maybe_broadcast(spread), "_month").filter(keep)
     lim = F.coalesce("limit", F.lit(default_limit))
     hits = met.select("query_id", lim.alias("_lim"), *events.columns)
-    ranked = top_per_key(hits, ["query_id", "_lim"], [c("start_date"), c("start_sec"), c("event_id")], 1000)
+    longest = constraints.agg(F.max(lim)).first()[0] or default_limit
+    ranked = top_per_key(hits, ["query_id", "_lim"], [c("start_date"), c("start_sec"), c("event_id")], int(longest))
     return ranked.filter(c("rn") <= c("_lim")).drop("_lim")
 
 

@@ -143,10 +143,10 @@ def _(spark, d):
 
 
 @query("name_in_text", """
-WITH v AS (SELECT item_id AS address_id, lower(trim(substr(text, 2, 30))) AS name FROM benchmark), u AS (SELECT name, min(address_id) AS f, max(address_id) AS a FROM v WHERE name<>'' GROUP BY 1)
+WITH v AS (SELECT item_id AS address_id, lower(trim(text)) AS name FROM benchmark), u AS (SELECT name, min(address_id) AS f, max(address_id) AS a FROM v WHERE name<>'' GROUP BY 1)
 SELECT doc_id, arg_min(a, f) AS address_id FROM documents JOIN u ON contains(lower(text), name) GROUP BY 1""")
 def _(spark, d):
-    a = table(spark, d, "benchmark").select(F.col("item_id").alias("address_id"), F.substring("text", 2, 30).alias("building_name"))
+    a = table(spark, d, "benchmark").select(F.col("item_id").alias("address_id"), F.col("text").alias("building_name"))
     docs = table(spark, d, "documents").select("doc_id", "text")
     names = a.filter(~tx.blank("building_name")).groupBy(F.lower(tx.text("building_name")).alias("name")).agg(F.max("address_id").alias("address_id"), F.min("address_id").alias("first_id"))
     hits = op.contained_in_text(docs, "doc_id", "text", names, "first_id", "name")

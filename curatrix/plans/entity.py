@@ -16,24 +16,24 @@ from .registry import query
 
 
 def _docs(spark, d):
-    t = table(spark, d, "documents")
-    return t.select(
-        F.col("doc_id").alias("event_id"), F.regexp_replace(F.substring("text", 1, 40), "[^ -~]", "_").alias("event_name"), F.substring("text", 1, 8).alias("block"), "lang",
-        F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("https://www."), "source", F.lit(".org/"))).alias("url"), "source",
-        F.when(F.col("doc_id") % 4 != 0, F.col("n_chars").cast("string")).alias("location"), F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")).alias("time_stamp"),
+    k = F.col("p_partkey")
+    return table(spark, d, "part").select(
+        k.alias("event_id"), F.concat_ws(" ", "p_name", F.lower("p_type"), F.when(k % 4 == 1, "live")).alias("event_name"), F.col("p_brand").alias("block"),
+        (F.col("p_size") % 5).alias("lang"), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("https://www."), F.col("p_size").cast("string"), F.lit(".org/"))).alias("url"),
+        F.lit("src").alias("source"), F.when(k % 4 != 0, F.col("p_retailprice").cast("string")).alias("location"), F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")).alias("time_stamp"),
     )
 
 
-_DOC = """doc AS (SELECT doc_id AS event_id, regexp_replace(substr(text, 1, 40), '[^ -~]', '_', 'g') AS event_name, substr(text, 1, 8) AS block, lang, CASE WHEN doc_id%3=0 THEN '' ELSE 'u' END AS url, source,
- CASE WHEN doc_id%4<>0 THEN CAST(n_chars AS VARCHAR) END AS location FROM documents)"""
+_DOC = """doc AS (SELECT p_partkey AS event_id, p_name||' '||lower(p_type)||CASE WHEN p_partkey%4=1 THEN ' live' ELSE '' END AS event_name, p_brand AS block, p_size%5 AS lang,
+ CASE WHEN p_partkey%3=0 THEN '' ELSE 'u' END AS url, CASE WHEN p_partkey%4<>0 THEN CAST(p_retailprice AS VARCHAR) END AS location FROM part)"""
 _LEV = "(1-levenshtein({a}, {b})/greatest(length({a}), length({b})))*100"
 def _recursive(edges_cte: str, edges: str) -> str:
     return f"""WITH RECURSIVE {edges_cte}, reach(id, r) AS (SELECT x, x FROM {edges} UNION SELECT reach.id, e2.y FROM reach JOIN {edges} e2 ON e2.x=reach.r),
  comp AS (SELECT id, min(r) AS component FROM reach GROUP BY id)"""
 
 
-_FZE = f"""{_DOC}, pr AS (SELECT a.event_id AS x, b.event_id AS y FROM doc a JOIN doc b ON a.block=b.block AND a.lang=b.lang AND a.event_id<b.event_id AND {_LEV.format(a='a.event_name', b='b.event_name')}>60
-   AND least(length(a.event_name), length(b.event_name))*200.0 > 60*(length(a.event_name)+length(b.event_name))),
+_FZE = f"""{_DOC}, pr AS (SELECT a.event_id AS x, b.event_id AS y FROM doc a JOIN doc b ON a.block=b.block AND a.lang=b.lang AND a.event_id<b.event_id AND {_LEV.format(a='a.event_name', b='b.event_name')}>80
+   AND least(length(a.event_name), length(b.event_name))*200.0 > 80*(length(a.event_name)+length(b.event_name))),
  e AS (SELECT x, y FROM pr UNION SELECT y, x FROM pr)"""
 
 
@@ -41,14 +41,14 @@ _FZE = f"""{_DOC}, pr AS (SELECT a.event_id AS x, b.event_id AS y FROM doc a JOI
  s AS (SELECT d.*, component, row_number() OVER (PARTITION BY component ORDER BY (url=''), -(CASE WHEN location IS NULL THEN 0 ELSE 1 END), event_id) AS rn FROM doc d JOIN comp ON id=event_id)
 SELECT event_id, component, rn=1 AS is_canonical FROM s""")
 def _(spark, d):
-    return op.fuzzy_dedup(_docs(spark, d), ["block", "lang"], threshold=60, score=fz.lev_ratio)[1]
+    return op.fuzzy_dedup(_docs(spark, d), ["block", "lang"], threshold=80, score=fz.lev_ratio)[1]
 
 
 @query("fuzzy_duplicate_survivors", _recursive(_FZE, "e") + """,
  s AS (SELECT d.*, component, row_number() OVER (PARTITION BY component ORDER BY (url=''), -(CASE WHEN location IS NULL THEN 0 ELSE 1 END), event_id) AS rn FROM doc d JOIN comp ON id=event_id)
 SELECT component, max(event_id) FILTER (WHERE rn=1) AS event_id, arg_min(location, rn) FILTER (WHERE location IS NOT NULL) AS location FROM s GROUP BY 1""")
 def _(spark, d):
-    return op.fuzzy_dedup(_docs(spark, d), ["block", "lang"], threshold=60, score=fz.lev_ratio)[0].select("component", "event_id", "location")
+    return op.fuzzy_dedup(_docs(spark, d), ["block", "lang"], threshold=80, score=fz.lev_ratio)[0].select("component", "event_id", "location")
 
 
 @query("fuzzy_duplicates")

@@ -23,7 +23,7 @@ def _u(c):
 _DEC = f"""{LOG}, agg AS (SELECT link, arg_max(relevant, time_stamp) AS last, count(*) AS n,
   CASE WHEN count(*) FILTER (WHERE relevant)=0 THEN 0 WHEN count(*) FILTER (WHERE NOT relevant)=0 THEN 1 ELSE count(*) FILTER (WHERE relevant)/count(*) FILTER (WHERE NOT relevant) END AS r FROM log GROUP BY link),
  hist AS (SELECT 'u'||CAST(o_custkey AS VARCHAR) AS url, max(CAST(o_orderdate AS DATE)) AS hd FROM orders WHERE o_custkey%4<>0 GROUP BY 1),
- x AS (SELECT c_custkey, 'u'||CAST(c_custkey AS VARCHAR) AS link FROM customer WHERE c_custkey<200),
+ x AS (SELECT c_custkey, 'u'||CAST(c_custkey AS VARCHAR) AS link FROM customer),
  dec AS (SELECT x.link, CASE WHEN starts_with(x.link, 'u12') THEN 'process_whitelisted' WHEN agg.link IS NULL THEN 'process_never_seen'
   WHEN c_custkey%10=5 AND hd<DATE '2001-07-01' THEN 'skip_stale_numbered_detail' WHEN c_custkey%13=0 THEN 'skip_stale_facebook_blocked_url'
   WHEN last AND coalesce(hd<DATE '2001-07-01'-7, true) THEN 'process_last_relevant_and_stale_date' WHEN NOT last AND c_custkey IN (7, 17, 27) THEN 'skip_low_value_path_after_irrelevant'
@@ -33,7 +33,7 @@ _DEC = f"""{LOG}, agg AS (SELECT link, arg_max(relevant, time_stamp) AS last, co
 
 def _decisions(spark, d):
     log = crawl_log(spark, d).withColumn("decision_reason", F.lit(None).cast("string"))
-    cust = table(spark, d, "customer").filter("c_custkey < 200")
+    cust = table(spark, d, "customer")
     hist = table(spark, d, "orders").filter("o_custkey % 4 <> 0").select(_u("o_custkey").alias("url"), F.to_date("o_orderdate").alias("start_date"))
     return op.crawl_decisions(
         cust.select(_u("c_custkey").alias("link")), log, hist,
@@ -189,7 +189,7 @@ def _(spark, d):
     return op.audit_capture(expected, o.filter("o_orderkey % 4 <> 0"), ["o_orderkey", "o_custkey", "d"]).select("o_orderkey", "captured")
 
 
-_IMP = """imp AS (SELECT 'https://h'||CAST(c_custkey AS VARCHAR)||'.org' AS url, CASE WHEN c_custkey%2=0 THEN 'whitelist' ELSE 'edge_case' END AS importance, c_custkey FROM customer WHERE c_custkey<180),
+_IMP = """imp AS (SELECT 'https://h'||CAST(c_custkey AS VARCHAR)||'.org' AS url, CASE WHEN c_custkey%2=0 THEN 'whitelist' ELSE 'edge_case' END AS importance, c_custkey FROM customer),
  lg AS (SELECT user_id, ts, event_type='purchase' AS relevant, CAST(event_id%5 AS INTEGER) AS t FROM events WHERE ts<TIMESTAMP '2024-01-30' OR user_id%9<>0)"""
 _FAIL = f"""{_IMP}, h AS (SELECT imp.*, ts, relevant, t, ts>=TIMESTAMP '2024-01-31'-CASE WHEN importance='whitelist' THEN INTERVAL 4 DAY ELSE INTERVAL 2 DAY END AS inw FROM imp JOIN lg ON user_id=c_custkey),
  ever AS (SELECT DISTINCT c_custkey FROM h), r5 AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY ts DESC) AS rn FROM h WHERE inw QUALIFY rn<=5),
@@ -201,7 +201,7 @@ _FAIL = f"""{_IMP}, h AS (SELECT imp.*, ts, relevant, t, ts>=TIMESTAMP '2024-01-
 
 def _failures(spark, d):
     k = F.col("c_custkey")
-    imp = table(spark, d, "customer").filter("c_custkey < 180").select(
+    imp = table(spark, d, "customer").select(
         F.concat(F.lit("https://h"), k.cast("string"), F.lit(".org")).alias("url"), F.lit("s").alias("source"),
         F.when(k % 2 == 0, "whitelist").otherwise("edge_case").alias("importance"),
     )
@@ -211,7 +211,7 @@ def _failures(spark, d):
         host.alias("link"), F.lit("").alias("parent_url"), (F.col("event_type") == "purchase").alias("relevant"), (F.col("event_id") % 5).cast("int").alias("crawl_try"),
         F.lit("k").alias("keywords"), F.col("ts").alias("time_stamp"),
     )
-    child = table(spark, d, "customer").filter("c_custkey < 180 and c_custkey % 11 = 0").select(
+    child = table(spark, d, "customer").filter("c_custkey % 11 = 0").select(
         F.lit("child").alias("link"), F.concat(F.lit("https://h"), k.cast("string"), F.lit(".org")).alias("parent_url"), F.lit(True).alias("relevant"), F.lit(1).alias("crawl_try"),
         F.lit("").alias("keywords"), F.lit("2024-01-30 12:00:00").cast("timestamp_ntz").alias("time_stamp"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import pages as op
+from ..operators.address import contained_in_text
 from ..operators.normalize import visible_text_native
 from ..sources.adapters import table
 from .common import host, label, netloc, path, qry
@@ -94,8 +95,10 @@ def _(spark, d):
 
 
 def _training(spark, d):
-    held = table(spark, d, "benchmark").select(F.substring("text", 1, 40).alias("k")).distinct()
-    docs = table(spark, d, "documents").withColumn("k", F.substring("text", 1, 40)).join(held, "k", "left_anti")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
+    held = contained_in_text(docs, "doc_id", "text", items, "item_id", "passage", lower=False).select("doc_id").distinct()
+    docs = docs.join(held, "doc_id", "left_anti")
     lab = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("poor").alias("label"))
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     return docs.select("doc_id", words.alias("tokens")).join(lab, "doc_id")
@@ -103,7 +106,7 @@ def _training(spark, d):
 
 @query("classifier_training_set", """
 SELECT doc_id, round(n/(2.0*sum(1) OVER (PARTITION BY quality)), 6) AS weight FROM (SELECT doc_id, quality, count(*) OVER () AS n FROM documents JOIN labels USING (doc_id)
- WHERE substr(text, 1, 40) NOT IN (SELECT substr(text, 1, 40) FROM benchmark))""")
+ WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE contains(documents.text, b.text)))""")
 def _(spark, d):
     return op.balanced_weights(_training(spark, d), "label").select("doc_id", F.round("weight", 6).alias("weight"))
 

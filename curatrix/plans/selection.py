@@ -121,14 +121,14 @@ def _(spark, d):
 
 
 @query("eval_split", """
-WITH s AS (SELECT doc_id, substr(text, 1, 3) AS k FROM documents), b AS (SELECT item_id, substr(text, 1, 3) AS k FROM benchmark)
-SELECT doc_id, CASE WHEN k IN (SELECT k FROM b WHERE item_id%2=0 AND item_id%10<>0) THEN 'holdout' WHEN k IN (SELECT k FROM b WHERE item_id%2=1) THEN 'dev' ELSE 'train' END AS split FROM s""")
+WITH b AS (SELECT item_id, 'src'||CAST(item_id AS VARCHAR) AS k FROM benchmark)
+SELECT doc_id, CASE WHEN source IN (SELECT k FROM b WHERE item_id%2=0 AND item_id%10<>0) THEN 'holdout' WHEN source IN (SELECT k FROM b WHERE item_id%5=1) THEN 'dev' ELSE 'train' END AS split FROM documents""")
 def _(spark, d):
     b = table(spark, d, "benchmark").select(
-        "item_id", F.substring("text", 1, 3).alias("k"), F.when(F.col("item_id") % 10 == 0, "No").otherwise("").alias("active")
+        "item_id", F.concat(F.lit("src"), F.col("item_id").cast("string")).alias("k"), F.when(F.col("item_id") % 10 == 0, "No").otherwise("").alias("active")
     )
-    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 3).alias("k"))
-    return op.eval_split(docs, "k", b.filter("item_id % 2 = 1"), b.filter("item_id % 2 = 0"), "k").select("doc_id", "split")
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    return op.eval_split(docs, "source", b.filter("item_id % 5 = 1"), b.filter("item_id % 2 = 0"), "k").select("doc_id", "split")
 
 
 @query("passage_holdout", """
