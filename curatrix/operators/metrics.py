@@ -14,7 +14,7 @@ from .sizes import maybe_broadcast
 
 def pct(part: Column, whole: Column, digits: int = 2) -> Column:
     """100 * part / whole, rounded; 0 when there is nothing to divide by."""
-    return F.coalesce(F.round(100.0 * F.try_divide(part.cast("double"), whole), digits), F.lit(0.0))
+    return F.coalesce(F.round(F.try_divide(part * 100.0, whole), digits), F.lit(0.0))
 
 
 def count_by(df: DataFrame, column: str) -> DataFrame:

@@ -83,7 +83,7 @@ SELECT user_id AS feed, 'e'||CAST(event_id AS VARCHAR) AS uid, event_type||', bi
 def _(spark, d):
     e = table(spark, d, "events").withColumn("slot", F.floor(F.col("event_id") / 20))
     block = F.concat(
-        F.lit("BEGIN:VEVENT\r\nUID:e"), F.col("event_id").cast("string"), F.lit("\r\nSUMMARY;LANGUAGE=en:"), F.col("event_type"), F.lit("\\, big\r\n \; show\r\nDTSTART;TZID=X:"),
+        F.lit("BEGIN:VEVENT\r\nUID:e"), F.col("event_id").cast("string"), F.lit("\r\nSUMMARY;LANGUAGE=en:"), F.col("event_type"), F.lit("\\, big\r\n \\; show\r\nDTSTART;TZID=X:"),
         F.date_format("ts", "yyyyMMdd'T'HHmmss"), F.lit("\r\nDESCRIPTION:line "), F.col("event_id").cast("string"), F.lit("\\ntwo\r\nEND:VEVENT\r\n"),
     )
     # a feed holds the events of one user in one slot of twenty ids

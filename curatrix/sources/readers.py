@@ -99,7 +99,7 @@ def explode_ical(feeds: DataFrame, body: str = "value") -> DataFrame:
 
     def prop(name):
         raw = F.regexp_extract("_b", rf"(?mi)^{name}(?:;[^:\n]*)?:(.*)$", 1)
-        clean = F.replace(F.replace(F.replace(raw, F.lit("\\n"), F.lit("\n")), F.lit("\\,"), F.lit(",")), F.lit("\;"), F.lit(";"))
+        clean = F.replace(F.replace(F.replace(raw, F.lit("\\n"), F.lit("\n")), F.lit("\\,"), F.lit(",")), F.lit("\\;"), F.lit(";"))
         return F.nullif(F.trim(clean), F.lit("")).alias(name.lower())
 
     return exploded.select(*rest, "pos", *[prop(f) for f in ICAL_FIELDS])
