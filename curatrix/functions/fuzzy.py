@@ -91,11 +91,20 @@ def _pairwise(fn):
     return score
 
 
-indel_ratio = F.pandas_udf(_pairwise(ratio), T.DoubleType())
-partial_ratio = F.pandas_udf(_pairwise(partial), T.DoubleType())
-token_sort_ratio = F.pandas_udf(_pairwise(token_sort), T.DoubleType())
-token_set_ratio = F.pandas_udf(_pairwise(token_set), T.DoubleType())
-sequence_ratio = F.pandas_udf(_pairwise(lambda a, b: SequenceMatcher(None, a, b).ratio()), T.DoubleType())
+def _score(fn):
+    """Pair score as an Arrow UDF.
+
+    Marked nondeterministic so that the optimizer neither evaluates it twice nor moves a
+    filter on it below the shuffle that spreads the pairs.
+    """
+    return F.pandas_udf(_pairwise(fn), T.DoubleType()).asNondeterministic()
+
+
+indel_ratio = _score(ratio)
+partial_ratio = _score(partial)
+token_sort_ratio = _score(token_sort)
+token_set_ratio = _score(token_set)
+sequence_ratio = _score(lambda a, b: SequenceMatcher(None, a, b).ratio())
 
 SCORES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("ratio", "partial", "token_set")])
 
@@ -107,6 +116,9 @@ def name_scores(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["ratio", "partial", "token_set"], dtype="float64")
 
 
+name_scores = name_scores.asNondeterministic()
+
+
 def lev_ratio(a: Column, b: Column) -> Column:
     """100 * (1 - edit distance / longer length), all in the JVM."""
     longer = F.greatest(F.length(a), F.length(b))

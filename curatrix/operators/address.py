@@ -248,14 +248,13 @@ def contained_in_text(docs: DataFrame, doc_key: str, body: str, needles: DataFra
     )
     keyed = n.withColumn("_key", key)
     index = keyed.filter("_key is not null").select(needle_key, "_n", F.concat_ws(":", "_key.k", "_key.t").alias("_w"), F.col("_key.k").alias("_k"), F.length("_key.t").alias("_l"))
-    shapes = index.agg(F.collect_set(F.struct(F.col("_k").alias("k"), F.col("_l").alias("l"))).alias("_shapes"))
+    shapes = index.filter("_k <> 'w'").agg(F.collect_set(F.struct(F.col("_k").alias("k"), F.col("_l").alias("l"))).alias("_shapes"))
     none = F.array().cast("array<string>")
 
     def keys_of(t, s):
         size, end = s["l"], F.length(t)
         return (
             F.when(end < size, none)
-            .when(s["k"] == "w", F.when(end == size, F.array(F.concat(F.lit("w:"), t))).otherwise(none))
             .when(s["k"] == "p", F.array(F.concat(F.lit("p:"), F.substring(t, F.lit(1), size))))
             .when(s["k"] == "s", F.array(F.concat(F.lit("s:"), F.substring(t, end - size + 1, size))))
             .otherwise(F.transform(F.sequence(F.lit(1), end - size + 1), lambda i: F.concat(F.lit("x:"), F.substring(t, i, size))))
@@ -263,7 +262,8 @@ def contained_in_text(docs: DataFrame, doc_key: str, body: str, needles: DataFra
 
     d = docs.select(doc_key, fold(F.col(body)).alias("_b"))
     words = d.select(doc_key, F.explode(F.array_distinct(F.regexp_extract_all("_b", F.lit(word), F.lit(0)))).alias("_t"))
-    probes = words.join(F.broadcast(shapes)).select(doc_key, F.explode(F.flatten(F.transform("_shapes", lambda s: keys_of(F.col("_t"), s)))).alias("_w"))
+    probes = words.join(F.broadcast(shapes)).select(doc_key, F.explode(F.concat(
+        F.array(F.concat(F.lit("w:"), "_t")), F.flatten(F.transform("_shapes", lambda s: keys_of(F.col("_t"), s))))).alias("_w"))
     met = probes.join(maybe_broadcast(index.select(needle_key, "_n", "_w")), "_w").select(doc_key, needle_key, "_n").distinct()
     hits = met.join(d, doc_key).filter(F.contains("_b", "_n")).select(doc_key, needle_key)
     bare = keyed.filter("_key is null").select(F.struct("_n", needle_key).alias("x"))

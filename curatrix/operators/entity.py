@@ -28,14 +28,14 @@ def name_pairs(names: DataFrame, block: Sequence[str], name: str, key: str, thre
     """
     factor = (200.0 - threshold) / threshold
     cls = F.floor(F.log(F.greatest(F.length(name), F.lit(1)).cast("double")) / math.log(factor) + 1e-9)
-    base = names.withColumns({"_len": F.length(name), "_cls": cls})
+    base = spread(names, *block, name).withColumns({"_len": F.length(name), "_cls": cls})
     a = base.withColumn("_c", F.explode(F.array(F.col("_cls"), F.col("_cls") + 1))).select(
         *block, F.col("_c"), F.col(name).alias("_na"), F.col(key).alias("id_a"), F.col("_len").alias("_la")
     )
     b = base.select(*block, F.col("_cls").alias("_c"), F.col(name).alias("_nb"), F.col(key).alias("id_b"), F.col("_len").alias("_lb"))
     ordered = (F.col("_la") < F.col("_lb")) | ((F.col("_la") == F.col("_lb")) & (F.col("_na") < F.col("_nb")))
     near = F.col("_la") * 200.0 > F.lit(threshold) * (F.col("_la") + F.col("_lb"))
-    met = spread(a.join(b, [*block, "_c"]).filter(ordered & near), "id_a", "id_b")
+    met = a.join(b, [*block, "_c"]).filter(ordered & near)
     return met.withColumn("score", score(F.col("_na"), F.col("_nb"))).filter(F.col("score") > threshold).select("id_a", "id_b", "score")
 
 

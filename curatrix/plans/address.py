@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy as fz
 from ..functions import text as tx
 from ..operators import address as op
-from ..sources.adapters import customer_address, table
+from ..sources.adapters import customer_address, table, wide
 from .common import ADDR
 from .registry import query
 
@@ -147,7 +147,7 @@ WITH v AS (SELECT item_id AS address_id, lower(trim(text)) AS name FROM benchmar
 SELECT doc_id, arg_min(a, f) AS address_id FROM documents JOIN u ON contains(lower(text), name) GROUP BY 1""")
 def _(spark, d):
     a = table(spark, d, "benchmark").select(F.col("item_id").alias("address_id"), F.col("text").alias("building_name"))
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = wide(spark, d, "documents").select("doc_id", "text")
     names = a.filter(~tx.blank("building_name")).groupBy(F.lower(tx.text("building_name")).alias("name")).agg(F.max("address_id").alias("address_id"), F.min("address_id").alias("first_id"))
     hits = op.contained_in_text(docs, "doc_id", "text", names, "first_id", "name")
     return hits.join(names.select("first_id", "address_id"), "first_id").groupBy("doc_id").agg(F.min_by("address_id", "first_id").alias("address_id"))

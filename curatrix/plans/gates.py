@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import urls as u
 from ..operators import gates as op
-from ..sources.adapters import customer_address, ev, table
+from ..sources.adapters import customer_address, ev, table, wide
 from .common import ADDR, EV, ORD, compare_key, label, netloc, path, qry
 from .registry import query
 
@@ -31,7 +31,7 @@ _GATE = """g AS (SELECT doc_id, source, CASE
 
 def _gated(spark, d):
     k = F.col("doc_id") % 10
-    docs = table(spark, d, "documents").select(
+    docs = wide(spark, d, "documents").select(
         "doc_id", "source",
         F.when(k == 0, " Unknown ").otherwise("Show").alias("event_name"),
         F.when(k == 1, "nan").otherwise("2024-01-01").alias("start_date"),
@@ -100,7 +100,7 @@ y AS (SELECT *, CASE WHEN raw='' OR contains({netloc('raw')}, 'example.org') THE
 SELECT page_id, CASE WHEN row<>'' THEN row WHEN has_default THEN 'https://base.net/all' ELSE 'https://parent.net' END AS url,
  row<>'' AS needs_check FROM y""")
 def _(spark, d):
-    p = table(spark, d, "pages").select(
+    p = wide(spark, d, "pages").select(
         "page_id", F.when(F.col("page_id") % 4 == 0, "").otherwise(F.col("url")).alias("url"), F.lit("Some Hall").alias("source"),
         F.when(F.col("page_id") % 3 == 0, "https://base.net/all").otherwise("ftp://x").alias("batch_url"),
     )
@@ -113,7 +113,7 @@ def _(spark, d):
     listed = table(spark, d, "region").select(
         F.when(F.col("r_regionkey") == 0, "Example.org ").otherwise(F.concat(F.lit("/"), F.lower("r_name"))).alias("domain")
     )
-    return op.anti_contains(table(spark, d, "pages"), listed).select("page_id")
+    return op.anti_contains(wide(spark, d, "pages"), listed).select("page_id")
 
 
 @query("is_whitelisted", f"""
@@ -122,7 +122,7 @@ rp AS (SELECT DISTINCT regexp_replace(key, '[?].*$', '') AS root FROM r)
 SELECT page_id FROM k WHERE EXISTS (SELECT 1 FROM rp WHERE {netloc('key')}={netloc('root')}
  AND regexp_extract(key,'^([a-z]+):',1)=regexp_extract(root,'^([a-z]+):',1) AND starts_with({path('key')}, {path('root')}))""")
 def _(spark, d):
-    p = table(spark, d, "pages").select("page_id", "url")
+    p = wide(spark, d, "pages").select("page_id", "url")
     roots = p.filter(F.col("page_id") % 10 == 0).select(F.col("url").alias("root"))
     return op.prefix_semi(p, roots).select("page_id")
 
@@ -131,7 +131,7 @@ def _(spark, d):
 SELECT doc_id FROM documents WHERE contains(lower(text||' '||source), 'aiou') OR contains(lower(text||' '||source), 'license')
  OR contains(lower(text||' '||source), 'src7')""")
 def _(spark, d):
-    return table(spark, d, "documents").filter(op.is_foreign(("text", "source"), ("Aiou", "License"), ("SRC7",))).select("doc_id")
+    return wide(spark, d, "documents").filter(op.is_foreign(("text", "source"), ("Aiou", "License"), ("SRC7",))).select("doc_id")
 
 
 @query("outside_region", """
@@ -210,7 +210,7 @@ def _(spark, d):
 @query("low_value_path", f"""
 SELECT page_id FROM pages WHERE list_has_any(string_split(lower({path('url')}), '/'), ['en','faq'])""")
 def _(spark, d):
-    return table(spark, d, "pages").filter(u.low_value_path("url", ("en", "faq"))).select("page_id")
+    return wide(spark, d, "pages").filter(u.low_value_path("url", ("en", "faq"))).select("page_id")
 
 
 _SEED = """s AS (SELECT page_id, CASE WHEN page_id%10=0 THEN '' WHEN page_id%10=1 THEN 'https://www.facebook.com/sharer/x?u='||CAST(page_id AS VARCHAR)
@@ -220,7 +220,7 @@ _SEED = """s AS (SELECT page_id, CASE WHEN page_id%10=0 THEN '' WHEN page_id%10=
 def _seeds(spark, d):
     k = F.col("page_id") % 10
     own = F.concat(F.lit("https://www.facebook.com/events/"), F.floor(F.col("page_id") / 20).cast("string"))
-    return table(spark, d, "pages").select(
+    return wide(spark, d, "pages").select(
         "page_id",
         F.when(k == 0, " ").when(k == 1, F.concat(F.lit("https://www.facebook.com/sharer/x?u="), F.col("page_id").cast("string")))
         .when(k == 2, F.concat(F.lit("https://www.facebook.com/login?next="), F.url_encode(own))).when(k == 3, own)
@@ -248,7 +248,7 @@ SELECT CASE page_id%4 WHEN 0 THEN 'skipped_stale_event_detail_rows' WHEN 1 THEN
  count(*) AS n FROM pages GROUP BY 1""")
 def _(spark, d):
     k = F.col("page_id") % 4
-    p = table(spark, d, "pages")
+    p = wide(spark, d, "pages")
     decisions = p.select(
         "page_id", (k == 3).alias("process"),
         F.when(k == 0, "skip_stale_facebook_event_detail").when(k == 1, "skip_rejected_old_facebook_event_detail")
@@ -274,7 +274,7 @@ def _(spark, d):
 SELECT doc_id FROM documents WHERE len(string_split(lang||','||source||',x', ','))>2 AND NOT contains(lower(text), 'the') AND NOT contains(lower(text), 'tango')""")
 def _(spark, d):
     tags = F.concat_ws(",", "lang", "source", F.lit("x"))
-    return table(spark, d, "documents").filter(op.overtagged(tags, ("text",), ("the", "tango"), 2)).select("doc_id")
+    return wide(spark, d, "documents").filter(op.overtagged(tags, ("text",), ("the", "tango"), 2)).select("doc_id")
 
 
 @query("bad_datetime_split", f"""
@@ -288,7 +288,7 @@ def _(spark, d):
 @query("has_event_signal", """
 SELECT doc_id, contains(lower(text), 'social') OR contains(lower(text), 'class') OR contains(lower(text), 'ander') AS signal FROM documents""")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", op.has_event_signal("text", ("social", "class", "ander")).alias("signal"))
+    return wide(spark, d, "documents").select("doc_id", op.has_event_signal("text", ("social", "class", "ander")).alias("signal"))
 
 
 @query("active_sources", """
@@ -330,4 +330,4 @@ def _(spark, d):
 WITH s AS (SELECT page_id, translate(lower({path('url')}||' '||{qry('url')}), '-_', '  ') AS slug FROM pages)
 SELECT page_id, CASE WHEN contains(slug, '/en/') OR contains(slug, 'salsa') THEN true WHEN contains(slug, 'ref=') THEN false END AS relevant FROM s""")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", u.url_relevance("url", ("/en/", "salsa"), ("ref=",)).alias("relevant"))
+    return wide(spark, d, "pages").select("page_id", u.url_relevance("url", ("/en/", "salsa"), ("ref=",)).alias("relevant"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import urls as u
 from ..operators import normalize as op
-from ..sources.adapters import customer_address, table
+from ..sources.adapters import customer_address, table, wide
 from .common import ADDR, compare_key, host, label, netloc, part, path, qry, scheme, with_query
 from .registry import query
 
@@ -26,7 +26,7 @@ def _(spark, d):
 
 @query("url_compare_key", f"SELECT page_id, {compare_key('url')} AS key FROM pages")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", u.url_compare_key("url").alias("key"))
+    return wide(spark, d, "pages").select("page_id", u.url_compare_key("url").alias("key"))
 
 
 _STRIPPED = (
@@ -40,14 +40,14 @@ SELECT page_id, regexp_replace(url, '[?#].*$', '')
  ||CASE WHEN array_to_string({_STRIPPED}, '&')<>'' THEN '?'||array_to_string({_STRIPPED}, '&') ELSE '' END
  ||CASE WHEN {part('url', 5)}<>'' THEN '#'||{part('url', 5)} ELSE '' END AS url FROM pages""")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", u.strip_params("url", ("utm_source", "ref")).alias("url"))
+    return wide(spark, d, "pages").select("page_id", u.strip_params("url", ("utm_source", "ref")).alias("url"))
 
 
 @query("strip_cdn_params", """
 SELECT page_id, 'https://scontent.cdninstagram.com/p'||CAST(page_id AS VARCHAR)||'.jpg?size='
  ||CAST(length(url) AS VARCHAR) AS url, url AS other_url FROM pages""")
 def _(spark, d):
-    p = table(spark, d, "pages").select(
+    p = wide(spark, d, "pages").select(
         "page_id",
         F.concat(
             F.lit("https://scontent.cdninstagram.com/p"), F.col("page_id").cast("string"),
@@ -64,7 +64,7 @@ SELECT page_id, (CASE WHEN {scheme('url')}='' THEN 'https' ELSE {scheme('url')}
 FROM (SELECT *, 'Desk'||CAST(page_id AS VARCHAR)||'@Mail.Org' AS mail FROM pages)""")
 def _(spark, d):
     mail = F.concat(F.lit("Desk"), F.col("page_id").cast("string"), F.lit("@Mail.Org"))
-    return table(spark, d, "pages").select(
+    return wide(spark, d, "pages").select(
         "page_id", u.url_eval_key("url").alias("key"), u.url_eval_key(mail).alias("mail_key")
     )
 
@@ -73,7 +73,7 @@ def _(spark, d):
 SELECT page_id, {scheme('url')}||'://'||{netloc('url')}||'/'||split_part({path('url')}, '/', 2) AS family FROM pages""")
 def _(spark, d):
     rules = (("example.", "^/([a-z]{2})/[^/]+/?$", "/$1"),) + u.PLATFORM_FAMILIES
-    return table(spark, d, "pages").select("page_id", u.url_template_key("url", rules).alias("family"))
+    return wide(spark, d, "pages").select("page_id", u.url_template_key("url", rules).alias("family"))
 
 
 _BARE = f"(CASE WHEN {path('url')} LIKE '%/' AND {path('url')}<>'/' THEN rtrim({path('url')},'/') ELSE {path('url')} END)"
@@ -87,13 +87,13 @@ WITH v AS (SELECT page_id, unnest(list_distinct([url, {part('url', 1)}||{_BASE},
   ||CASE WHEN {part('url', 5)}<>'' THEN '#'||{part('url', 5)} ELSE '' END])) AS variant FROM pages)
 SELECT page_id, variant FROM v""")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", F.explode(u.url_variants("url")).alias("variant"))
+    return wide(spark, d, "pages").select("page_id", F.explode(u.url_variants("url")).alias("variant"))
 
 
 @query("url_identity", f"""
 SELECT page_id, lower({scheme('url')}||'://'||{host('url')}||rtrim({path('url')}, '/')) AS identity FROM pages""")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", u.url_identity("url").alias("identity"))
+    return wide(spark, d, "pages").select("page_id", u.url_identity("url").alias("identity"))
 
 
 @query("unwrap_login_redirect", "SELECT page_id, url AS target FROM pages")
@@ -101,13 +101,13 @@ def _(spark, d):
     base = F.lit("https://www.facebook.com/login/?next=")
     once = F.concat(base, F.url_encode("url"))
     twice = F.concat(base, F.url_encode(once))
-    p = table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, twice).otherwise(once).alias("link"))
+    p = wide(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, twice).otherwise(once).alias("link"))
     return p.select("page_id", u.unwrap_next("link", "facebook.com").alias("target"))
 
 
 @query("source_from_url", f"SELECT page_id, {label('url')} AS source FROM pages")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", u.source_from_url("url").alias("source"))
+    return wide(spark, d, "pages").select("page_id", u.source_from_url("url").alias("source"))
 
 
 _LAB = f"regexp_replace({label('url')}, '[^a-z0-9]', '', 'g')"
@@ -120,7 +120,7 @@ SELECT page_id, (contains({_SRCN}, {_LAB}) OR contains({_LAB}, {_SRCN})) AS affi
 def _(spark, d):
     k = F.col("page_id") % 3
     src = F.when(k == 0, "The Example").when(k == 1, "Exam ple").otherwise("Other Club")
-    return table(spark, d, "pages").select("page_id", u.source_matches_url(src, "url").alias("affine"))
+    return wide(spark, d, "pages").select("page_id", u.source_matches_url(src, "url").alias("affine"))
 
 
 @query("resolve_source", f"""
@@ -131,7 +131,7 @@ def _(spark, d):
     src = F.when(k == 0, F.concat(F.lit(" Hall "), F.col("page_id").cast("string"))).when(k == 1, "Extracted Text (1)").when(k == 2, "N/A")
     url = F.when(k == 1, F.col("url")).otherwise("")
     parent = F.when(k == 2, "https://www.parent.org/x")
-    return table(spark, d, "pages").select("page_id", u.resolve_source(src, url, parent).alias("source"))
+    return wide(spark, d, "pages").select("page_id", u.resolve_source(src, url, parent).alias("source"))
 
 
 @query("clean_keywords", "SELECT o_orderkey, o_orderstatus||', '||o_orderpriority AS keywords FROM orders")
@@ -149,7 +149,7 @@ WITH w AS (SELECT doc_id, list_sort(list_filter({_WORDS}, lambda x: x IN ('the',
 SELECT doc_id, CASE WHEN len(k)<=4 THEN array_to_string(k, ', ') ELSE '' END AS terms FROM w""")
 def _(spark, d):
     words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))))
-    return table(spark, d, "documents").select(
+    return wide(spark, d, "documents").select(
         "doc_id", tx.specific_terms(words, ("the", "and", "of", "with", "shall")).alias("terms")
     )
 
@@ -164,7 +164,7 @@ SELECT doc_id, CASE WHEN source='src1' THEN CASE WHEN len(list_filter(k, lambda
  THEN array_to_string(list_filter(['license','xyzzy','tion','with','the'], lambda x: list_contains(k, x)), ', ') END
  ELSE 'kept' END AS tags FROM h""")
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source", "text", F.lit("kept").alias("tags"))
+    docs = wide(spark, d, "documents").select("doc_id", "source", "text", F.lit("kept").alias("tags"))
     return op.evidence_tags(docs, _VOC, F.col("source") == "src1", ["text"], "tags").select("doc_id", "tags")
 
 
@@ -177,7 +177,7 @@ def _(spark, d):
     kw = table(spark, d, "nation").select(
         F.concat(F.lit("th"), F.char((F.lit(97) + F.col("n_nationkey")).cast("bigint"))).alias("keyword")
     )
-    docs = table(spark, d, "documents").select("doc_id", "text", "source", F.lit("none").alias("tags"))
+    docs = wide(spark, d, "documents").select("doc_id", "text", "source", F.lit("none").alias("tags"))
     return op.tag_by_keywords(docs, kw, ["text", "source"], "tags", "doc_id").select("doc_id", "tags", "changed")
 
 
@@ -189,7 +189,7 @@ h AS (SELECT page_id, list_filter([CASE WHEN regexp_matches(t, '\bthe\b') THEN '
 SELECT page_id, CASE WHEN len(k)>0 THEN array_to_string(k, ', ') ELSE 'live music' END AS keywords FROM h""")
 def _(spark, d):
     body = F.regexp_replace("html", "<[^>]*>", " ")
-    return table(spark, d, "pages").select(
+    return wide(spark, d, "pages").select(
         "page_id", tx.whole_word_terms(body, ("the", "and", "live music", "das"), "live music").alias("keywords")
     )
 
@@ -250,7 +250,7 @@ def _(spark, d):
         F.lit("event_type").alias("set_column"),
         F.col("r_name").alias("set_value"),
     )
-    p = table(spark, d, "pages").select("page_id", "url", F.lit("").alias("event_name"), F.lit("other").alias("event_type"))
+    p = wide(spark, d, "pages").select("page_id", "url", F.lit("").alias("event_name"), F.lit("other").alias("event_type"))
     return op.apply_overrides(p, rules, ["event_type"]).select("page_id", "event_type")
 
 
@@ -292,14 +292,14 @@ _VT = (r"trim(regexp_replace(regexp_replace(regexp_replace(html, "
 
 @query("visible_text_native", f"SELECT page_id, {_VT} AS body FROM pages")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", op.visible_text_native("html").alias("body"))
+    return wide(spark, d, "pages").select("page_id", op.visible_text_native("html").alias("body"))
 
 
 @query("visible_text")
 def _(spark, d):
     from ..functions.html import html_to_text
 
-    return table(spark, d, "pages").select("page_id", html_to_text("html").alias("body"))
+    return wide(spark, d, "pages").select("page_id", html_to_text("html").alias("body"))
 
 
 @query("page_links", r"""
@@ -308,7 +308,7 @@ WITH h AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS base
 a AS (SELECT DISTINCT page_id, CASE WHEN href LIKE '/%' THEN base||href ELSE href END AS link FROM h)
 SELECT page_id, link FROM a WHERE link LIKE 'http://%' OR link LIKE 'https://%'""")
 def _(spark, d):
-    return op.page_links(table(spark, d, "pages").select("page_id", "url", "html"), "page_id").select("page_id", "link")
+    return op.page_links(wide(spark, d, "pages").select("page_id", "url", "html"), "page_id").select("page_id", "link")
 
 
 @query("sanitize_types", """
@@ -330,7 +330,7 @@ def _(spark, d):
 SELECT doc_id, sha1(lower(trim(source))||'|single_event||2024-01-31|'||sha1(trim(regexp_replace(lower(text), '\s+', ' ', 'g')))) AS signature
 FROM documents""")
 def _(spark, d):
-    docs = table(spark, d, "documents")
+    docs = wide(spark, d, "documents")
     return docs.select(
         "doc_id",
         op.poster_signature(
@@ -349,7 +349,7 @@ FROM v WHERE regexp_matches(p, '^/(en|fr)/[0-9]+')""")
 def _(spark, d):
     kinds = (("numbered_page", r"example\.", "^/(en|fr)/[0-9]+"),) + u.STATIC_DETAIL_KINDS
     k = u.detail_url_kind("url", kinds)
-    return table(spark, d, "pages").select("page_id", k.alias("k")).select(
+    return wide(spark, d, "pages").select("page_id", k.alias("k")).select(
         "page_id", "k.kind", F.explode("k.candidates").alias("candidate")
     )
 
@@ -358,7 +358,7 @@ def _(spark, d):
 SELECT page_id, CASE WHEN page_id%3=2 THEN 'https://parent.org' ELSE url END AS url FROM pages""")
 def _(spark, d):
     k = F.col("page_id") % 3
-    return table(spark, d, "pages").select(
+    return wide(spark, d, "pages").select(
         "page_id",
         u.effective_url(
             F.when(k == 0, F.col("url")).otherwise("mailto:x"), F.when(k == 1, F.concat(F.lit(" "), F.col("url"))),
@@ -373,7 +373,7 @@ SELECT page_id, CASE WHEN contains(lower(url), '/en/') THEN 'login' WHEN contain
 FROM pages""")
 def _(spark, d):
     s = op.access_state("url", "html", login_paths=("/login", "/en/"), blocked_words=op.BLOCKED_WORDS + ("ndre",))
-    return table(spark, d, "pages").select("page_id", s.alias("s")).select("page_id", "s.*")
+    return wide(spark, d, "pages").select("page_id", s.alias("s")).select("page_id", "s.*")
 
 
 @query("text_segment", """
@@ -386,7 +386,7 @@ SELECT doc_id, CASE WHEN strpos(text, 'the')>0 THEN
   ELSE substr(text, 1, 80) END AS segment
 FROM documents""")
 def _(spark, d):
-    return table(spark, d, "documents").select(
+    return wide(spark, d, "documents").select(
         "doc_id", tx.snippet("text", "the", 20).alias("around"), tx.text_segment("text", "the", ".", 80).alias("segment")
     )
 

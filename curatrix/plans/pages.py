@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import pages as op
 from ..operators.address import contained_in_text
 from ..operators.normalize import visible_text_native
-from ..sources.adapters import table
+from ..sources.adapters import table, wide
 from .common import host, label, netloc, path, qry
 from .normalize import _VT
 from .registry import query
@@ -24,14 +24,14 @@ WITH x AS (SELECT page_id, lower({_VT}) AS t, lower(html) AS h FROM pages)
 SELECT page_id, {_n(_M)} AS months, {_n(op.WEEKDAY_WORDS)} + {_n(_M)} AS date_count, {_n(op.TIME_WORDS)} AS time_count,
  len(list_filter(regexp_extract_all(h, '<a\s[^>]*href="([^"]*)"', 1), lambda v: contains(v, 'ticket') OR contains(v, 'regist') OR contains(v, 'buy') OR contains(v, 'admission') OR contains(v, 'eventbrite'))) AS ticket_link_count FROM x""")
 def _(spark, d):
-    f = op.html_features(table(spark, d, "pages"))
+    f = op.html_features(wide(spark, d, "pages"))
     months = F.regexp_count(F.lower(visible_text_native("html")), F.lit(op.MONTH_WORDS))
     return f.select("page_id", months.alias("months"), "date_count", "time_count", "ticket_link_count")
 
 
 @query("html_features")
 def _(spark, d):
-    return op.html_features(table(spark, d, "pages")).drop("html")
+    return op.html_features(wide(spark, d, "pages")).drop("html")
 
 
 _RULES = f"""r AS (SELECT page_id, url, lower({_VT}) AS t, len(regexp_extract_all(html, '<li>'))%9 AS n, {path('url')} AS p FROM pages),
@@ -39,7 +39,7 @@ _RULES = f"""r AS (SELECT page_id, url, lower({_VT}) AS t, len(regexp_extract_al
 
 
 def _classified(spark, d):
-    p = table(spark, d, "pages").withColumns({"body": visible_text_native("html"), "n": F.regexp_count("html", F.lit("<li>")) % 9})
+    p = wide(spark, d, "pages").withColumns({"body": visible_text_native("html"), "n": F.regexp_count("html", F.lit("<li>")) % 9})
     return p.withColumn("rule", op.classify_rules("url", F.col("body"), F.col("n"), None, ("/en/",), ("/fr",), ("ander",), ("zqx",)))
 
 
@@ -60,7 +60,7 @@ def _(spark, d):
         .when(k == 4, F.concat(F.lit("https://m.facebook.com/club"), i)).when(k == 5, F.concat(F.lit("https://www.eventbrite.ca/e/ball-tickets-"), i))
         .when(k == 6, F.concat(F.lit("https://www.eventbrite.com/o/club-"), i)).otherwise(F.concat(F.lit("https://hall.org/event/"), i))
     )
-    p = table(spark, d, "pages").select("page_id", url.alias("url"))
+    p = wide(spark, d, "pages").select("page_id", url.alias("url"))
     return p.select("page_id", op.classify_rules("url", F.lit(""), F.lit(0)).alias("r")).select("page_id", "r.subtype", "r.owner_step")
 
 
@@ -82,7 +82,7 @@ WITH {_SCO}, b AS (SELECT page_id, subtype='event_detail' AS rule, CASE WHEN sub
 SELECT page_id, CASE WHEN page_id%3=0 AND NOT rule THEN 'google_calendar' ELSE a END AS archetype, CASE WHEN rule THEN 'rule' WHEN page_id%3=0 THEN 'memory' ELSE 'structural' END AS stage FROM b""")
 def _(spark, d):
     c = op.classify_scored(_classified(spark, d), "body", "n", None, ("/fr",), ("ander",), ("zqx",)).withColumn("own", F.concat(F.lit("p"), F.col("page_id").cast("string")))
-    memory = table(spark, d, "pages").filter("page_id % 3 = 0").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("link"), F.lit("google_calendar").alias("archetype"), F.lit(0.9).alias("avg_confidence"))
+    memory = wide(spark, d, "pages").filter("page_id % 3 = 0").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("link"), F.lit("google_calendar").alias("archetype"), F.lit(0.9).alias("avg_confidence"))
     return op.apply_routing_memory(c, memory, "own").select("page_id", "archetype", "stage")
 
 
@@ -90,12 +90,12 @@ def _(spark, d):
 SELECT page_id, len(list_filter(string_split({path('url')}, '/'), lambda x: x<>'')) AS path_depth, {qry('url')}<>'' AS has_query,
  contains({path('url')}, 'html') AS html FROM pages""")
 def _(spark, d):
-    f = op.model_features(table(spark, d, "pages").select("page_id", "url"), families=())
+    f = op.model_features(wide(spark, d, "pages").select("page_id", "url"), families=())
     return f.select("page_id", "path_depth", F.array_contains("tokens", "has_query").alias("has_query"), F.lower("url").rlike("^[^?#]*html").alias("html"))
 
 
 def _training(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = wide(spark, d, "documents").select("doc_id", "text")
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
     held = contained_in_text(docs, "doc_id", "text", items, "item_id", "passage", lower=False).select("doc_id").distinct()
     docs = docs.join(held, "doc_id", "left_anti")
@@ -132,7 +132,7 @@ def _(spark, d):
 def _(spark, d):
     from pyspark.ml.functions import vector_to_array
 
-    v = op.text_vectors(table(spark, d, "documents").select("doc_id", "text", "lang"), ["text", "lang"], buckets=1 << 10)
+    v = op.text_vectors(wide(spark, d, "documents").select("doc_id", "text", "lang"), ["text", "lang"], buckets=1 << 10)
     norm = F.aggregate(vector_to_array("vec"), F.lit(0.0), lambda a, x: a + x * x)
     return v.select("doc_id", F.round(norm, 6).alias("squared_norm"))
 
@@ -148,7 +148,7 @@ WITH {_FR}, f AS (SELECT page_id, link, i, page_id%5=0 AND {netloc('link')}={net
 SELECT page_id, link, forced FROM b WHERE forced OR rn<=cap""")
 def _(spark, d):
     k = F.col("page_id")
-    p = table(spark, d, "pages").withColumns({
+    p = wide(spark, d, "pages").withColumns({
         "archetype": F.when(k % 3 == 0, "incomplete_event").otherwise("simple_page"), "confidence": F.lit(0.7), "whitelisted": k % 5 == 0,
     })
     roots = table(spark, d, "region").select(F.concat(F.lit("https://"), F.lower("r_name"), F.lit(".example")).alias("root"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as dt
 from ..operators import search as op
-from ..sources.adapters import ev, table
+from ..sources.adapters import ev, table, wide
 from .common import EV
 from .registry import query
 
@@ -45,7 +45,7 @@ WITH {_DN}, {_CAL}, q AS (SELECT event_id, CAST(ts AS DATE) AS a, CASE event_id%
 SELECT event_id, q.phrase, CAST(s AS VARCHAR) AS start_date, CAST(e AS VARCHAR) AS end_date FROM q JOIN cal USING (a, phrase)""")
 def _(spark, d):
     k = F.col("event_id") % 5
-    q = table(spark, d, "events").select(
+    q = wide(spark, d, "events").select(
         "event_id", F.to_date("ts").alias("anchor"),
         F.when(k == 0, "Any salsa NEXT friday?").when(k == 1, "what was on before this month").when(k == 2, "live band, saturday night!").when(k == 3, "swing tomorrow night or so").otherwise("hello").alias("q"),
     ).withColumn("phrase", op.question_phrase("q"))
@@ -82,7 +82,7 @@ def _(spark, d):
         .when(k == 3, F.concat(F.lit("all styles, top "), (c % 9 + 1).cast("string"))).when(k == 4, "workshops without kizomba or kizomba lessons")
         .otherwise(F.concat(F.lit("lindy hop or zouk "), "o_orderstatus"))
     )
-    t = table(spark, d, "orders").select("o_orderkey", op.question_tags(q).alias("t"))
+    t = wide(spark, d, "orders").select("o_orderkey", op.question_tags(q).alias("t"))
     return t.select(
         "o_orderkey", *[F.array_join(f"t.{x}", "|").alias(x) for x in ("include_styles", "exclude_styles", "include_types")],
         F.array_join(F.transform("t.weekdays", lambda v: v.cast("string")), "|").alias("weekdays"), F.coalesce("t.limit", F.lit(-1)).alias("limit"),

@@ -8,7 +8,7 @@ from ..functions.urls import netloc as part_netloc
 from ..operators import metrics
 from ..operators import normalize
 from ..operators import selection as op
-from ..sources.adapters import table
+from ..sources.adapters import table, wide
 from .common import ORD, compare_key, host, netloc
 from .registry import query
 
@@ -34,7 +34,7 @@ _SCORE = ("(CASE WHEN contains(lower(link),'calendar') OR contains(lower(link),'
 @query("link_priority", f"""
 WITH {_LINKS} SELECT page_id, link, {_SCORE} AS score FROM links QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY {_SCORE} DESC, i)<=3""")
 def _(spark, d):
-    links = normalize.page_links(table(spark, d, "pages").select("page_id", "url", "html"), "page_id")
+    links = normalize.page_links(wide(spark, d, "pages").select("page_id", "url", "html"), "page_id")
     return op.link_priority(links, "page_id", 3).select("page_id", "link", "score")
 
 
@@ -53,7 +53,7 @@ def _(spark, d):
 @query("distinct_domain_sample", f"""
 SELECT {host('url')} AS domain, min(page_id) AS page_id FROM pages WHERE NOT contains({host('url')}, 'shop.') GROUP BY 1 ORDER BY 1 LIMIT 30""")
 def _(spark, d):
-    return op.one_per_domain(table(spark, d, "pages"), "url", "page_id", 30, ("shop.",)).select("domain", "page_id")
+    return op.one_per_domain(wide(spark, d, "pages"), "url", "page_id", 30, ("shop.",)).select("domain", "page_id")
 
 
 @query("balanced_pick", """
@@ -72,7 +72,7 @@ SELECT q.page_id, CASE WHEN q.held THEN 'evaluation_url_excluded' WHEN q.known T
  WHEN g<=60 THEN 'promoted' WHEN g IS NOT NULL THEN 'promotion_limit_reached' ELSE 'domain_archetype_cap_reached' END AS outcome FROM q LEFT JOIN w USING (page_id)""")
 def _(spark, d):
     own = F.concat(F.lit("https://"), part_netloc("url"), F.lit("/p"), F.col("page_id").cast("string"))
-    p = table(spark, d, "pages").select(
+    p = wide(spark, d, "pages").select(
         "page_id", own.alias("url"), F.right("url", F.lit(1)).alias("archetype"), (F.col("page_id") % 9 != 0).alias("training_eligible")
     )
     stored = p.filter("page_id % 5 = 0").select("url", "archetype")
@@ -99,7 +99,7 @@ def _(spark, d):
 WITH s AS (SELECT 0 AS l, 'a' AS src, url AS link FROM pages WHERE page_id%3=0 UNION ALL SELECT 1, 'b', regexp_replace(url, '#.*$', '')||'#x' FROM pages WHERE page_id%2=0)
 SELECT src AS source, link FROM (SELECT *, {compare_key('link')} AS k FROM s) QUALIFY row_number() OVER (PARTITION BY k ORDER BY l, link)=1""")
 def _(spark, d):
-    p = table(spark, d, "pages")
+    p = wide(spark, d, "pages")
     a = p.filter("page_id % 3 = 0").select(F.lit("a").alias("source"), F.col("url").alias("link"))
     b = p.filter("page_id % 2 = 0").select(F.lit("b").alias("source"), F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#x")).alias("link"))
     return op.merge_seeds(a, b)
@@ -116,7 +116,7 @@ def _(spark, d):
 @query("new_domains", f"""
 SELECT {host('url')} AS domain FROM pages EXCEPT SELECT {host('url')} FROM pages WHERE page_id%4=0""")
 def _(spark, d):
-    p = table(spark, d, "pages")
+    p = wide(spark, d, "pages")
     return op.new_domains(p, "url", p.filter("page_id % 4 = 0"), "url")
 
 
@@ -127,7 +127,7 @@ def _(spark, d):
     b = table(spark, d, "benchmark").select(
         "item_id", F.concat(F.lit("src"), F.col("item_id").cast("string")).alias("k"), F.when(F.col("item_id") % 10 == 0, "No").otherwise("").alias("active")
     )
-    docs = table(spark, d, "documents").select("doc_id", "source")
+    docs = wide(spark, d, "documents").select("doc_id", "source")
     return op.eval_split(docs, "source", b.filter("item_id % 5 = 1"), b.filter("item_id % 2 = 0"), "k").select("doc_id", "split")
 
 
@@ -136,6 +136,6 @@ SELECT DISTINCT doc_id FROM documents, benchmark WHERE contains(documents.text,
 def _(spark, d):
     from ..operators.address import contained_in_text
 
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = wide(spark, d, "documents").select("doc_id", "text")
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
     return contained_in_text(docs, "doc_id", "text", items, "item_id", "passage", lower=False).select("doc_id").distinct()

@@ -15,6 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread an input that arrives in fewer splits than there are cores, ahead of CPU-heavy expressions.
+
+    Large inputs have many splits and pass through unchanged, so nothing is shuffled there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return widen(table(spark, sf_dir, name))
+
+
 def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event rows: date, seconds of day, place and source from the event stream table."""
     return as_events(table(spark, sf_dir, "events"))
