@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from .keyed import top_per_key
-from .sizes import maybe_broadcast
+from .sizes import maybe_broadcast, small_enough
 
 
 def pct(part: Column, whole: Column, digits: int = 2) -> Column:
@@ -110,13 +110,18 @@ def top_k(df: DataFrame, column: str, k: int) -> DataFrame:
 
 def source_presence(df: DataFrame, column: str, required: DataFrame, name: str = "required_source") -> DataFrame:
     """Each required source with the rows of the sources whose name contains it or is contained in it."""
+    small_enough(required, "required sources")
     counts = count_by(df, column)
-    hit = F.contains(F.col(column), F.col(name)) | F.contains(F.col(name), F.col(column))
-    return (
-        maybe_broadcast(required).join(counts, hit, "left").groupBy(name)
-        .agg(F.coalesce(F.sum("counted"), F.lit(0)).alias("rows"))
-        .withColumn("present", F.col("rows") > 0)
-    )
+    names = required.select(name).distinct()
+    packed = names.agg(F.collect_list(name).alias("_names"))
+
+    def related(n):
+        return F.contains(F.col(column), n) | F.contains(n, F.col(column))
+
+    # the list is one row; each distinct source is tested against it in place
+    hits = counts.join(F.broadcast(packed)).select(F.explode(F.filter("_names", related)).alias(name), "counted")
+    found = hits.groupBy(name).agg(F.sum("counted").alias("rows"))
+    return names.join(found, name, "left").withColumn("rows", F.coalesce("rows", F.lit(0))).withColumn("present", F.col("rows") > 0)
 
 
 def total_range(df: DataFrame, low: int, high: int) -> DataFrame:
@@ -509,7 +514,7 @@ def exact_percentiles(df: DataFrame, group: str, value: str, shares: dict[str, f
     ranks = span.select("_g", wanted.alias("w")).select("_g", "w.name", "w.rank", F.explode(F.array_distinct(F.array(F.floor("w.rank"), F.ceil("w.rank")))).alias("_r"))
     hit = bins_of.join(ranks, "_g").filter((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_c"))).select(
         "_g", "_b", "_before", "name", "rank", "_r")
-    opened = binned.join(F.broadcast(hit.select("_g", "_b").distinct()), ["_g", "_b"], "left_semi").groupBy("_g", "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    opened = binned.join(hit.select("_g", "_b").distinct(), ["_g", "_b"], "left_semi").groupBy("_g", "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
     inner = Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     placed = opened.withColumn("_in", F.coalesce(F.sum("_c").over(inner), F.lit(0))).join(hit, ["_g", "_b"])
     at = placed.filter((F.col("_r") >= F.col("_before") + F.col("_in")) & (F.col("_r") < F.col("_before") + F.col("_in") + F.col("_c")))

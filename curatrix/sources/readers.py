@@ -76,7 +76,7 @@ def latest_run_slice(log: DataFrame, step: str | None = None) -> DataFrame:
     if step:
         own = own.filter(F.col("step") == step)
     last = own.groupBy("step").agg(F.max_by("run_id", F.struct("ts", "run_id")).alias("run_id"))
-    return own.join(F.broadcast(last), ["step", "run_id"], "left_semi")
+    return own.join(last, ["step", "run_id"], "left_semi")
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
