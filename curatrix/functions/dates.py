@@ -11,7 +11,7 @@ from .text import col, let, text
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 # Weekday fields that only restate the date.
-RELATIVE_WEEKDAYS = ("today", "tonight", "tomorrow", "this evening", "this afternoon", "this morning")
+RELATIVE_WEEKDAYS = ("today", "tomorrow", "yesterday", "tonight", "tonite")
 RECURRENCE = (
     r"\b(every|weekly|recurs?|each|mondays?|tuesdays?|wednesdays?|thursdays?|fridays?|saturdays?|sundays?)\b"
 )

@@ -288,7 +288,18 @@ def calendar_ids(c: Column | str) -> Column:
     return F.when(F.size(plain) > 0, plain).when(valid, F.array(decoded)).otherwise(F.array().cast("array<string>"))
 
 
-def url_relevance(c: Column | str, positive: Iterable[str], negative: Iterable[str]) -> Column:
+# Slug words of dance events and of other events.
+RELEVANT_SLUGS = (
+    "dance", "salsa", "bachata", "kizomba", "zou", "swing", "lindy", "ballroom", "west coast", "wcs", "tango",
+    "milonga", "latin", "social dance", "rueda", "blues dance", "contra dance",
+)
+IRRELEVANT_SLUGS = (
+    "comedy", "standup", "startup", "business", "networking", "tech", "coding", "hackathon", "crypto", "real estate",
+    "church service", "worship", "politics", "seminar", "conference",
+)
+
+
+def url_relevance(c: Column | str, positive: Iterable[str] = RELEVANT_SLUGS, negative: Iterable[str] = IRRELEVANT_SLUGS) -> Column:
     """true / false / NULL (unknown) from tokens in path and query."""
     slug = F.translate(F.lower(F.concat(path(c), F.lit(" "), query(c))), "-_", "  ")
     from .text import contains_any

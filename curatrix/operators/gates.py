@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import urls as u
 from .keyed import top_per_key
-from .normalize import LOGIN_WORDS  # noqa: F401  (re-exported rule words)
 from .sizes import maybe_broadcast, small_enough
 
 # Names that say nothing about the event.
@@ -38,15 +37,6 @@ EVENT_SIGNALS = (
     "event", "events", "calendar", "schedule", "social", "dance", "workshop", "class", "lesson", "friday", "saturday",
     "sunday", "monday", "tuesday", "wednesday", "thursday",
 )
-# Slug words of dance events and of other events.
-RELEVANT_SLUGS = (
-    "dance", "salsa", "bachata", "kizomba", "zou", "swing", "lindy", "ballroom", "west coast", "wcs", "tango",
-    "milonga", "latin", "social dance", "rueda", "blues dance", "contra dance",
-)
-IRRELEVANT_SLUGS = (
-    "comedy", "standup", "startup", "business", "networking", "tech", "coding", "hackathon", "crypto", "real estate",
-    "church service", "worship", "politics", "seminar", "conference",
-)
 
 
 def split_by_reason(df: DataFrame, reason: str = "reject_reason") -> tuple[DataFrame, DataFrame]:

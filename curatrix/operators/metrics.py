@@ -155,7 +155,7 @@ def source_alerts(history: DataFrame, current_run, lookback: int = 14, min_basel
 
 
 # Mismatch categories that point at the page classifier, and those that do not.
-CLASSIFIER_CATEGORIES = ("content_drift_major", "no_event_extracted_replay", "wrong_replay_event_selection", "wrong_replay_source_url")
+CLASSIFIER_CATEGORIES = ("no_event_extracted_replay", "content_drift_major")
 OTHER_CATEGORIES = (
     "wrong_date", "wrong_time", "wrong_location_or_address", "wrong_source", "duplicate_event_identity",
     "url_unreachable_replay", "social_platform_scraper_init_failed", "parser_or_llm_failure", "missing_url_baseline", "other_mismatch",

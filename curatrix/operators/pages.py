@@ -115,13 +115,13 @@ def classify_rules(
         .when(tx.contains_any(low, signals), "simple_page").otherwise("other")
     )
     rules = [
-        (t.rlike(r"^[^\s@/]+@[^\s@/]+\.[^\s@/]+$"), "other", "emails.py", "email_input"),
+        (t.rlike(r"(?i)^[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,}$"), "other", "emails.py", "email_input"),
         (is_calendar_url(url) | (calendars > 0), "google_calendar", "scraper.py", "google_calendar"),
         (fb & u.path(url).rlike(r"/events/\d+"), "complicated_page", "fb.py", "facebook_event_detail"),
         (ig & F.lower(u.path(url)).rlike("^/(p|reel|tv)/[^/]+"), "complicated_page", "fb.py", "instagram_post_detail"),
         (fb | ig, "complicated_page", "fb.py", "social_listing_or_profile"),
         (eb & u.path(url).rlike(r"-tickets-\d+"), "simple_page", "ebs.py", "eventbrite_event_detail"),
-        (eb & u.path(url).rlike("^/o/"), "incomplete_event", "ebs.py", "eventbrite_organizer"),
+        (eb & u.path(url).rlike("^/o/[^/]+/?$"), "incomplete_event", "ebs.py", "eventbrite_organizer"),
         (detail, "simple_page", "scraper.py", "event_detail"),
     ]
     out = F.struct(fallback.alias("archetype"), F.lit("scraper.py").alias("owner_step"), fallback.alias("subtype"))

@@ -25,7 +25,6 @@ TYPE_WORDS = {
     "workshop": ("workshop", "workshops"), "live music": ("live music", "live band", "live bands"),
 }
 ALL_STYLES = ("all dance events", "all dances", "all styles", "any dance style", "any styles", "not just", "not only")
-MAX_SPAN_DAYS = 365
 
 
 def _phrases(a: Column) -> list[tuple[str, Column, Column, int | None, int | None]]:

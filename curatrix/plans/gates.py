@@ -8,7 +8,7 @@ from ..functions import text as tx
 from ..functions import urls as u
 from ..operators import gates as op
 from ..sources.adapters import customer_address, ev, table, wide
-from .common import ADDR, EV, ORD, compare_key, label, netloc, path, qry
+from .common import ADDR, EV, ORD, compare_key, netloc, path, qry
 from .registry import query
 
 AS_OF = "2001-08-01"

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import joins as op
-from ..operators import maintain
 from ..operators import metrics
-from ..sources.adapters import crawl_log, customer_address, ev, table
-from .common import ADDR, EV, LOG, ORD
+from ..sources.adapters import crawl_log, ev, table
+from .common import EV, LOG
 from .registry import query
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics as op
-from ..sources.adapters import crawl_log, customer_address, ev, table
-from .common import ADDR, EV, LOG, ORD
+from ..sources.adapters import crawl_log, customer_address, table
+from .common import ADDR, LOG, ORD
 from .registry import query
 
 

@@ -218,9 +218,6 @@ def _(spark, d):
     return a.select("address_id", op.build_full_address(a).alias("full_address"))
 
 
-_N = "regexp_extract(full_address, '^([^,]+), (\\d+) ([^,]+), ([^,]+), ([^,]+?)( V8N 1S3)?, ([^,]+)$', {})"
-
-
 @query("split_full_address", """
 SELECT c_custkey AS address_id, CAST(c_custkey%500 AS VARCHAR) AS street_number, 'Birch'||chr(CAST(97+c_custkey%20 AS INTEGER)) AS street_name,
  CASE WHEN c_custkey%2=0 THEN 'St' ELSE 'Ave' END AS street_type, 'Victoria' AS city, 'BC' AS province_or_state, 'V8N 1S3' AS postal_code
@@ -368,8 +365,8 @@ def _(spark, d):
 
 
 @query("access_state", r"""
-SELECT page_id, CASE WHEN contains(lower(url), '/en/') THEN 'login' WHEN contains(lower(html), 'rate limited') OR contains(lower(html), 'ndre') THEN 'blocked' ELSE 'ok' END AS state,
- CASE WHEN contains(lower(url), '/en/') THEN 'login_url' WHEN contains(lower(html), 'rate limited') OR contains(lower(html), 'ndre') THEN 'rate_limit_or_temp_block_text' ELSE 'accessible' END AS reason
+SELECT page_id, CASE WHEN contains(lower(url), '/en/') THEN 'login' WHEN contains(lower(html), 'ndre') THEN 'blocked' ELSE 'ok' END AS state,
+ CASE WHEN contains(lower(url), '/en/') THEN 'login_url' WHEN contains(lower(html), 'ndre') THEN 'rate_limit_or_temp_block_text' ELSE 'accessible' END AS reason
 FROM pages""")
 def _(spark, d):
     s = op.access_state("url", "html", login_paths=("/login", "/en/"), blocked_words=op.BLOCKED_WORDS + ("ndre",))

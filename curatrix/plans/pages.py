@@ -8,7 +8,7 @@ from ..operators import pages as op
 from ..operators.address import contained_in_text
 from ..operators.normalize import visible_text_native
 from ..sources.adapters import table, wide
-from .common import host, label, netloc, path, qry
+from .common import netloc, path, qry
 from .normalize import _VT
 from .registry import query
 

@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import dates as dt
 from ..operators import maintain
 from ..sources import readers as rd
 from ..sources import sinks
