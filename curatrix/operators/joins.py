@@ -82,19 +82,21 @@ def time_window_losers(df: DataFrame, keys: Sequence[str], secs: int = 900) -> D
         F.floor(F.col("start_sec") / secs).alias("_cs"), F.floor(F.col("end_sec") / secs).alias("_ce"),
     )
     cell = [*keys, "_cs", "_ce"]
-    newest = rows.groupBy(*cell).agg(F.max_by(F.struct("event_id", "start_sec", "end_sec"), "event_id").alias("_t"))
-    inside = rows.join(newest, cell).filter(F.col("event_id") < F.col("_t.event_id")).select("event_id")
+    # three fixed-width aggregates keep this a hash aggregation (a struct would sort every map output)
+    newest = rows.groupBy(*cell).agg(
+        F.max("event_id").alias("_id"), F.max_by("start_sec", "event_id").alias("_s"), F.max_by("end_sec", "event_id").alias("_e"))
+    inside = rows.join(newest.select(*cell, "_id"), cell).filter(F.col("event_id") < F.col("_id")).select("event_id")
     around = F.array(*[
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)
     ])
     probes = newest.withColumn("_o", F.explode(around)).select(
-        *keys, (F.col("_cs") + F.col("_o.a")).alias("_cs"), (F.col("_ce") + F.col("_o.b")).alias("_ce"), "_t"
+        *keys, (F.col("_cs") + F.col("_o.a")).alias("_cs"), (F.col("_ce") + F.col("_o.b")).alias("_ce"), "_id", "_s", "_e"
     )
     near = probes.join(rows, cell).filter(
-        (F.col("_t.event_id") < F.col("event_id"))
-        & (F.abs(F.col("_t.start_sec") - F.col("start_sec")) <= secs)
-        & (F.abs(F.col("_t.end_sec") - F.col("end_sec")) <= secs)
-    ).select(F.col("_t.event_id").alias("event_id")).distinct()
+        (F.col("_id") < F.col("event_id"))
+        & (F.abs(F.col("_s") - F.col("start_sec")) <= secs)
+        & (F.abs(F.col("_e") - F.col("end_sec")) <= secs)
+    ).select(F.col("_id").alias("event_id")).distinct()
     return inside.unionByName(near)
 
 

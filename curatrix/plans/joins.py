@@ -65,10 +65,9 @@ def _(spark, d):
 WITH {EV}, lost AS ({TWINS}) SELECT source, count(*) AS counted FROM ev
 WHERE start_date >= DATE '2024-01-31'-20 AND event_id NOT IN (SELECT event_id FROM lost) GROUP BY source""")
 def _(spark, d):
-    e = ev(spark, d)
-    kept = op.drop_time_window_duplicates(e, ["place", "start_date"])
-    fresh = kept.filter(F.col("start_date") >= F.date_sub(_day("2024-01-31"), 20))
-    return metrics.count_by(fresh, "source")
+    # twins share their date, so old rows can go before the de-duplication
+    fresh = ev(spark, d).filter(F.col("start_date") >= F.date_sub(_day("2024-01-31"), 20))
+    return metrics.count_by(op.drop_time_window_duplicates(fresh, ["place", "start_date"]), "source")
 
 
 _SLOT = "SELECT event_id, CAST(start_date AS VARCHAR) AS start_date, place, start_sec//3600 AS slot, event_type FROM ev WHERE start_date>=DATE '2024-01-05'"

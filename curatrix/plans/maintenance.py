@@ -137,7 +137,18 @@ def candidates(e):
     )
 
 
+_RUNS: dict = {}
+
+
 def _written(spark, d):
+    """One write run per session and input; its three outputs are separate queries."""
+    run = (spark.sparkContext.applicationId, d)
+    if run not in _RUNS:
+        _RUNS[run] = _write(spark, d)
+    return _RUNS[run]
+
+
+def _write(spark, d):
     rules = writing.WriteRules(_day("2024-01-31"), 20, scores=fz.lev_scores, ratio=fz.lev_ratio)
     return writing.write_events(candidates(ev(spark, d)), customer_address(spark, d), rules)
 
