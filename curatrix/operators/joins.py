@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls as u
-from .keyed import top_per_key
+from .keyed import spread, top_per_key
 from .sizes import maybe_broadcast
 
 
@@ -33,7 +33,8 @@ def crawl_decisions(
         F.sum("crawl_try").alias("_tries"),
     )
     hist = history.groupBy(F.col("url").alias("_hu")).agg(F.max("start_date").alias("_hd"))
-    base = urls.select("link").distinct().withColumn("_n", u.strip_cdn_params("link")).withColumn("_k", u.detail_url_kind("_n", kinds))
+    # spread by link: the URL rules below are CPU-heavy, and the joins use the same key
+    base = spread(urls.select("link"), "link").distinct().withColumn("_n", u.strip_cdn_params("link")).withColumn("_k", u.detail_url_kind("_n", kinds))
     keys = base.select(
         F.col("link").alias("_bl"), F.col("_n").alias("_own"),
         F.explode(F.array_distinct(F.concat(F.array("_n"), F.col("_k.candidates")))).alias("_cand"),
