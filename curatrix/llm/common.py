@@ -45,17 +45,21 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, rows: int) -> DataFrame:
-    """About ``rows`` rows of ``df`` at most, chosen by a hash of ``doc_id``.
+def bounded_sample(ids: DataFrame, rows: int) -> tuple[DataFrame, float]:
+    """About ``rows`` rows of ``ids`` at most, and the share of all ids that ``sampled`` takes.
 
-    The bound holds on average (the hash is uniform); the choice does not depend on the
-    order or partitioning of the rows.
+    Rows are chosen by a hash of ``doc_id``, so the choice depends neither on their order
+    nor on their partitioning; the bound holds on average, as the hash is uniform.
     """
-    total = df.count()
-    if total <= rows:
+    total = ids.count()
+    share = 1.0 if total <= rows else rows / total
+    return sampled(ids, share), share
+
+
+def sampled(df: DataFrame, share: float) -> DataFrame:
+    if share >= 1:
         return df
-    share = int(rows / total * (1 << 30))
-    return df.filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 30)) < share)
+    return df.filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
 def ascii_lower(col: Column) -> Column:
@@ -81,7 +85,8 @@ def map_texts(df: DataFrame, prepare: Callable[[], Callable[[list], dict]], sche
             for start in range(0, batch.num_rows, slice_rows):
                 part = batch.slice(start, slice_rows)
                 cols = work(part.column(text).to_pylist())
-                arrays = [part.column(c) for c in keep] + [pa.array(cols[f.name], type=arrow.field(f.name).type) for f in made.fields]
+                new = [cols[f.name] if isinstance(cols[f.name], pa.Array) else pa.array(cols[f.name], arrow.field(f.name).type) for f in made.fields]
+                arrays = [part.column(c) for c in keep] + new
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return df.mapInArrow(run, out)

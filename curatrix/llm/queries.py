@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact, minhash
+from . import decontam, exact, minhash, pieces, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +83,14 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT id, min(lo) AS lo FROM c GRO
 @query("op9_minhash_near_dedup", OP9_SQL)
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_sentencepiece")
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", "n_ids", "ids_crc32", "decoded_sha256", "round_trip")
