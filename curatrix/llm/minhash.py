@@ -10,24 +10,14 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from .common import id_and_text, map_texts, stored
+from .wordhash import WHITE, WordHasher, byte_table, mixed
 
 SHINGLE_WORDS = 5
-#: Values kept of a set, and the share of them that two similar sets must have in common.
-#: For a true similarity of 0.8 the share is 0.8 on average; that it falls below 0.42 of 64
-#: has a chance of about 1e-9 (Chernoff). Sets of up to 64 shingles are kept whole.
-SKETCH, SHARED = 64, 0.42
-
-
-class WordHashes(dict):
-    """64-bit hash of a word, remembered; emptied when it has grown large."""
-
-    limit = 500_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+#: Values kept of a set, and how many of them two similar sets must have in common at least.
+#: For a true similarity of 0.8, 51 of 64 are common on average; that they are fewer than 27
+#: has a chance of about 1e-9 (Chernoff). Sets of up to 64 shingles are kept whole; for
+#: them the least number follows from the sizes alone.
+SKETCH, SHARED = 64, 27
 
 
 def shingle_words(text: str | None) -> list[bytes]:
@@ -42,17 +32,10 @@ def shingle_set(words: list[bytes], width: int) -> set:
     return set(zip(*[words[i:] for i in range(width)], strict=False)) if len(words) >= width else {tuple(words)}
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def hashed_shingles(words: list[bytes], width: int, hashes: dict) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles: the one hash function of the sketch."""
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    width = min(width, len(words))
-    out = np.full(max(0, len(words) - width + 1), np.uint64(width))
+def hashed_shingles(h: np.ndarray, width: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of word hashes: the one hash function of the sketch."""
+    width = min(width, len(h))
+    out = np.full(max(0, len(h) - width + 1) if width else 0, np.uint64(width))
     for i in range(width):
         out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - width + 1 + i])
     return np.unique(out)
@@ -62,14 +45,16 @@ def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
     """(doc_id, n_shingles, set_id, sketch); ``set_id`` is a 128-bit digest of the whole set."""
 
     def prepare():
-        hashes = WordHashes()
+        hasher = WordHasher(byte_table(WHITE, lower=True))
 
         def work(texts: list) -> dict:
-            sets = [hashed_shingles(w, width, hashes) if (w := shingle_words(t)) else np.empty(0, np.uint64) for t in texts]
+            hashes, counts = hasher([(t or "").encode("utf-8", "surrogatepass") for t in texts])
+            sets = [hashed_shingles(h, width) for h in np.split(hashes, np.cumsum(counts)[:-1])]
             return {
                 "n_shingles": [len(s) for s in sets],
                 "set_id": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                "sketch": [s[:k].view(np.int64) for s in sets],
+                # in the order of signed numbers, as Spark has none without sign
+                "sketch": [(s[:k] ^ np.uint64(1 << 63)).view(np.int64) for s in sets],
             }
 
         return work
@@ -77,18 +62,19 @@ def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
     return map_texts(docs, prepare, "n_shingles long, set_id binary, sketch array<long>")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, similar: tuple[int, int] = (80, 100), k: int = SKETCH, shared: float = SHARED) -> DataFrame:
-    """Components of documents whose shingle sets have a Jaccard similarity of ``similar`` or more.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
+    """Components of documents whose shingle sets have a Jaccard similarity of 0.8 or more.
 
-    1. One pass makes the ``k`` smallest hashes of each set. Equal sets become one class.
+    1. One pass makes the bottom-k sketch of each set. Equal sets become one class.
     2. Inverted lists hold, of each class, the rarest retained values: a class that shares
-       ``shared * k`` values with another must meet it in one of its ``k - shared * k + 1``
+       ``t`` of its ``s`` values with another must meet it in one of its ``s - t + 1``
        rarest. Frequent shingles therefore make no lists.
     3. Rounds: in each list some classes are pivots and are compared with the members that
-       are not yet in their component. The union sketch estimates the similarity; pairs that
-       can reach it are confirmed on the full texts. Pivots leave their lists; a list ends
-       when all its members are in one component. So a group of n near copies costs about n
-       comparisons, not n * n, and no link between components is lost.
+       are not yet in their component. The sketch of the union estimates the similarity;
+       pairs that can reach 0.8 are confirmed on the full texts. Pivots leave their lists,
+       and are not taken from a list's largest component, since each open pair has a member
+       outside it; a list ends when all its members are in one component. So a group of n
+       near copies costs about n comparisons, not n * n, and no link between components is lost.
 
     Returns per document: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id that is
     reachable), ``kept``.
@@ -99,14 +85,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     * An empty table gives an empty result. Other columns are ignored.
     """
     texts = id_and_text(docs, id_col, text_col).withColumn("row", F.xxhash64("text"))
-    marked = stored(sketches(texts, width, k), "sketches")
+    marked = stored(sketches(texts, width, SKETCH), "sketches")
     classes = marked.filter("n_shingles > 0").groupBy("set_id").agg(
         F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "row")).alias("member"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
     )
-    classes = stored(classes, "classes")
-    lists = _inverted_lists(classes, k, shared)
-    links = _linked(texts, classes, lists, width, similar, k)
-    groups = classes.select("set_id", "first_id").join(links, "set_id", "left").select("set_id", "first_id", F.coalesce("component", "set_id").alias("component"))
+    classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    links = _linked(texts, classes, _inverted_lists(classes), width)
+    groups = classes.select("set_id", "class", "first_id").join(links, "class", "left").withColumn("component", F.coalesce("component", "class"))
     lowest = groups.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = stored(groups.join(lowest, "component").select("set_id", "component_id"), "components")
     linked = marked.filter("n_shingles > 0").join(named, "set_id").select("doc_id", "n_shingles", "component_id")
@@ -114,70 +99,93 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _inverted_lists(classes: DataFrame, k: int, shared: float) -> DataFrame:
-    """(value, set_id): the rarest retained values of each class that other classes have too."""
-    posts = classes.select("set_id", F.explode("sketch").alias("value"))
+def _least_common(n):
+    """Values that the sketches of a set of ``n`` shingles and of a similar set share at least.
+
+    A similar set has 0.8 * n of its shingles at least. One of up to n / 0.8 shingles may
+    itself be cut to ``SKETCH`` values, which loses at most n / 4 beyond those.
+    """
+    whole = F.least(F.ceil(n * 8 / 10), SKETCH - F.ceil(n / 4))
+    return F.when(n <= SKETCH, whole).otherwise(SHARED).cast("int")
+
+
+def _inverted_lists(classes: DataFrame) -> DataFrame:
+    """(value, class, n): the rarest retained values of each class that other classes have too."""
+    posts = classes.select("class", "n", F.explode("sketch").alias("value"))
     counts = stored(posts.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "values")
-    common = posts.join(counts, "value").groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("common"))
-    held = F.least("n", F.lit(k))
-    # of the values that no other class has, all are rarer than those in common
-    indexed = held - F.greatest(F.lit(1), F.ceil(held * shared)) + 1 - (held - F.size("common"))
-    rare = common.join(classes.select("set_id", "n"), "set_id").select("set_id", F.explode(F.slice("common", F.lit(1), F.greatest(F.lit(0), indexed).cast("int"))).alias("c"))
-    return stored(rare.select(F.col("c.value").alias("value"), "set_id"), "lists")
-
-
-def _linked(texts, classes, lists, width, similar, k) -> DataFrame:
-    """(set_id, component) of the classes that have a link."""
-    spark = texts.sparkSession
-    sizes = lists.groupBy("value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    open_lists = stored(lists.join(sizes, "value").select("value", "set_id", F.col("set_id").alias("component")), "lists")
-    needed = stored(open_lists.select("set_id").distinct().join(classes, "set_id"), "needed")
+    common = posts.join(counts, "value").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("common"))
+    held = F.least("n", F.lit(SKETCH))
+    # values that no other class has are the rarest ones
+    indexed = held - _least_common(F.col("n")) + 1 - (held - F.size("common"))
+    rare = common.select("class", "n", F.explode(F.slice("common", F.lit(1), F.greatest(F.lit(0), indexed).cast("int"))).alias("c"))
+    return stored(rare.select(F.col("c.value").alias("value"), "class", "n"), "lists")
+
+
+def _linked(texts, classes, lists, width) -> DataFrame:
+    """(class, component) of the classes that have a link."""
+    sizes = lists.groupBy("value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("value")
+    members = stored(lists.join(sizes, "value").withColumn("component", F.col("class")), "lists")
+    needed = stored(members.select("class").distinct().join(classes, "class"), "needed")
     bodies = _bodies(texts, needed)
-    edges = None
-    component = None
-    pivots_per_list = 1
-    while not open_lists.isEmpty():
-        pick = F.min(F.struct(F.xxhash64("set_id"), "set_id", "component"))
-        pivots = open_lists.groupBy("value", F.pmod(F.xxhash64(F.lit(1), "set_id"), F.lit(pivots_per_list)).alias("_slot")).agg(pick.alias("p"))
-        pivots = stored(pivots.select("value", F.col("p.set_id").alias("pivot"), F.col("p.component").alias("pivot_component")), "pivots")
-        pairs = open_lists.join(pivots, "value").filter("component <> pivot_component").select(F.least("set_id", "pivot").alias("a"), F.greatest("set_id", "pivot").alias("b")).distinct()
-        found = stored(_confirmed(_estimated(pairs, needed, similar, k), bodies, width, similar), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        component = stored(connected_components(edges, "a", "b").select(F.col("id").alias("set_id"), "component"), "components")
-        rest = open_lists.join(pivots.select("value", F.col("pivot").alias("set_id")), ["value", "set_id"], "left_anti").select("value", "set_id")
-        rest = rest.join(component, "set_id", "left").select("value", "set_id", F.coalesce("component", "set_id").alias("component"))
-        rest = stored(rest, "lists")
-        mixed_lists = stored(rest.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("value"), "values")
-        open_lists = stored(rest.join(mixed_lists, "value"), "lists")
-        pivots_per_list *= 8
-    return component if component is not None else spark.createDataFrame([], "set_id binary, component binary")
+    short = stored(needed.select("class", "n", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("sketch")), "short")
+    labels = texts.sparkSession.createDataFrame([], "class long, component long")
+    per_list = 1
+    while not members.isEmpty():
+        pivots = _pivots(members, per_list)
+        pairs = members.join(pivots, "value").filter("component <> pivot_component and 5 * least(n, pivot_n) >= 4 * greatest(n, pivot_n)")
+        pairs = stored(pairs.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct(), "pairs")
+        found = _confirmed(_estimated(pairs, short), bodies, width)
+        labels = _relabelled(labels, found)
+        rest = members.join(pivots.select("value", F.col("pivot").alias("class")), ["value", "class"], "left_anti").select("value", "class", "n")
+        rest = stored(rest.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class")), "lists")
+        still = stored(rest.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("value"), "values")
+        members = stored(rest.join(still, "value"), "lists")
+        per_list *= 8
+    return labels
+
+
+def _pivots(members: DataFrame, per_list: int) -> DataFrame:
+    """Up to ``per_list`` members of each list, outside its largest component if that has several."""
+    parts = members.groupBy("value", "component").agg(F.count(F.lit(1)).alias("size"))
+    largest = stored(parts.groupBy("value").agg(F.max(F.struct("size", "component")).alias("top")).filter("top.size > 1").select("value", F.col("top.component").alias("_largest")), "largest")
+    small = members.join(largest, "value", "left").filter("_largest is null or component <> _largest")
+    slot = F.pmod(F.xxhash64(F.lit(1), "class"), F.lit(per_list)).alias("_slot")
+    picked = small.groupBy("value", slot).agg(F.min(F.struct(F.xxhash64("class"), "class", "component", "n")).alias("p"))
+    return stored(picked.select("value", F.col("p.class").alias("pivot"), F.col("p.component").alias("pivot_component"), F.col("p.n").alias("pivot_n")), "pivots")
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after ``links`` (a, b) between classes; only components that meet are worked on."""
+    known = lambda side: labels.select(F.col("class").alias(side), F.col("component").alias(f"_{side}"))
+    met = links.join(known("a"), "a", "left").join(known("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    merged = stored(connected_components(met, "a", "b").select(F.col("id").alias("_id"), F.col("component").alias("_to")), "merged")
+    moved = labels.join(merged, labels["component"] == merged["_id"], "left").select("class", F.coalesce("_to", "component").alias("component"))
+    fresh = merged.join(labels, merged["_id"] == labels["class"], "left_anti").select(F.col("_id").alias("class"), F.col("_to").alias("component"))
+    return stored(moved.unionByName(fresh), "labels")
 
 
 def _bodies(texts, needed) -> DataFrame:
-    """(set_id, text) of one member of each needed class."""
-    chosen = needed.select("set_id", F.col("member.doc_id").alias("id"), F.col("member.row").alias("r"))
-    return stored(texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["id"]) & (texts["row"] == chosen["r"])).select("set_id", "text"), "texts")
+    """(class, text) of one member of each needed class."""
+    chosen = needed.select("class", F.col("member.doc_id").alias("id"), F.col("member.row").alias("r"))
+    return stored(texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["id"]) & (texts["row"] == chosen["r"])).select("class", "text"), "texts")
 
 
-def _estimated(pairs: DataFrame, needed: DataFrame, similar, k) -> DataFrame:
-    """Pairs that sizes and the sketch of the union leave possible.
+def _estimated(pairs: DataFrame, short: DataFrame) -> DataFrame:
+    """Pairs that the sketch of the union leaves possible.
 
-    The ``k`` smallest values of the union are a random sample of it; the share of them
-    that both sets have estimates the similarity. Pairs far below are left out: at 0.8,
-    a share under 0.42 has a chance of about 1e-9. For sets held whole it is exact.
+    The smallest values of the union are a random sample of it; of those, similar sets
+    share ``SHARED`` of ``SKETCH`` at least (see there). The upper halves of the values do.
     """
-    part = needed.select(F.col("set_id").alias("id"), "n", "sketch")
-    a, b = part.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a")), part.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-    both = pairs.join(a, "a").join(b, "b")
-    low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    union = F.slice(F.sort_array(F.array_union("s_a", "s_b")), 1, k)
+    a = short.select(F.col("class").alias("a"), F.col("sketch").alias("s_a"))
+    b = short.select(F.col("class").alias("b"), F.col("sketch").alias("s_b"))
+    union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, SKETCH)
     agreed = F.size(F.array_intersect(union, F.array_intersect("s_a", "s_b")))
-    return both.filter((low * similar[1] >= high * similar[0]) & (agreed >= SHARED * F.size(union))).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").filter(agreed * SKETCH >= SHARED * F.size(union)).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, bodies: DataFrame, width: int, similar) -> DataFrame:
+def _confirmed(pairs: DataFrame, bodies: DataFrame, width: int) -> DataFrame:
     """Pairs whose exact shingle sets reach the similarity."""
-    a, b = bodies.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), bodies.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
+    a, b = bodies.select(F.col("class").alias("a"), F.col("text").alias("text_a")), bodies.select(F.col("class").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
 
     def run(batches):
@@ -190,7 +198,7 @@ def _confirmed(pairs: DataFrame, bodies: DataFrame, width: int, similar) -> Data
                     last, last_set = y, shingle_set(shingle_words(y), width)
                 one = shingle_set(shingle_words(x.as_py()), width)
                 both = len(one & last_set)
-                flags.append(similar[1] * both >= similar[0] * (len(one) + len(last_set) - both))
+                flags.append(100 * both >= 80 * (len(one) + len(last_set) - both))
             yield batch.select(["a", "b"]).filter(pa.array(flags, pa.bool_()))
 
-    return joined.mapInArrow(run, "a binary, b binary")
+    return stored(joined.mapInArrow(run, "a long, b long"), "links")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, exact, langid, minhash, pieces, tokens, toxicity
+from . import decontam, exact, hosts, langid, minhash, pieces, repeats, tokens, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +106,30 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+WORDS3 = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, {WORDS3} AS w FROM documents),
+win AS (SELECT doc_id, p, array_to_string(w[p:p+12], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w)-11)) AS p FROM d WHERE len(w) >= 13)),
+hit AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY win) AS low FROM win) WHERE low < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p+13)) AS pos FROM hit),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w)+1)) AS pos FROM d),
+kept AS (SELECT word.doc_id, count(gone.pos) AS n_removed, string_agg(word, ' ' ORDER BY word.pos) FILTER (gone.pos IS NULL) AS kept
+ FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.pos = gone.pos GROUP BY word.doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
+@query("op3_substring_dedup", OP3_SQL)
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+@query("op7_url_filters")
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0).alias("bad"))
+    return hosts.judge_urls(table(spark, sf_dir, "pages"), outcomes, RULES).select("page_id", "host", "path", "rule", "verdict")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,10 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, map_texts, stored
-from .minhash import WordHashes, mixed
+from .wordhash import WHITE, WordHasher, byte_table, mixed, slice_hashes
 
 WINDOW = 13
-ROUNDS = 4
+ROUNDS = 3
+#: Bytes of the filter of repeated names that each task holds.
+FILTER_BYTES = 32 << 20
+PAGE_BITS = 15
+SLICE = 256
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -39,7 +44,7 @@ def window_keys(h: np.ndarray, first: np.ndarray, width: int, rounds: int = ROUN
     Returns one key per word position; those of windows that leave their text are not valid.
     """
     n = len(h)
-    keys = window_names(h, width)[0]
+    keys = window_names(h, width)
     new_run = np.ones(n, bool)
     new_run[1:] = (h[1:] != h[:-1]) | first[1:]
     starts = np.flatnonzero(new_run)
@@ -89,13 +94,150 @@ def longest(at: np.ndarray, right: np.ndarray, starts: np.ndarray, sizes: np.nda
             return best
 
 
-def window_names(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit names of the ``width`` words from each position on (zeros where they end early)."""
-    n = len(h)
-    out = []
-    for seed in (0x243F6A8885A308D3, 0x13198A2E03707344):
-        name = np.full(max(0, n - width + 1), np.uint64(seed))
-        for k in range(width):
-            name = mixed(name * np.uint64(0x9E3779B97F4A7C15) + h[k : n - width + 1 + k])
-        out.append(np.concatenate([name, np.zeros(n - len(name), np.uint64)]))
-    return out[0], out[1]
+def window_names(h: np.ndarray, width: int) -> np.ndarray:
+    """64-bit names of the ``width`` words from each position on; less wide where the words end."""
+    begin = np.arange(len(h))
+    return slice_hashes(mixed(h), begin, np.minimum(begin + width, len(h)))
+
+
+def windows(batch: pa.RecordBatch, hasher: WordHasher, width: int) -> Iterator[tuple]:
+    """(row numbers, word hashes, positions in their texts, valid windows, beginnings) of slices of a batch."""
+    for start in range(0, batch.num_rows, SLICE):
+        texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").slice(start, SLICE).to_pylist()]
+        h, counts = hasher(texts)
+        begins = np.cumsum(counts) - counts
+        row = np.repeat(np.arange(len(texts)), counts)
+        position = np.arange(len(h)) - begins[row]
+        first = position == 0
+        yield start + row, h, position, np.flatnonzero(position + width <= counts[row]), first
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, rounds: int = ROUNDS, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    """Removes each word covered by a window of ``width`` words that also starts in a document with a smaller id.
+
+    1. Recompression gives each window a symbol inside it that equal windows share (see
+       ``window_keys``). A text has about one distinct symbol per four words.
+    2. Spark counts the symbols by document; those of two documents or more are set in a
+       filter of fixed size, which all tasks hold. A filter that is too small for its
+       table lets more windows through, but never loses one.
+    3. Windows whose symbol is in the filter are compared by their own 96-bit names: the
+       smallest id is aggregated map-side and joined back, so that a window of very many
+       documents can be split. Names are computed again rather than stored.
+    4. The positions found return to their texts.
+
+    Returns per document: ``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256``,
+    ``kept_text`` (kept words joined by one space), ``removed`` (runs of removed words,
+    first and last position).
+
+    * A null or empty text has no words. Texts shorter than a window keep all words.
+    * Rows with a null id are returned whole and count for no other row.
+    * Rows repeated under one id are one document: they do not repeat each other, and a
+      position found in one of them is removed from all.
+    """
+    texts = id_and_text(docs, id_col, text_col)
+    named = texts.filter("doc_id is not null")
+    table = byte_table(WHITE, lower=False)
+
+    def symbols(batches):
+        hasher = WordHasher(table)
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
+            for row, h, _, at, first in windows(batch, hasher, width):
+                if len(at):
+                    pairs = np.stack([ids[row[at]].view(np.uint64), window_keys(h, first, width, rounds)[at]])
+                    order = np.lexsort(pairs[::-1])
+                    pairs = pairs[:, order]
+                    fresh = np.append(True, (pairs[:, 1:] != pairs[:, :-1]).any(axis=0))
+                    out = pairs[:, fresh].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(out[1]), pa.array(out[0])], names=["symbol", "doc_id"])
+
+    counted = named.mapInArrow(symbols, "symbol long, doc_id long").groupBy("symbol").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    shared = _symbol_filter(counted.filter("low < high").select("symbol"), filter_bytes)
+
+    def candidates(place: bool) -> Callable:
+        def run(batches):
+            hasher, bits = WordHasher(table), np.frombuffer(shared.value, np.uint8)
+            for batch in batches:
+                ids = batch.column("doc_id").to_numpy()
+                for row, h, position, at, first in windows(batch, hasher, width):
+                    if len(at):
+                        at = at[in_filter(bits, window_keys(h, first, width, rounds)[at])]
+                    if len(at):
+                        name, check = window_names(h, width)[at].view(np.int64), (window_names(~h, width)[at] >> np.uint64(33)).astype(np.int32)
+                        arrays = [pa.array(name), pa.array(check), pa.array(ids[row[at]])]
+                        if place:
+                            arrays.append(pa.array(position[at].astype(np.int32)))
+                        yield pa.RecordBatch.from_arrays(arrays, names=["name", "check", "doc_id", "position"][: len(arrays)])
+
+        return run
+
+    fields = "name long, check int, doc_id long"
+    lowest = named.mapInArrow(candidates(False), fields).groupBy("name", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    lowest = stored(lowest.filter("low < high").select("name", "check", "low"), "windows")
+    again = named.mapInArrow(candidates(True), fields + ", position int")
+    found = again.join(lowest, ["name", "check"]).filter("low < doc_id").groupBy("doc_id").agg(F.collect_list("position").alias("positions"))
+    found = stored(found.withColumnRenamed("doc_id", "_id"), "positions")
+    marked = texts.join(found, F.col("doc_id") == F.col("_id"), "left").select("doc_id", F.struct("text", "positions").alias("text"))
+
+    def prepare():
+        def work(rows: list) -> dict:
+            done = [cut_words(words_of(r["text"]), r["positions"], width) for r in rows]
+            return {
+                "n_words": [d[0] for d in done],
+                "n_removed": [d[1] for d in done],
+                "kept_sha256": [hashlib.sha256(d[2]).hexdigest() for d in done],
+                "kept_text": [d[2].decode("utf-8", "surrogatepass") for d in done],
+                "removed": [d[3] for d in done],
+            }
+
+        return work
+
+    return map_texts(marked, prepare, "n_words long, n_removed long, kept_sha256 string, kept_text string, removed array<struct<first:int,last:int>>")
+
+
+def cut_words(words: list[bytes], positions: list[int] | None, width: int) -> tuple[int, int, bytes, list]:
+    """(words, removed words, kept text, removed runs) of one text."""
+    if not positions:
+        return len(words), 0, b" ".join(words), []
+    edge = np.zeros(len(words) + width + 1, np.int64)
+    at = np.unique(np.array(positions))
+    at = at[at < len(words)]
+    edge[at] += 1
+    edge[at + width] -= 1
+    gone = np.cumsum(edge)[: len(words)] > 0
+    change = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+    runs = [{"first": int(a), "last": int(b) - 1} for a, b in zip(change[0::2], change[1::2], strict=True)]
+    return len(words), int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g), runs
+
+
+def _symbol_filter(symbols: DataFrame, filter_bytes: int):
+    """Broadcast bit array with a bit for each symbol; pages of it are built by Spark.
+
+    A page never has more than ``2 ** PAGE_BITS`` positions, and all pages together are
+    ``filter_bytes``, whatever the number of symbols.
+    """
+    spark = symbols.sparkSession
+    bits = 1 << (8 * filter_bytes - 1).bit_length()
+    bit = F.col("symbol").bitwiseAND(F.lit(bits - 1))
+    places = symbols.select(F.shiftright(bit, PAGE_BITS).cast("int").alias("page"), bit.bitwiseAND(F.lit((1 << PAGE_BITS) - 1)).cast("int").alias("bit"))
+    pages = stored(places.groupBy("page").agg(F.collect_set("bit").alias("bits")), "filter")
+    whole = np.zeros(bits // 8, np.uint8)
+    size = 1 << (PAGE_BITS - 3)
+
+    def packed(batches):
+        for batch in batches:
+            out = []
+            for got in batch.column("bits"):
+                page = np.zeros(1 << PAGE_BITS, np.uint8)
+                page[got.values.to_numpy()] = 1
+                out.append(np.packbits(page, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("page"), pa.array(out, pa.binary())], names=["page", "data"])
+
+    for row in pages.mapInArrow(packed, "page int, data binary").toLocalIterator():
+        whole[row.page * size : (row.page + 1) * size] = np.frombuffer(row.data, np.uint8)
+    return spark.sparkContext.broadcast(whole.tobytes())
+
+
+def in_filter(data: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    bit = symbols & np.uint64(8 * len(data) - 1)
+    return (data[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)

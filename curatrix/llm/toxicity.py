@@ -2,32 +2,31 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, held_out, id_and_text, map_texts, sampled
-from .minhash import WordHashes, mixed
+from .wordhash import WordHasher, byte_table, mixed
 
 #: Bound on the labelled rows that the model is fitted on, and on those of one learner.
 FIT_ROWS, LEARNER_ROWS = 48_000, 16_000
 #: Bits of the hashed single words; pairs and skip pairs have a region of half that size each.
 BITS = 21
 THRESHOLD = 0.3
-WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: Bytes that separate words: all of ASCII but letters and digits.
+BETWEEN = [b for b in range(128) if not chr(b).isalnum()]
 
 
-def feature_words(text: str | None) -> list[bytes]:
-    """Lower-cased words of letters and digits."""
-    return WORD.findall((text or "").lower().encode("utf-8", "surrogatepass"))
+def word_hashes(texts: list, hasher: WordHasher) -> list[np.ndarray]:
+    """Hashes of the lower-cased words of letters and digits of each text."""
+    hashes, counts = hasher([(t or "").lower().encode("utf-8", "surrogatepass") for t in texts])
+    return np.split(hashes, np.cumsum(counts)[:-1])
 
 
-def features(words: list[bytes], hashes: dict, bits: int) -> np.ndarray:
+def features(h: np.ndarray, bits: int) -> np.ndarray:
     """Distinct hashed features: words, pairs of neighbours, and pairs with one word skipped. The first is the bias."""
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     pairs = mixed(h[:-1] * np.uint64(3) + h[1:])
     skips = mixed(h[:-2] * np.uint64(5) + h[2:])
     one, half = np.uint64(64 - bits), np.uint64(65 - bits)
@@ -72,9 +71,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     size = (2 << bits) + 1
 
     def train(part: pd.DataFrame) -> pd.DataFrame:
-        hashes, model = WordHashes(), Ftrl(size)
+        hasher, model = WordHasher(byte_table(BETWEEN, lower=True)), Ftrl(size)
         part = part.sort_values("doc_id")
-        known = [(features(feature_words(t), hashes, bits), y) for t, y in zip(part["text"], part["label"], strict=True)]
+        known = [(features(h, bits), y) for h, y in zip(word_hashes(part["text"].tolist(), hasher), part["label"], strict=True)]
         order = np.random.default_rng(7)
         for _ in range(epochs):
             for k in order.permutation(len(known)):
@@ -103,10 +102,10 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
         size, index, values = held.value
         w = np.zeros(size, np.float32)
         w[index] = values
-        hashes = WordHashes()
+        hasher = WordHasher(byte_table(BETWEEN, lower=True))
 
         def work(texts: list) -> dict:
-            sums = np.array([w[features(feature_words(t), hashes, bits)].sum(dtype=np.float64) for t in texts])
+            sums = np.array([w[features(h, bits)].sum(dtype=np.float64) for h in word_hashes(texts, hasher)])
             s = 1 / (1 + np.exp(-np.clip(sums, -30, 30)))
             return {"score": s, "predicted": (s >= threshold).astype(np.int32)}
 

@@ -8,6 +8,7 @@ import numpy as np
 FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
 PIECE = 1 << 20
+GAP = 256
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -42,13 +43,10 @@ def slice_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.n
 
 
 class WordHasher:
-    """Hashes of words: the runs of bytes that ``normal`` does not turn into 0.
-
-    ``normal`` maps each byte to the byte that counts for it, separators to 0.
-    """
+    """Hashes of words: the runs of bytes that are no separators (see ``byte_table``)."""
 
     def __init__(self, normal: np.ndarray):
-        self.separator = normal == 0
+        self.separator = normal == GAP
         self.values = mixed(normal.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,11 +73,11 @@ class WordHasher:
 
 
 def byte_table(separators, lower: bool) -> np.ndarray:
-    """Table for ``WordHasher``: separators to 0, A-Z to a-z if ``lower``, the rest to itself."""
+    """What each byte counts for: separators as ``GAP``, A-Z as a-z if ``lower``, the rest as itself."""
     table = np.arange(256, dtype=np.uint16)
     if lower:
         table[65:91] += 32
-    table[list(separators)] = 0
+    table[list(separators)] = GAP
     return table
 
 
