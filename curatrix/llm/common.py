@@ -34,9 +34,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the two columns an operator works on, so no other column can clash with its own."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def id_and_text(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """Only the two columns an operator works on, so no other column can clash with its own.
+
+    With ``carry`` the whole input row comes along as one struct ``row``.
+    """
+    own = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    return docs.select(*own, F.struct(*docs.columns).alias("row")) if carry else docs.select(*own)
 
 
 def held_out(doc_id: str | Column) -> Column:

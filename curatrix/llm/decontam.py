@@ -71,7 +71,7 @@ def scan_text(text: str | None, automata: list) -> tuple:
     return len(words), int((np.cumsum(edge)[:-1] > 0).sum()), sorted({i for ids in found.values() for i in ids}), spans
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES, carry: bool = False) -> DataFrame:
     """Marks document words inside any occurrence of a window of ``window`` benchmark words.
 
     The benchmark is the small side. It is cut into parts of at most ``automaton_bytes``
@@ -87,6 +87,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
       benchmark. Items without words or with null text match nothing.
     * Overlapping windows and items with equal windows all count; a word is hit once.
     * Repeated rows and null ids are returned as they are, one row per input row.
+    * With ``carry`` the input row comes along as the struct ``row``.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter("item_id is not null and text is not null").distinct()
@@ -119,7 +120,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         return scan
 
-    return map_texts(id_and_text(docs, id_col, text_col), prepare, SCHEMA)
+    return map_texts(id_and_text(docs, id_col, text_col, carry), prepare, SCHEMA)
 
 
 def _scan_parts(texts: list, held: list, window: int) -> list[tuple]:

@@ -130,10 +130,12 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
     starts = np.cumsum(lengths) - lengths
     stay = np.zeros(scores.shape, bool)
     best_before = np.zeros(len(scores), np.int32)
+    if not len(scores):
+        return best_before
     best = scores[starts[lengths > 0]].copy()
     ends = np.zeros((len(lengths), scores.shape[1]), scores.dtype)
     active = int((lengths > 0).sum())
-    for t in range(1, int(lengths[0]) if len(lengths) else 0):
+    for t in range(1, int(lengths[0])):
         now = int(np.searchsorted(-lengths, -t, side="left"))
         if now < active:
             ends[now:active] = best[now:active]
@@ -149,7 +151,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
     labels = np.zeros(len(scores), np.int32)
     state = np.zeros(len(lengths), np.int32)
     active = 0
-    for t in range(int(lengths[0]) - 1 if len(lengths) else -1, -1, -1):
+    for t in range(int(lengths[0]) - 1, -1, -1):
         now = int(np.searchsorted(-lengths, -t, side="left"))
         if now > active:
             state[active:now] = ends[active:now].argmax(axis=1)
@@ -164,18 +166,20 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
 def label_texts(texts: list, scores: WordScores, switch: float) -> list[tuple[str, float, list]]:
     """(language, share of letters, spans) of each text."""
     langs = scores.model["langs"]
+    if not langs:
+        return [(UNKNOWN, 0.0, [])] * len(texts)
     scores.room()
     lows = [(t or "").lower() for t in texts]
     words = [LETTERS.findall(t) for t in lows]
     order = sorted(range(len(texts)), key=lambda k: -len(words[k]))
     lengths = np.array([len(words[k]) for k in order], np.int64)
     rows = np.fromiter((scores[w] for k in order for w in words[k]), np.int64, int(lengths.sum()))
-    labels = viterbi(scores.rows[rows], lengths, switch) if len(rows) and langs else np.zeros(len(rows), np.int32)
+    labels = viterbi(scores.rows[rows], lengths, switch)
     sizes = np.fromiter((len(w) for k in order for w in words[k]), np.int64, len(rows))
     out: list = [(UNKNOWN, 0.0, [])] * len(texts)
     at = 0
     for k, n in zip(order, lengths, strict=True):
-        if n and langs:
+        if n:
             own, weight = labels[at : at + n], sizes[at : at + n]
             totals = np.bincount(own, weights=weight, minlength=len(langs))
             top = int(totals.argmax())

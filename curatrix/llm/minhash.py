@@ -18,6 +18,9 @@ SHINGLE_WORDS = 5
 #: has a chance of about 1e-9 (Chernoff). Sets of up to 64 shingles are kept whole; for
 #: them the least number follows from the sizes alone.
 SKETCH, SHARED = 64, 27
+#: Members from which on an inverted list is replaced by lists over whole sets, and the
+#: ratio of sizes between two size classes there.
+LONG_LIST, SIZE_STEP = 32, 1.05
 
 
 def shingle_words(text: str | None) -> list[bytes]:
@@ -69,12 +72,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     2. Inverted lists hold, of each class, the rarest retained values: a class that shares
        ``t`` of its ``s`` values with another must meet it in one of its ``s - t + 1``
        rarest. Frequent shingles therefore make no lists.
-    3. Rounds: in each list some classes are pivots and are compared with the members that
+    3. Classes in lists of more than ``LONG_LIST`` members meet instead in lists over their
+       whole sets, by pairs of size classes: there the least overlap of similar sets is
+       exact, and only the few rarest shingles of a set can be the first common one.
+    4. Rounds: in each list some classes are pivots and are compared with the members that
        are not yet in their component. The sketch of the union estimates the similarity;
        pairs that can reach 0.8 are confirmed on the full texts. Pivots leave their lists,
        and are not taken from a list's largest component, since each open pair has a member
-       outside it; a list ends when all its members are in one component. So a group of n
-       near copies costs about n comparisons, not n * n, and no link between components is lost.
+       outside it; those with most common shingles come first. A list ends when all its
+       members are in one component. So a group of n near copies costs about n comparisons,
+       not n * n, and no link between components is lost.
 
     Returns per document: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id that is
     reachable), ``kept``.
@@ -117,40 +124,70 @@ def _inverted_lists(classes: DataFrame) -> DataFrame:
     held = F.least("n", F.lit(SKETCH))
     # values that no other class has are the rarest ones
     indexed = held - _least_common(F.col("n")) + 1 - (held - F.size("common"))
-    rare = common.select("class", "n", F.explode(F.slice("common", F.lit(1), F.greatest(F.lit(0), indexed).cast("int"))).alias("c"))
-    return stored(rare.select(F.col("c.value").alias("value"), "class", "n"), "lists")
+    rare = common.select("class", "n", F.size("common").alias("shared"), F.explode(F.slice("common", F.lit(1), F.greatest(F.lit(0), indexed).cast("int"))).alias("c"))
+    return stored(rare.select(F.col("c.value").alias("value"), "class", "n", "shared"), "lists")
+
+
+def _whole_set_lists(hot: DataFrame, bodies: DataFrame, width: int) -> DataFrame:
+    """As ``_inverted_lists``, over the whole sets of the classes in long lists."""
+
+    def shingles(batches):
+        hasher = WordHasher(byte_table(WHITE, lower=True))
+        for batch in batches:
+            for ident, text in zip(batch.column("class"), batch.column("text"), strict=True):
+                found = hashed_shingles(hasher([text.as_py().encode("utf-8", "surrogatepass")])[0], width).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), ident.as_py())), pa.array(np.full(len(found), len(found))), pa.array(found)], names=["class", "n", "value"])
+
+    posts = stored(bodies.join(hot, "class").dropDuplicates(["class"]).mapInArrow(shingles, "class long, n long, value long"), "shingles")
+    counts = stored(posts.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "values")
+    common = posts.join(counts, "value").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("common"))
+    size_class = lambda n: F.floor(F.log(n) / float(np.log(SIZE_STEP))).cast("int")
+    spread = common.withColumn("own", size_class(F.col("n"))).withColumn("other", F.explode(F.sequence(size_class(F.ceil(F.col("n") * 8 / 10)), size_class(F.floor(F.col("n") * 10 / 8)))))
+    smallest = F.greatest(F.ceil(F.col("n") * 8 / 10), F.floor(F.pow(F.lit(SIZE_STEP), F.col("other")) - 1e-6))
+    # sets of n and m shingles with a similarity of 0.8 share 4 / 9 of n + m at least, and 0.8 of the larger
+    overlap = F.greatest(F.ceil((F.col("n") + smallest) * 4 / 9 - 1e-9), F.ceil(F.greatest("n", smallest) * 8 / 10 - 1e-9))
+    indexed = F.greatest(F.lit(0), F.size("common") - overlap + 1).cast("int")
+    rare = spread.select("class", "n", F.size("common").alias("shared"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.explode(F.slice("common", F.lit(1), indexed)).alias("c"))
+    return rare.select(F.xxhash64("c.value", "low", "high").alias("value"), "class", "n", "shared")
 
 
 def _linked(texts, classes, lists, width) -> DataFrame:
     """(class, component) of the classes that have a link."""
-    sizes = lists.groupBy("value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("value")
-    members = stored(lists.join(sizes, "value").withColumn("component", F.col("class")), "lists")
-    needed = stored(members.select("class").distinct().join(classes, "class"), "needed")
+    sizes = stored(lists.groupBy("value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
+    listed = lists.join(sizes, "value")
+    short_lists = listed.filter(F.col("size") <= LONG_LIST).drop("size")
+    hot = stored(listed.filter(F.col("size") > LONG_LIST).select("class").distinct(), "hot")
+    needed = stored(listed.select("class").distinct().join(classes, "class"), "needed")
     bodies = _bodies(texts, needed)
-    short = stored(needed.select("class", "n", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("sketch")), "short")
+    members = stored(short_lists.unionByName(_whole_set_lists(hot, bodies, width)).withColumn("component", F.col("class")), "lists")
+    short = stored(needed.select("class", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("sketch")), "short")
     labels = texts.sparkSession.createDataFrame([], "class long, component long")
     per_list = 1
+    members = _unfinished(members)
     while not members.isEmpty():
         pivots = _pivots(members, per_list)
         pairs = members.join(pivots, "value").filter("component <> pivot_component and 5 * least(n, pivot_n) >= 4 * greatest(n, pivot_n)")
         pairs = stored(pairs.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct(), "pairs")
-        found = _confirmed(_estimated(pairs, short), bodies, width)
-        labels = _relabelled(labels, found)
-        rest = members.join(pivots.select("value", F.col("pivot").alias("class")), ["value", "class"], "left_anti").select("value", "class", "n")
-        rest = stored(rest.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class")), "lists")
-        still = stored(rest.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("value"), "values")
-        members = stored(rest.join(still, "value"), "lists")
+        labels = _relabelled(labels, _confirmed(_estimated(pairs, short), bodies, width))
+        rest = members.join(pivots.select("value", F.col("pivot").alias("class")), ["value", "class"], "left_anti").drop("component")
+        members = _unfinished(stored(rest.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class")), "lists"))
         per_list *= 8
     return labels
 
 
+def _unfinished(members: DataFrame) -> DataFrame:
+    """Members of the lists that still have several components."""
+    several = members.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("value")
+    return stored(members.join(stored(several, "values"), "value"), "lists")
+
+
 def _pivots(members: DataFrame, per_list: int) -> DataFrame:
     """Up to ``per_list`` members of each list, outside its largest component if that has several."""
     parts = members.groupBy("value", "component").agg(F.count(F.lit(1)).alias("size"))
     largest = stored(parts.groupBy("value").agg(F.max(F.struct("size", "component")).alias("top")).filter("top.size > 1").select("value", F.col("top.component").alias("_largest")), "largest")
     small = members.join(largest, "value", "left").filter("_largest is null or component <> _largest")
     slot = F.pmod(F.xxhash64(F.lit(1), "class"), F.lit(per_list)).alias("_slot")
-    picked = small.groupBy("value", slot).agg(F.min(F.struct(F.xxhash64("class"), "class", "component", "n")).alias("p"))
+    picked = small.groupBy("value", slot).agg(F.max(F.struct("shared", F.xxhash64("class"), "class", "component", "n")).alias("p"))
     return stored(picked.select("value", F.col("p.class").alias("pivot"), F.col("p.component").alias("pivot_component"), F.col("p.n").alias("pivot_n")), "pivots")
 
 

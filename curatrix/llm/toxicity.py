@@ -38,7 +38,7 @@ def features(h: np.ndarray, bits: int) -> np.ndarray:
 class Ftrl:
     """Per-coordinate FTRL-proximal (McMahan et al., 2013) for binary features."""
 
-    def __init__(self, size: int, alpha: float = 1.5, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1):
+    def __init__(self, size: int, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.1):
         self.z, self.n = np.zeros(size), np.zeros(size)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
@@ -55,7 +55,7 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS, learner_rows: int = LEARNER_ROWS, bits: int = BITS, epochs: int = 4) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS, learner_rows: int = LEARNER_ROWS, bits: int = BITS, epochs: int = 5) -> np.ndarray:
     """Weights learnt from at most about ``rows`` labelled rows.
 
     The rows are dealt to learners of about ``learner_rows`` each by a hash; a learner is
@@ -89,11 +89,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return weights
 
 
-def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
+def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bits: int = BITS, carry: bool = False) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` (0 to 1) and ``predicted`` of each whole text.
 
     * A null or empty text has no features and takes the score of the bias alone.
     * Repeated rows get equal scores; a null id is returned as null and is not held out.
+    * With ``carry`` the input row comes along as the struct ``row``.
     """
     at = np.flatnonzero(weights).astype(np.int32)
     held = docs.sparkSession.sparkContext.broadcast((len(weights), at, weights[at]))
@@ -111,14 +112,14 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
 
         return work
 
-    marked = id_and_text(docs, id_col, text_col).select("doc_id", held_out("doc_id").alias("held_out"), "text")
+    marked = id_and_text(docs, id_col, text_col, carry).withColumn("held_out", held_out("doc_id"))
     return map_texts(marked, prepare, "score double, predicted int")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS, threshold: float = THRESHOLD, carry: bool = False) -> DataFrame:
     """Fits on the labelled rows that are not held out and scores every text.
 
     Without labelled rows all weights are zero and each score is 0.5. Unknown labels and
     labels of unknown ids are left out; of repeated labels the larger one counts.
     """
-    return score(docs, fit(docs, labels, id_col, text_col, label_col, rows), id_col, text_col, threshold)
+    return score(docs, fit(docs, labels, id_col, text_col, label_col, rows), id_col, text_col, threshold, carry=carry)

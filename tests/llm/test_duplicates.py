@@ -36,7 +36,7 @@ def components(corpus, width):
     sets = {i: minhash.shingle_set(minhash.shingle_words(t), width) for i, t in corpus}
     low = {i: i for i in sets}
     ids = sorted(sets)
-    for changed in iter(lambda: [1], None):
+    while True:
         changed = False
         for a in ids:
             for b in ids:
@@ -47,8 +47,10 @@ def components(corpus, width):
             return {i: (len(sets[i]), low[i], low[i] == i) for i in ids}
 
 
-@pytest.mark.parametrize("width", [2, 5])
-def test_near_components(docs, corpus, width):
+@pytest.mark.parametrize(("width", "long_list"), [(2, 32), (5, 32), (2, 2)])
+def test_near_components(docs, corpus, width, long_list, monkeypatch):
+    """With 2, nearly all lists are long."""
+    monkeypatch.setattr(minhash, "LONG_LIST", long_list)
     got = {r.doc_id: tuple(r)[1:] for r in minhash.near_duplicates(docs, width=width).collect()}
     assert got == components(corpus, width)
 
