@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stage_column_stats
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -34,6 +34,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_side(table: DataFrame, limit: int = 8 << 20) -> DataFrame:
+    """A stored table as the broadcast side of a join if its files are at most ``limit`` bytes; else as it is.
+
+    Beyond the limit Spark joins by key, which needs the other side's rows shuffled.
+    """
+    size = stage_column_stats(table)
+    return F.broadcast(table) if size is not None and size <= limit else table
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
     """Only the two columns an operator works on, so no other column can clash with its own.
 

@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_texts, stored
+from .common import id_and_text, map_texts, small_side, stored
 from .wordhash import WHITE, WordHasher, byte_table, mixed, slice_hashes
 
 WINDOW = 13
-ROUNDS = 3
+ROUNDS = 2
 #: Bytes of the filter of repeated names that each task holds.
 FILTER_BYTES = 32 << 20
 PAGE_BITS = 15
@@ -38,8 +38,9 @@ def window_keys(h: np.ndarray, first: np.ndarray, width: int, rounds: int = ROUN
     except next to the window's ends, where names outside may take part: a right name at
     the left end may be joined with its left neighbour, a left name at the right end with
     its right one. ``left`` and ``right`` hold, for each window, the part that no name
-    outside can change. The key is the first name in that part, at the highest level at
-    which there is one; without any (long runs), it is the name of the whole window.
+    outside can change. The key is the longest pair of neighbours in that part, or its one
+    name, at the highest level at which there is one; without any (long runs), it is the
+    name of the whole window.
 
     Returns one key per word position; those of windows that leave their text are not valid.
     """
@@ -63,7 +64,7 @@ def window_keys(h: np.ndarray, first: np.ndarray, width: int, rounds: int = ROUN
         begins[starts] = np.arange(len(starts))
         stops[starts + sizes] = np.arange(len(starts))
         at = begins[left[inside]]
-        keys[inside] = mixed(names[longest(at, right[inside], starts, sizes)] + np.uint64(level + 1))
+        keys[inside] = mixed(best_names(at, right[inside], starts, sizes, names) + np.uint64(level + 1))
         if level == rounds:
             break
         to_right = (mixed(names + np.uint64(0xD1B54A32D192ED03 * (level + 1) & 0xFFFFFFFFFFFFFFFF)) & np.uint64(1)).astype(bool)
@@ -79,19 +80,25 @@ def window_keys(h: np.ndarray, first: np.ndarray, width: int, rounds: int = ROUN
     return keys
 
 
-def longest(at: np.ndarray, right: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Of the names from ``at`` on that end by ``right``, the longest; the first of equals."""
-    best, step = at.copy(), at
-    while True:
-        step = np.minimum(step + 1, len(starts) - 1)
-        more = starts[step] + sizes[step] <= right
-        more &= step > at
-        if not more.any():
-            return best
-        better = more & (sizes[step] > sizes[best])
-        best[better] = step[better]
-        if (step == len(starts) - 1).all():
-            return best
+def best_names(at: np.ndarray, right: np.ndarray, starts: np.ndarray, sizes: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Of the names and pairs of neighbours from ``at`` on that end by ``right``, one name of the longest; the first of equals."""
+    ends, n = starts + sizes, len(starts)
+    best, length, pair = at.copy(), sizes[at].copy(), np.zeros(len(at), bool)
+    step, open_ = at, np.arange(len(at))
+    while len(open_):
+        s = step[open_]
+        size = sizes[s]
+        after = np.minimum(s + 1, n - 1)
+        both = (after > s) & (ends[after] <= right[open_])
+        size = np.where(both, ends[after] - starts[s], size)
+        better = size > length[open_]
+        w = open_[better]
+        best[w], length[w], pair[w] = s[better], size[better], both[better]
+        open_ = open_[both]
+        step = step.copy()
+        step[open_] += 1
+    found = names[best]
+    return np.where(pair, mixed(found * np.uint64(0x9E3779B97F4A7C15) + names[np.minimum(best + 1, n - 1)]), found)
 
 
 def window_names(h: np.ndarray, width: int) -> np.ndarray:
@@ -115,15 +122,17 @@ def windows(batch: pa.RecordBatch, hasher: WordHasher, width: int) -> Iterator[t
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, rounds: int = ROUNDS, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """Removes each word covered by a window of ``width`` words that also starts in a document with a smaller id.
 
-    1. Recompression gives each window a symbol inside it that equal windows share (see
+    1. Of equal texts only the first is worked on; the others lose all words, if they have
+       a window. The texts that may be copies are told by a filter of fixed size.
+    2. Recompression gives each window a symbol inside it that equal windows share (see
        ``window_keys``). A text has about one distinct symbol per four words.
-    2. Spark counts the symbols by document; those of two documents or more are set in a
+    3. Spark counts the symbols by document; those of two documents or more are set in a
        filter of fixed size, which all tasks hold. A filter that is too small for its
        table lets more windows through, but never loses one.
-    3. Windows whose symbol is in the filter are compared by their own 96-bit names: the
+    4. Windows whose symbol is in the filter are compared by their own 80-bit names: the
        smallest id is aggregated map-side and joined back, so that a window of very many
-       documents can be split. Names are computed again rather than stored.
-    4. The positions found return to their texts.
+       documents can be split.
+    5. The positions found return to their texts.
 
     Returns per document: ``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256``,
     ``kept_text`` (kept words joined by one space), ``removed`` (runs of removed words,
@@ -134,8 +143,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     * Rows repeated under one id are one document: they do not repeat each other, and a
       position found in one of them is removed from all.
     """
-    texts = id_and_text(docs, id_col, text_col)
-    named = texts.filter("doc_id is not null")
+    texts = id_and_text(docs, id_col, text_col).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
+    known = texts.filter("doc_id is not null and text is not null")
+    groups = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
+    groups = stored(groups.select("h1", "h2", "low"), "copies")
+    copied = _bit_filter(groups.select(F.col("h1").alias("symbol")), filter_bytes)
+    firsts = known.mapInArrow(_split(copied, True), known.schema).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text")).alias("m"))
+    firsts = stored(firsts.select("m.doc_id", "m.text"), "firsts")
+    singles = known.mapInArrow(_split(copied, False), known.schema).select("doc_id", "text")
     table = byte_table(WHITE, lower=False)
 
     def symbols(batches):
@@ -145,43 +160,41 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
             for row, h, _, at, first in windows(batch, hasher, width):
                 if len(at):
                     pairs = np.stack([ids[row[at]].view(np.uint64), window_keys(h, first, width, rounds)[at]])
-                    order = np.lexsort(pairs[::-1])
-                    pairs = pairs[:, order]
+                    pairs = pairs[:, np.lexsort(pairs[::-1])]
                     fresh = np.append(True, (pairs[:, 1:] != pairs[:, :-1]).any(axis=0))
                     out = pairs[:, fresh].view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(out[1]), pa.array(out[0])], names=["symbol", "doc_id"])
 
-    counted = named.mapInArrow(symbols, "symbol long, doc_id long").groupBy("symbol").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    shared = _symbol_filter(counted.filter("low < high").select("symbol"), filter_bytes)
-
-    def candidates(place: bool) -> Callable:
-        def run(batches):
-            hasher, bits = WordHasher(table), np.frombuffer(shared.value, np.uint8)
-            for batch in batches:
-                ids = batch.column("doc_id").to_numpy()
-                for row, h, position, at, first in windows(batch, hasher, width):
-                    if len(at):
-                        at = at[in_filter(bits, window_keys(h, first, width, rounds)[at])]
-                    if len(at):
-                        name, check = window_names(h, width)[at].view(np.int64), (window_names(~h, width)[at] >> np.uint64(33)).astype(np.int32)
-                        arrays = [pa.array(name), pa.array(check), pa.array(ids[row[at]])]
-                        if place:
-                            arrays.append(pa.array(position[at].astype(np.int32)))
-                        yield pa.RecordBatch.from_arrays(arrays, names=["name", "check", "doc_id", "position"][: len(arrays)])
-
-        return run
-
-    fields = "name long, check int, doc_id long"
-    lowest = named.mapInArrow(candidates(False), fields).groupBy("name", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    lowest = stored(lowest.filter("low < high").select("name", "check", "low"), "windows")
-    again = named.mapInArrow(candidates(True), fields + ", position int")
-    found = again.join(lowest, ["name", "check"]).filter("low < doc_id").groupBy("doc_id").agg(F.collect_list("position").alias("positions"))
-    found = stored(found.withColumnRenamed("doc_id", "_id"), "positions")
-    marked = texts.join(found, F.col("doc_id") == F.col("_id"), "left").select("doc_id", F.struct("text", "positions").alias("text"))
+    both = lambda run, schema: singles.mapInArrow(run, schema).unionByName(firsts.mapInArrow(run, schema))
+    counted = both(symbols, "symbol long, doc_id long").groupBy("symbol").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    shared = _bit_filter(counted.filter("low < high").select("symbol"), filter_bytes)
+
+    def candidates(batches):
+        hasher, bits = WordHasher(table), np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
+            for row, h, position, at, first in windows(batch, hasher, width):
+                if len(at):
+                    at = at[in_filter(bits, window_keys(h, first, width, rounds)[at])]
+                if len(at):
+                    check = (window_names(~h, width)[at] >> np.uint64(48)).astype(np.uint16).view(np.int16)
+                    arrays = [pa.array(window_names(h, width)[at].view(np.int64)), pa.array(check), pa.array(ids[row[at]]), pa.array(position[at].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["name", "check", "doc_id", "position"])
+
+    named = stored(both(candidates, "name long, check short, doc_id long, position int"), "windows")
+    lowest = named.groupBy("name", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    lowest = stored(lowest.filter("low < high").select("name", "check", "low"), "repeated")
+    found = named.join(lowest, ["name", "check"]).filter("low < doc_id").groupBy("doc_id").agg(F.collect_list("position").alias("positions"))
+    later = known.select("doc_id", "h1", "h2").join(groups, ["h1", "h2"]).filter("low < doc_id").select("doc_id").distinct()
+    runs = "array<struct<first:int,last:int>>"
+    gone = found.mapInArrow(_runs(width), f"doc_id long, runs {runs}").withColumn("copy", F.lit(False))
+    gone = gone.unionByName(later.select("doc_id", F.lit(None).cast(runs).alias("runs"), F.lit(True).alias("copy")))
+    gone = small_side(stored(gone.withColumnRenamed("doc_id", "_id"), "removed"))
+    marked = texts.join(gone, F.col("doc_id") == F.col("_id"), "left").select("doc_id", F.struct("text", "runs", "copy").alias("text"))
 
     def prepare():
         def work(rows: list) -> dict:
-            done = [cut_words(words_of(r["text"]), r["positions"], width) for r in rows]
+            done = [cut_words(words_of(r["text"]), r["runs"] or [], width if r["copy"] else 0) for r in rows]
             return {
                 "n_words": [d[0] for d in done],
                 "n_removed": [d[1] for d in done],
@@ -195,22 +208,48 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     return map_texts(marked, prepare, "n_words long, n_removed long, kept_sha256 string, kept_text string, removed array<struct<first:int,last:int>>")
 
 
-def cut_words(words: list[bytes], positions: list[int] | None, width: int) -> tuple[int, int, bytes, list]:
-    """(words, removed words, kept text, removed runs) of one text."""
-    if not positions:
-        return len(words), 0, b" ".join(words), []
-    edge = np.zeros(len(words) + width + 1, np.int64)
-    at = np.unique(np.array(positions))
-    at = at[at < len(words)]
-    edge[at] += 1
-    edge[at + width] -= 1
-    gone = np.cumsum(edge)[: len(words)] > 0
-    change = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-    runs = [{"first": int(a), "last": int(b) - 1} for a, b in zip(change[0::2], change[1::2], strict=True)]
-    return len(words), int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g), runs
+def _runs(width: int) -> Callable:
+    """Runs of words that the windows at ``positions`` cover."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for got in batch.column("positions"):
+                at = np.unique(got.values.to_numpy())
+                cut = np.flatnonzero(np.diff(at) > width) + 1
+                out.append([{"first": int(p[0]), "last": int(p[-1]) + width - 1} for p in np.split(at, cut)])
+            kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kind)], names=["doc_id", "runs"])
+
+    return run
+
+
+def cut_words(words: list[bytes], runs: list[dict], copy_width: int) -> tuple[int, int, bytes, list]:
+    """(words, removed words, kept text, removed runs) of one text; a copy loses all words if it has a window."""
+    if copy_width:
+        runs = [{"first": 0, "last": len(words) - 1}] if len(words) >= copy_width else []
+    runs = [{"first": r["first"], "last": min(r["last"], len(words) - 1)} for r in runs if r["first"] < len(words)]
+    kept, at = [], 0
+    for r in runs:
+        kept += words[at : r["first"]]
+        at = r["last"] + 1
+    kept += words[at:]
+    return len(words), len(words) - len(kept), b" ".join(kept), runs
+
+
+def _split(held, inside: bool) -> Callable:
+    """Rows whose text hash is in the filter, or those whose is not."""
+
+    def run(batches):
+        bits = np.frombuffer(held.value, np.uint8)
+        for batch in batches:
+            found = in_filter(bits, batch.column("h1").to_numpy().view(np.uint64))
+            yield batch.filter(pa.array(found if inside else ~found))
+
+    return run
 
 
-def _symbol_filter(symbols: DataFrame, filter_bytes: int):
+def _bit_filter(symbols: DataFrame, filter_bytes: int):
     """Broadcast bit array with a bit for each symbol; pages of it are built by Spark.
 
     A page never has more than ``2 ** PAGE_BITS`` positions, and all pages together are
