@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.llm import decontam, exact, minhash, pieces, toxicity
-from curatrix.llm.common import stored
+from curatrix.llm.common import small_side, stored
 
 #: The model stage has no SQL form; tests/llm compares the pipeline with a plain version.
 ORACLE_SQL = None
@@ -20,7 +20,7 @@ ORACLE_SQL = None
 def keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose id is among the ids of ``verdicts``."""
     ids = stored(verdicts.select(F.col("doc_id").alias("_kept_id")).distinct(), "kept")
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    return docs.join(small_side(ids), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
