@@ -12,7 +12,7 @@ from ..functions import text as tx
 from ..session import cut_lineage
 from .keyed import global_rank, spread
 from .normalize import STREET_TYPES, build_full_address
-from .sizes import maybe_broadcast, small_enough
+from .rules import contained_in_text
 
 
 def match_street(df: DataFrame, addr: DataFrame, key: str, location: str) -> DataFrame:
@@ -22,41 +22,6 @@ def match_street(df: DataFrame, addr: DataFrame, key: str, location: str) -> Dat
     return probe.join(a, "_num").filter(F.contains("_loc", "street_name")).groupBy(key).agg(F.min("address_id").alias("address_id"))
 
 
-def alias_match(df: DataFrame, rules: DataFrame, key: str, texts: list[str]) -> DataFrame:
-    """First alias rule that fits a row: exact text first, then specific aliases inside the text.
-
-    ``rules``: rule_order, rule_name, alias, source_equals, url_contains, address_id,
-    street_number, postal_code. A rule whose street number or postal code contradicts
-    the row is reported as skipped_conflict and not applied. The rule list is one array
-    column, so rows stay where they are.
-    """
-    small_enough(rules, "alias rules")
-    packed = rules.select(F.struct(
-        "rule_order", tx.alias_text("alias").alias("alias"), "rule_name", F.lower(tx.text("source_equals")).alias("src"),
-        F.lower(tx.text("url_contains")).alias("url"), "address_id", F.lower(tx.text("street_number")).alias("num"),
-        F.upper(F.regexp_replace(tx.text("postal_code"), r"\s", "")).alias("post"),
-    ).alias("r")).filter("r.alias <> ''").agg(F.array_sort(F.collect_list("r")).alias("_rules"))
-    cand = F.filter(F.array(*[tx.alias_text(t) for t in texts]), lambda t: t != "")
-    have = set(df.columns)
-
-    def get(c):
-        return tx.text(c) if c in have else F.lit("")
-
-    rows = df.join(F.broadcast(packed)).withColumns({"_cand": cand, "_src": F.lower(get("source")), "_url": F.lower(get("url"))})
-    ctx = F.filter("_rules", lambda r: ((r["src"] == "") | (r["src"] == F.col("_src"))) & ((r["url"] == "") | F.contains(F.col("_url"), r["url"])))
-    exact = F.get(F.filter("_ctx", lambda r: F.array_contains(F.col("_cand"), r["alias"])), F.lit(0))
-    specific = F.get(F.filter("_ctx", lambda r: (
-        (F.length(r["alias"]) >= 10) | F.contains(r["alias"], F.lit(" "))) & F.exists("_cand", lambda t: F.contains(t, r["alias"]))), F.lit(0))
-    hit = rows.withColumn("_ctx", ctx).withColumns({"_e": exact, "_s": specific}).withColumn("_m", F.coalesce("_e", "_s")).filter(F.col("_m").isNotNull())
-    num, post = F.lower(get("street_number")), F.upper(F.regexp_replace(get("postal_code"), r"\s", ""))
-    conflict = ((num != "") & (F.col("_m.num") != "") & (num != F.col("_m.num"))) | ((post != "") & (F.col("_m.post") != "") & (post != F.col("_m.post")))
-    return hit.select(
-        key, F.col("_m.address_id").alias("address_id"), F.col("_m.rule_name").alias("rule_name"), F.col("_m.alias").alias("matched_alias"),
-        F.when(F.col("_e").isNotNull(), "exact").otherwise("substring").alias("match_type"),
-        F.when(conflict, "skipped_conflict").otherwise("applied").alias("decision"),
-    )
-
-
 def name_keys(c: Column | str) -> Column:
     """Join keys of a venue name: its distinguishing tokens, or all its words when it has none."""
     plain = F.regexp_extract_all(F.lower(tx.text(c)), F.lit("[a-z0-9]+"), F.lit(0))
@@ -221,58 +186,6 @@ def cache_insert(cache: DataFrame, fresh: DataFrame) -> DataFrame:
     return cache.select("raw_location", "address_id").unionByName(new)
 
 
-def contained_in_text(docs: DataFrame, doc_key: str, body: str, needles: DataFrame, needle_key: str, needle: str, lower: bool = True) -> DataFrame:
-    """(doc_key, needle_key) pairs where the document contains the needle literally.
-
-    Each needle is looked up by one word: an inner word stands whole in any text that
-    contains the needle, its first word ends a word of the text, its last word begins
-    one, and a lone word lies inside one. The words of a text are exploded into exactly
-    the kinds and lengths that occur among the needles and joined by equality, so the
-    work grows with the text, not with text times needles. Needles without any word are
-    tested in place and must be few.
-    """
-    def fold(c):
-        return F.lower(c) if lower else c
-
-    word = r"[\p{L}\p{N}]+"
-    n = needles.select(needle_key, fold(F.col(needle)).alias("_n")).filter("_n <> ''")
-    inner = F.regexp_extract_all(F.regexp_replace("_n", r"^[\p{L}\p{N}]*|[\p{L}\p{N}]*$", ""), F.lit(word), F.lit(0))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
-    head, tail = F.regexp_extract("_n", rf"^({word})", 1), F.regexp_extract("_n", rf"({word})$", 1)
-    use_tail = (tail != "") & ((head == "") | (F.length(tail) >= F.length(head)))
-    key = (
-        F.when(longest.isNotNull(), F.struct(F.lit("w").alias("k"), longest.alias("t")))
-        .when((head != "") & (head == F.col("_n")), F.struct(F.lit("x").alias("k"), head.alias("t")))
-        .when(use_tail, F.struct(F.lit("p").alias("k"), tail.alias("t")))
-        .when(head != "", F.struct(F.lit("s").alias("k"), head.alias("t")))
-    )
-    keyed = n.withColumn("_key", key)
-    index = keyed.filter("_key is not null").select(needle_key, "_n", F.concat_ws(":", "_key.k", "_key.t").alias("_w"), F.col("_key.k").alias("_k"), F.length("_key.t").alias("_l"))
-    shapes = index.filter("_k <> 'w'").agg(F.collect_set(F.struct(F.col("_k").alias("k"), F.col("_l").alias("l"))).alias("_shapes"))
-    none = F.array().cast("array<string>")
-
-    def keys_of(t, s):
-        size, end = s["l"], F.length(t)
-        return (
-            F.when(end < size, none)
-            .when(s["k"] == "p", F.array(F.concat(F.lit("p:"), F.substring(t, F.lit(1), size))))
-            .when(s["k"] == "s", F.array(F.concat(F.lit("s:"), F.substring(t, end - size + 1, size))))
-            .otherwise(F.transform(F.sequence(F.lit(1), end - size + 1), lambda i: F.concat(F.lit("x:"), F.substring(t, i, size))))
-        )
-
-    d = docs.select(doc_key, fold(F.col(body)).alias("_b"))
-    words = d.select(doc_key, F.explode(F.array_distinct(F.regexp_extract_all("_b", F.lit(word), F.lit(0)))).alias("_t"))
-    probes = words.join(F.broadcast(shapes)).select(doc_key, F.explode(F.concat(
-        F.array(F.concat(F.lit("w:"), "_t")), F.flatten(F.transform("_shapes", lambda s: keys_of(F.col("_t"), s))))).alias("_w"))
-    met = probes.join(maybe_broadcast(index.select(needle_key, "_n", "_w")), "_w").select(doc_key, needle_key, "_n").distinct()
-    hits = met.join(d, doc_key).filter(F.contains("_b", "_n")).select(doc_key, needle_key)
-    bare = keyed.filter("_key is null").select(F.struct("_n", needle_key).alias("x"))
-    small_enough(bare, "needles without words")
-    packed = bare.agg(F.collect_list("x").alias("_list"))
-    near = d.join(F.broadcast(packed)).select(doc_key, F.explode(F.filter("_list", lambda x: F.contains(F.col("_b"), x["_n"]))).alias("x")).select(doc_key, f"x.{needle_key}")
-    return hits.unionByName(near)
-
-
 def name_in_text(df: DataFrame, addr: DataFrame, key: str, body: str, partial: Callable = fz.partial_ratio, threshold: float = 80) -> DataFrame:
     """(key, address_id, how): a building name contained in the text, else the closest one above the threshold.
 
@@ -286,7 +199,7 @@ def name_in_text(df: DataFrame, addr: DataFrame, key: str, body: str, partial: C
     rest = df.join(exact, key, "left_anti").select(key, F.lower(tx.text(body)).alias("_b"))
     probe = rest.select(key, F.explode(tx.venue_tokens("_b")).alias("_t"))
     index = names.filter(F.length("name") >= 6).select("name", "address_id", F.explode(tx.venue_tokens("name")).alias("_t"))
-    pairs = probe.join(maybe_broadcast(index), "_t").select(key, "name", "address_id").distinct()
+    pairs = probe.join(index, "_t").select(key, "name", "address_id").distinct()
     scored = pairs.join(rest, key).withColumn("_s", partial(F.col("name"), F.col("_b"))).filter(F.col("_s") > threshold)
     fuzzy = scored.groupBy(key).agg(F.max_by("address_id", F.struct("_s", -F.col("address_id"))).alias("address_id")).withColumn("how", F.lit("fuzzy"))
     return exact.unionByName(fuzzy)

@@ -16,7 +16,7 @@ from ..functions import urls as u
 from .gates import low_quality_location_penalty
 from .graph import connected_components
 from .keyed import spread, with_group_agg
-from .sizes import maybe_broadcast
+from .rules import source_penalties
 
 
 def name_pairs(names: DataFrame, block: Sequence[str], name: str, key: str, threshold: float, score: Callable = fz.indel_ratio) -> DataFrame:
@@ -99,14 +99,9 @@ def canonical_score(df: DataFrame, addresses: DataFrame, penalties: DataFrame) -
     ``penalties``: source_equals, source_contains, penalty. Rows without a location score -infinity.
     """
     a = addresses.select(F.col("address_id").alias("_a"), F.col("postal_code").isNotNull().alias("_post"))
-    p = penalties.agg(F.collect_list(F.struct(
-        F.lower(tx.text("source_equals")).alias("eq"), F.lower(tx.text("source_contains")).alias("has"), F.col("penalty").cast("double").alias("w")
-    )).alias("_pen"))
-    j = df.join(maybe_broadcast(a), df["address_id"] == a["_a"], "left").join(F.broadcast(p))
     src = F.lower(tx.text("source"))
-
-    def hit(r):
-        return (src != "") & (((r["eq"] != "") & (src == r["eq"])) | ((r["has"] != "") & F.contains(src, r["has"])))
+    weights = source_penalties(df.select(src.alias("_t")), penalties)
+    j = df.join(a, df["address_id"] == a["_a"], "left").join(weights, src == F.col("_t"), "left")
 
     score = (
         low_quality_location_penalty("location")
@@ -119,9 +114,9 @@ def canonical_score(df: DataFrame, addresses: DataFrame, penalties: DataFrame) -
     for c in ("source", "dance_style", "event_type", "start_sec", "url"):
         score = score + F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", 0.5).otherwise(0.0)
     score = score + F.coalesce(F.length("description") * 0.01, F.lit(0.0))
-    score = score - F.aggregate(F.filter("_pen", hit), F.lit(0.0), lambda acc, r: acc + r["w"])
+    score = score - F.coalesce("_penalty", F.lit(0.0))
     missing = F.coalesce(F.col("location"), F.lit("")) == ""
-    return j.withColumn("score", F.when(missing, F.lit(float("-inf"))).otherwise(score)).drop("_a", "_post", "_pen")
+    return j.withColumn("score", F.when(missing, F.lit(float("-inf"))).otherwise(score)).drop("_a", "_post", "_t", "_penalty")
 
 
 def mark_canonical(df: DataFrame, cluster: str, key: str = "event_id", score: str = "score") -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import urls as u
 from .keyed import top_per_key
-from .sizes import maybe_broadcast, small_enough
 
 # Names that say nothing about the event.
 EMPTY_NAMES = (
@@ -165,21 +164,13 @@ def enforce_event_url(df: DataFrame, default_url, parent_url, source, blocked_ho
     ).drop("_final")
 
 
-def anti_contains(df: DataFrame, needles: DataFrame, column: str = "url", needle: str = "domain") -> DataFrame:
-    """Drop rows whose text contains any listed domain; the list rides along as an array."""
-    small_enough(needles, "domain list")
-    words = needles.agg(F.collect_set(F.lower(F.trim(needle))).alias("_list"))
-    low = F.lower(F.col(column))
-    return df.join(F.broadcast(words)).filter(~F.exists("_list", lambda w: F.contains(low, w))).drop("_list")
-
-
 def prefix_semi(df: DataFrame, roots: DataFrame, column: str = "url", root: str = "root") -> DataFrame:
     """Rows whose URL equals a root or lies under it (same scheme and host, path prefix)."""
     r = roots.select(u.url_compare_key(root).alias("_rk")).distinct()
     r = r.select(u.scheme("_rk").alias("_rs"), u.netloc("_rk").alias("_rh"), u.path("_rk").alias("_rp"))
     keyed = df.withColumn("_k", u.url_compare_key(column)).withColumns({"_s": u.scheme("_k"), "_h": u.netloc("_k"), "_p": u.path("_k")})
     cond = (F.col("_s") == F.col("_rs")) & (F.col("_h") == F.col("_rh")) & F.startswith(F.col("_p"), F.col("_rp"))
-    return keyed.join(maybe_broadcast(r), cond, "left_semi").drop("_k", "_s", "_h", "_p")
+    return keyed.join(r, cond, "left_semi").drop("_k", "_s", "_h", "_p")
 
 
 def is_foreign(texts: Sequence[str], countries: Iterable[str], blocked_cities: Iterable[str] = ()) -> Column:
@@ -207,7 +198,7 @@ def too_far_future(as_of: Column, days: int = 270) -> Column:
 def dud_reason(ev: DataFrame, addr: DataFrame, province: str = "BC", country: str = "CA") -> DataFrame:
     """Adds ``reason`` for rows that carry no usable content or lie outside the region."""
     a = addr.select(F.col("address_id").alias("_aid"), F.col("province_or_state").alias("_prov"), F.col("country_id").alias("_ctry"))
-    joined = ev.join(maybe_broadcast(a), ev["address_id"] == a["_aid"], "left")
+    joined = ev.join(a, ev["address_id"] == a["_aid"], "left")
     reason = (
         F.when((F.col("source") == "") & (F.col("dance_style") == "") & (F.col("url") == "") & F.col("address_id").isNull(),
                "empty_source_dance_style_url_no_address")

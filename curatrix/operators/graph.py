@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
-def connected_components(pairs: DataFrame, left: str, right: str, max_rounds: int = 50) -> DataFrame:
+def connected_components(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """(id, component): transitive groups, named by their smallest id.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014). Each step is a
@@ -19,14 +19,10 @@ def connected_components(pairs: DataFrame, left: str, right: str, max_rounds: in
     edges = pairs.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).filter("u <> v").distinct()
     edges = cut_lineage(edges)
     state = _fingerprint(edges)
-    for _ in range(max_rounds):
+    before = None
+    while state != before:
         edges = cut_lineage(_small_star(_large_star(edges)))
-        now = _fingerprint(edges)
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        before, state = state, _fingerprint(edges)
     members = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return members.unionByName(roots)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import urls as u
 from .keyed import spread, top_per_key
-from .sizes import maybe_broadcast
 
 
 def crawl_decisions(
@@ -48,7 +47,7 @@ def crawl_decisions(
     cmp_keys = base.select(F.col("link").alias("_wl"), u.url_compare_key("_n").alias("_c"))
     listed = (
         cmp_keys.withColumns({"_s": u.scheme("_c"), "_h": u.netloc("_c"), "_p": u.path("_c")})
-        .join(maybe_broadcast(roots), (F.col("_s") == F.col("_rs")) & (F.col("_h") == F.col("_rh")) & F.startswith("_p", "_rp"), "left_semi")
+        .join(roots, (F.col("_s") == F.col("_rs")) & (F.col("_h") == F.col("_rh")) & F.startswith("_p", "_rp"), "left_semi")
         .select("_wl").withColumn("_white", F.lit(True))
     )
     j = base.withColumn("_ck", u.url_compare_key("_n"))
@@ -185,7 +184,7 @@ def fill_missing(df: DataFrame, rules: DataFrame, key: str, text_column: str) ->
         F.concat_ws(", ", tx.text("_r.match_text"), F.col("_r.full_text")))
     missing = df.withColumn("_q", F.when(F.col(key).isNull(), F.lower(tx.text(text_column))))
     hit = F.col("_m").isNotNull()
-    return missing.join(maybe_broadcast(r), missing["_q"] == r["_m"], "left").withColumns({
+    return missing.join(r, missing["_q"] == r["_m"], "left").withColumns({
         key: F.coalesce(key, F.col("_r.key_value")), text_column: F.when(hit, full).otherwise(F.col(text_column)), "filled": hit,
     }).drop("_q", "_m", "_r")
 

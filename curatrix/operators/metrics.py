@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from .keyed import top_per_key
-from .sizes import maybe_broadcast, small_enough
+from .rules import related_names
 
 
 def pct(part: Column, whole: Column, digits: int = 2) -> Column:
@@ -110,17 +110,10 @@ def top_k(df: DataFrame, column: str, k: int) -> DataFrame:
 
 def source_presence(df: DataFrame, column: str, required: DataFrame, name: str = "required_source") -> DataFrame:
     """Each required source with the rows of the sources whose name contains it or is contained in it."""
-    small_enough(required, "required sources")
     counts = count_by(df, column)
     names = required.select(name).distinct()
-    packed = names.agg(F.collect_list(name).alias("_names"))
-
-    def related(n):
-        return F.contains(F.col(column), n) | F.contains(n, F.col(column))
-
-    # the list is one row; each distinct source is tested against it in place
-    hits = counts.join(F.broadcast(packed)).select(F.explode(F.filter("_names", related)).alias(name), "counted")
-    found = hits.groupBy(name).agg(F.sum("counted").alias("rows"))
+    related = related_names(counts.filter(F.col(column).isNotNull()), column, names, name)
+    found = related.join(counts, column).groupBy(name).agg(F.sum("counted").alias("rows"))
     return names.join(found, name, "left").withColumn("rows", F.coalesce("rows", F.lit(0))).withColumn("present", F.col("rows") > 0)
 
 
@@ -193,7 +186,7 @@ def training_queue(replay: DataFrame, labels: DataFrame, review_categories=CLASS
     def gaps(column, out):
         counts = labels.filter(~tx.blank(column)).groupBy(F.col(column).alias(f"_{out}")).agg(F.count(F.lit(1)).alias(f"_{out}_n"))
         top = counts.agg(F.coalesce(F.max(f"_{out}_n"), F.lit(0)).alias(f"_{out}_max"))
-        return maybe_broadcast(counts), F.broadcast(top)
+        return counts, F.broadcast(top)
 
     arch, arch_max = gaps("reviewed_archetype", "arch")
     own, own_max = gaps("reviewed_owner", "own")
@@ -571,7 +564,7 @@ def run_delta(observations: DataFrame, definitions: DataFrame) -> DataFrame:
     w = Window.partitionBy("metric").orderBy("run")
     d = observations.withColumn("previous", F.lag("value").over(w)).withColumn("delta", F.col("value") - F.col("previous"))
     better = F.when(F.col("higher_is_better"), F.col("delta") > 0).otherwise(F.col("delta") < 0)
-    return d.join(maybe_broadcast(definitions), "metric").withColumn(
+    return d.join(definitions, "metric").withColumn(
         "direction",
         F.when(F.col("previous").isNull(), "new").when(F.col("delta") == 0, "unchanged").when(better, "improved").otherwise("regressed"),
     )
@@ -637,7 +630,7 @@ def failure_summary(failures: DataFrame, important: DataFrame) -> DataFrame:
     """Failures per type, stage and importance with their rate over all important URLs of that class."""
     base = important.groupBy("importance").agg(F.count(F.lit(1)).alias("total"))
     f = failures.groupBy("failure_type", "failure_stage", "importance").agg(F.count(F.lit(1)).alias("failures"))
-    return f.join(maybe_broadcast(base), "importance", "left").withColumn("failure_pct", pct(F.col("failures"), F.col("total")))
+    return f.join(base, "importance", "left").withColumn("failure_pct", pct(F.col("failures"), F.col("total")))
 
 
 def integrity_counts(fact: DataFrame, dim: DataFrame, key: str, dim_key: str, name: str, full: str) -> DataFrame:
@@ -652,7 +645,7 @@ def integrity_counts(fact: DataFrame, dim: DataFrame, key: str, dim_key: str, na
 
 def guardrails(metrics: DataFrame, limits: DataFrame) -> DataFrame:
     """Metric rows outside their limits. ``limits``: metric, direction (min|max), threshold."""
-    j = metrics.join(maybe_broadcast(limits), "metric")
+    j = metrics.join(limits, "metric")
     bad = F.when(F.col("direction") == "min", F.col("value") < F.col("threshold")).otherwise(F.col("value") > F.col("threshold"))
     return j.filter(bad)
 

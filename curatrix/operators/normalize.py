@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls as u
-from .sizes import small_enough
 
 # Registered delete reasons.
 DELETE_REASONS = (
@@ -46,30 +45,6 @@ def evidence_tags(df: DataFrame, vocabulary, applies: Column, evidence: Iterable
     return df.withColumn(out, F.when(applies, tx.evidence_terms(body, vocabulary)).otherwise(F.col(out)))
 
 
-def tag_by_keywords(df: DataFrame, keywords: DataFrame, evidence: Iterable[str], out: str, key: str) -> DataFrame:
-    """Set ``out`` to all keywords found in the evidence columns, with a changed flag.
-
-    The keyword list becomes one array column, so a row is tested in place: no pairs
-    are built and the text is never shuffled. ``keywords`` is a curated list; its
-    size is checked before it is broadcast.
-    """
-    words = keywords.select(F.lower("keyword").alias("k")).distinct().agg(F.array_sort(F.collect_list("k")).alias("_kw"))
-    small_enough(keywords, "keyword list")
-    bodies = [F.lower(tx.text(c)) for c in evidence]
-
-    def hit(k):
-        cond = F.contains(bodies[0], k)
-        for b in bodies[1:]:
-            cond = cond | F.contains(b, k)
-        return cond
-
-    tagged = df.join(F.broadcast(words)).withColumn("_hits", F.filter("_kw", hit))
-    return tagged.withColumns({
-        "changed": F.size("_hits") > 0,
-        out: F.when(F.size("_hits") > 0, F.array_join("_hits", ", ")).otherwise(F.col(out)),
-    }).drop("_kw", "_hits")
-
-
 def canadian_postal_code(c: Column | str) -> Column:
     """First A1A 1A1 code, upper case with one space; NULL when absent."""
     raw = F.regexp_extract(tx.text(c), r"([A-Za-z]\d[A-Za-z]\s?\d[A-Za-z]\d)", 1)
@@ -112,41 +87,6 @@ def split_full_address(c: Column | str) -> Column:
     )
 
 
-def apply_overrides(df: DataFrame, rules: DataFrame, columns: Iterable[str], url: str = "url") -> DataFrame:
-    """Ordered rules set columns; a later rule wins.
-
-    ``rules``: rule_order, match_kind (url_contains | url_equals | domain_equals), pattern,
-    event_name_equals (NULL for any), set_column, set_value. The rule list rides along
-    as one array column; each row folds over it, so nothing is shuffled.
-    """
-    small_enough(rules, "override rules")
-    packed = rules.agg(
-        F.array_sort(F.collect_list(F.struct(
-            "rule_order", "match_kind", F.lower("pattern").alias("pattern"),
-            F.lower(F.trim("event_name_equals")).alias("name"), "set_column", "set_value",
-        ))).alias("_rules")
-    )
-    with_rules = df.join(F.broadcast(packed)).withColumns(
-        {"_u": F.lower(u.url_compare_key(url)), "_net": u.netloc(url), "_n": F.lower(tx.text("event_name"))}
-    )
-
-    def matches(r):
-        bare = F.regexp_replace("_u", "/+$", "")
-        return (
-            ((r["match_kind"] == "url_contains") & F.contains(F.col("_u"), r["pattern"]))
-            | ((r["match_kind"] == "url_equals") & (bare == F.regexp_replace(r["pattern"], "/+$", "")))
-            | ((r["match_kind"] == "domain_equals") & (F.col("_net") == r["pattern"]))
-        ) & (r["name"].isNull() | (F.col("_n") == r["name"]))
-
-    hits = with_rules.withColumn("_hit", F.filter("_rules", matches))
-    def last_value(column):
-        own = F.filter("_hit", lambda r: r["set_column"] == column)
-        return tx.let(own, lambda a: F.get(a, F.size(a) - 1)["set_value"])
-
-    updates = {c: F.coalesce(last_value(c), F.col(c)) for c in columns}
-    return hits.withColumns(updates).drop("_rules", "_hit", "_u", "_net", "_n")
-
-
 def delete_reason_code(c: Column | str) -> Column:
     """Struct (code, raw, registered) in the controlled vocabulary of delete reasons."""
     raw = F.lower(tx.text(c))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates as dt
 from ..functions import text as tx
-from .keyed import top_per_key
-from .sizes import maybe_broadcast, small_enough
 
 # Parts of the day in seconds (start, end); NULL for open.
 DAY_PERIODS = {"morning": (21600, 43200), "afternoon": (43200, 61200), "evening": (61200, 75600), "night": (64800, None)}
@@ -172,8 +170,7 @@ def search_events(events: DataFrame, constraints: DataFrame, default_limit: int
     ``constraints``: query_id, start_date, end_date (NULL for open), time_from, time_to,
     weekdays (Monday=0), include_styles, exclude_styles, include_types, exclude_types,
     locations, limit. Open ends are closed with the table's own first and last day, a
-    search is spread over the months it covers, and months are joined by equality: the
-    event table is read once and, with the searches small by check, never shuffled.
+    search is spread over the months it covers, and months are joined by equality.
     """
     c = F.col
     bounds = events.agg(F.min("start_date").alias("_lo"), F.max("start_date").alias("_hi"))
@@ -181,7 +178,6 @@ def search_events(events: DataFrame, constraints: DataFrame, default_limit: int
         "_from": F.greatest(F.coalesce("start_date", "_lo"), c("_lo")), "_to": F.least(F.coalesce("end_date", "_hi"), c("_hi")),
     }).filter("_from <= _to").drop("start_date", "end_date", "_lo", "_hi")
     spread = ranged.withColumn("_month", F.explode(F.sequence(F.trunc("_from", "month"), F.trunc("_to", "month"), F.expr("interval 1 month"))))
-    small_enough(constraints, "search constraints")
 
     def low(col):
         return F.lower(F.coalesce(c(col), F.lit("")))
@@ -203,11 +199,11 @@ def search_events(events: DataFrame, constraints: DataFrame, default_limit: int
         & some("include_types", "event_type") & none("exclude_types", "event_type")
         & ((F.size(F.coalesce("locations", F.array().cast("array<string>"))) == 0) | placed)
     )
-    met = events.withColumn("_month", F.trunc("start_date", "month")).join(maybe_broadcast(spread), "_month").filter(keep)
+    met = events.withColumn("_month", F.trunc("start_date", "month")).join(spread, "_month").filter(keep)
     lim = F.coalesce("limit", F.lit(default_limit))
     hits = met.select("query_id", lim.alias("_lim"), *events.columns)
-    longest = constraints.agg(F.max(lim)).first()[0] or default_limit
-    ranked = top_per_key(hits, ["query_id", "_lim"], [c("start_date"), c("start_sec"), c("event_id")], int(longest))
+    order = Window.partitionBy("query_id", "_lim").orderBy("start_date", "start_sec", "event_id")
+    ranked = hits.withColumn("rn", F.row_number().over(order))
     return ranked.filter(c("rn") <= c("_lim")).drop("_lim")
 
 

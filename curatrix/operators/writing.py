@@ -17,6 +17,7 @@ from . import calendar as cal
 from . import gates
 from . import maintain
 from . import normalize as norm
+from . import rules as rl
 from .entity import fuzzy_dedup
 from .joins import fill_missing, orphans, sync_from_dim, time_window_losers
 from .keyed import top_per_key
@@ -61,7 +62,7 @@ def prepare(df: DataFrame, rules: WriteRules) -> DataFrame:
     linked = sourced.withColumn("url", F.when(tx.blank("url"), tx.text("batch_url")).otherwise(tx.text("url")))
     linked = gates.enforce_event_url(linked, "batch_url", "batch_parent", "batch_source", rules.blocked_hosts)
     if rules.overrides is not None:
-        linked = norm.apply_overrides(linked, rules.overrides, ["event_type", "location", "dance_style"], "batch_url")
+        linked = rl.apply_overrides(linked, rules.overrides, ["event_type", "location", "dance_style"], "batch_url")
     start, end = dt.parse_event_ts("start_ts"), dt.parse_event_ts("end_ts")
     dated = linked.withColumns({"_s": start, "_e": end}).withColumns({
         "start_date": F.to_date("_s"), "end_date": F.to_date("_e"),
@@ -112,7 +113,7 @@ def locate(df: DataFrame, addr: DataFrame, rules: WriteRules) -> tuple[DataFrame
     """(rows with address_id and location, new addresses) by street, alias, cache, quick lookup, name in text, parsed address."""
     hits = ad.match_street(df, addr, "row_id", "location").withColumn("step", F.lit(1))
     if rules.aliases is not None:
-        hits = hits.unionByName(ad.alias_match(df, rules.aliases, "row_id", ["location"]).filter("decision = 'applied'").select("row_id", "address_id", F.lit(2).alias("step")))
+        hits = hits.unionByName(rl.alias_match(df, rules.aliases, "row_id", ["location"]).filter("decision = 'applied'").select("row_id", "address_id", F.lit(2).alias("step")))
     if rules.cache is not None:
         hits = hits.unionByName(ad.cache_lookup(df, rules.cache, addr, "row_id", "location").withColumn("step", F.lit(3)))
     quick = ad.quick_lookup(df, addr, "row_id", "location", rules.scores, rules.ratio)
@@ -219,7 +220,7 @@ def _audit(rows: DataFrame, source: str, reason: Column, rules: CleanupRules, co
 def rule_cleanup(events: DataFrame, keywords: DataFrame, overrides: DataFrame, closed: Column, known_bad: Column, as_of: Column, deleted_at: Column):
     """(events, audit) after the rule clean-up: closed venues, style tags, region, far future, missing keys, known bad rows."""
     kept, audit = maintain.audited_delete(events, closed, "clean_up.closed_venues", "closed_venue", deleted_at)
-    tagged = norm.tag_by_keywords(kept, keywords, ["event_name", "description", "source"], "dance_style", "event_id").drop("changed")
+    tagged = rl.tag_by_keywords(kept, keywords, ["event_name", "description", "source"], "dance_style").drop("changed")
     out_of_area = F.when(gates.outside_region("location"), "outside_bc").when(gates.too_far_future(as_of), "too_far_future")
     marked = tagged.withColumn("_w", out_of_area)
     gone = marked.filter(F.col("_w").isNotNull())

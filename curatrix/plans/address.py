@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy as fz
 from ..functions import text as tx
 from ..operators import address as op
+from ..operators import rules as rules_op
 from ..sources.adapters import customer_address, table, wide
 from .common import ADDR
 from .registry import query
@@ -41,7 +42,7 @@ def _(spark, d):
         F.when(n % 2 == 0, "").otherwise("5").alias("street_number"), F.lit("").alias("postal_code"),
     )
     s = table(spark, d, "supplier").select("s_suppkey", "s_name", (F.col("s_suppkey") % 10).cast("string").alias("street_number"))
-    return op.alias_match(s, rules, "s_suppkey", ["s_name"]).select("s_suppkey", "address_id", "match_type", "decision")
+    return rules_op.alias_match(s, rules, "s_suppkey", ["s_name"]).select("s_suppkey", "address_id", "match_type", "decision")
 
 
 _PA = """pa AS (SELECT p_partkey, p_name||' '||lower(p_type) AS bn, CAST(p_size AS VARCHAR) AS num, 'Street '||CAST(p_partkey%7 AS VARCHAR) AS st, p_brand AS city, 'V'||CAST(p_partkey%50 AS VARCHAR) AS pc FROM part WHERE p_partkey%2=0),

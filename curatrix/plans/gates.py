@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import urls as u
 from ..operators import gates as op
+from ..operators import rules
 from ..sources.adapters import customer_address, ev, table, wide
 from .common import ADDR, EV, ORD, compare_key, netloc, path, qry
 from .registry import query
@@ -113,7 +114,7 @@ def _(spark, d):
     listed = table(spark, d, "region").select(
         F.when(F.col("r_regionkey") == 0, "Example.org ").otherwise(F.concat(F.lit("/"), F.lower("r_name"))).alias("domain")
     )
-    return op.anti_contains(wide(spark, d, "pages"), listed).select("page_id")
+    return rules.anti_contains(wide(spark, d, "pages"), listed).select("page_id")
 
 
 @query("is_whitelisted", f"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import urls as u
 from ..operators import normalize as op
+from ..operators import rules as rules_op
 from ..sources.adapters import customer_address, table, wide
 from .common import ADDR, compare_key, host, label, netloc, part, path, qry, scheme, with_query
 from .registry import query
@@ -178,7 +179,7 @@ def _(spark, d):
         F.concat(F.lit("th"), F.char((F.lit(97) + F.col("n_nationkey")).cast("bigint"))).alias("keyword")
     )
     docs = wide(spark, d, "documents").select("doc_id", "text", "source", F.lit("none").alias("tags"))
-    return op.tag_by_keywords(docs, kw, ["text", "source"], "tags", "doc_id").select("doc_id", "tags", "changed")
+    return rules_op.tag_by_keywords(docs, kw, ["text", "source"], "tags").select("doc_id", "tags", "changed")
 
 
 @query("effective_keywords", r"""
@@ -248,7 +249,7 @@ def _(spark, d):
         F.col("r_name").alias("set_value"),
     )
     p = wide(spark, d, "pages").select("page_id", "url", F.lit("").alias("event_name"), F.lit("other").alias("event_type"))
-    return op.apply_overrides(p, rules, ["event_type"]).select("page_id", "event_type")
+    return rules_op.apply_overrides(p, rules, ["event_type"]).select("page_id", "event_type")
 
 
 @query("binary_label", """

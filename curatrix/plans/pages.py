@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import pages as op
-from ..operators.address import contained_in_text
+from ..operators.rules import contained_in_text
 from ..operators.normalize import visible_text_native
 from ..sources.adapters import table, wide
 from .common import netloc, path, qry

@@ -134,7 +134,7 @@ def _(spark, d):
 @query("passage_holdout", """
 SELECT DISTINCT doc_id FROM documents, benchmark WHERE contains(documents.text, benchmark.text)""")
 def _(spark, d):
-    from ..operators.address import contained_in_text
+    from ..operators.rules import contained_in_text
 
     docs = wide(spark, d, "documents").select("doc_id", "text")
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))

@@ -38,7 +38,8 @@ def _(spark, d):
 WITH e AS (SELECT CAST(user_id AS VARCHAR) AS scope, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events WHERE event_type='error')
 SELECT scope, CAST(rn AS INTEGER) AS strikes, CAST(least(21600, 300*pow(2, rn-1)) AS BIGINT) AS cooldown_sec FROM e""")
 def _(spark, d):
-    s = _stream(spark, d).filter("event_type = 'error'").select(F.col("user_id").cast("string").alias("scope"), "ts", F.lit(False).alias("ok"))
+    # all other events are successes, which clear the count of failures but not the strikes
+    s = _stream(spark, d).select(F.col("user_id").cast("string").alias("scope"), "ts", (F.col("event_type") != "error").alias("ok"))
     return _run(spark, jobs.adaptive_cooldown(s, failures=1), jobs.COOLDOWN_OUT, "cooldown").select("scope", "strikes", "cooldown_sec")
 
 
@@ -74,10 +75,11 @@ def _(spark, d):
     addr = customer_address(spark, d)
     rules = writing.WriteRules(_day("2024-01-31"), 20, scores=fz.lev_scores, ratio=fz.lev_ratio)
 
-    def write(batch):
+    def write(batch, known):
         batch = batch.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-        return writing.write_events(candidates(as_events(batch)), addr, rules)[0]
+        accepted, _, fresh, _ = writing.write_events(candidates(as_events(batch)), known, rules)
+        return accepted, fresh
 
     target = sink_folder(spark, "written")
-    jobs.stream_write(_stream(spark, d), write, target, sink_folder(spark, "written-state")).awaitTermination()
-    return spark.read.parquet(target).select("row_id", "address_id")
+    jobs.stream_write(_stream(spark, d), write, target, sink_folder(spark, "written-state"), addr).awaitTermination()
+    return jobs.current_rows(spark, target, ["row_id"]).select("row_id", "address_id")

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.keyed import latest_per_key
+
 BREAKER_OUT = "domain string, opened_at timestamp, until timestamp, failures int"
 COOLDOWN_OUT = "scope string, blocked_at timestamp, strikes int, cooldown_sec long, until timestamp"
 
@@ -26,33 +28,35 @@ def _ordered(frames: Iterator[pd.DataFrame]) -> list[tuple]:
 def domain_breaker(stream: DataFrame, threshold: int = 3, window_sec: int = 600, cooldown_sec: int = 600) -> DataFrame:
     """Open a domain's breaker after ``threshold`` failures in the window; a success clears the count.
 
-    ``stream``: domain, ts (timestamp), ok. Only the newest ``threshold`` failure times can
-    matter, so that is all the state a domain keeps.
+    ``stream``: domain, ts (timestamp), ok. A domain keeps its failure times of one window
+    and its newest event time; it is forgotten when the watermark has passed that time by
+    a window and a cooldown, so silence in some micro-batches loses nothing.
     """
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        recent, until = state.get if state.exists else ([], 0)
+        recent, until, newest = state.get if state.exists else ([], 0, 0)
         recent, out = list(recent), []
         for _, ts, ok in _ordered(frames):
             now = ts.value // 1000
+            newest = max(newest, now)
             if until and now >= until:
                 recent, until = [], 0
             if ok:
                 recent = []
                 continue
-            recent = [t for t in recent if t >= now - window_sec * 1_000_000][-(threshold - 1):] + [now]
+            recent = [t for t in recent if t >= now - window_sec * 1_000_000] + [now]
             if len(recent) >= threshold and now + cooldown_sec * 1_000_000 > until:
                 until = now + cooldown_sec * 1_000_000
                 out.append((key[0], ts, pd.Timestamp(until, unit="us"), len(recent)))
-        state.update((recent, until))
-        _forget_after(state, window_sec + cooldown_sec)
+        state.update((recent, until, newest))
+        _forget_after(state, newest, window_sec + cooldown_sec)
         yield pd.DataFrame(out, columns=["domain", "opened_at", "until", "failures"])
 
     rows = stream.select("domain", "ts", "ok").withWatermark("ts", f"{window_sec} seconds")
     return rows.groupBy("domain").applyInPandasWithState(
-        step, BREAKER_OUT, "recent array<long>, until long", "append", GroupStateTimeout.EventTimeTimeout)
+        step, BREAKER_OUT, "recent array<long>, until long, newest long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def adaptive_cooldown(stream: DataFrame, failures: int = 2, base_sec: int = 300, max_sec: int = 21600, ttl_days: int = 45) -> DataFrame:
@@ -65,10 +69,11 @@ def adaptive_cooldown(stream: DataFrame, failures: int = 2, base_sec: int = 300,
         if state.hasTimedOut:
             state.remove()
             return
-        count, strikes, until = state.get if state.exists else (0, 0, 0)
+        count, strikes, until, newest = state.get if state.exists else (0, 0, 0, 0)
         out = []
         for _, ts, ok in _ordered(frames):
             now = ts.value // 1000
+            newest = max(newest, now)
             if until and now >= until:
                 count, until = 0, 0
             if ok:
@@ -81,18 +86,19 @@ def adaptive_cooldown(stream: DataFrame, failures: int = 2, base_sec: int = 300,
             wait = min(max_sec, base_sec * 2 ** (strikes - 1))
             until, count = now + wait * 1_000_000, 0
             out.append((key[0], ts, strikes, wait, pd.Timestamp(until, unit="us")))
-        state.update((count, strikes, until))
-        _forget_after(state, ttl_days * 86400)
+        state.update((count, strikes, until, newest))
+        _forget_after(state, newest, ttl_days * 86400)
         yield pd.DataFrame(out, columns=["scope", "blocked_at", "strikes", "cooldown_sec", "until"])
 
     rows = stream.select("scope", "ts", "ok").withWatermark("ts", "10 minutes")
     return rows.groupBy("scope").applyInPandasWithState(
-        step, COOLDOWN_OUT, "count int, strikes int, until long", "append", GroupStateTimeout.EventTimeTimeout)
+        step, COOLDOWN_OUT, "count int, strikes int, until long, newest long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def _forget_after(state: GroupState, seconds: int) -> None:
-    mark = state.getCurrentWatermarkMs()
-    state.setTimeoutTimestamp(max(mark, 0) + seconds * 1000 + 1)
+def _forget_after(state: GroupState, newest: int, seconds: int) -> None:
+    """Timeout counted from the key's own newest event (microseconds), not from the watermark alone."""
+    mark = max(state.getCurrentWatermarkMs(), newest // 1000)
+    state.setTimeoutTimestamp(mark + seconds * 1000 + 1)
 
 
 def first_seen(stream: DataFrame, keys: list[str], ts: str, within: str) -> DataFrame:
@@ -113,15 +119,35 @@ def session_counts(stream: DataFrame, ts: str, key: str, gap: str = "30 minutes"
         F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), key, "n")
 
 
-def stream_write(stream: DataFrame, write: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, trigger: dict[str, Any] | None = None):
-    """Run the write path per micro-batch. A batch owns its partition, so a replayed batch replaces itself."""
+def address_path(target: str) -> str:
+    return f"{target.rstrip('/')}-addresses"
+
+
+def stream_write(stream: DataFrame, write: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], target: str, checkpoint: str, addresses: DataFrame, trigger: dict[str, Any] | None = None):
+    """Run the write path per micro-batch.
+
+    ``write(batch, known)`` gives (accepted rows, new addresses); ``known`` holds the given
+    addresses and those that earlier batches added, so their ids go on. A batch owns its
+    partition of both tables, so a replayed batch replaces itself; ``current_rows`` reads
+    the newest version of each key.
+    """
+    spark, added = addresses.sparkSession, address_path(target)
+    addresses.limit(0).write.mode("overwrite").parquet(f"{added}/batch_id=-1")
+
     def sink(batch: DataFrame, batch_id: int) -> None:
-        accepted = write(batch)
+        earlier = spark.read.parquet(added).filter(F.col("batch_id") < batch_id).drop("batch_id")
+        accepted, fresh = write(batch, addresses.unionByName(earlier, allowMissingColumns=True))
         accepted.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        fresh.write.mode("overwrite").parquet(f"{added}/batch_id={batch_id}")
 
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def current_rows(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
+    """Newest written row of each key."""
+    return latest_per_key(spark.read.parquet(target), keys, ["batch_id"]).drop("batch_id")
+
+
 def run_to_table(stream: DataFrame, target: str, checkpoint: str, mode: str = "append") -> None:
     """Process what is available and stop; rows go to a parquet table."""
     q = stream.writeStream.format("parquet").outputMode(mode).option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

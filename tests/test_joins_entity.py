@@ -9,6 +9,7 @@ from curatrix.operators import entity as ent
 from curatrix.operators import joins
 from curatrix.operators import keyed
 from curatrix.operators import metrics
+from curatrix.operators import rules as rl
 from curatrix.operators import windows as win
 from curatrix.operators.graph import connected_components
 
@@ -122,7 +123,7 @@ def test_contained_in_text_matches_brute_force(spark):
     needles = ["the loft", "loft", "coda", "wicket hall", "x-y", "loft pub tonight", "café b", "-", "t the loft p"]
     d = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
     n = spark.createDataFrame(list(enumerate(needles)), "nid long, needle string")
-    got = sorted((r.id, r.nid) for r in ad.contained_in_text(d, "id", "body", n, "nid", "needle").collect())
+    got = sorted((r.id, r.nid) for r in rl.contained_in_text(d, "id", "body", n, "nid", "needle").collect())
     assert got == sorted((i, j) for i, t in enumerate(texts) for j, x in enumerate(needles) if x in t)
 
 
@@ -139,7 +140,7 @@ def test_resolve_address_finds_existing_building(spark):
 def test_alias_rules(spark):
     rules = spark.createDataFrame([(0, "loft", "The Loft Pub", "", "", 7, "229", "")], "rule_order int, rule_name string, alias string, source_equals string, url_contains string, address_id long, street_number string, postal_code string")
     rows = spark.createDataFrame([(1, "the loft pub", ""), (2, "Upstairs at The Loft Pub!", "229"), (3, "The Loft Pub", "100"), (4, "Loft", "")], "k long, location string, street_number string")
-    got = {(r.k, r.match_type, r.decision) for r in ad.alias_match(rows, rules, "k", ["location"]).collect()}
+    got = {(r.k, r.match_type, r.decision) for r in rl.alias_match(rows, rules, "k", ["location"]).collect()}
     assert got == {(1, "exact", "applied"), (2, "substring", "applied"), (3, "exact", "skipped_conflict")}
 
 
