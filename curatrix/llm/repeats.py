@@ -16,9 +16,9 @@ from .wordhash import WHITE, WordHasher, byte_table, mixed, slice_hashes
 WINDOW = 13
 ROUNDS = 2
 #: Bytes of the filter of repeated names that each task holds.
-FILTER_BYTES = 32 << 20
+FILTER_BYTES = 16 << 20
 PAGE_BITS = 15
-SLICE = 256
+SLICE_BYTES = 1 << 19
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -108,15 +108,28 @@ def window_names(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def windows(batch: pa.RecordBatch, hasher: WordHasher, width: int) -> Iterator[tuple]:
-    """(row numbers, word hashes, positions in their texts, valid windows, beginnings) of slices of a batch."""
-    for start in range(0, batch.num_rows, SLICE):
-        texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").slice(start, SLICE).to_pylist()]
-        h, counts = hasher(texts)
-        begins = np.cumsum(counts) - counts
-        row = np.repeat(np.arange(len(texts)), counts)
-        position = np.arange(len(h)) - begins[row]
-        first = position == 0
-        yield start + row, h, position, np.flatnonzero(position + width <= counts[row]), first
+    """(row numbers, word hashes, positions in their texts, valid windows, beginnings) of slices of a batch.
+
+    A slice has ``SLICE_BYTES`` of text or is a single text, which bounds the memory of the arrays made of it.
+    """
+    start, texts, size = 0, [], 0
+    for number, text in enumerate(batch.column("text")):
+        data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+        if texts and size + len(data) > SLICE_BYTES:
+            yield _positions(start, texts, hasher, width)
+            start, texts, size = number, [], 0
+        texts.append(data)
+        size += len(data)
+    if texts:
+        yield _positions(start, texts, hasher, width)
+
+
+def _positions(start: int, texts: list[bytes], hasher: WordHasher, width: int) -> tuple:
+    h, counts = hasher(texts)
+    begins = np.cumsum(counts) - counts
+    row = np.repeat(np.arange(len(texts)), counts)
+    position = np.arange(len(h)) - begins[row]
+    return start + row, h, position, np.flatnonzero(position + width <= counts[row]), position == 0
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, rounds: int = ROUNDS, filter_bytes: int = FILTER_BYTES) -> DataFrame:
