@@ -305,3 +305,34 @@ def url_relevance(c: Column | str, positive: Iterable[str] = RELEVANT_SLUGS, neg
     from .text import contains_any
 
     return F.when(contains_any(slug, positive), True).when(contains_any(slug, negative), False)
+
+
+def without_dots(path: Column) -> Column:
+    """Path without ``.`` and ``..`` segments; ``..`` at the root stays at the root."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    closed = F.when(last.isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    kept = F.aggregate(
+        closed, F.array().cast("array<string>"),
+        lambda acc, p: F.when(p == ".", acc).when(p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.least(F.size(acc), F.lit(1))))).otherwise(F.concat(acc, F.array(p))),
+    )
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(kept, "/")).otherwise(path)
+
+
+def url_join(page: Column, link: Column) -> Column:
+    """Absolute form of a link found on a page: own scheme, other host, root path, query, fragment or path beside the page."""
+    link = F.trim(link)
+    bare = F.regexp_extract(page, r"^([^?#]*)", 1)
+    root = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_replace(F.substring(bare, F.length(root) + 1, F.length(bare)), "[^/]*$", "")
+    path, rest = F.regexp_extract(link, r"^([^?#]*)", 1), F.regexp_extract(link, r"^[^?#]*(.*)$", 1)
+    beside = F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path)
+    return (
+        F.when(link == "", page)
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+        .when(link.startswith("//"), F.concat(F.regexp_extract(page, r"^([^:]*:)", 1), link))
+        .when(link.startswith("/"), F.concat(root, without_dots(path), rest))
+        .when(link.startswith("?"), F.concat(bare, link))
+        .when(link.startswith("#"), F.concat(F.regexp_replace(page, "#.*$", ""), link))
+        .otherwise(F.concat(root, without_dots(beside), rest))
+    )

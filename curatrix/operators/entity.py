@@ -16,6 +16,7 @@ from ..functions import urls as u
 from .gates import low_quality_location_penalty
 from .graph import connected_components
 from .keyed import spread, with_group_agg
+from ..session import cut_lineage
 from .rules import source_penalties
 
 
@@ -297,9 +298,27 @@ def address_cluster_rules(df: DataFrame, subcluster: str = "subcluster") -> Data
     return few.groupBy("subcluster").applyInPandas(decide, "subcluster bigint, size int, decision string")
 
 
+def resolved_mapping(mapping: DataFrame) -> DataFrame:
+    """(duplicate_id, canonical_id) with chains followed to their end, by doubling the steps."""
+    m = mapping.filter(F.col("duplicate_id") != F.col("canonical_id")).groupBy("duplicate_id").agg(F.min("canonical_id").alias("canonical_id"))
+    m = cut_lineage(m)
+    for _ in range(max(1, m.count()).bit_length() + 1):
+        after = m.select(F.col("duplicate_id").alias("_d"), F.col("canonical_id").alias("_next"))
+        linked = m.join(after, m["canonical_id"] == after["_d"], "left")
+        if linked.filter("_next is not null").isEmpty():
+            return m
+        m = cut_lineage(linked.select("duplicate_id", F.coalesce("_next", "canonical_id").alias("canonical_id")))
+    # what still points at a duplicate after as many doublings as there are rows is in a cycle or leads to one
+    return m.join(m.select(F.col("duplicate_id").alias("_d")), F.col("canonical_id") == F.col("_d"), "left_anti")
+
+
 def apply_merge(dim: DataFrame, facts: DataFrame, mapping: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(dim, facts) after duplicates are repointed to their canonical row. ``mapping``: duplicate_id, canonical_id."""
-    m = mapping.filter(F.col("duplicate_id") != F.col("canonical_id")).select("duplicate_id", "canonical_id").distinct()
+    """(dim, facts) after duplicates are repointed to their canonical row. ``mapping``: duplicate_id, canonical_id.
+
+    A duplicate with several targets takes the smallest; chains lead to their end, and
+    the members of a cycle stay as they are.
+    """
+    m = resolved_mapping(mapping)
     kept = dim.join(m, dim[key] == m["duplicate_id"], "left_anti")
     moved = facts.join(m, facts[key] == m["duplicate_id"], "left").withColumn(key, F.coalesce("canonical_id", key)).drop("duplicate_id", "canonical_id")
     return kept, moved

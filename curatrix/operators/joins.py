@@ -163,12 +163,15 @@ def sync_from_dim(fact: DataFrame, dim: DataFrame, key: str, dim_key: str, colum
 
 
 def apply_labels(df: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
-    """Adds ``decision``: delete for label 1, keep for 0 or no label, invalid otherwise."""
-    raw = labels.select(F.col(key).alias("_k"), label)
+    """Adds ``decision``: delete for label 1, keep for 0 or no label, invalid otherwise.
+
+    Different labels for one id are invalid; the smallest is shown.
+    """
+    raw = labels.groupBy(F.col(key).alias("_k")).agg(F.min(label).alias(label), (F.min(label) != F.max(label)).alias("_several"))
     joined = df.join(raw, df[key] == raw["_k"], "left")
     value = tx.binary_label(label, "strict")
     decision = F.when(F.col(label).isNull(), "keep").when(value == 1, "delete").when(value == 0, "keep").otherwise("invalid")
-    return joined.withColumn("decision", decision).drop("_k")
+    return joined.withColumn("decision", F.when(F.col("_several"), "invalid").otherwise(decision)).drop("_k", "_several")
 
 
 def fill_missing(df: DataFrame, rules: DataFrame, key: str, text_column: str) -> DataFrame:

@@ -11,8 +11,21 @@ from ..functions import text as tx
 from .keyed import global_rank, latest_per_key
 
 
+def one_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key, the greatest by the other columns in their order."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    best = df.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row"))
+    return best.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
+
+
 def upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str], keep_old_on_null: bool = False) -> DataFrame:
-    """Insert or overwrite by key. ``keep_old_on_null`` keeps the stored value where the new one is NULL."""
+    """Insert or overwrite by key. ``keep_old_on_null`` keeps the stored value where the new one is NULL.
+
+    Of several delta rows for one key the greatest by all other columns counts.
+    """
+    delta = one_per_key(delta, keys)
     d = delta.select(*[F.col(c).alias(f"_d_{c}") for c in delta.columns]).withColumn("_new", F.lit(True))
     cond = F.lit(True)
     for k in keys:
@@ -93,7 +106,11 @@ def restore_deleted(audit: DataFrame, base: DataFrame, wanted: Column, schema: s
 
 
 def overlay(base: DataFrame, delta: DataFrame, keys: Sequence[str], always: Iterable[str] = ("url",)) -> DataFrame:
-    """Non-blank new values over the row found by key; ``always`` columns are replaced even by blanks."""
+    """Non-blank new values over the row found by key; ``always`` columns are replaced even by blanks.
+
+    Of several delta rows for one key the greatest by all other columns counts.
+    """
+    delta = one_per_key(delta, keys)
     d = delta.select(*[F.col(c).alias(f"_d_{c}") for c in delta.columns]).withColumn("_hit", F.lit(True))
     cond = F.lit(True)
     for k in keys:

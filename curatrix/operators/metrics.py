@@ -495,7 +495,8 @@ def exact_percentiles(df: DataFrame, group: str, value: str, shares: dict[str, f
     Values are counted in equal bins first; only the bins that hold the wanted ranks are
     opened, as counts per distinct value. No task holds a group's values.
     """
-    v = df.filter(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"))
+    # a struct is never NULL, so the group of a NULL key joins like any other
+    v = df.filter(F.col(value).isNotNull()).select(F.struct(F.col(group).alias("k")).alias("_g"), F.col(value).cast("double").alias("_v"))
     span = v.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / bins).otherwise(F.lit(1.0))
     binned = v.join(span, "_g").withColumn("_b", F.floor((F.col("_v") - F.col("_lo")) / width))
@@ -513,7 +514,7 @@ def exact_percentiles(df: DataFrame, group: str, value: str, shares: dict[str, f
     at = placed.filter((F.col("_r") >= F.col("_before") + F.col("_in")) & (F.col("_r") < F.col("_before") + F.col("_in") + F.col("_c")))
     lo, hi = F.min_by("_v", "_r"), F.max_by("_v", "_r")
     pts = at.groupBy("_g", "name").agg((lo + (hi - lo) * (F.first("rank") - F.floor(F.first("rank")))).alias("p"))
-    return pts.groupBy("_g").pivot("name", list(shares)).agg(F.first("p")).withColumnRenamed("_g", group)
+    return pts.groupBy("_g").pivot("name", list(shares)).agg(F.first("p")).select(F.col("_g.k").alias(group), *shares)
 
 
 def latency_summary(df: DataFrame, group: str, value: str, failed: Column, limit: float, exact: bool = True) -> DataFrame:

@@ -108,17 +108,19 @@ def visible_text_native(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
+#: Target of an anchor, in either quotes or without.
+HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def hrefs(html: Column) -> Column:
+    """Anchor targets of a page as they are written, in page order."""
+    return F.transform(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)), lambda h: F.regexp_replace(h, r"""^["']|["']$""", ""))
+
+
 def page_links(pages: DataFrame, key: str) -> DataFrame:
-    """(key, pos, link): absolute http(s) links of each page, distinct, in page order."""
-    hrefs = F.regexp_extract_all("html", F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), F.lit(1))
-    base = F.regexp_extract("url", r"^(https?://[^/?#]*)", 1)
-    absolute = F.transform(
-        hrefs,
-        lambda h: F.when(F.startswith(h, F.lit("//")), F.concat(F.lit("https:"), h))
-        .when(F.startswith(h, F.lit("/")), F.concat(base, h))
-        .otherwise(h),
-    )
-    links = F.array_distinct(F.filter(absolute, lambda h: h.rlike("^https?://")))
+    """(key, pos, link): links of each page joined with its url, http(s) only, distinct, in page order."""
+    absolute = F.transform(hrefs(F.col("html")), lambda h: u.url_join(F.col("url"), h))
+    links = F.array_distinct(F.filter(absolute, lambda h: h.rlike("(?i)^https?://")))
     return pages.select(key, "url", F.posexplode(links).alias("pos", "link"))
 
 

@@ -16,7 +16,7 @@ from ..functions import urls as u
 from ..functions.html import html_stats
 from .gates import EVENT_SIGNALS, has_event_signal
 from .keyed import top_per_key, with_group_agg
-from .normalize import page_links, visible_text_native
+from .normalize import hrefs, page_links, visible_text_native
 from .selection import link_score
 
 # Words and URL parts of event pages.
@@ -41,6 +41,9 @@ EMAIL_WORDS = r"\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b"
 EVENT_TYPES_LD = "event|musicevent|danceevent|educationevent|festival"
 
 
+HIDDEN_PARTS = r"(?s)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>"
+
+
 def html_features(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """Twelve page features: schema markup, address, time, date, ticket and detail links, cards, text score.
 
@@ -52,20 +55,22 @@ def html_features(pages: DataFrame, html: str = "html", url: str = "url") -> Dat
     def count(pattern, c=low):
         return F.regexp_count(c, F.lit(pattern))
 
-    links = F.regexp_extract_all(F.lower(F.col(html)), F.lit(r'<a\s[^>]*href="([^"]*)"'), F.lit(1))
+    links = hrefs(F.lower(F.col(html)))
+    anchors = F.regexp_extract_all(F.regexp_replace(F.lower(F.col(html)), HIDDEN_PARTS, " "), F.lit(r"(?s)<a\s[^>]*href[^>]*>(.*?)</a>"), F.lit(1))
+    texts = F.transform(anchors, lambda a: F.regexp_replace(a, "<[^>]*>", " "))
 
-    def links_with(tokens):
-        return F.size(F.filter("_links", lambda h: tx.contains_any(h, tokens)))
+    def links_with(tokens, parts="_links"):
+        return F.size(F.filter(parts, lambda h: tx.contains_any(h, tokens)))
 
     score = (
         2 * count("ticket|register|venue|location") + 2 * count("tickets") + count("event|dance|class|workshop|lesson|social") + count("events")
         + count(MONTH_WORDS) + count(WEEKDAY_WORDS) + F.when(tx.contains_any(F.lower(F.col(url)), EVENT_LINK_HINTS), 2).otherwise(0)
     )
     schema = count(rf'(?i)"@type"\s*:\s*(?:"(?:{EVENT_TYPES_LD})"|\[[^\]]*"(?:{EVENT_TYPES_LD})")', F.col(html))
-    base = pages.withColumns({"_text": visible_text_native(html), "_links": links, "_stats": html_stats(html)})
+    base = pages.withColumns({"_text": visible_text_native(html), "_links": links, "_texts": texts, "_stats": html_stats(html)})
     feats = base.withColumns({
         "schema_event_count": schema, "address_count": count(ADDRESS_WORDS), "time_count": count(TIME_WORDS),
-        "date_count": count(MONTH_WORDS) + count(WEEKDAY_WORDS), "ticket_link_count": links_with(TICKET_TOKENS),
+        "date_count": count(MONTH_WORDS) + count(WEEKDAY_WORDS), "ticket_link_count": links_with(TICKET_TOKENS) + links_with(TICKET_TOKENS, "_texts"),
         "event_detail_link_count": links_with(EVENT_LINK_HINTS),
         "map_embed_present": F.lower(F.col(html)).rlike(r'(?:src|href)="[^"]*(?:google\.com/maps|maps\.google)'),
         "mailto_present": F.lower(F.col(html)).contains('href="mailto:') | low.rlike(EMAIL_WORDS),
@@ -75,7 +80,7 @@ def html_features(pages: DataFrame, html: str = "html", url: str = "url") -> Dat
         (F.col("date_count") >= 1) & (F.col("time_count") >= 1) & (F.col("address_count") >= 1)
         & (F.col("listing_card_count") <= 1) & (F.col("event_detail_link_count") <= 2)
     )
-    return feats.withColumns({"schema_event_present": F.col("schema_event_count") > 0, "single_event_signal": single}).drop("_text", "_links", "_stats")
+    return feats.withColumns({"schema_event_present": F.col("schema_event_count") > 0, "single_event_signal": single}).drop("_text", "_links", "_texts", "_stats")
 
 
 def _host_is(c, name: str) -> Column:

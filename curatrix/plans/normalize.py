@@ -309,6 +309,19 @@ def _(spark, d):
     return op.page_links(wide(spark, d, "pages").select("page_id", "url", "html"), "page_id").select("page_id", "link")
 
 
+_REL = r"""CASE page_id%3 WHEN 1 THEN replace(html, 'href="/', 'href="../') WHEN 2 THEN replace(html, 'href="/', 'href="?p=') ELSE html END"""
+
+
+@query("page_links_relative", rf"""
+WITH h AS (SELECT page_id, url, unnest(regexp_extract_all({_REL}, '(?i)<a\s[^>]*href="([^"]*)"', 1)) AS href FROM pages)
+SELECT DISTINCT page_id, CASE WHEN href LIKE '?%' THEN regexp_extract(url, '^([^?#]*)', 1)||href
+ WHEN href LIKE '/%' THEN regexp_extract(url, '^(https?://[^/?#]*)', 1)||href
+ ELSE regexp_replace(regexp_extract(url, '^(https?://[^/?#]*/[^?#]*/)[^/?#]*', 1), '[^/]+/$', '')||substr(href, 4) END AS link FROM h""")
+def _(spark, d):
+    pages = wide(spark, d, "pages").select("page_id", "url", F.expr(_REL).alias("html"))
+    return op.page_links(pages, "page_id").select("page_id", "link")
+
+
 @query("sanitize_types", """
 SELECT CASE WHEN o_orderkey%5=0 THEN NULL ELSE o_orderkey END AS order_id,
  CASE WHEN o_orderstatus='P' THEN NULL ELSE o_orderstatus END AS status,

@@ -22,7 +22,8 @@ def _n(pattern):
 @query("html_text_features", rf"""
 WITH x AS (SELECT page_id, lower({_VT}) AS t, lower(html) AS h FROM pages)
 SELECT page_id, {_n(_M)} AS months, {_n(op.WEEKDAY_WORDS)} + {_n(_M)} AS date_count, {_n(op.TIME_WORDS)} AS time_count,
- len(list_filter(regexp_extract_all(h, '<a\s[^>]*href="([^"]*)"', 1), lambda v: contains(v, 'ticket') OR contains(v, 'regist') OR contains(v, 'buy') OR contains(v, 'admission') OR contains(v, 'eventbrite'))) AS ticket_link_count FROM x""")
+ len(list_filter(regexp_extract_all(h, '<a\s[^>]*href="([^"]*)"', 1), lambda v: contains(v, 'ticket') OR contains(v, 'regist') OR contains(v, 'buy') OR contains(v, 'admission') OR contains(v, 'eventbrite')))
+ + len(list_filter(regexp_extract_all(h, '(?s)<a\s[^>]*href[^>]*>(.*?)</a>', 1), lambda v: contains(v, 'ticket') OR contains(v, 'regist') OR contains(v, 'buy') OR contains(v, 'admission') OR contains(v, 'eventbrite'))) AS ticket_link_count FROM x""")
 def _(spark, d):
     f = op.html_features(wide(spark, d, "pages"))
     months = F.regexp_count(F.lower(visible_text_native("html")), F.lit(op.MONTH_WORDS))

@@ -8,6 +8,7 @@ from curatrix.operators import address as ad
 from curatrix.operators import entity as ent
 from curatrix.operators import joins
 from curatrix.operators import keyed
+from curatrix.operators import maintain as mt
 from curatrix.operators import metrics
 from curatrix.operators import rules as rl
 from curatrix.operators import windows as win
@@ -186,3 +187,38 @@ def test_crawl_decision_order(spark):
         "https://a.org/x": "process_last_relevant_and_stale_date", "https://a.org/y": "skip_default_rules",
         "https://new.org": "process_never_seen", "https://w.org/in/deep": "process_whitelisted",
     }
+
+
+def test_more_rules_than_rows(spark):
+    """Lists of any size meet the texts by key; patterns without words too."""
+    rows = spark.createDataFrame([(1, "http://a.org/x--y", "Salsa!! night"), (2, None, "plain"), (3, "http://b.net/", "(salsa")], "k long, url string, text string")
+    many = spark.range(3000).selectExpr("concat('zz', id) as domain")
+    listed = many.unionByName(spark.createDataFrame([(" --y",), ("B.NET ",)], "domain string"))
+    assert [r.k for r in rl.anti_contains(rows, listed).orderBy("k").collect()] == [2]
+    words = many.selectExpr("domain as keyword").unionByName(spark.createDataFrame([("salsa",), ("!!",), ("(",)], "keyword string"))
+    tagged = rl.tag_by_keywords(rows.withColumn("tags", F.lit("old")), words, ["text"], "tags")
+    assert {r.k: (r.tags, r.changed) for r in tagged.collect()} == {1: ("!!, salsa", True), 2: ("old", False), 3: ("(, salsa", True)}
+    pen = spark.createDataFrame([("salsa", None, 1.0), (None, "als", 2.0), ("salsa", "als", 4.0), (None, None, 9.0)], "source_equals string, source_contains string, penalty double")
+    got = rl.source_penalties(spark.createDataFrame([("salsa",), ("salsas",), ("",)], "_t string"), pen)
+    assert {r._t: r._penalty for r in got.collect()} == {"salsa": 7.0, "salsas": 6.0}
+
+
+def test_repeated_delta_rows_and_chains(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    delta = spark.createDataFrame([(1, "x"), (1, "y"), (3, "z"), (3, "z")], "k long, v string")
+    assert sorted(tuple(r) for r in mt.upsert(base, delta, ["k"]).collect()) == [(1, "y"), (2, "b"), (3, "z")]
+    assert sorted(tuple(r) for r in mt.overlay(base, delta, ["k"]).collect()) == [(1, "y"), (2, "b")]
+    labels = spark.createDataFrame([(1, "1"), (1, "0"), (2, "1"), (2, "1")], "k long, label string")
+    assert sorted((r.k, r.decision) for r in joins.apply_labels(base, labels, "k", "label").collect()) == [(1, "invalid"), (2, "delete")]
+    dim = spark.createDataFrame([(k,) for k in range(1, 9)], "address_id long")
+    facts = spark.createDataFrame([(k, k) for k in range(1, 9)], "event_id long, address_id long")
+    mapping = spark.createDataFrame([(3, 2), (2, 1), (4, 3), (4, 8), (5, 6), (6, 7), (7, 5)], "duplicate_id long, canonical_id long")
+    kept, moved = ent.apply_merge(dim, facts, mapping, "address_id")
+    assert sorted(r.address_id for r in kept.collect()) == [1, 5, 6, 7, 8]
+    assert {r.event_id: r.address_id for r in moved.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6, 7: 7, 8: 8}
+
+
+def test_percentiles_of_the_null_group(spark):
+    df = spark.createDataFrame([(None, 5.0), (None, 7.0), ("a", 1.0)], "g string, v double")
+    got = {r.g: r.p50 for r in metrics.latency_summary(df, "g", "v", F.lit(False), 6).collect()}
+    assert got == {None: 6.0, "a": 1.0}

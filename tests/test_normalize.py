@@ -75,3 +75,15 @@ def test_schedule_uses_dates_in_order(spark):
     df = spark.createDataFrame([(p, n, s, None, "", ds) for p, n, s in rows], "poster string, pos long, start_date date, end_date date, day_of_week string, dates array<date>")
     got = sorted((r.poster, r.pos, r.start_date) for r in cal.expand_schedule(df, "poster", "pos", "dates").filter("start_date is not null").collect())
     assert got == [("p", 1, ds[0]), ("p", 2, ds[1]), ("p", 3, ds[2]), ("q", 1, ds[0]), ("q", 1, ds[1]), ("q", 1, ds[2])]
+
+
+def test_links_join_with_their_page(spark):
+    from urllib.parse import urljoin
+
+    page = "http://h.org/a/b/c.html?q=1#f"
+    links = ["events.html", "?page=2", "../x", "../../../y/./z", "/r/../s", "//o.org/p", "https://t.org", "#top", "", "./", "..", "d/e?x=../y", "mailto:a@b.c", "HTTP://U.org/"]
+    html = "".join(f"<a class=k href={q}{h}{q}>t</a>" if h or q else "" for h in links for q in ("'",)) + '<A HREF=plain.html>p</A><a data-href="no" id="x">n</a>'
+    df = spark.createDataFrame([(1, page, html)], "page_id long, url string, html string")
+    want = [u for u in dict.fromkeys(urljoin(page, h) for h in [*links, "plain.html"]) if u.lower().startswith("http")]
+    got = [r.link for r in norm.page_links(df, "page_id").orderBy("pos").collect()]
+    assert [g.lower() for g in got] == [w.lower() for w in want]
