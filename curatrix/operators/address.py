@@ -18,8 +18,10 @@ from .rules import contained_in_text
 def match_street(df: DataFrame, addr: DataFrame, key: str, location: str) -> DataFrame:
     """Address whose street number is the first number in the text and whose street name occurs in it (lowest id)."""
     probe = df.select(key, F.col(location).alias("_loc"), F.regexp_extract(location, r"(\d+)", 1).alias("_num")).filter("_num <> ''")
-    a = addr.filter(F.col("street_name").isNotNull()).select("address_id", F.col("street_number").alias("_num"), "street_name")
-    return probe.join(a, "_num").filter(F.contains("_loc", "street_name")).groupBy(key).agg(F.min("address_id").alias("address_id"))
+    named = addr.filter(~tx.blank("street_name"))
+    inside = contained_in_text(probe.select("_loc").distinct(), "_loc", "_loc", named.select("street_name").distinct(), "street_name", "street_name", lower=False)
+    first = named.groupBy(F.col("street_number").alias("_num"), "street_name").agg(F.min("address_id").alias("address_id"))
+    return probe.join(inside, "_loc").join(first, ["_num", "street_name"]).groupBy(key).agg(F.min("address_id").alias("address_id"))
 
 
 def name_keys(c: Column | str) -> Column:
@@ -208,10 +210,11 @@ def name_in_text(df: DataFrame, addr: DataFrame, key: str, body: str, partial: C
 def postal_lookup(df: DataFrame, civic: DataFrame, key: str, location: str, postal: str) -> DataFrame:
     """Civic row for a postal code: the one whose number is the first number in the text, else the first row."""
     d = df.select(key, F.col(postal).alias("_pc"), F.regexp_extract(location, r"(\d+)", 1).try_cast("int").alias("_num"))
-    rows = civic.select(F.col("postal_code").alias("_pc"), "civic_no", "civic_id", "formatted")
-    met = d.join(rows, "_pc")
-    order = F.struct(F.when(F.col("civic_no") == F.col("_num"), 0).otherwise(1), F.col("civic_id"))
-    return met.groupBy(key).agg(F.min_by(F.struct("civic_id", "formatted"), order).alias("m")).select(key, "m.*")
+    rows = civic.select(F.col("postal_code").alias("_pc"), F.col("civic_no").alias("_num"), F.struct("civic_id", "formatted").alias("_row"))
+    exact = rows.groupBy("_pc", "_num").agg(F.min("_row").alias("_exact"))
+    first = rows.groupBy("_pc").agg(F.min("_row").alias("_first"))
+    met = d.join(first, "_pc").join(exact, ["_pc", "_num"], "left")
+    return met.groupBy(key).agg(F.min(F.struct(F.col("_exact").isNull(), F.coalesce("_exact", "_first").alias("row"))).alias("m")).select(key, "m.row.*")
 
 
 def best_building(df: DataFrame, addr: DataFrame, key: str, location: str, scores: Callable = fz.name_scores, threshold: float = 85) -> DataFrame:
