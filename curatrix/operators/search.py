@@ -112,7 +112,10 @@ _NEAR = ("no ", "not ", "without ", "exclude ")
 
 
 def question_tags(question: Column | str) -> Column:
-    """Struct of include_styles, exclude_styles, include_types, exclude_types, weekdays and limit of a question."""
+    """Struct of include_styles, exclude_styles, include_types, exclude_types, weekdays and limit of a question.
+
+    What is excluded is not included as well.
+    """
     return tx.let(F.lower(tx.text(question)), _tags)
 
 
@@ -144,8 +147,8 @@ def _tags(low: Column) -> Column:
     days = collect([(i, low.rlike(rf"\b{w.lower()}s\b|\b(?:every|all)\s+{w.lower()}s?\b")) for i, w in enumerate(dt.WEEKDAYS)])
     limit = F.regexp_extract(low, r"\b(?:limit(?:ed)?\s+(?:to\s+)?|show me\s+|give me\s+|top\s+|first\s+)(\d{1,3})\b", 1).try_cast("int")
     return F.struct(
-        F.when(everything, F.array().cast("array<string>")).otherwise(include).alias("include_styles"), exclude.alias("exclude_styles"),
-        types.alias("include_types"), no_types.alias("exclude_types"), days.alias("weekdays"), F.when(limit > 0, limit).alias("limit"),
+        F.when(everything, F.array().cast("array<string>")).otherwise(F.array_except(include, exclude)).alias("include_styles"), exclude.alias("exclude_styles"),
+        F.array_except(types, no_types).alias("include_types"), no_types.alias("exclude_types"), days.alias("weekdays"), F.when(limit > 0, limit).alias("limit"),
     )
 
 

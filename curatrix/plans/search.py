@@ -71,7 +71,7 @@ _QTEXT = """(CASE o_orderkey%6 WHEN 0 THEN 'show me '||CAST(o_custkey%40+1 AS VA
 
 @query("question_tags", f"""
 WITH x AS (SELECT o_orderkey, {_QTEXT} AS q FROM orders)
-SELECT o_orderkey, CASE WHEN contains(q, 'all styles') THEN '' ELSE array_to_string(list_filter({_INC_SQL}, lambda v: v IS NOT NULL), '|') END AS include_styles,
+SELECT o_orderkey, CASE WHEN contains(q, 'all styles') THEN '' ELSE array_to_string(list_filter({_INC_SQL}, lambda v: v IS NOT NULL AND NOT list_contains(list_filter({_EXC_SQL}, lambda z: z IS NOT NULL), v)), '|') END AS include_styles,
  array_to_string(list_filter({_EXC_SQL}, lambda v: v IS NOT NULL), '|') AS exclude_styles, array_to_string(list_filter({_TYP_SQL}, lambda v: v IS NOT NULL), '|') AS include_types,
  CASE o_orderkey%6 WHEN 1 THEN '1' WHEN 2 THEN '4' ELSE '' END AS weekdays, coalesce(TRY_CAST(regexp_extract(q, '(?:show me|top) (\\d+)', 1) AS INTEGER), -1) AS "limit" FROM x""")
 def _(spark, d):

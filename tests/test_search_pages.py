@@ -62,3 +62,8 @@ def test_schema_and_cards(spark):
     f = pages.html_features(spark.createDataFrame([("u", html)], "url string, html string")).first()
     assert (f.schema_event_count, f.listing_card_count, f.ticket_link_count) == (2, 2, 1)
     assert (f.time_count, f.date_count, f.address_count) == (1, 2, 1)
+
+
+def test_excluded_terms_are_not_included(spark):
+    q = spark.createDataFrame([("workshops without kizomba or kizomba lessons",)], "q string").select(search.question_tags("q").alias("t")).first().t
+    assert "kizomba" in q.exclude_styles and "kizomba" not in q.include_styles
