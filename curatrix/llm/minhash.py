@@ -75,7 +75,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     3. Classes in lists of more than ``LONG_LIST`` members meet instead in lists over their
        whole sets, by pairs of size classes: there the least overlap of similar sets is
        exact, and only the few rarest shingles of a set can be the first common one.
-    4. Rounds: in each list some classes are pivots and are compared with the members that
+    4. Each class is compared with the most common class near it, which links most groups.
+    5. Rounds: in each list some classes are pivots and are compared with the members that
        are not yet in their component. The sketch of the union estimates the similarity;
        pairs that can reach 0.8 are confirmed on the full texts. Pivots leave their lists,
        and are not taken from a list's largest component, since each open pair has a member
@@ -161,20 +162,41 @@ def _linked(texts, classes, lists, width) -> DataFrame:
     bodies = _bodies(texts, needed)
     members = stored(short_lists.unionByName(_whole_set_lists(hot, bodies, width)).withColumn("component", F.col("class")), "lists")
     short = stored(needed.select("class", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("sketch")), "short")
-    labels = texts.sparkSession.createDataFrame([], "class long, component long")
+    none = texts.sparkSession.createDataFrame([], "class long, component long")
+    labels = _relabelled(none, _confirmed(_estimated(_with_hubs(members), short), bodies, width))
     per_list = 1
-    members = _unfinished(members)
+    members = _unfinished(_marked(members.drop("component"), labels))
     while not members.isEmpty():
         pivots = _pivots(members, per_list)
         pairs = members.join(pivots, "value").filter("component <> pivot_component and 5 * least(n, pivot_n) >= 4 * greatest(n, pivot_n)")
         pairs = stored(pairs.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct(), "pairs")
         labels = _relabelled(labels, _confirmed(_estimated(pairs, short), bodies, width))
         rest = members.join(pivots.select("value", F.col("pivot").alias("class")), ["value", "class"], "left_anti").drop("component")
-        members = _unfinished(stored(rest.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class")), "lists"))
+        members = _unfinished(_marked(rest, labels))
         per_list *= 8
     return labels
 
 
+def _with_hubs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each class and the most common class in its lists or in theirs.
+
+    The original of many near copies is the one with most shingles in common, but each copy
+    shares only some lists with it; so the best class of a list goes to its members, and
+    from there once more to their lists. One comparison a class links most of a group.
+    """
+    best = members.groupBy("value").agg(F.max(F.struct("shared", "class", "n")).alias("hub"))
+    for _ in range(2):
+        of_class = members.select("value", "class", "n").join(best, "value").groupBy("class", "n").agg(F.max("hub").alias("hub"))
+        of_class = stored(of_class, "hubs")
+        best = members.select("value", "class").join(of_class.select("class", "hub"), "class").groupBy("value").agg(F.max("hub").alias("hub"))
+    near = of_class.filter("class <> hub.class and 5 * least(n, hub.n) >= 4 * greatest(n, hub.n)")
+    return stored(near.select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).distinct(), "pairs")
+
+
+def _marked(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return stored(members.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class")), "lists")
+
+
 def _unfinished(members: DataFrame) -> DataFrame:
     """Members of the lists that still have several components."""
     several = members.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("value")
