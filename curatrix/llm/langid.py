@@ -46,11 +46,28 @@ def script_of(char: str) -> int:
     return next((k for k, (_, ranges) in enumerate(SCRIPTS) if any(a <= code <= b for a, b in ranges)), OTHER)
 
 
+def bucket_of(piece: str) -> int:
+    return zlib.crc32(piece.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+class Buckets(dict):
+    """Buckets of short pieces, which repeat a lot; emptied when it has grown large."""
+
+    def __missing__(self, piece: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        at = self[piece] = bucket_of(piece)
+        return at
+
+
+PIECES = Buckets()
+
+
 def word_grams(word: str) -> list[int]:
     """Buckets of the word and of its 1- to 3-letter pieces, its ends marked."""
     marked = f"^{word}$"
     pieces = [marked[i : i + n] for n in (1, 2, 3) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in [*pieces, f"={word}"]]
+    return [*map(PIECES.__getitem__, pieces), bucket_of(f"={word}")]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS) -> dict:
