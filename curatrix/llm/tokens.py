@@ -132,9 +132,11 @@ def read_plane_file(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
 class WordIds(dict):
     """Ids of one white-space separated chunk of a text, from the tokenizers library.
 
-    The tokenizer lower-cases and drops white space before it looks for tokens, so a text's
-    ids are those of its chunks one after the other. Each chunk is encoded once and
-    remembered; the store is emptied when it has grown large.
+    The tokenizer composes (NFC), lower-cases and drops white space before it looks for
+    tokens, so a text's ids are those of its chunks one after the other. Chunks of ASCII signs,
+    which composing leaves alone, are lower-cased here; in others only the small letter may
+    compose with a mark, so they stay as written. Each chunk is encoded once and remembered;
+    the store is emptied when it has grown large.
     """
 
     def __init__(self, path: str, limit: int = 400_000):
@@ -149,9 +151,12 @@ class WordIds(dict):
 
     def encode(self, text: str | None) -> bytes:
         raw = (text or "").encode("utf-8", "surrogatepass")
-        if b"<|" not in raw:  # the names of special tokens are kept as they are
-            raw = raw.lower()
-        chunks = raw.split()
+        if b"<|" in raw:  # the names of special tokens are kept as they are
+            chunks = raw.split()
+        elif raw.isascii():
+            chunks = raw.lower().split()
+        else:
+            chunks = [c.lower() if c.isascii() else c for c in raw.split()]
         found = list(map(self.get, chunks))
         if None in found:
             if len(self) > self.limit:

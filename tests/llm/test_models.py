@@ -32,6 +32,12 @@ def test_ids_equal_the_library(text):
     assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["H\u0331ayim", "W\u030A", "T\u0308o", "Y\u030A", "J\u030Ca", "ab H\u0331ayim Cd, J\u030Ca <|x", "A\u0301 E\u0301. W\u030A\nH\u0331"])
+def test_ids_of_marks_after_capitals(text):
+    """Only the small letter composes with the mark, and the tokenizer composes before it lower-cases."""
+    assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+
+
 def test_piece_table(odd, none):
     rows = pieces.encode_decode(odd, PIECES).collect()
     assert len(rows) == odd.count() and pieces.encode_decode(none, PIECES).collect() == []
