@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -24,30 +25,112 @@ def match_street(df: DataFrame, addr: DataFrame, key: str, location: str) -> Dat
     return probe.join(inside, "_loc").join(first, ["_num", "street_name"]).groupBy(key).agg(F.min("address_id").alias("address_id"))
 
 
-def name_keys(c: Column | str) -> Column:
-    """Join keys of a venue name: its distinguishing tokens, or all its words when it has none."""
-    plain = F.regexp_extract_all(F.lower(tx.text(c)), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.transform(
-        F.when(F.size(tx.venue_tokens(c)) > 0, F.transform(tx.venue_tokens(c), lambda t: F.concat(F.lit("t:"), t)))
-        .otherwise(F.transform(F.array_distinct(plain), lambda t: F.concat(F.lit("w:"), t))), lambda t: t)
+def name_tokens(c: Column | str) -> Column:
+    """Join keys of a venue name: its distinguishing tokens."""
+    return F.transform(tx.venue_tokens(c), lambda t: t)
 
 
-def scored_names(left: DataFrame, right: DataFrame, scores: Callable = fz.name_scores, lower: bool = False) -> DataFrame:
-    """(left_name, right_name, s): scores of distinct names that share a distinguishing token.
+def piece_pairs(left: DataFrame, right: DataFrame, a: str, b: str, percent: float) -> DataFrame:
+    """(a, b): pairs of texts that ``floor(m * percent / 100)`` insertions and deletions may tell apart.
 
-    Names without such tokens meet names without them on their plain words. Both sides
-    are reduced to distinct names first, so repeated names cost one comparison.
+    ``m`` is the length of the shorter text, which may also stand within the longer one.
+    The shorter text is cut into one piece more than these edits, so one of them is left
+    unchanged in the longer text; pieces meet substrings of their lengths by equality. A
+    pair is given by the first piece the longer text holds, hence once, without a shuffle
+    of pairs. Distinct texts are expected on both sides.
+    """
+    percent = max(percent, 10.0)
+    sizes = F.array(*[F.lit(n) for n in range(1, math.ceil(100 / percent) + 1)])
+
+    def cut(df, x):
+        m = F.length(x)
+        k = F.least(m, F.floor(m * percent / 100).cast("int") + 1)
+        at = F.transform(F.sequence(F.lit(0), k), lambda i: F.floor(i * m / k).cast("int"))
+        pieces = F.transform(F.sequence(F.lit(1), k), lambda i: F.substring(x, F.get(at, i - 1) + 1, F.get(at, i) - F.get(at, i - 1)))
+        whole = df.filter(m > 0).select(x, F.array_distinct(pieces).alias("_all"))
+        return whole.select(x, "_all", F.posexplode("_all").alias("_i", "_piece"))
+
+    def inside(df, x):
+        m = F.length(x)
+        starts = F.sequence(F.lit(1), m)
+        grams = F.flatten(F.transform(sizes, lambda n: F.transform(F.filter(starts, lambda i: i <= m - n + 1), lambda i: F.substring(x, i, n))))
+        return df.filter(m > 0).select(x, F.explode(F.array_distinct(grams)).alias("_piece"))
+
+    def met(short, long, x, y, shorter):
+        pairs = cut(short, x).join(inside(long, y), "_piece").filter(shorter)
+        first = ~F.exists(F.slice("_all", F.lit(1), F.col("_i")), lambda p: F.contains(F.col(y), p))
+        return pairs.filter(first).select(a, b)
+
+    return met(left, right, a, b, F.length(a) <= F.length(b)).unionByName(met(right, left, b, a, F.length(b) < F.length(a)))
+
+
+def close_pairs(left: DataFrame, right: DataFrame, a: str, b: str, threshold: float) -> DataFrame:
+    """(a, b): distinct texts whose partial ratio can reach the threshold; a window is no longer than the shorter text.
+
+    Of equal lengths each text is a window of the other, and both have the same bound.
+    """
+    return piece_pairs(left, right, a, b, 200 - 2 * threshold)
+
+
+def scored_names(left: DataFrame, right: DataFrame, scores: Callable = fz.name_scores, lower: bool = False, partial: float | None = None) -> DataFrame:
+    """(left_name, right_name, s): scores of the distinct pairs of names that can matter.
+
+    With ``partial`` these are all names whose partial score can reach that threshold.
+    Else a pair must share a distinguishing token, unless a name has no such token: that
+    one meets every name whose ratio can reach 75 or whose token-set score can reach 85.
+    Both sides are reduced to distinct names first, so repeated names cost one comparison.
     """
     def side(df, out):
-        names = df.select(F.col("name").alias(out)).filter(~tx.blank(out)).distinct()
-        return names.select(out, F.explode(name_keys(out)).alias("_t"))
+        return df.select(F.col("name").alias(out)).filter(~tx.blank(out)).distinct()
+
+    x, y = side(left, "left_name"), side(right, "right_name")
+    if partial is not None:
+        def forms(df, c):
+            return df.select((F.lower(c) if lower else F.col(c)).alias(f"_{c}")).distinct()
+
+        met = close_pairs(forms(x, "left_name"), forms(y, "right_name"), "_left_name", "_right_name", partial)
+        u, v = F.col("_left_name"), F.col("_right_name")
+        scored = met.withColumn("s", scores(u, v)).filter(F.col("s.partial") >= partial)
+        own = [(F.lower(c) if lower else F.col(c)) == F.col(f"_{c}") for c in ("left_name", "right_name")]
+        return scored.join(x, own[0]).join(y, own[1]).select("left_name", "right_name", "s")
 
-    met = side(left, "left_name").join(side(right, "right_name"), "_t").select("left_name", "right_name")
+    def by_token(df, c):
+        return df.select(c, F.explode(name_tokens(c)).alias("_t"))
+
+    def bare(df, c):
+        return df.filter(F.size(tx.venue_tokens(c)) == 0)
+
+    x, y = cut_lineage(x), cut_lineage(y)  # read five times each
+    met = by_token(x, "left_name").join(by_token(y, "right_name"), "_t").select("left_name", "right_name")
+    for l, r in ((bare(x, "left_name"), y), (x, bare(y, "right_name"))):
+        met = met.unionByName(_near_names(l, r, lower))
     pairs = spread(met, "left_name", "right_name").distinct()
     a, b = F.col("left_name"), F.col("right_name")
     return pairs.withColumn("s", scores(F.lower(a), F.lower(b)) if lower else scores(a, b))
 
 
+def _near_names(left: DataFrame, right: DataFrame, lower: bool) -> DataFrame:
+    """(left_name, right_name): pairs that share a word, or whose ratio as written can reach 75, or with sorted words 85."""
+    names = ("left_name", "right_name")
+
+    def fold(c):
+        return F.lower(c) if lower else F.col(c)
+
+    def words(c):
+        return F.array_sort(F.array_distinct(F.filter(F.split(fold(c), r"\s+"), lambda w: w != "")))
+
+    def forms(df, c, form):
+        return df.select(c, form(c).alias(f"_{c}"))
+
+    out = left.select("left_name", F.explode(words("left_name")).alias("_w")).join(right.select("right_name", F.explode(words("right_name")).alias("_w")), "_w").select(*names)
+    # a ratio of t allows 2 * (100 - t) / t edits for each sign of the shorter text
+    for form, percent in ((fold, 20000 / 75 - 200), (lambda c: F.array_join(words(c), " "), 20000 / 85 - 200)):
+        x, y = forms(left, "left_name", form), forms(right, "right_name", form)
+        met = piece_pairs(x.select("_left_name").distinct(), y.select("_right_name").distinct(), "_left_name", "_right_name", percent + 1e-6)
+        out = out.unionByName(met.join(x, "_left_name").join(y, "_right_name").select(*names))
+    return out
+
+
 def resolve_address(parsed: DataFrame, addr: DataFrame, key: str, scores: Callable = fz.name_scores, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(matched, inserts): each parsed address gets the first tier that finds an existing row.
 
@@ -139,16 +222,26 @@ def quick_lookup(df: DataFrame, addr: DataFrame, key: str, location: str, scores
     by_name = a.filter("_b <> ''").groupBy(c("_b").alias("right_name")).agg(F.min("address_id").alias("address_id"))
     best = sim.join(by_name, "right_name").groupBy("left_name").agg(F.max_by("address_id", F.struct("_r", -c("address_id"))).alias("address_id"))
     by_text = free.join(best, "left_name").select(key, "address_id", F.lit(4).alias("step"))
-    hits = exact.unionByName(single).unionByName(named).unionByName(by_text)
-    # near-equal text: a row's building name must share a word with the text, so that word is the join key
+    # read three times below; written once, so that the plan stays small
+    hits = cut_lineage(exact.unionByName(single).unionByName(named).unionByName(by_text))
+    # near-equal text: shared token of the building name; without such tokens on a side any text that can reach 90
     rest = d.join(hits.select(key).distinct(), key, "left_anti")
-    probe = rest.select("_loc", F.explode(name_keys("_loc")).alias("_t")).distinct()
-    own = F.when(F.size(tx.venue_tokens("_b")) > 0, name_keys("_b")).otherwise(name_keys("_f"))
-    index = a.filter("_f <> ''").select(c("_f"), F.explode(own).alias("_t")).distinct()
+    rest_texts = rest.select("_loc").distinct()
+    full = a.filter("_f <> ''")
+    probe = rest_texts.select("_loc", F.explode(name_tokens("_loc")).alias("_t"))
+    index = full.select("_f", F.explode(name_tokens("_b")).alias("_t")).distinct()
     close = F.least(F.length("_loc"), F.length("_f")) * 200 >= 90 * (F.length("_loc") + F.length("_f"))
-    near = spread(probe.join(index, "_t").filter(close).select("_loc", "_f"), "_loc", "_f").distinct()
+    shared = probe.join(index, "_t").filter(close).select("_loc", "_f")
+    no_token = lambda c: F.size(tx.venue_tokens(c)) == 0
+    near = shared
+    for x, y in ((rest_texts.filter(no_token("_loc")), full), (rest_texts, full.filter(no_token("_b")))):
+        texts, fulls = (t.select(c, F.lower(c).alias(n)).distinct() for t, c, n in ((x, "_loc", "_ll"), (y, "_f", "_lf")))
+        met = piece_pairs(texts.select("_ll").distinct(), fulls.select("_lf").distinct(), "_ll", "_lf", 20000 / 90 - 200 + 1e-6)
+        near = near.unionByName(met.join(texts, "_ll").join(fulls, "_lf").filter(close).select("_loc", "_f"))
+    near = spread(near, "_loc", "_f").distinct()
     near = near.filter(ratio(F.lower("_loc"), F.lower("_f")) >= 90)
-    last = rest.join(near, "_loc").join(a, "_f").groupBy(key).agg(F.min("address_id").alias("address_id")).withColumn("step", F.lit(5))
+    allowed = no_token("_loc") | no_token("_b") | F.arrays_overlap(tx.venue_tokens("_loc"), tx.venue_tokens("_b"))
+    last = rest.join(near, "_loc").join(a, "_f").filter(allowed).groupBy(key).agg(F.min("address_id").alias("address_id")).withColumn("step", F.lit(5))
     hits = hits.unionByName(last)
     return hits.groupBy(key).agg(F.min_by(F.struct("address_id", "step"), F.struct("step", "address_id")).alias("m")).select(key, "m.address_id", "m.step")
 
@@ -191,18 +284,17 @@ def cache_insert(cache: DataFrame, fresh: DataFrame) -> DataFrame:
 def name_in_text(df: DataFrame, addr: DataFrame, key: str, body: str, partial: Callable = fz.partial_ratio, threshold: float = 80) -> DataFrame:
     """(key, address_id, how): a building name contained in the text, else the closest one above the threshold.
 
-    The fuzzy step looks at names of six or more characters that share a distinguishing
-    word with the text.
+    The fuzzy step looks at all names of six or more characters.
     """
     names = addr.filter(~tx.blank("building_name")).groupBy(F.lower(tx.text("building_name")).alias("name")).agg(F.max("address_id").alias("address_id"), F.min("address_id").alias("first_id"))
     inside = contained_in_text(df, key, body, names, "first_id", "name")
     exact = inside.join(names.select("first_id", "address_id"), "first_id").groupBy(key).agg(
         F.min_by("address_id", "first_id").alias("address_id")).withColumn("how", F.lit("contains"))
     rest = df.join(exact, key, "left_anti").select(key, F.lower(tx.text(body)).alias("_b"))
-    probe = rest.select(key, F.explode(tx.venue_tokens("_b")).alias("_t"))
-    index = names.filter(F.length("name") >= 6).select("name", "address_id", F.explode(tx.venue_tokens("name")).alias("_t"))
-    pairs = probe.join(index, "_t").select(key, "name", "address_id").distinct()
-    scored = pairs.join(rest, key).withColumn("_s", partial(F.col("name"), F.col("_b"))).filter(F.col("_s") > threshold)
+    long = names.filter(F.length("name") >= 6).select("name", "address_id")
+    near = close_pairs(long.select("name"), rest.select("_b").distinct(), "name", "_b", threshold)
+    near = near.withColumn("_s", partial(F.col("name"), F.col("_b"))).filter(F.col("_s") > threshold)
+    scored = near.join(long, "name").join(rest, "_b")
     fuzzy = scored.groupBy(key).agg(F.max_by("address_id", F.struct("_s", -F.col("address_id"))).alias("address_id")).withColumn("how", F.lit("fuzzy"))
     return exact.unionByName(fuzzy)
 
@@ -222,7 +314,7 @@ def best_building(df: DataFrame, addr: DataFrame, key: str, location: str, score
     c = F.col
     loc = df.filter(~tx.low_quality_location(location)).select(key, c(location).alias("left_name"))
     good = addr.filter(~tx.low_quality_name("building_name") & ~tx.low_quality_location("full_address"))
-    sim = scored_names(loc.select(c("left_name").alias("name")), good.select(c("building_name").alias("name")), scores, lower=True).filter(c("s.partial") >= threshold)
+    sim = scored_names(loc.select(c("left_name").alias("name")), good.select(c("building_name").alias("name")), scores, lower=True, partial=threshold)
     by_name = good.groupBy(c("building_name").alias("right_name")).agg(F.min("address_id").alias("address_id"))
     best = sim.join(by_name, "right_name").groupBy("left_name").agg(F.max_by(F.struct("address_id", c("s.partial").alias("score")), F.struct("s.partial", -c("address_id"))).alias("m"))
     return loc.join(best, "left_name").select(key, "m.address_id", "m.score")

@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from curatrix.functions import fuzzy as fz
+from curatrix.functions import text as tx
 from curatrix.operators import address as ad
 from curatrix.operators import entity as ent
 from curatrix.operators import joins
@@ -138,6 +139,64 @@ def test_resolve_address_finds_existing_building(spark):
     assert [(r.address_id, r.full_address) for r in inserts.collect()] == [(10, "Brand New Place, 1 Fir, Victoria")]
 
 
+def test_fuzzy_names_equal_all_pairs(spark):
+    """Misspelt single words share no token; every pair that reaches the threshold must be scored."""
+    rnd = random.Random(5)
+
+    def bend(t):
+        for _ in range(rnd.randrange(4)):
+            i = rnd.randrange(len(t))
+            t = t[:i] + rnd.choice(["", "x", t[i] + "q"]) + t[i + 1 :]
+        return t
+
+    names = ["Edelweiss", "Fernwoods Inn", "Sunset Ballroom", "Hermann", "Dance Victoria", "Quartz", "The Hall", "Studio 4", "\u30c0\u30f3\u30b9\u30db\u30fc\u30eb"]
+    said = ["Edelwiess", "Fernwood", "Fernwood Inns", "The Edelwiess Haus"] + [bend(rnd.choice(names)) for _ in range(60)]
+    said += ["late " + bend(rnd.choice(names)) + " tonight" for _ in range(30)]
+    a = spark.createDataFrame([(i, n, "1 Main, Victoria") for i, n in enumerate(names)], "address_id long, building_name string, full_address string")
+    rows = list(enumerate(said))
+    df = spark.createDataFrame(rows, "k long, t string")
+    poor = {r.k for r in df.filter(tx.low_quality_location("t")).collect()}
+    good = {r.address_id for r in a.filter(~tx.low_quality_name("building_name")).collect()}
+
+    def best(t, limit, ids, ok):
+        hits = [(fz.partial(n.lower(), t.lower()), -i) for i, n in enumerate(names) if i in ids]
+        hits = [h for h in hits if ok(h[0], limit)]
+        return -max(hits)[1] if hits else None
+
+    want = {k: best(t, 85, good, lambda s, x: s >= x) for k, t in rows if k not in poor}
+    got = {r.k: r.address_id for r in ad.best_building(df, a, "k", "t").collect()}
+    assert got == {k: v for k, v in want.items() if v is not None} and 0 in got and 1 in got
+    six = {i for i, n in enumerate(names) if len(n) >= 6}
+    inside = {k: min(i for i, n in enumerate(names) if n.lower() in t.lower()) for k, t in rows if any(n.lower() in t.lower() for n in names)}
+    want = {k: inside[k] if k in inside else best(t, 80, six, lambda s, x: s > x) for k, t in rows}
+    got = {r.k: r.address_id for r in ad.name_in_text(df, a, "k", "t").collect()}
+    assert got == {k: v for k, v in want.items() if v is not None}
+
+
+def test_names_without_tokens_meet_all_names(spark):
+    """The gate of shared tokens holds only where both names have tokens."""
+    names = ["Edelweiss", "The Hall 9", "Ab Cd Ef", "Fernwood Hall", "\u30c0\u30f3\u30b9\u30db\u30fc\u30eb", "Hal"]
+    said = ["Edelwiess", "The Hal", "Ab Cd Eg", "Xab Cdef", "\u30c0\u30f3\u30b9\u30db\u30eb", "Fernwod", "Hall", "Ef Ab Cd", "Ed"]
+    l, r = (spark.createDataFrame([(x,) for x in v], "name string") for v in (said, names))
+
+    def token(v):
+        return {x.name: set(x.t) for x in v.select("name", tx.venue_tokens("name").alias("t")).collect()}
+
+    tl, tr = token(l), token(r)
+    want = {(x, y) for x in said for y in names if not tl[x] or not tr[y] or tl[x] & tr[y]}
+    scored = {(x, y): (fz.ratio(x, y), fz.partial(x, y), fz.token_set(x, y)) for x, y in want}
+    want = {p for p, (x, y, z) in scored.items() if x >= 75 or y >= 80 or z >= 85}
+    got = {(x.left_name, x.right_name) for x in ad.scored_names(l, r).filter("s.ratio >= 75 or s.partial >= 80 or s.token_set >= 85").collect()}
+    assert got == want and ("Edelwiess", "Edelweiss") not in got and ("Ed", "Edelweiss") in got
+
+
+def test_near_equal_text_without_tokens(spark):
+    a = spark.createDataFrame([(3, "", "", "", "12 Ballroom Rd, Victoria"), (4, "Edelweiss", "", "", "108 Niagara, Victoria")],
+                              "address_id long, building_name string, street_number string, street_name string, full_address string")
+    df = spark.createDataFrame([(1, "12 Balroom Rd, Victoria"), (2, "108 Niagra, Victoria")], "k long, t string")
+    assert {(r.k, r.address_id, r.step) for r in ad.quick_lookup(df, a, "k", "t").collect()} == {(1, 3, 5)}
+
+
 def test_alias_rules(spark):
     rules = spark.createDataFrame([(0, "loft", "The Loft Pub", "", "", 7, "229", "")], "rule_order int, rule_name string, alias string, source_equals string, url_contains string, address_id long, street_number string, postal_code string")
     rows = spark.createDataFrame([(1, "the loft pub", ""), (2, "Upstairs at The Loft Pub!", "229"), (3, "The Loft Pub", "100"), (4, "Loft", "")], "k long, location string, street_number string")
