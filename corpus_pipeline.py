@@ -7,20 +7,31 @@ the rows that stay with all columns of ``documents``; the last one returns token
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.llm import decontam, exact, minhash, pieces, toxicity
-from curatrix.llm.common import small_side, stored
+from curatrix.llm.common import SPACES, small_side, stored
 
 #: The model stage has no SQL form; tests/llm compares the pipeline with a plain version.
 ORACLE_SQL = None
 
 
-def keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is among the ids of ``verdicts``."""
-    ids = stored(verdicts.select(F.col("doc_id").alias("_kept_id")).distinct(), "kept")
-    return docs.join(small_side(ids), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+def keep(docs: DataFrame, text_key: Column, verdicts: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id and text key are among ``doc_id``, ``key`` of ``verdicts``.
+
+    Where ``single`` is set, one row of those with that id and key stays: the least of them.
+    """
+    wanted = small_side(stored(verdicts.select(F.col("doc_id").alias("_kept_id"), F.col("key").alias("_kept_key"), "single").distinct(), "kept"))
+    met = docs.withColumn("_key", text_key).join(wanted, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_key") == F.col("_kept_key")))
+    counts = met.filter("single").groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    many = stored(counts.filter("_n > 1").select("_id", "_k"), "repeated")
+    if many.isEmpty():
+        return met.select(docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k"))
+    once = met.join(small_side(many), same, "left_anti").select(docs.columns)
+    least = met.join(small_side(many), same, "left_semi").groupBy("doc_id", "_key").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return once.unionByName(least.select("_row.*"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,12 +42,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of equal texts."""
-    return keep(docs, exact.exact_duplicates(docs).filter("kept"))
+    first = exact.exact_duplicates(docs).filter("kept").select("doc_id", F.col("text_sha256").alias("key"), F.lit(True).alias("single"))
+    return keep(docs, F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACES, " "), 256), first)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each component of near copies (five-word shingles, 0.8)."""
-    return keep(docs, minhash.near_duplicates(docs).filter("kept"))
+    kept = stored(minhash.near_duplicates(docs, rows=True).filter("kept").select("doc_id", "row", "component"), "verdicts")
+    one = kept.filter("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("m")).select("m.doc_id", F.col("m.row").alias("key"), F.lit(True).alias("single"))
+    alone = kept.filter("component is null").select("doc_id", F.col("row").alias("key"), F.lit(False).alias("single"))
+    return keep(docs, F.xxhash64("text"), one.unionByName(alone))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
     return map_texts(docs, prepare, "n_shingles long, set_id binary, sketch array<long>")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, rows: bool = False) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of 0.8 or more.
 
     1. One pass makes the bottom-k sketch of each set. Equal sets become one class.
@@ -85,7 +85,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        not n * n, and no link between components is lost.
 
     Returns per document: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id that is
-    reachable), ``kept``.
+    reachable), ``kept``; with ``rows`` also ``row`` (xxhash64 of the text), which tells texts
+    of one id apart, and ``component`` (null for an empty set), which tells components apart.
 
     * Null, empty and blank texts have an empty set and are linked with nothing.
     * Rows repeated under one id are classes of that id; a null id is never a component id
@@ -101,10 +102,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _linked(texts, classes, _inverted_lists(classes), width)
     groups = classes.select("set_id", "class", "first_id").join(links, "class", "left").withColumn("component", F.coalesce("component", "class"))
     lowest = groups.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = stored(groups.join(lowest, "component").select("set_id", "component_id"), "components")
-    linked = marked.filter("n_shingles > 0").join(named, "set_id").select("doc_id", "n_shingles", "component_id")
-    alone = marked.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = stored(groups.join(lowest, "component").select("set_id", "component_id", "component"), "components")
+    more = ["row", "component"] if rows else []
+    linked = marked.filter("n_shingles > 0").join(named, "set_id").select("doc_id", "n_shingles", "component_id", *more)
+    alone = marked.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row", F.lit(None).cast("long").alias("component"))
+    both = linked.unionByName(alone.select(linked.columns))
+    return both.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _least_common(n):

@@ -34,6 +34,20 @@ def test_stages_hand_on_the_columns_of_documents(spark, sf):
         assert out.collect() == [] and (name == "sentencepiece" or out.columns == docs.columns)
 
 
+def test_stages_keep_one_row_of_each_class(spark, sf):
+    """Ids may be repeated or null: what counts is the row, not its id."""
+    long = " ".join(f"word{k}" for k in range(60))
+    other = " ".join(f"term{k}" for k in range(60))
+    rows = [(1, long), (1, long), (1, long.replace(" ", "  ", 1)), (2, other), (2, long), (None, "only here, said once and no more"), (None, other), (None, "only here, said once and no more"), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = sorted((r.doc_id is None, r.doc_id, norm(r.text)) for r in corpus_pipeline.drop_copies(spark, docs, sf).collect())
+    want = [(False, 1, norm(long)), (False, 2, norm(other)), (True, None, ""), (True, None, norm(rows[5][1]))]
+    assert texts == want
+    near = [(1, long), (1, long), (1, long + " tail"), (2, long + " end"), (2, other), (None, other + " tail"), (None, rows[5][1]), (None, rows[5][1]), (None, other.upper() + " once"), (4, ""), (4, "")]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(near, "doc_id long, text string"), sf).collect()
+    assert len(got) == 5 and sorted((r.doc_id or 0, r.text[:4]) for r in got) == [(0, "only"), (1, "word"), (2, "term"), (4, ""), (4, "")]
+
+
 def test_entry_has_the_queries():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
