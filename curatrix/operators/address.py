@@ -44,7 +44,8 @@ def piece_pairs(left: DataFrame, right: DataFrame, a: str, b: str, percent: floa
 
     def cut(df, x):
         m = F.length(x)
-        k = F.least(m, F.floor(m * percent / 100).cast("int") + 1)
+        # never 0, also for an empty text, whose plan may be evaluated before it is filtered away
+        k = F.greatest(F.lit(1), F.least(m, F.floor(m * percent / 100).cast("int") + 1))
         at = F.transform(F.sequence(F.lit(0), k), lambda i: F.floor(i * m / k).cast("int"))
         pieces = F.transform(F.sequence(F.lit(1), k), lambda i: F.substring(x, F.get(at, i - 1) + 1, F.get(at, i) - F.get(at, i - 1)))
         whole = df.filter(m > 0).select(x, F.array_distinct(pieces).alias("_all"))

@@ -137,17 +137,6 @@ def candidates(e):
     )
 
 
-_RUNS: dict = {}
-
-
-def _written(spark, d):
-    """One write run per session and input; its three outputs are separate queries."""
-    run = (spark.sparkContext.applicationId, d)
-    if run not in _RUNS:
-        _RUNS[run] = _write(spark, d)
-    return _RUNS[run]
-
-
 def _write(spark, d):
     rules = writing.WriteRules(_day("2024-01-31"), 20, scores=fz.lev_scores, ratio=fz.lev_ratio)
     return writing.write_events(candidates(ev(spark, d)), customer_address(spark, d), rules)
@@ -161,18 +150,18 @@ _WR = f"""{EV}, x AS (SELECT event_id, place, event_type, start_date, CASE WHEN
 WITH {_WR} SELECT event_id AS row_id, CASE WHEN event_id%5=0 THEN 'hall'||CAST(place AS VARCHAR) ELSE event_type END AS source, CASE WHEN event_id%2=0 THEN 'salsa' ELSE 'swing, tango' END AS dance_style,
  'https://hall'||CAST(place AS VARCHAR)||'.org/list' AS url, place AS address_id FROM x WHERE r='accepted'""")
 def _(spark, d):
-    return _written(spark, d)[0].select("row_id", "source", "dance_style", "url", "address_id")
+    return _write(spark, d)[0].select("row_id", "source", "dance_style", "url", "address_id")
 
 
 @query("write_rejects", f"WITH {_WR} SELECT event_id AS row_id, r AS reject_reason FROM x WHERE r<>'accepted'")
 def _(spark, d):
-    return _written(spark, d)[1].select("row_id", "reject_reason")
+    return _write(spark, d)[1].select("row_id", "reject_reason")
 
 
 @query("write_url_log", f"""
 WITH {_WR} SELECT 'https://hall'||CAST(place AS VARCHAR)||'.org/list' AS link, count(*) FILTER (WHERE r='accepted')>0 AS relevant, count(*) FILTER (WHERE r='accepted') AS events_written FROM x GROUP BY 1""")
 def _(spark, d):
-    return _written(spark, d)[3].select("link", "relevant", "events_written")
+    return _write(spark, d)[3].select("link", "relevant", "events_written")
 
 
 def _event_table(spark, d):
