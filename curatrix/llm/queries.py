@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, hosts, langid, licenses, minhash, pieces, repeats, tokens, toxicity
+from . import decontam, exact, hosts, langid, licenses, minhash, pieces, prefixes, repeats, tokens, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -141,3 +141,26 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
     differences = F.aggregate("matches", F.lit(0), lambda n, m: n + m["differences"])
     return found.select("doc_id", "n_matches", "licenses", differences.alias("differences"))
+
+
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda ch: ord(ch)::BIGINT)),
+ lambda s, b: list_reduce(list_prepend(xor(s, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, k: xor(v >> 1, (v & 1) * 3988292384::BIGINT))), 4294967295::BIGINT)"""
+OP12_SQL = rf"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT conv_id, {CRC32.format('conv_id')} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT h.conv_id, p AS pos, role, text FROM h JOIN t ON t.conv_id = h.conv_id - h.conv_id % 20 AND p <= h UNION ALL SELECT h.conv_id, p + 4, role, text FROM h JOIN t ON t.conv_id = h.conv_id AND p > h),
+l AS (SELECT conv_id, list(sha256(length(role) || ':' || role || text) ORDER BY pos) AS l, list(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) ORDER BY pos) AS w FROM r GROUP BY conv_id),
+c AS (SELECT h.conv_id, coalesce(l, []) AS l, coalesce(w, []) AS w FROM h LEFT JOIN l USING (conv_id)),
+m AS (SELECT conv_id, d, array_to_string(l[1:d], '') AS k, CASE WHEN d > 0 THEN array_to_string(l[1:d-1], '') END AS up, CASE WHEN d > 0 THEN w[d] ELSE 0 END AS words, d = len(l) AS stops, l
+ FROM (SELECT *, unnest(range(0, len(l) + 1)) AS d FROM c)),
+n AS (SELECT k, d AS depth, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words, any_value(l[1:d]) AS l, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (stops), '')) AS ends_sha256 FROM m GROUP BY k, d),
+kids AS (SELECT up AS k, count(*) AS n FROM n WHERE up IS NOT NULL GROUP BY 1),
+s AS (SELECT array_to_string(l[1:a], '') AS k, sum(CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * words) AS saved FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM n) x LEFT JOIN kids ON kids.k = x.k GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n LEFT JOIN n p ON p.k = n.up LEFT JOIN kids ON kids.k = n.k JOIN s ON s.k = n.k
+"""
+
+
+@query("op12_conversation_trie", OP12_SQL)
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie_nodes(prefixes.graft(prefixes.turn_paths(table(spark, sf_dir, "conversations"))))
