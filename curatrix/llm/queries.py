@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, hosts, langid, licenses, minhash, pieces, prefixes, repeats, tokens, toxicity
+from . import decontam, exact, hosts, langid, licenses, minhash, phrases, pieces, prefixes, repeats, tokens, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -143,6 +143,20 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_matches", "licenses", differences.alias("differences"))
 
 
+OP11_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+x AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS hex, max(page_id) OVER (PARTITION BY body) AS top FROM p),
+y AS (SELECT *, list_transform(range(0, 8), lambda g: list_reduce(list_transform(string_split(substr(hex, CAST(1 + 5 * g AS BIGINT), 5), ''), lambda ch: strpos('0123456789abcdef', ch) - 1), lambda a, b: a * 16 + b)) AS v FROM x)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((v[CAST(i // 4 + 1 AS BIGINT)] >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31), 1)), '') AS payload_digest,
+ CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM y
+"""
+
+
+@query("op11_warc_bundles", OP11_SQL)
+def op11_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda ch: ord(ch)::BIGINT)),
  lambda s, b: list_reduce(list_prepend(xor(s, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, k: xor(v >> 1, (v & 1) * 3988292384::BIGINT))), 4294967295::BIGINT)"""
 OP12_SQL = rf"""
@@ -164,3 +178,29 @@ FROM n LEFT JOIN n p ON p.k = n.up LEFT JOIN kids ON kids.k = n.k JOIN s ON s.k
 @query("op12_conversation_trie", OP12_SQL)
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.trie_nodes(prefixes.graft(prefixes.turn_paths(table(spark, sf_dir, "conversations"))))
+
+
+OP13_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, row_number() OVER () AS pid, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+x AS (SELECT lang, pid, unnest(w) AS w1, generate_subscripts(w, 1) AS pos FROM w),
+y AS (SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM x WINDOW o AS (PARTITION BY pid ORDER BY pos)),
+tot AS (SELECT lang, count(*) AS n FROM y GROUP BY 1),
+f1 AS (SELECT lang, w1, count(*) AS f FROM y GROUP BY ALL HAVING f >= 10),
+f2 AS (SELECT lang, w1, w2, count(*) AS f FROM y WHERE w2 IS NOT NULL GROUP BY ALL HAVING f >= 10),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM y WHERE w3 IS NOT NULL GROUP BY ALL HAVING f >= 10),
+part AS (SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3),
+gone AS (SELECT DISTINCT f2.lang, f2.w1, f2.w2 FROM f2 JOIN part USING (lang, w1, w2) WHERE 100 * part.f >= 50 * f2.f),
+cut AS (SELECT f2.lang, f2.w1 || ' ' || f2.w2 AS phrase, f2.f AS a, 1 AS k, x.f AS l, y.f AS r FROM f2 ANTI JOIN gone USING (lang, w1, w2) JOIN f1 x ON x.lang = f2.lang AND x.w1 = f2.w1 JOIN f1 y ON y.lang = f2.lang AND y.w1 = f2.w2
+ UNION ALL SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.f, 1, x.f, y.f FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.w1 = f3.w1 JOIN f2 y ON y.lang = f3.lang AND y.w1 = f3.w2 AND y.w2 = f3.w3
+ UNION ALL SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.f, 2, x.f, y.f FROM f3 JOIN f2 x ON x.lang = f3.lang AND x.w1 = f3.w1 AND x.w2 = f3.w2 JOIN f1 y ON y.lang = f3.lang AND y.w1 = f3.w3),
+sc AS (SELECT *, CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS BIGINT) AS score FROM cut),
+low AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT low.lang, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM low JOIN tot ON tot.lang = low.lang QUALIFY rank <= 2000
+"""
+
+
+@query("op13_phrase_collocations", OP13_SQL)
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
