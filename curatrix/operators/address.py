@@ -192,7 +192,7 @@ def resolve_address(parsed: DataFrame, addr: DataFrame, key: str, scores: Callab
     rest = rest.withColumn("full_address", build_full_address(rest)).filter(~tx.blank("full_address"))
     one = rest.groupBy("full_address").agg(F.min(F.struct(*[x for x in rest.columns if x not in ("full_address", key)])).alias("r"))
     top = addr.agg(F.coalesce(F.max("address_id"), F.lit(0)).alias("_top"))
-    ranked = global_rank(one.withColumn("_b", F.substring("full_address", 1, 3)), "_b", ["full_address"], "_rank").drop("_b")
+    ranked = global_rank(one, ["full_address"], "_rank")
     inserts = ranked.join(F.broadcast(top)).select((c("_top") + c("_rank")).alias("address_id"), "full_address", "r.*")
     return matched, inserts
 

@@ -7,6 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def null_safe(left: DataFrame, right: DataFrame, keys: Iterable[str]) -> Column:
     cond = F.lit(True)
@@ -43,28 +45,29 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
-def bucket_offsets(df: DataFrame, bucket: str) -> DataFrame:
-    """(bucket, offset): rows in smaller buckets. The window runs over one row per bucket."""
-    counts = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(bucket, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_offset"))
-
+def global_rank(keys: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """1..n over ``keys`` in the given order, without a window.
 
-def global_rank(keys: DataFrame, bucket: str, order: Sequence[str], out: str) -> DataFrame:
-    """1..n over distinct ``keys`` in (bucket, order) order, without a one-partition window.
-
-    ``bucket`` is a monotone coarse prefix of the order (a date, a value range). Ranks
-    are local to a bucket plus the bucket's offset, so the work is spread over buckets
-    and repeats exactly when a task is retried.
+    Rows are range-partitioned and sorted on the order columns and written to the
+    checkpoint folder, so their places stay as they are. A row's rank is its place in its
+    partition plus the rows of the partitions before it. Ranges are cut by all order
+    columns, so no single value of the first one decides how much a task gets; only one
+    count per partition reaches the driver. Rows that are equal in all order columns get
+    neighbouring ranks.
     """
-    offsets = bucket_offsets(keys, bucket).withColumnRenamed(bucket, "_b")
-    w = Window.partitionBy(bucket).orderBy(*order)
-    local = keys.withColumn("_rn", F.row_number().over(w))
-    return (
-        local.join(offsets, local[bucket].eqNullSafe(offsets["_b"]))
-        .withColumn(out, (F.col("_rn") + F.col("_offset")).cast("long"))
-        .drop("_rn", "_offset", "_b")
-    )
+    spark = keys.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    ordered = keys.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # the generated id is the partition's number in its upper bits and the row's place in the lower 33
+    placed = cut_lineage(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = dict(placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before, starts = 0, []
+    for p in sorted(sizes):
+        starts.append((p, before))
+        before += sizes[p]
+    offsets = spark.createDataFrame(starts, "_part long, _before long")
+    return placed.join(F.broadcast(offsets), part == F.col("_part")).withColumn(out, place + F.col("_before") + 1).drop("_at", "_part", "_before")
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:

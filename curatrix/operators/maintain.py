@@ -79,10 +79,10 @@ def write_attribution(inserted: DataFrame, run_id: Column, step: Column, method:
     return inserted.select("event_id", run_id.alias("run_id"), step.alias("step_name"), method.alias("write_method"))
 
 
-def append_with_ids(base: DataFrame, rows: DataFrame, key: str, bucket: Column, order: Sequence[str]) -> DataFrame:
+def append_with_ids(base: DataFrame, rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """Append ``rows`` with ids after the largest stored one, numbered in a repeatable order."""
     top = base.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    ranked = global_rank(rows.withColumn("_bucket", bucket), "_bucket", order, "_rank").drop("_bucket")
+    ranked = global_rank(rows, order, "_rank")
     numbered = ranked.join(F.broadcast(top)).withColumn(key, F.col("_top") + F.col("_rank")).drop("_top", "_rank")
     return base.unionByName(numbered.select(*base.columns))
 
@@ -136,10 +136,9 @@ def expire_sessions(messages: DataFrame, conversation: str, stamp: str, as_of: C
     return messages.join(alive, messages[conversation] == alive["_c"], "left_semi")
 
 
-def renumber(dim: DataFrame, key: str, bucket: Column) -> DataFrame:
-    """(old, new): dense ids 1..n in key order. ``bucket`` must grow with the key."""
-    keys = dim.select(F.col(key).alias("old"), bucket.alias("_bucket")).distinct()
-    return global_rank(keys, "_bucket", ["old"], "new").select("old", "new")
+def renumber(dim: DataFrame, key: str) -> DataFrame:
+    """(old, new): dense ids 1..n in key order."""
+    return global_rank(dim.select(F.col(key).alias("old")).distinct(), ["old"], "new")
 
 
 def repoint(df: DataFrame, mapping: DataFrame, key: str) -> DataFrame:

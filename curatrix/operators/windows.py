@@ -16,7 +16,7 @@ def quarter_hour_groups(df: DataFrame, since: Column, mode: str = "exact", step:
 
     ``exact`` compares the minute of a row's own times with the group's quarter hour, as
     the stored query does; ``floored`` puts both sides on the quarter hour. Group ids are
-    ranked over the distinct groups per date, never over the rows.
+    ranked over the distinct groups, never over the rows.
     """
     def to_step(c):
         return (F.floor(F.col(c) / step) * step).cast("long")
@@ -29,11 +29,11 @@ def quarter_hour_groups(df: DataFrame, since: Column, mode: str = "exact", step:
     groups = dated.groupBy("start_date", "_s", "_e").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1 and _s is not null and _e is not null").drop("_n")
     rows = df.withColumns({"_s": pick("start_sec"), "_e": pick("end_sec")}).join(groups, ["start_date", "_s", "_e"])
     present = rows.select("start_date", "_s", "_e").distinct()
-    ranked = global_rank(present, "start_date", ["_s", "_e"], "group_id")
+    ranked = global_rank(present, ["start_date", "_s", "_e"], "group_id")
     return rows.join(ranked, ["start_date", "_s", "_e"]).drop("_s", "_e")
 
 
-def duplicate_address_groups(addr: DataFrame, key_sets: Sequence[Sequence[str]], bucket: Column) -> DataFrame:
+def duplicate_address_groups(addr: DataFrame, key_sets: Sequence[Sequence[str]]) -> DataFrame:
     """Addresses that share a street line or a building name with another one, with the group's dense id.
 
     The group of an address is the smallest id it meets in any of its keys. That minimum
@@ -50,8 +50,7 @@ def duplicate_address_groups(addr: DataFrame, key_sets: Sequence[Sequence[str]],
         part = keyed.join(shared, ["_h", *named]).select("address_id", "_g")
         marks = part if marks is None else marks.unionByName(part)
     one_hop = marks.groupBy("address_id").agg(F.min("_g").alias("_g"))
-    roots = one_hop.select("_g").distinct().withColumn("_b", bucket)
-    ranked = global_rank(roots, "_b", ["_g"], "group_id").drop("_b")
+    ranked = global_rank(one_hop.select("_g").distinct(), ["_g"], "group_id")
     return one_hop.join(ranked, "_g").select("group_id", "address_id")
 
 

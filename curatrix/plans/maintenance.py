@@ -83,7 +83,7 @@ SELECT 99+row_number() OVER (ORDER BY d, o_custkey, o_orderkey), o_custkey FROM
 def _(spark, d):
     o = table(spark, d, "orders").withColumn("d", F.to_date("o_orderdate"))
     base = o.filter("o_orderkey < 100").select(F.col("o_orderkey").alias("id"), "o_custkey")
-    return op.append_with_ids(base, o.filter("o_orderkey >= 100").select("o_custkey", "o_orderkey", "d"), "id", F.col("d"), ["o_custkey", "o_orderkey"])
+    return op.append_with_ids(base, o.filter("o_orderkey >= 100").select("o_custkey", "o_orderkey", "d"), "id", ["d", "o_custkey", "o_orderkey"])
 
 
 @query("snapshot_history", """

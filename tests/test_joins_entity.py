@@ -212,11 +212,17 @@ def test_trailing_count_matches_brute_force(spark):
     assert got == {a[0]: sum(1 for b in rows if b[1] == a[1] and a[2] - 600 <= b[2] <= a[2]) for a in rows}
 
 
-def test_global_rank_is_dense_over_buckets(spark):
-    rows = [(i // 7, f"k{i:03d}") for i in range(50)]
-    df = spark.createDataFrame(rows, "b int, k string")
-    got = {r.k: r.n for r in keyed.global_rank(df, "b", ["k"], "n").collect()}
-    assert got == {f"k{i:03d}": i + 1 for i in range(50)}
+def test_global_rank_with_one_hot_value(spark):
+    # nine tenths of the rows have one date; the ranges are cut within it
+    rows = [("2024-01-01" if i % 10 else f"2024-02-{i // 10 % 28 + 1:02d}", f"k{i:05d}") for i in range(4000)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows + [(None, "none")], "d string, k string")
+    ranked = keyed.global_rank(df, ["d", "k"], "n")
+    assert [(r.d, r.k) for r in ranked.orderBy("n").collect()] == [(None, "none")] + sorted(rows)
+    assert sorted(r.n for r in ranked.collect()) == list(range(1, 4002))
+    plan = keyed.global_rank(df, ["d", "k"], "n")._jdf.queryExecution().toString()
+    assert "Window" not in plan
+    assert keyed.global_rank(df.filter("false"), ["d", "k"], "n").collect() == []
 
 
 def test_exact_percentiles(spark):
