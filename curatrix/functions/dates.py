@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import calendar
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,17 +136,16 @@ def nearest_weekday_shift(d: Column | str, name: Column | str) -> Column:
     return F.coalesce(F.when(f <= 3, f).otherwise(f - 7), F.lit(0)).cast("int")
 
 
-MONTH_PATTERN = (
-    r"jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|"
-    r"sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
-)
+#: Full and short month names, the longer ones first; September also has a short name of four letters.
+MONTH_PATTERN = "|".join(sorted({*calendar.month_name[1:], *calendar.month_abbr[1:], "Sept"}, key=lambda m: (-len(m), m))).lower()
 
 
-def candidate_dates(c: Column | str, as_of: Column) -> Column:
+def candidate_dates(c: Column | str, as_of: Column, primary: Column | None = None) -> Column:
     """Dates mentioned as 'month day[, year]' in order of mention, distinct.
 
     A mention without a year takes the year of ``as_of``, or the next year when that
-    day is more than 90 days past.
+    day is more than 90 days past. ``primary``, a date detected in the picture itself,
+    comes first if no mention has it.
     """
     low = F.lower(text(c))
     mention = rf"\b((?:{MONTH_PATTERN})[\s,/-]+\d{{1,2}}(?:st|nd|rd|th)?(?:[\s,/-]+20\d{{2}})?)\b"
@@ -158,22 +159,30 @@ def candidate_dates(c: Column | str, as_of: Column) -> Column:
         rolled = F.when(F.datediff(as_of, guess) > 90, try_make_date(F.year(as_of) + 1, month, day)).otherwise(guess)
         return F.when(year != "", try_make_date(year, month, day)).otherwise(rolled)
 
-    return F.array_distinct(F.array_compact(F.transform(hits, resolve)))
+    dates = F.array_distinct(F.array_compact(F.transform(hits, resolve)))
+    if primary is None:
+        return dates
+    return F.when(primary.isNull() | F.array_contains(dates, F.coalesce(primary, as_of)), dates).otherwise(F.concat(F.array(primary), dates))
 
 
-def poster_type(c: Column | str, dates: Column) -> Column:
-    """single_event / schedule_multi_event / unknown from the counts of dates, weekdays and months."""
+def poster_type(c: Column | str, dates: Column, primary: Column | None = None) -> Column:
+    """single_event / schedule_multi_event / unknown from the counts of dates, weekdays and months, and the detected date."""
     low = F.lower(text(c))
     days = F.regexp_count(low, F.lit(r"\b(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday|mon|tue|wed|thu|fri|sat|sun)\b"))
     months = F.regexp_count(low, F.lit(rf"\b(?:{MONTH_PATTERN})\b"))
     n = F.size(dates)
     return (
         F.when((n >= 3) | ((n >= 2) & (days >= 3) & (months >= 1)), "schedule_multi_event")
-        .when(n == 1, "single_event")
+        .when((n == 1) | (F.lit(False) if primary is None else primary.isNotNull()), "single_event")
         .otherwise("unknown")
     )
 
 
+def poster_date(dates: Column, kind: Column, primary: Column) -> Column:
+    """The one date of a single-event poster: the detected one, else the one in its text; NULL for other posters."""
+    return F.when(kind == "single_event", F.coalesce(primary, F.get(dates, F.lit(0))))
+
+
 def header_date(c: Column | str) -> Column:
     """Absolute date in a page header ('Friday 5 June 2026 from', 'June 5, 2026 at').
 

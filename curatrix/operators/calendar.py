@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates as dt
 from ..functions import text as tx
 from ..functions import urls as u
-from .keyed import with_group_agg
+from .keyed import top_by_limit, with_group_agg
 
 
 def roll_overnight(df: DataFrame) -> DataFrame:
@@ -99,9 +99,7 @@ def expand_schedule(df: DataFrame, poster: str, pos: str, dates: str) -> DataFra
         .select(poster, "_p", F.col("start_date").alias("_use"), "_dates")
     )
     takers = (
-        many.filter(~F.col("_listed"))
-        .withColumn("_rn", F.row_number().over(Window.partitionBy(poster).orderBy(pos)))
-        .filter(F.col("_rn") <= F.size(dates))
+        top_by_limit(many.filter(~F.col("_listed")), [poster], F.size(dates), [F.asc(pos)], F.col(pos), "_rn")
         .select(poster, F.col(pos).alias("_p"), F.lit(None).cast("date").alias("_use"), F.col(dates).alias("_dates"))
     )
     steps = first_use.unionByName(takers).groupBy(poster).agg(

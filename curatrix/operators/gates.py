@@ -28,9 +28,10 @@ LOCAL_MARKERS = (
 NONLOCAL_MARKERS = ("poland", "warsaw", "krakow", "gdansk", "portugal", "lisbon", "porto", "europe")
 # US states and territories.
 US_STATES = (
-    "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR "
-    "PA RI SC SD TN TX UT VT VA WA WV WI WY DC PR VI GU AS MP"
-).split()
+    "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "HI", "ID", "IL", "IN", "IA", "KS", "KY", "LA", "ME",
+    "MD", "MA", "MI", "MN", "MS", "MO", "MT", "NE", "NV", "NH", "NJ", "NM", "NY", "NC", "ND", "OH", "OK", "OR", "PA",
+    "RI", "SC", "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY", "DC", "PR", "VI", "GU", "AS", "MP",
+)
 # Words that hint at an event listing.
 EVENT_SIGNALS = (
     "event", "events", "calendar", "schedule", "social", "dance", "workshop", "class", "lesson", "friday", "saturday",

@@ -38,6 +38,17 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
+def top_by_limit(df: DataFrame, keys: Sequence[str], limit: Column, order: Sequence[Column], salt: Column, rank: str = "rn", salts: int = 16) -> DataFrame:
+    """First ``limit`` rows per key, where the limit is a column that is the same within a key.
+
+    No group limit can be pushed down for such a limit. Rows are therefore ranked by salted
+    parts of a key first, so a task of the last rank sees ``salts`` times the limit at most.
+    """
+    part = Window.partitionBy(*keys, F.pmod(F.xxhash64(salt), F.lit(salts))).orderBy(*order)
+    few = df.withColumn(rank, F.row_number().over(part)).filter(F.col(rank) <= limit)
+    return few.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= limit)
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Newest row per key (greatest ``order`` tuple), by map-side combined aggregation."""
     rest = [c for c in df.columns if c not in keys]

@@ -23,12 +23,15 @@ BLOCKED_WORDS = (
     "temporarily blocked", "misusing this feature", "too many requests", "try again later", "rate limited",
     "you are temporarily blocked",
 )
-# Phrasings of a temporary block.
-TEMP_BLOCK = (
-    r"(?is)\byou[’']?re\s+temporarily\s+blocked\b|\byou[’']?ve\s+been\s+temporarily\s+blocked\b"
-    r"|\bmisusing\s+this\s+feature\b.*\bgoing\s+too\s+fast\b"
-    r"|\btemporar(?:ily|y)\s+blocked\b.*\b(?:using\s+this\s+feature|from\s+using\s+it)\b"
-    r"|\btoo\s+many\s+requests\b|\btry\s+again\s+later\b|\brate\s*[- ]?limit(?:ed|ing)?\b"
+# Patterns of a temporary block, in any case; a dot also meets line ends.
+TEMP_BLOCK_PATTERNS = (
+    r"\byou[’']?re\s+temporarily\s+blocked\b",
+    r"\byou[’']?ve\s+been\s+temporarily\s+blocked\b",
+    r"\bmisusing\s+this\s+feature\b.*\bgoing\s+too\s+fast\b",
+    r"\btemporar(?:ily|y)\s+blocked\b.*\b(using\s+this\s+feature|from\s+using\s+it)\b",
+    r"\btoo\s+many\s+requests\b",
+    r"\btry\s+again\s+later\b",
+    r"\brate\s*[- ]?limit(?:ed|ing)?\b",
 )
 UNAVAILABLE_WORDS = (
     "this content isn't available", "this page isn't available", "this content is unavailable", "may have been removed",
@@ -157,7 +160,7 @@ def access_state(url, body, login_paths=("/login",), blocked_words=BLOCKED_WORDS
         (low.contains("/sorry/"), "blocked", "sorry_url"),
         (t.contains('name="email"') & t.contains('name="pass"'), "login", "login_form_detected"),
         (tx.contains_any(t, LOGIN_WORDS), "login", "login_gate_text"),
-        (t.rlike(TEMP_BLOCK), "blocked", "explicit_temp_block_regex"),
+        (t.rlike("(?is)" + "|".join(TEMP_BLOCK_PATTERNS)), "blocked", "explicit_temp_block_regex"),
         (tx.contains_any(t, blocked_words), "blocked", "rate_limit_or_temp_block_text"),
         (tx.contains_any(t, UNAVAILABLE_WORDS), "blocked", "private_or_unavailable_content"),
     ]

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates as dt
 from ..functions import text as tx
+from .keyed import top_by_limit
 
 # Parts of the day in seconds (start, end); NULL for open.
 DAY_PERIODS = {"morning": (21600, 43200), "afternoon": (43200, 61200), "evening": (61200, 75600), "night": (64800, None)}
@@ -205,9 +206,7 @@ def search_events(events: DataFrame, constraints: DataFrame, default_limit: int
     met = events.withColumn("_month", F.trunc("start_date", "month")).join(spread, "_month").filter(keep)
     lim = F.coalesce("limit", F.lit(default_limit))
     hits = met.select("query_id", lim.alias("_lim"), *events.columns)
-    order = Window.partitionBy("query_id", "_lim").orderBy("start_date", "start_sec", "event_id")
-    ranked = hits.withColumn("rn", F.row_number().over(order))
-    return ranked.filter(c("rn") <= c("_lim")).drop("_lim")
+    return top_by_limit(hits, ["query_id"], c("_lim"), [F.asc("start_date"), F.asc("start_sec"), F.asc("event_id")], c("event_id")).drop("_lim")
 
 
 def question_grid(templates: DataFrame) -> DataFrame:

@@ -133,6 +133,26 @@ def _(spark, d):
     )
 
 
+@query("poster_dates", f"""
+WITH {ORD}, x AS (SELECT o_orderkey, CAST(d + INTERVAL 60 MONTH AS DATE) AS d, CASE o_orderkey%3 WHEN 0 THEN CAST(d + INTERVAL 60 MONTH AS DATE) WHEN 1 THEN DATE '2001-02-03' END AS p FROM o),
+y AS (SELECT *, CASE WHEN p IS NULL OR p=d THEN [d] ELSE [p, d] END AS v, CASE WHEN o_orderkey%4=0 THEN 'mon tue wed jan' ELSE '' END AS more FROM x),
+z AS (SELECT *, CASE WHEN len(v)>=2 AND more<>'' THEN 'schedule_multi_event' ELSE 'single_event' END AS poster FROM y)
+SELECT o_orderkey, array_to_string(list_transform(v, lambda t: CAST(t AS VARCHAR)), ',') AS dates, poster, CASE WHEN poster='single_event' THEN CAST(coalesce(p, d) AS VARCHAR) END AS primary_date FROM z""")
+def _(spark, d):
+    k = F.col("o_orderkey")
+    o = _orders(spark, d).select(k, F.add_months("d", 60).alias("d"))
+    o = o.withColumns({
+        "p": F.when(k % 3 == 0, F.col("d")).when(k % 3 == 1, F.lit("2001-02-03").cast("date")),
+        "body": F.concat(F.date_format("d", "MMMM d, yyyy"), F.when(k % 4 == 0, " mon tue wed jan").otherwise("")),
+    })
+    o = o.withColumn("v", dt.candidate_dates("body", F.lit("2001-08-01").cast("date"), F.col("p")))
+    o = o.withColumn("poster", dt.poster_type("body", F.col("v"), F.col("p")))
+    return o.select(
+        k, F.array_join(F.transform("v", lambda x: x.cast("string")), ",").alias("dates"), "poster",
+        dt.poster_date(F.col("v"), F.col("poster"), F.col("p")).cast("string").alias("primary_date"),
+    )
+
+
 @query("expand_schedule", f"""
 WITH {ORD}, r AS (SELECT o_custkey, o_orderkey, o_orderkey%4=0 AS listed, DATE '2001-01-01'+CAST(o_custkey%30 AS INTEGER) AS d1,
   count(*) OVER (PARTITION BY o_custkey) AS n FROM o),

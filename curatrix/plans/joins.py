@@ -180,11 +180,10 @@ def _(spark, d):
 
 
 @query("audit_capture", """
-SELECT o_orderkey, o_orderkey%4<>0 AS captured FROM orders WHERE o_orderpriority='1-URGENT'""")
+SELECT o_orderkey, o_orderkey%4<>0 AS captured FROM orders""")
 def _(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("d"), "o_orderpriority")
-    expected = o.filter("o_orderpriority = '1-URGENT'")
-    return op.audit_capture(expected, o.filter("o_orderkey % 4 <> 0"), ["o_orderkey", "o_custkey", "d"]).select("o_orderkey", "captured")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("d"))
+    return op.audit_capture(o, o.filter("o_orderkey % 4 <> 0"), ["o_orderkey", "o_custkey", "d"]).select("o_orderkey", "captured")
 
 
 _IMP = """imp AS (SELECT 'https://h'||CAST(c_custkey AS VARCHAR)||'.org' AS url, CASE WHEN c_custkey%2=0 THEN 'whitelist' ELSE 'edge_case' END AS importance, c_custkey FROM customer),

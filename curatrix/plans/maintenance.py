@@ -95,13 +95,12 @@ def _(spark, d):
 
 
 @query("restore_deleted", """
-WITH a AS (SELECT user_id AS event_id, arg_max(value, ts) AS v FROM events WHERE event_type='signup' AND ts>=TIMESTAMP '2024-01-05' GROUP BY 1)
-SELECT event_id, v AS value FROM a WHERE event_id%2=0 UNION ALL SELECT c_custkey, -1.0 FROM customer WHERE c_custkey<150 AND c_custkey%2=1""")
+WITH a AS (SELECT user_id AS event_id, arg_max(value, (ts, value)) AS v FROM events WHERE ts>=TIMESTAMP '2024-01-05' GROUP BY 1), b AS (SELECT c_custkey AS event_id FROM customer WHERE c_custkey%3<>0)
+SELECT event_id, v AS value FROM a ANTI JOIN b USING (event_id) UNION ALL SELECT event_id, -1.0 FROM b""")
 def _(spark, d):
-    e = table(spark, d, "events").filter("event_type = 'signup'")
-    audit = e.select(
+    audit = table(spark, d, "events").select(
         F.col("user_id").alias("event_id"), F.col("ts").alias("deleted_at"), F.to_json(F.struct(F.col("user_id").alias("event_id"), "value")).alias("event_json"))
-    base = table(spark, d, "customer").filter("c_custkey < 150 and c_custkey % 2 = 1").select(F.col("c_custkey").alias("event_id"), F.lit(-1.0).alias("value"))
+    base = table(spark, d, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("event_id"), F.lit(-1.0).alias("value"))
     since = F.lit("2024-01-05 00:00:00").cast("timestamp_ntz")
     return op.restore_deleted(audit, base, F.col("deleted_at") >= since, "event_id bigint, value double")
 
@@ -115,10 +114,10 @@ def _(spark, d):
 
 
 @query("expire_sessions", """
-SELECT event_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type='error' GROUP BY 1 HAVING max(ts)>=TIMESTAMP '2024-01-29') AND event_type='error'""")
+SELECT event_id FROM events WHERE (user_id, event_type) IN (SELECT (user_id, event_type) FROM events GROUP BY user_id, event_type HAVING max(ts)>=TIMESTAMP '2024-01-29')""")
 def _(spark, d):
-    e = table(spark, d, "events").filter("event_type = 'error'")
-    return op.expire_sessions(e, "user_id", "ts", _day("2024-01-31"), 2).select("event_id")
+    e = table(spark, d, "events").withColumn("session", F.concat_ws(":", "event_type", F.col("user_id").cast("string")))
+    return op.expire_sessions(e, "session", "ts", _day("2024-01-31"), 2).select("event_id")
 
 
 def candidates(e):

@@ -138,15 +138,15 @@ def _(spark, d):
 
 
 @query("issue_registry", """
-WITH p AS (SELECT user_id AS k, min(CAST(ts AS DATE)) AS f, max(CAST(ts AS DATE)) AS l, count(*) AS n FROM events WHERE ts<TIMESTAMP '2024-01-20' AND event_type='error' GROUP BY 1),
-c AS (SELECT user_id AS k, min(CAST(ts AS DATE)) AS f, max(CAST(ts AS DATE)) AS l, count(*) AS n FROM events WHERE ts>=TIMESTAMP '2024-01-29' AND event_type='error' GROUP BY 1)
+WITH p AS (SELECT event_type||':'||CAST(user_id AS VARCHAR) AS k, min(CAST(ts AS DATE)) AS f, max(CAST(ts AS DATE)) AS l, count(*) AS n FROM events WHERE ts<TIMESTAMP '2024-01-29' GROUP BY 1),
+c AS (SELECT event_type||':'||CAST(user_id AS VARCHAR) AS k, min(CAST(ts AS DATE)) AS f, max(CAST(ts AS DATE)) AS l, count(*) AS n FROM events WHERE ts>=TIMESTAMP '2024-01-29' GROUP BY 1)
 SELECT coalesce(p.k, c.k) AS issue_key, CAST(least(p.f, c.f) AS VARCHAR) AS first_seen, CAST(greatest(p.l, c.l) AS VARCHAR) AS last_seen, coalesce(p.n, 0)+coalesce(c.n, 0) AS occurrence_count,
  CASE WHEN c.k IS NULL THEN 'closed' ELSE 'open' END AS status FROM p FULL JOIN c ON p.k=c.k""")
 def _(spark, d):
-    e = table(spark, d, "events").filter("event_type = 'error'").select(F.col("user_id").alias("issue_key"), F.to_date("ts").alias("seen_at"), "ts")
-    cut = [F.lit(t).cast("timestamp_ntz") for t in ("2024-01-20 00:00:00", "2024-01-29 00:00:00")]
-    prev = e.filter(F.col("ts") < cut[0]).groupBy("issue_key").agg(F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"), F.count(F.lit(1)).alias("occurrence_count"))
-    r = op.issue_registry(prev, e.filter(F.col("ts") >= cut[1]))
+    e = table(spark, d, "events").select(F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("issue_key"), F.to_date("ts").alias("seen_at"), "ts")
+    cut = F.lit("2024-01-29 00:00:00").cast("timestamp_ntz")
+    prev = e.filter(F.col("ts") < cut).groupBy("issue_key").agg(F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"), F.count(F.lit(1)).alias("occurrence_count"))
+    r = op.issue_registry(prev, e.filter(F.col("ts") >= cut))
     return r.withColumns({c: F.col(c).cast("string") for c in ("first_seen", "last_seen")})
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import functions as F
 
 from ..operators import maintain
@@ -14,10 +12,13 @@ from .common import EV, ORD
 from .registry import query
 
 
-@query("read_events", f"WITH {EV} SELECT event_id, CAST(start_date AS VARCHAR) AS start_date, start_sec, end_sec, event_type, place FROM ev")
+@query("read_events", f"WITH {EV} SELECT event_id, CAST(start_date AS VARCHAR) AS start_date, start_sec, end_sec, event_type, place, true AS name_is_null FROM ev")
 def _(spark, d):
+    folder = sink_folder(spark, "event-table")
     e = ev(spark, d)
-    return e.select("event_id", F.col("start_date").cast("string").alias("start_date"), "start_sec", "end_sec", "event_type", "place")
+    e.select("event_id", "start_date", "start_sec", "end_sec", "event_type", F.col("place").alias("address_id"), F.col("ts").alias("time_stamp"), F.col("value").alias("spare")).write.parquet(folder)
+    stored = rd.read_events(spark, folder)
+    return stored.select("event_id", F.col("start_date").cast("string").alias("start_date"), "start_sec", "end_sec", "event_type", F.col("address_id").alias("place"), F.col("event_name").isNull().alias("name_is_null"))
 
 
 @query("read_seeds", """

@@ -26,12 +26,22 @@ def _run(spark, stream, schema, name):
     return jobs.read_result(spark, target, schema)
 
 
-@query("domain_breaker")
+@query("domain_breaker", """
+WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS domain, ts, event_type<>'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type<>'error') AS rn FROM events),
+s(domain, rn, ts, recent, open_until, fired) AS (
+ SELECT DISTINCT domain, CAST(0 AS BIGINT), CAST(NULL AS TIMESTAMP), CAST([] AS TIMESTAMP[]), CAST(NULL AS TIMESTAMP), false FROM e
+ UNION ALL
+ SELECT domain, rn, ts, recent, CASE WHEN fire THEN ts + INTERVAL 600 SECOND ELSE held END, fire FROM (
+  SELECT *, NOT ok AND len(recent)>=3 AND (held IS NULL OR ts + INTERVAL 600 SECOND > held) AS fire FROM (
+   SELECT domain, rn, ts, ok, held, CASE WHEN ok THEN [] ELSE list_append(list_filter(before, lambda t: t >= ts - INTERVAL 86400 SECOND), ts) END AS recent FROM (
+    SELECT e.domain, e.rn, e.ts, e.ok, CASE WHEN s.open_until IS NOT NULL AND e.ts >= s.open_until THEN CAST([] AS TIMESTAMP[]) ELSE s.recent END AS before,
+     CASE WHEN s.open_until IS NULL OR e.ts < s.open_until THEN s.open_until END AS held FROM s JOIN e ON e.domain=s.domain AND e.rn=s.rn+1))))
+SELECT domain, epoch_us(ts) AS opened_us, epoch_us(open_until) AS until_us, CAST(len(recent) AS INTEGER) AS failures FROM s WHERE fired""")
 def _(spark, d):
-    s = _stream(spark, d).select(F.col("user_id").cast("string").alias("domain"), "ts", (F.col("event_type") != "error").alias("ok"), (F.col("event_type") == "purchase").alias("paid"))
-    # of the other events only purchases count as successes
-    s = s.filter(~F.col("ok") | F.col("paid")).drop("paid")
-    return _run(spark, jobs.domain_breaker(s, 3, 86400, 600), jobs.BREAKER_OUT, "breaker")
+    # every event but an error is a success
+    s = _stream(spark, d).select(F.col("user_id").cast("string").alias("domain"), "ts", (F.col("event_type") != "error").alias("ok"))
+    out = _run(spark, jobs.domain_breaker(s, 3, 86400, 600), jobs.BREAKER_OUT, "breaker")
+    return out.select("domain", F.unix_micros("opened_at").alias("opened_us"), F.unix_micros("until").alias("until_us"), "failures")
 
 
 @query("adaptive_cooldown", """
