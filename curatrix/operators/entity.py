@@ -16,6 +16,7 @@ from ..functions import urls as u
 from .gates import low_quality_location_penalty
 from .graph import connected_components
 from .keyed import spread, with_group_agg
+from .linkage import average_linkage
 from ..session import cut_lineage
 from .rules import source_penalties
 
@@ -213,64 +214,32 @@ def embedding_clusters(
     return mark_canonical(canonical_score(members, addresses, penalties), "component")
 
 
-def average_link(names: Sequence[str], weights: Sequence[int], cut: float) -> list[int]:
-    """Average-linkage labels of distinct names (with multiplicity) on 100 - ratio, cut at ``cut``."""
-    n = len(names)
-    dist = np.zeros((n, n))
-    for i in range(n):
-        for j in range(i + 1, n):
-            dist[i, j] = dist[j, i] = 100.0 - fz.ratio(names[i], names[j])
-    np.fill_diagonal(dist, np.inf)
-    size, label, alive = np.array(weights, dtype="float64"), list(range(n)), set(range(n))
-    while len(alive) > 1:
-        i, j = divmod(int(np.argmin(dist)), n)
-        if dist[i, j] > cut:
-            break
-        merged = (size[i] * dist[i] + size[j] * dist[j]) / (size[i] + size[j])
-        dist[i], dist[:, i] = merged, merged
-        dist[i, i] = np.inf
-        dist[j], dist[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        alive.discard(j)
-        label = [i if x == j else x for x in label]
-    return label
-
-
-def name_subclusters(df: DataFrame, cluster: str, name: str, key: str, cut: float = 30, fine_cut: float = 15, fine_from: int = 5) -> DataFrame:
+def name_subclusters(
+    df: DataFrame, cluster: str, name: str, key: str, cut: float = 30, fine_cut: float = 15, fine_from: int = 5, score: Callable = fz.indel_ratio
+) -> DataFrame:
     """(key, subcluster): rows of a cluster split by average linkage of their names.
 
-    Average linkage can only merge names that are connected by pairs within the cut, so
-    clusters are first split into those connected parts on Spark; a task then handles
-    the distinct names of one part. Rows without a name stay alone.
+    Distinct names are linked where their distance is within ``cut``; clusters of names
+    that stand for ``fine_from`` rows or more are split once more at ``fine_cut``. Rows
+    without a name stay alone.
     """
     named = df.filter(~tx.blank(name))
-    names = named.groupBy(cluster, name).agg(F.min(key).alias("_nid"), F.count(F.lit(1)).alias("_w"))
-    links = name_pairs(names, [cluster], name, "_nid", 100 - cut - 1e-9)
-    parts = connected_components(links, "id_a", "id_b").select(F.col("id").alias("_nid"), F.col("component").alias("_part"))
-    grouped = names.join(parts, "_nid")
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_nid").reset_index(drop=True)
-        first = average_link(list(pdf["_n"]), list(pdf["_w"]), cut)
-        pdf["_sub"] = [int(pdf["_nid"][i]) for i in first]
-        out = []
-        for _, g in pdf.groupby("_sub"):
-            g = g.reset_index(drop=True)
-            if g["_w"].sum() >= fine_from:
-                g["_sub"] = [int(g["_nid"][i]) for i in average_link(list(g["_n"]), list(g["_w"]), fine_cut)]
-            out.append(g)
-        return pd.concat(out)[["_nid", "_sub"]]
-
-    slim = grouped.select(F.col("_part"), "_nid", F.col(name).alias("_n"), F.col("_w").cast("int").alias("_w"))
-    fine = slim.groupBy("_part").applyInPandas(split, "_nid bigint, _sub bigint")
-    with_id = named.join(names.select(cluster, name, "_nid"), [cluster, name]).join(fine, "_nid", "left")
-    placed = with_id.select(key, F.coalesce("_sub", "_nid").alias("subcluster"))
-    alone = df.filter(tx.blank(name)).select(key, F.col(key).alias("subcluster"))
-    return placed.unionByName(alone)
+    names = cut_lineage(named.groupBy(cluster, name).agg(F.min(key).alias("id"), F.count(F.lit(1)).alias("w")))
+    links = cut_lineage(name_pairs(names, [cluster], name, "id", 100 - cut - 1e-9, score))
+    items = names.select("id", F.col(name).alias("name"), "w")
+    coarse = cut_lineage(average_linkage(items, links, cut, score))
+    large = items.join(coarse, "id").groupBy("cluster").agg(F.sum("w").alias("_n")).filter(F.col("_n") >= fine_from).select("cluster")
+    inner = coarse.join(large, "cluster")
+    ends = [inner.select(F.col("id").alias(f"id_{s}"), F.col("cluster").alias(f"_{s}")) for s in "ab"]
+    close = links.filter(F.col("score") >= 100 - fine_cut - 1e-9).join(ends[0], "id_a").join(ends[1], "id_b").filter("_a = _b").select("id_a", "id_b", "score")
+    fine = average_linkage(items.join(inner.select("id"), "id"), close, fine_cut, score)
+    split = coarse.join(fine.withColumnRenamed("cluster", "_fine"), "id", "left").select("id", F.coalesce("_fine", "cluster").alias("subcluster"))
+    with_id = named.join(names.select(cluster, name, "id"), [cluster, name]).join(split, "id")
+    return with_id.select(key, "subcluster").unionByName(df.filter(tx.blank(name)).select(key, F.col(key).alias("subcluster")))
 
 
 def address_cluster_rules(df: DataFrame, subcluster: str = "subcluster") -> DataFrame:
-    """(subcluster, size, decision): skip, resolve or review by the ordered rules, for groups of two to four."""
+    """(subcluster, size, decision): skip, resolve or review by the ordered rules; groups of five or more are skipped by size."""
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
         norm = lambda c: [str(v or "").strip().lower() for v in pdf[c]]
         names, numbers, streets, cities = norm("building_name"), norm("street_number"), norm("street_name"), norm("city")
@@ -295,7 +264,8 @@ def address_cluster_rules(df: DataFrame, subcluster: str = "subcluster") -> Data
 
     sized = with_group_agg(df.withColumnRenamed(subcluster, "subcluster"), ["subcluster"], _n=F.count(F.lit(1)))
     few = sized.filter(F.col("_n").between(2, 4)).select("subcluster", "building_name", "street_number", "street_name", "city", "postal_code")
-    return few.groupBy("subcluster").applyInPandas(decide, "subcluster bigint, size int, decision string")
+    many = sized.filter(F.col("_n") > 4).groupBy("subcluster").agg(F.count(F.lit(1)).cast("int").alias("size"), F.lit("skip_large_group").alias("decision"))
+    return few.groupBy("subcluster").applyInPandas(decide, "subcluster bigint, size int, decision string").unionByName(many)
 
 
 def resolved_mapping(mapping: DataFrame) -> DataFrame:

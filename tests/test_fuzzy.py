@@ -49,13 +49,3 @@ def test_token_scores():
     assert fz.token_set("edelweiss club", "victoria edelweiss club") == 100.0
     assert fz.token_set("", "x") == 0.0
     assert 0 < fz.token_set("blue hall", "red hall") < 100
-
-
-def test_average_link_joins_weighted_names():
-    from curatrix.operators.entity import average_link
-
-    names = ["the loft", "the loft pub", "wicket hall"]
-    labels = average_link(names, [3, 1, 1], 30)
-    assert labels[0] == labels[1] != labels[2]
-    random.seed(1)
-    assert average_link(["aaaa", "bbbb"], [1, 1], 30) == [0, 1]
