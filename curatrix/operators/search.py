@@ -106,6 +106,118 @@ def question_phrase(question: Column | str) -> Column:
     return tx.let(words, lambda w: F.trim(F.get(F.filter(padded, lambda p: F.contains(w, p)), F.lit(0))))
 
 
+# Ordinals of a week within its month.
+WEEK_ORDINALS = {"first": 1, "1st": 1, "second": 2, "2nd": 2, "third": 3, "3rd": 3, "fourth": 4, "4th": 4, "fifth": 5, "5th": 5}
+_MONTH = f"(?:{dt.MONTH_PATTERN})"
+_ORDINAL = "|".join(WEEK_ORDINALS)
+_MONTH_DAY = rf"{_MONTH}\s+\d{{1,2}}(?:,?\s+\d{{4}})?"
+#: Dated forms in the order in which a question is searched for them.
+_DATED = (
+    r"\d{4}-\d{2}-\d{2}",
+    rf"(?:the\s+)?(?:{_ORDINAL})\s+week\s+(?:of|in)\s+(?:{_MONTH}|this month|next month|last month)(?:\s+\d{{4}})?",
+    _MONTH_DAY,
+    rf"\d{{1,2}}\s+{_MONTH}(?:\s+\d{{4}})?",
+    r"\d{1,2}/\d{1,2}(?:/\d{4})?",
+    rf"{_MONTH}(?:\s+\d{{4}})?",
+)
+_SPAN = rf"\b(?:between\s+.+?\s+and\s+.+|from\s+.+?\s+to\s+.+|{_MONTH_DAY}\s+to\s+{_MONTH_DAY})\b"
+
+
+def _plain(question: Column | str) -> Column:
+    """Lower-cased, with single blanks and without signs at its ends."""
+    low = F.regexp_replace(F.lower(tx.text(question)), r"\s+", " ")
+    return F.regexp_replace(low, r"""^[ .,!?:;"']+|[ .,!?:;"']+$""", "")
+
+
+def dated_phrase(plain: Column) -> Column:
+    """The date, month, or week of a month that a text names; the most exact form first, NULL when none."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(plain, rf"\b(?:{form})\b", 0), F.lit("")) for form in _DATED])
+
+
+def dated_range(phrase: Column, anchor: Column) -> Column:
+    """Struct (start_date, end_date) of a dated phrase, also after 'before' or 'after'; NULL for any other.
+
+    A form without a year takes the year of ``anchor``. A date that does not exist, or a
+    week that its month does not have, is NULL.
+    """
+    def year(y):
+        return F.when(y == "", F.year(anchor)).otherwise(y.try_cast("int"))
+
+    def dated(p):
+        def find(pattern, *groups):
+            return [F.regexp_extract(p, pattern, g) for g in groups]
+
+        iso = F.when(p.rlike(r"^\d{4}-\d{2}-\d{2}$"), p.try_cast("date"))
+        m, d, y = find(r"^(\d{1,2})/(\d{1,2})(?:/(\d{4}))?$", 1, 2, 3)
+        slash = F.when(m != "", dt.try_make_date(year(y), m, d))
+        m, d, y = find(rf"^({_MONTH})\s+(\d{{1,2}})(?:,?\s+(\d{{4}}))?$", 1, 2, 3)
+        month_day = F.when(m != "", dt.try_make_date(year(y), dt.month_number(F.substring(m, 1, 3)), d))
+        d, m, y = find(rf"^(\d{{1,2}})\s+({_MONTH})(?:\s+(\d{{4}}))?$", 1, 2, 3)
+        day_month = F.when(m != "", dt.try_make_date(year(y), dt.month_number(F.substring(m, 1, 3)), d))
+        day = F.coalesce(iso, slash, month_day, day_month)
+        o, m, y = find(rf"^(?:the\s+)?({_ORDINAL})\s+week\s+(?:of|in)\s+({_MONTH}|this month|next month|last month)(?:\s+(\d{{4}}))?$", 1, 2, 3)
+        here = F.trunc(anchor, "month")
+        relative = F.when(m == "this month", here).when(m == "next month", F.add_months(here, 1)).when(m == "last month", F.add_months(here, -1))
+        first = F.when(o != "", F.coalesce(relative, dt.try_make_date(year(y), dt.month_number(F.substring(m, 1, 3)), F.lit(1))))
+        number = F.element_at(F.create_map(*[F.lit(x) for kv in WEEK_ORDINALS.items() for x in kv]), o)
+        week = F.date_add(first, (number - 1) * 7)
+        week = F.when(week <= F.last_day(first), week)
+        m, y = find(rf"^({_MONTH})(?:\s+(\d{{4}}))?$", 1, 2)
+        month = F.when(m != "", dt.try_make_date(year(y), dt.month_number(F.substring(m, 1, 3)), F.lit(1)))
+        start = F.coalesce(day, week, month)
+        end = F.coalesce(day, F.least(F.date_add(week, 6), F.last_day(first)), F.last_day(month))
+        return F.struct(start.alias("start_date"), end.alias("end_date"))
+
+    inner = F.regexp_replace(phrase, "^(?:before|after) ", "")
+
+    def wrapped(r):
+        before, after = phrase.startswith("before "), phrase.startswith("after ")
+        start = F.when(before, F.lit("1900-01-01").cast("date")).when(after, F.date_add(r["end_date"], 1)).otherwise(r["start_date"])
+        end = F.when(before, F.date_sub(r["start_date"], 1)).when(after, F.date_add(r["end_date"], 365)).otherwise(r["end_date"])
+        return F.when(r["start_date"].isNotNull(), F.struct(start.alias("start_date"), end.alias("end_date")))
+
+    return tx.let(inner, lambda p: tx.let(dated(p), wrapped))
+
+
+def question_ranges(questions: DataFrame, question: str, anchor: str) -> DataFrame:
+    """Adds phrase, start_date, end_date, time_from and time_to: the time that a question asks for, relative to its anchor date.
+
+    Looked for, in this order: a range ('between A and B', 'from A to B', 'month day to
+    month day'), a dated form (see ``dated_range``), the longest phrase of the calendar.
+    The ends of a range are phrases themselves, in either order. Phrases meet the calendar
+    by equality. A question without a phrase, or with one that has no dates, keeps its row
+    with NULLs.
+    """
+    c = F.col
+    span = F.regexp_extract("_q", _SPAN, 0)
+
+    def side(k):
+        cut = F.when(c("_span").startswith("between "), F.regexp_extract("_span", r"^between\s+(.+?)\s+and\s+(.+)$", k)).when(
+            c("_span").startswith("from "), F.regexp_extract("_span", r"^from\s+(.+?)\s+to\s+(.+)$", k)).otherwise(F.regexp_extract("_span", r"^(.+?)\s+to\s+(.+)$", k))
+        return _plain(cut)
+
+    def phrase(text):
+        return tx.let(text, lambda t: F.coalesce(dated_phrase(t), question_phrase(t)))
+
+    base = questions.withColumn("_q", _plain(question)).withColumn("_span", span).withColumn("_a", F.to_date(anchor))
+    ranged = c("_span") != ""
+    base = base.withColumns({"_from": phrase(F.when(ranged, side(1)).otherwise(c("_q"))), "_to": F.when(ranged, phrase(side(2)))})
+    calendar = phrase_calendar(base.select("_a").filter("_a is not null"), "_a")
+    for end in ("_from", "_to"):
+        known = calendar.select(c("_a").alias(f"{end}_a"), c("phrase").alias(f"{end}_p"), F.struct("start_date", "end_date", "time_from", "time_to").alias(f"{end}_r"))
+        base = base.join(known, (c("_a") == c(f"{end}_a")) & (c(end) == c(f"{end}_p")), "left")
+        base = base.withColumn(f"{end}_d", dated_range(c(end), c("_a")))
+    start, end = (F.coalesce(c(f"{e}_d.{f}"), c(f"{e}_r.{f}")) for e, f in (("_from", "start_date"), ("_from", "end_date")))
+    other = F.coalesce(c("_to_d.end_date"), c("_to_r.end_date"))
+    both = start.isNotNull() & other.isNotNull()
+    return base.select(
+        *questions.columns, F.when(ranged, c("_span")).otherwise(c("_from")).alias("phrase"),
+        F.when(ranged, F.when(both, F.least(start, other))).otherwise(start).alias("start_date"),
+        F.when(ranged, F.when(both, F.greatest(start, other))).otherwise(end).alias("end_date"),
+        F.when(~ranged, c("_from_r.time_from")).alias("time_from"), F.when(~ranged, c("_from_r.time_to")).alias("time_to"),
+    )
+
+
 # bounded look-behinds: words that negate a mention directly before it
 _NEGATED = r"(?:\bnot\s{1,8}(?:just|only)?\s{0,8}|\bno\s{1,8}|\bwithout\s{1,8}|\bexclud(?:e|ing)\s{1,8}|\bexcept\s{1,8})"
 _EXCLUDED = r"(?:\bnot\s{1,8}|\bno\s{1,8}|\bwithout\s{1,8}|\bexclud(?:e|ing)\s{1,8}|\bexcept\s{1,8})"

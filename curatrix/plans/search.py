@@ -40,17 +40,42 @@ def _(spark, d):
     )
 
 
+#: Questions ({day} is the anchor date), by remainder of the event id; the SQL beside gives phrase, first and last day.
+_ASKED = (
+    ("Any salsa NEXT friday?", "'next friday', NULL, NULL"),
+    ("what was on before this month", "'before this month', NULL, NULL"),
+    ("live band, saturday night!", "'saturday night', NULL, NULL"),
+    ("swing tomorrow night or so", "'tomorrow night', NULL, NULL"),
+    ("hello", "NULL, NULL, NULL"),
+    ("Next Wednesday. That would be March  18, 2026.", "'march 18, 2026', DATE '2026-03-18', DATE '2026-03-18'"),
+    ("tango on 5 Sept?", "'5 sept', make_date(year(a), 9, 5), make_date(year(a), 9, 5)"),
+    ("Where can I dance the first week of next month?", "'the first week of next month', CAST(date_trunc('month', a)+to_months(1) AS DATE), CAST(date_trunc('month', a)+to_months(1) AS DATE)+6"),
+    ("the 5th week in february 2024", "'the 5th week in february 2024', DATE '2024-02-29', DATE '2024-02-29'"),
+    ("fifth week of february 2023", "'fifth week of february 2023', NULL, NULL"),
+    ("events in Dec 2025!", "'dec 2025', DATE '2025-12-01', DATE '2025-12-31'"),
+    ("from {day} to tomorrow", "'from '||CAST(a AS VARCHAR)||' to tomorrow', a, a+1"),
+    ("between march 9, 2026 and march 3, 2026", "'between march 9, 2026 and march 3, 2026', DATE '2026-03-03', DATE '2026-03-09'"),
+    ("april 1 to April 7 in town", "'april 1 to april 7', make_date(year(a), 4, 1), make_date(year(a), 4, 7)"),
+    ("2/30 or never", "'2/30', NULL, NULL"),
+    ("between friends and family", "'between friends and family', NULL, NULL"),
+)
+
+
 @query("question_time_ranges", f"""
-WITH {_DN}, {_CAL}, q AS (SELECT event_id, CAST(ts AS DATE) AS a, CASE event_id%5 WHEN 0 THEN 'next friday' WHEN 1 THEN 'before this month' WHEN 2 THEN 'saturday night' WHEN 3 THEN 'tomorrow night' END AS phrase FROM events)
-SELECT event_id, q.phrase, CAST(s AS VARCHAR) AS start_date, CAST(e AS VARCHAR) AS end_date FROM q JOIN cal USING (a, phrase)""")
+WITH {_DN}, {_CAL}, x AS (SELECT event_id, CAST(ts AS DATE) AS a, event_id%{len(_ASKED)} AS k FROM events),
+q AS (SELECT event_id, a, k, r.p, r.s, r.e FROM (SELECT *, CASE k {' '.join(f"WHEN {i} THEN row({sql})" for i, (_, sql) in enumerate(_ASKED))} END AS r0 FROM x) y, LATERAL (SELECT struct_extract(r0, 1) AS p, struct_extract(r0, 2) AS s, struct_extract(r0, 3) AS e) r)
+SELECT event_id, q.p AS phrase, CAST(coalesce(q.s, cal.s) AS VARCHAR) AS start_date, CAST(coalesce(q.e, cal.e) AS VARCHAR) AS end_date, coalesce(t0, -1) AS time_from, coalesce(t1, -1) AS time_to FROM q LEFT JOIN cal ON cal.a=q.a AND cal.phrase=q.p AND q.k<4""")
 def _(spark, d):
-    k = F.col("event_id") % 5
-    q = wide(spark, d, "events").select(
-        "event_id", F.to_date("ts").alias("anchor"),
-        F.when(k == 0, "Any salsa NEXT friday?").when(k == 1, "what was on before this month").when(k == 2, "live band, saturday night!").when(k == 3, "swing tomorrow night or so").otherwise("hello").alias("q"),
-    ).withColumn("phrase", op.question_phrase("q"))
-    c = op.phrase_calendar(q.select("anchor"))
-    return q.join(c, ["anchor", "phrase"]).select("event_id", "phrase", F.col("start_date").cast("string").alias("start_date"), F.col("end_date").cast("string").alias("end_date"))
+    k = F.col("event_id") % len(_ASKED)
+    text = F.lit(None).cast("string")
+    for i, (asked, _) in enumerate(_ASKED):
+        text = F.when(k == i, F.replace(F.lit(asked), F.lit("{day}"), F.to_date("ts").cast("string"))).otherwise(text)
+    q = wide(spark, d, "events").select("event_id", F.to_date("ts").alias("anchor"), text.alias("q"))
+    out = op.question_ranges(q, "q", "anchor")
+    return out.select(
+        "event_id", "phrase", *[F.col(c).cast("string").alias(c) for c in ("start_date", "end_date")],
+        F.coalesce("time_from", F.lit(-1)).alias("time_from"), F.coalesce("time_to", F.lit(-1)).alias("time_to"),
+    )
 
 
 _STY = list(op.STYLE_SYNONYMS.items())

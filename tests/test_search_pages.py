@@ -25,6 +25,32 @@ def test_phrase_ranges(spark):
     assert c["after this weekend"] == ("2026-02-23", "2027-02-22")
 
 
+def test_question_ranges(spark):
+    asked = [
+        ("Next Wednesday. That would be March 18, 2026.", "2026-03-09", "march 18, 2026", "2026-03-18", "2026-03-18"),
+        ("next wednesday", "2026-03-09", "next wednesday", "2026-03-18", "2026-03-18"),
+        ("18 march 2026", "2026-03-09", "18 march 2026", "2026-03-18", "2026-03-18"),
+        ("Where can I dance the first week of April?", "2026-03-09", "the first week of april", "2026-04-01", "2026-04-07"),
+        ("first week of next month", "2026-12-09", "first week of next month", "2027-01-01", "2027-01-07"),
+        ("between march 3, 2026 and march 9, 2026", "2026-03-01", "between march 3, 2026 and march 9, 2026", "2026-03-03", "2026-03-09"),
+        ("between next friday and today", "2026-03-09", "between next friday and today", "2026-03-09", "2026-03-20"),
+        ("What social dances are happening in the upcoming week?", "2026-03-09", "upcoming week", "2026-03-09", "2026-03-15"),
+        ("Show me upcoming 30 days of dance events.", "2026-03-09", "upcoming 30 days", "2026-03-09", "2026-04-07"),
+        ("upcoming events", "2026-03-09", "upcoming events", "2026-03-09", "2026-04-07"),
+        ("salsa in september", "2026-03-09", "september", "2026-09-01", "2026-09-30"),
+        ("on 3/18", "2026-03-09", "3/18", "2026-03-18", "2026-03-18"), ("on 13/45", "2026-03-09", "13/45", None, None),
+        ("second week of feb 2024", None, "second week of feb 2024", "2024-02-08", "2024-02-14"),
+        ("no time at all", "2026-03-09", None, None, None), (None, "2026-03-09", None, None, None), ("", None, None, None, None),
+    ]
+    df = spark.createDataFrame([(k, a[0], a[1], "x") for k, a in enumerate(asked)], "k int, q string, day string, phrase_of string")
+    got = {r.k: (r.phrase, *(None if d is None else str(d) for d in (r.start_date, r.end_date))) for r in search.question_ranges(df, "q", "day").collect()}
+    assert got == {k: a[2:] for k, a in enumerate(asked)}
+    day = F.lit("2026-03-09").cast("date")
+    r = spark.range(1).select(search.dated_range(F.lit("before march 18, 2026"), day).alias("b"), search.dated_range(F.lit("after april"), day).alias("a"), search.dated_range(F.lit("soon"), day).alias("n")).first()
+    assert (str(r.b.start_date), str(r.b.end_date)) == ("1900-01-01", "2026-03-17")
+    assert (str(r.a.start_date), str(r.a.end_date)) == ("2026-05-01", "2027-04-30") and r.n is None
+
+
 def test_question_tags(spark):
     q = [("Salsa or bachata classes, no tango, on Tuesdays, top 5",), ("not just salsa",), ("workshop without social dances",)]
     t = spark.createDataFrame(q, "q string").select(search.question_tags("q").alias("t")).select("t.*").collect()
