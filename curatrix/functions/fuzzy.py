@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .lcs import lcs_lengths
+
 
 def _masks(a: str) -> dict[str, int]:
     out: dict[str, int] = {}
@@ -84,27 +88,72 @@ def token_set(a: str, b: str) -> float:
     return best
 
 
-def _pairwise(fn):
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else fn(x, y) for x, y in zip(a, b)], dtype="float64")
+def ratios(a: Sequence[str], b: Sequence[str], common: np.ndarray | None = None) -> np.ndarray:
+    """``ratio`` of many pairs; ``common`` are their longest common subsequences, if known."""
+    total = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], np.float64)
+    common = lcs_lengths(a, b) if common is None else common
+    return np.where(total == 0, 100.0, 200.0 * common / np.where(total == 0, 1, total))
+
 
-    return score
+def partials(a: Sequence[str], b: Sequence[str], cutoff: float = 0.0, common: np.ndarray | None = None) -> np.ndarray:
+    """``partial`` of many pairs; only those that the whole texts leave above ``cutoff`` are looked at window by window."""
+    common = lcs_lengths(a, b) if common is None else common
+    short = np.array([min(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.float64)
+    bound = 200.0 * common / np.maximum(short + common, 1)
+    out = np.zeros(len(a))
+    for k in np.flatnonzero((short == 0) | ((common > 0) & (bound >= cutoff))).tolist():
+        out[k] = partial(a[k], b[k], cutoff)
+    return out
 
 
-def _score(fn):
-    """Pair score as an Arrow UDF.
+def token_sorts(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    return ratios(*([" ".join(sorted(x.split())) for x in side] for side in (a, b)))
+
+
+def token_sets(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """``token_set`` of many pairs: words first, then one comparison of what is left of both sides."""
+    rows, out = [], np.zeros(len(a))
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        ta, tb = set(x.split()), set(y.split())
+        if ta and tb:
+            left, right = " ".join(sorted(ta - tb)), " ".join(sorted(tb - ta))
+            base = len(" ".join(ta & tb))
+            if base and (not left or not right):
+                out[k] = 100.0
+            else:
+                rows.append((k, base, left, right))
+    if rows:
+        at, base = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:2])
+        left, right = [r[2] for r in rows], [r[3] for r in rows]
+        n, m = (np.array([len(t) for t in side], np.float64) for side in (left, right))
+        gap = (base > 0).astype(np.float64)
+        la, lb = base + gap + n, base + gap + m
+        best = 100.0 - 100.0 * (n + m - 2 * lcs_lengths(left, right)) / (la + lb)
+        with_base = np.maximum(100.0 - 100.0 * (1 + n) / (base + la), 100.0 - 100.0 * (1 + m) / (base + lb))
+        out[at] = np.where(base > 0, np.maximum(best, with_base), best)
+    return out
+
+
+def _score(scores):
+    """Pair scores as an Arrow UDF, NULL where a side is.
 
     Marked nondeterministic so that the optimizer neither evaluates it twice nor moves a
     filter on it below the shuffle that spreads the pairs.
     """
-    return F.pandas_udf(_pairwise(fn), T.DoubleType()).asNondeterministic()
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        known = (a.notna() & b.notna()).to_numpy()
+        out = np.full(len(a), np.nan)
+        out[known] = scores(a[known].tolist(), b[known].tolist())
+        return pd.Series(out, dtype="float64").where(known, None)
+
+    return F.pandas_udf(run, T.DoubleType()).asNondeterministic()
 
 
-indel_ratio = _score(ratio)
-partial_ratio = _score(partial)
-token_sort_ratio = _score(token_sort)
-token_set_ratio = _score(token_set)
-sequence_ratio = _score(lambda a, b: SequenceMatcher(None, a, b).ratio())
+indel_ratio = _score(ratios)
+partial_ratio = _score(partials)
+token_sort_ratio = _score(token_sorts)
+token_set_ratio = _score(token_sets)
+sequence_ratio = _score(lambda a, b: [SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 SCORES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("ratio", "partial", "token_set")])
 
@@ -112,8 +161,9 @@ SCORES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("ratio", "part
 @F.pandas_udf(SCORES)
 def name_scores(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """The three scores the address tiers use, in one pass; partial scores below every tier's limit come back as 0."""
-    rows = [(ratio(x, y), partial(x, y, 80.0), token_set(x, y)) for x, y in zip(a, b)]
-    return pd.DataFrame(rows, columns=["ratio", "partial", "token_set"], dtype="float64")
+    a, b = a.tolist(), b.tolist()
+    common = lcs_lengths(a, b)
+    return pd.DataFrame({"ratio": ratios(a, b, common), "partial": partials(a, b, 80.0, common), "token_set": token_sets(a, b)}, dtype="float64")
 
 
 name_scores = name_scores.asNondeterministic()

@@ -232,6 +232,28 @@ def _(spark, d):
     return op.first_per_signature(t, "signature", "doc_id").select("doc_id")
 
 
+def _indel(a, b):
+    """100 * 2 lcs / total length in SQL: one bit per sign of ``a`` in a 128-bit number, one step per sign of ``b``."""
+    full = f"((1::HUGEINT << length({a}))-1)"
+    masks = f"list_transform(string_split({b}, ''), lambda ch: list_sum(list_transform(range(1, length({a})+1), lambda i: CASE WHEN substr({a}, i, 1)=ch THEN 1::HUGEINT << CAST(i-1 AS INTEGER) ELSE 0::HUGEINT END))::HUGEINT)"
+    state = f"list_reduce(list_prepend({full}, {masks}), lambda s, m: ((s + (s & m)) | (s - (s & m))) & {full})"
+    return f"(200.0*(length({a})-bit_count({state}))/(length({a})+length({b})))"
+
+
+@query("indel_scores", f"""
+WITH x AS (SELECT c_custkey, lower(c_mktsegment)||' '||p_name AS a, p_name||' hall '||lower(p_type) AS b, c_name AS n FROM customer JOIN part ON c_custkey=p_partkey),
+y AS (SELECT *, array_to_string(list_sort(string_split(a, ' ')), ' ') AS sa, array_to_string(list_sort(string_split(b, ' ')), ' ') AS sb FROM x)
+SELECT c_custkey, round({_indel('a', 'b')}, 6) AS ratio, round({_indel('sa', 'sb')}, 6) AS token_sort, round({_indel('n', 'b')}, 6) AS other FROM y""")
+def _(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_name", F.lower("c_mktsegment").alias("segment"))
+    j = c.join(table(spark, d, "part").select("p_partkey", "p_name", F.lower("p_type").alias("kind")), F.col("c_custkey") == F.col("p_partkey"))
+    a, b = F.concat_ws(" ", "segment", "p_name"), F.concat_ws(" ", "p_name", F.lit("hall"), "kind")
+    return j.select(
+        "c_custkey", F.round(fz.indel_ratio(a, b), 6).alias("ratio"), F.round(fz.token_sort_ratio(a, b), 6).alias("token_sort"),
+        F.round(fz.indel_ratio(F.col("c_name"), b), 6).alias("other"),
+    )
+
+
 @query("fuzzy_scores")
 def _(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -49,3 +51,17 @@ def test_token_scores():
     assert fz.token_set("edelweiss club", "victoria edelweiss club") == 100.0
     assert fz.token_set("", "x") == 0.0
     assert 0 < fz.token_set("blue hall", "red hall") < 100
+
+
+def test_batches_equal_the_row_forms():
+    rng = random.Random(5)
+    signs = "abcde  éß日😀"
+    texts = ["", " ", "a", "b" * 64, "ab" * 33, "c" * 200] + ["".join(rng.choice(signs) for _ in range(rng.choice([3, 10, 20, 63, 64, 65, 130, 300]))) for _ in range(120)]
+    a, b = (rng.choices(texts, k=900) for _ in range(2))
+    for many, one in ((fz.ratios, fz.ratio), (fz.token_sorts, fz.token_sort), (fz.token_sets, fz.token_set)):
+        assert np.allclose(many(a, b), [one(x, y) for x, y in zip(a, b)], atol=1e-9)
+    short = [(x, y) for x, y in zip(a, b) if len(x) < 70 and len(y) < 70]
+    a, b = (list(side) for side in zip(*short))
+    for cutoff in (0.0, 80.0):
+        assert np.allclose(fz.partials(a, b, cutoff), [fz.partial(x, y, cutoff) for x, y in short], atol=1e-9)
+    assert fz.ratios([], []).tolist() == []
