@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import written
 from .keyed import top_per_key
 from .rules import related_names
 
@@ -490,31 +491,38 @@ def review_summary(df: DataFrame, label: Column, truth: Column | None = None) ->
 
 
 def exact_percentiles(df: DataFrame, group: str, value: str, shares: dict[str, float], bins: int = 1024) -> DataFrame:
-    """(group, one column per share): interpolated percentiles by two-level selection.
+    """(group, one column per share): interpolated percentiles of finite values by selection.
 
-    Values are counted in equal bins first; only the bins that hold the wanted ranks are
-    opened, as counts per distinct value. No task holds a group's values.
+    Each pass counts the values of the open ranges in ``bins`` equal parts and opens only
+    the parts that hold a wanted rank, narrowed to the smallest and largest value in them.
+    These two never share a part, so a range shrinks in each pass whatever the values are,
+    and ends as one value. No task sorts values or holds more than a range's parts.
     """
+    c = F.col
     # a struct is never NULL, so the group of a NULL key joins like any other
-    v = df.filter(F.col(value).isNotNull()).select(F.struct(F.col(group).alias("k")).alias("_g"), F.col(value).cast("double").alias("_v"))
+    v = df.filter(c(value).isNotNull()).select(F.struct(c(group).alias("k")).alias("_g"), c(value).cast("double").alias("_v"))
     span = v.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / bins).otherwise(F.lit(1.0))
-    binned = v.join(span, "_g").withColumn("_b", F.floor((F.col("_v") - F.col("_lo")) / width))
-    below = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bins_of = binned.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n")).withColumn("_before", F.coalesce(F.sum("_c").over(below), F.lit(0)))
-    wanted = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("name"), (F.lit(q) * (F.col("_n") - 1)).alias("rank")) for name, q in shares.items()
-    ]))
-    ranks = span.select("_g", wanted.alias("w")).select("_g", "w.name", "w.rank", F.explode(F.array_distinct(F.array(F.floor("w.rank"), F.ceil("w.rank")))).alias("_r"))
-    hit = bins_of.join(ranks, "_g").filter((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_c"))).select(
-        "_g", "_b", "_before", "name", "rank", "_r")
-    opened = binned.join(hit.select("_g", "_b").distinct(), ["_g", "_b"], "left_semi").groupBy("_g", "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    inner = Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = opened.withColumn("_in", F.coalesce(F.sum("_c").over(inner), F.lit(0))).join(hit, ["_g", "_b"])
-    at = placed.filter((F.col("_r") >= F.col("_before") + F.col("_in")) & (F.col("_r") < F.col("_before") + F.col("_in") + F.col("_c")))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(q) * (c("_n") - 1)).alias("rank")) for name, q in shares.items()]))
+    ranks = written(span.select("_g", "_lo", "_hi", wanted.alias("w")).select("_g", "_lo", "_hi", "w.name", "w.rank"))
+    open_ = ranks.select("_g", "_lo", "_hi", F.explode(F.array(F.floor("rank"), F.ceil("rank"))).alias("_r")).distinct().withColumn("_before", F.lit(0).cast("long"))
+    done = open_.filter("_lo = _hi").select("_g", "_r", c("_lo").alias("_v"))
+    open_ = written(open_.filter("_lo < _hi"))
+    while not open_.isEmpty():
+        ranges = open_.select("_g", "_lo", "_hi").distinct()
+        met = v.join(ranges, "_g").filter(c("_v").between(c("_lo"), c("_hi")))
+        # halves, as the whole width may be beyond the largest number
+        part = F.least(F.lit(bins - 1), F.floor((c("_v") / 2 - c("_lo") / 2) / (c("_hi") / 2 - c("_lo") / 2) * bins))
+        parts = met.groupBy("_g", "_lo", "_hi", part.alias("_b")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        below = Window.partitionBy("_g", "_lo", "_hi").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.withColumn("_under", F.coalesce(F.sum("_c").over(below), F.lit(0)))
+        hit = open_.join(parts, ["_g", "_lo", "_hi"]).filter((c("_r") >= c("_before") + c("_under")) & (c("_r") < c("_before") + c("_under") + c("_c")))
+        hit = written(hit.select("_g", "_r", c("_low").alias("_lo"), c("_high").alias("_hi"), (c("_before") + c("_under")).alias("_before")))
+        done = done.unionByName(hit.filter("_lo = _hi").select("_g", "_r", c("_lo").alias("_v")))
+        open_ = written(hit.filter("_lo < _hi"))
+    at = ranks.select("_g", "name", "rank", F.explode(F.array_distinct(F.array(F.floor("rank"), F.ceil("rank")))).alias("_r")).join(done, ["_g", "_r"])
     lo, hi = F.min_by("_v", "_r"), F.max_by("_v", "_r")
     pts = at.groupBy("_g", "name").agg((lo + (hi - lo) * (F.first("rank") - F.floor(F.first("rank")))).alias("p"))
-    return pts.groupBy("_g").pivot("name", list(shares)).agg(F.first("p")).select(F.col("_g.k").alias(group), *shares)
+    return pts.groupBy("_g").pivot("name", list(shares)).agg(F.first("p")).select(c("_g.k").alias(group), *shares)
 
 
 def latency_summary(df: DataFrame, group: str, value: str, failed: Column, limit: float, exact: bool = True) -> DataFrame:

@@ -235,6 +235,13 @@ def test_exact_percentiles(spark):
     for g in "abc":
         vals = [v for k, v in rows if k == g]
         assert np.allclose(got[g], np.percentile(vals, [50, 95]))
+    # one far value puts all others into one part of the first pass, again and again
+    far = [("d", 1e12 * 10.0**k) for k in range(1, 5)] + [("d", 1 + i * 1e-7) for i in range(300)] + [(None, -0.5), (None, 7.5)] + [("e", 2.0), ("e", None)]
+    got = {r.g: (r.p50, r.p95) for r in metrics.exact_percentiles(spark.createDataFrame(far, "g string, v double"), "g", "v", {"p50": 0.5, "p95": 0.95}, bins=64).collect()}
+    for g in ("d", None, "e"):
+        vals = [v for k, v in far if k == g and v is not None]
+        assert np.allclose(got[g], np.percentile(vals, [50, 95]), rtol=1e-12)
+    assert metrics.exact_percentiles(df.filter("false"), "g", "v", {"p50": 0.5}).collect() == []
 
 
 def test_crawl_decision_order(spark):
