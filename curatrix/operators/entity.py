@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,12 +12,13 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy as fz
 from ..functions import text as tx
 from ..functions import urls as u
+from ..session import cut_lineage
 from .gates import low_quality_location_penalty
 from .graph import connected_components
 from .keyed import spread, with_group_agg
 from .linkage import average_linkage
-from ..session import cut_lineage
 from .rules import source_penalties
+from .vectors import TILE_ROWS, similar_pairs
 
 
 def name_pairs(names: DataFrame, block: Sequence[str], name: str, key: str, threshold: float, score: Callable = fz.indel_ratio) -> DataFrame:
@@ -128,41 +128,13 @@ def mark_canonical(df: DataFrame, cluster: str, key: str = "event_id", score: st
     return joined.withColumn("is_canonical", F.col(key) == F.col("_best")).drop("_bc", "_best")
 
 
-TILE_ROWS = 2000
-
-
 def similar_vectors(df: DataFrame, block: Sequence[str], key: str, vector: str, min_similarity: float, tile_rows: int = TILE_ROWS, extra: str | None = None) -> DataFrame:
-    """Pairs (id_a < id_b) of one block whose cosine similarity reaches the limit.
+    """Pairs (id_a < id_b) of one block whose cosine similarity reaches the limit (see ``similar_pairs``).
 
-    A block of n rows is cut into ceil(n / tile_rows) hashed tiles; each pair of tiles is
-    one small matrix product. No task sees more than two tiles, whatever the block size,
-    and only pairs above the limit leave it. ``extra`` is a further condition in SQL over
-    columns of both sides (a. and b.), joined to the few pairs that pass.
+    ``extra`` is a further condition in SQL over columns of both sides (a. and b.), joined
+    to the few pairs that pass.
     """
-    sized = with_group_agg(df.dropna(subset=[*block, vector]), list(block), _n=F.count(F.lit(1)))
-    tiles = F.ceil(F.col("_n") / tile_rows).cast("int")
-    tiled = sized.withColumns({"_tiles": tiles, "_t": F.pmod(F.xxhash64(key), F.ceil(F.col("_n") / tile_rows)).cast("int")})
-    other = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))
-    spread = tiled.withColumn("_o", other).select(
-        F.xxhash64(*block).alias("_b"), *block, F.least("_t", "_o").alias("_lo"), F.greatest("_t", "_o").alias("_hi"), "_t",
-        F.col(key).alias("_id"), F.col(vector).alias("_v"),
-    )
-
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = pdf["_lo"].iloc[0], pdf["_hi"].iloc[0]
-        mat = np.stack([np.asarray(v, dtype="float64") for v in pdf["_v"]])
-        norm = np.linalg.norm(mat, axis=1, keepdims=True)
-        mat = mat / np.where(norm == 0, 1, norm)
-        ids, t = pdf["_id"].to_numpy(), pdf["_t"].to_numpy()
-        left, right = np.flatnonzero(t == lo), np.flatnonzero(t == hi)
-        sim = mat[left] @ mat[right].T
-        i, j = np.nonzero(sim >= min_similarity)
-        a, b, s = ids[left[i]], ids[right[j]], sim[i, j]
-        keep = a < b if lo == hi else a != b
-        a, b, s = a[keep], b[keep], s[keep]
-        return pd.DataFrame({"id_a": np.minimum(a, b), "id_b": np.maximum(a, b), "similarity": s})
-
-    pairs = spread.groupBy("_b", *block, "_lo", "_hi").applyInPandas(product, "id_a bigint, id_b bigint, similarity double")
+    pairs = similar_pairs(df, block, key, vector, min_similarity, tile_rows)
     if extra is None:
         return pairs
     left, right = df.select(F.struct("*").alias("a")), df.select(F.struct("*").alias("b"))

@@ -86,6 +86,35 @@ def test_fuzzy_dedup_is_order_free_and_transitive(spark):
     assert {m[0]: m[1] for m in merged} == components(edges)
 
 
+def test_similar_vectors_in_cells(spark):
+    import numpy as np
+
+    from curatrix.operators import vectors
+
+    rnd = np.random.default_rng(3)
+    centres = rnd.normal(size=(40, 12))
+    # a large block of clusters, one hot vector many times, a small block, null vectors
+    rows = [(i, 0, (centres[i % 40] + rnd.normal(size=12) * 0.08).tolist()) for i in range(1200)]
+    rows += [(2000 + i, 0, centres[0].tolist()) for i in range(150)] + [(3000 + i, 1, rnd.normal(size=12).tolist()) for i in range(40)]
+    rows += [(4000, 0, [0.0] * 12), (4001, 0, None), (4002, None, [1.0] * 12)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "id long, label int, vec array<double>, rn int, _x string")
+    known = [(i, b, np.array(v) / (np.linalg.norm(v) or 1)) for i, b, v in rows if b is not None and v is not None]
+    for limit in (0.95, 0.6):
+        want = set()
+        for b in (0, 1):
+            ids, mat = zip(*[(i, v) for i, x, v in known if x == b])
+            a, c = np.nonzero(np.triu(np.stack(mat) @ np.stack(mat).T >= limit, 1))
+            want |= {tuple(sorted((ids[i], ids[j]))) for i, j in zip(a, c)}
+        got = [(r.id_a, r.id_b) for r in ent.similar_vectors(df, ["label"], "id", "vec", limit, tile_rows=100).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    sized = df.filter("label = 0 and vec is not null").selectExpr("xxhash64(label) _h", "label", "id _id", "vec _v", "1351L _n")
+    placed, paying = vectors.cells(sized, 0.95, 100)
+    # tiles would ship each row 14 times
+    assert paying.count() == 1 and placed.count() < 3 * 1351 and placed.filter("_home").count() == 1351
+    noise = spark.createDataFrame([(1, 0, i, rnd.normal(size=12).tolist(), 1500) for i in range(1500)], "_h long, label int, _id long, _v array<double>, _n long")
+    assert vectors.cells(noise, 0.3, 500) is None
+
+
 def test_similar_vectors_in_tiles(spark):
     rnd = random.Random(9)
     rows = [(i, 1 if i % 3 else 2, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(50)]
