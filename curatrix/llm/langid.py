@@ -19,7 +19,17 @@ BUCKETS = 1 << 17
 #: Log-likelihood that a change of language costs, and the most that one word may count against one.
 SWITCH, FLOOR = 15.0, 12.0
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _other_numbers() -> str:
+    """Ranges of signs that count as word characters and are neither letters nor decimal digits (fractions, circled or Roman numbers)."""
+    found = [c for c in range(0x110000) if (t := chr(c)).isalnum() and not t.isalpha() and not t.isdecimal()]
+    starts = [c for k, c in enumerate(found) if not k or found[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(found) if k + 1 == len(found) or found[k + 1] != c + 1]
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, ends, strict=True))
+
+
+LETTERS = re.compile(rf"[^\W\d_{_other_numbers()}]+")
 
 # Code point ranges of scripts (Unicode blocks).
 SCRIPTS = (

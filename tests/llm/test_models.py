@@ -102,6 +102,14 @@ def test_languages(spark):
     assert all((got[k].lang_pred, got[k].score, got[k].spans) == ("und", 0.0, []) for k in (2, 3, 4)) and got[None].lang_pred == "de"
 
 
+def test_only_letters_are_letters(docs, none, spark):
+    for text in ("² ½ ①", "Ⅷ", "१२", "_", "x² Ⅷy", "日本 é ß", "ʰ ª"):
+        assert "".join(langid.LETTERS.findall(text)) == "".join(c for c in text if c.isalpha())
+    model = langid.fit(docs)
+    got = langid.identify(spark.createDataFrame([(1, "² ½ ①"), (2, "Ⅷ")], "doc_id long, text string"), model).collect()
+    assert {(r.lang_pred, r.score) for r in got} == {("und", 0.0)}
+
+
 def test_languages_without_labels(docs, none):
     assert {r.lang_pred for r in langid.identify(docs, langid.fit(none)).collect()} == {"und"}
     assert langid.identify(none, langid.fit(docs)).collect() == []

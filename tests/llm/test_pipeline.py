@@ -1,5 +1,6 @@
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -48,6 +49,15 @@ def test_stages_keep_one_row_of_each_class(spark, sf):
     assert len(got) == 5 and sorted((r.doc_id or 0, r.text[:4]) for r in got) == [(0, "only"), (1, "word"), (2, "term"), (4, ""), (4, "")]
 
 
+def test_stages_take_columns_of_any_name(spark, sf):
+    rows = [(k % 3, f"words that are said {k % 3} times in here", True, k, {"a": k}) for k in range(7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, single boolean, key int, row map<string,int>").withColumns({"id": F.lit(1), "kept_id": F.lit("x"), "n": F.lit(2)})
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.drop_contaminated):
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == {0, 1, 2}
+    assert corpus_pipeline.drop_copies(spark, docs, sf).count() == 3
+
+
 def test_entry_has_the_queries():
     names = set(__spark_entry__.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
