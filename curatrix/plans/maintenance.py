@@ -8,9 +8,11 @@ from ..functions import dates as dt
 from ..functions import fuzzy as fz
 from ..operators import maintain as op
 from ..operators import writing
+from ..sources import buckets
 from ..sources.adapters import customer_address, ev, table
 from .common import EV, ORD
 from .registry import query
+from .scans import sink_folder
 
 
 def _day(t):
@@ -105,6 +107,22 @@ def _(spark, d):
     return op.restore_deleted(audit, base, F.col("deleted_at") >= since, "event_id bigint, value double")
 
 
+@query("bucket_upsert", """
+SELECT o_orderkey, CASE WHEN o_custkey%40=3 THEN 'second' WHEN o_custkey%40=1 AND o_orderkey%2=0 THEN 'first' ELSE o_orderpriority END AS name, CASE WHEN o_custkey%40=1 THEN 1 WHEN o_custkey%40=3 THEN 2 ELSE 0 END AS step FROM orders
+UNION ALL SELECT -c_custkey, 'new', 1 FROM customer""")
+def _(spark, d):
+    o = table(spark, d, "orders")
+    folder = sink_folder(spark, "orders-table")
+    buckets.create(o.select("o_orderkey", F.col("o_orderpriority").alias("name"), F.lit(0).alias("step")), folder, ["o_orderkey"], 16)
+    fresh = table(spark, d, "customer").select((-F.col("c_custkey")).alias("o_orderkey"), F.lit("new").alias("name"), F.lit(1).alias("step"))
+    one = o.filter("o_custkey % 40 = 1").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "first").alias("name"), F.lit(1).alias("step"))
+    two = o.filter("o_custkey % 40 = 3").select("o_orderkey", F.lit("second").alias("name"), F.lit(2).alias("step"))
+    # NULL names keep the stored ones; the second delivery of a batch changes nothing
+    for batch, delta in ((1, one.unionByName(fresh)), (2, two), (1, one.withColumn("step", F.lit(9)))):
+        buckets.merge(delta, folder, keep_old_on_null=True, batch_id=batch)
+    return buckets.read(spark, folder)
+
+
 @query("overlay_update", """
 SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey%4=0 AND o_orderkey%3<>0 THEN 'new' ELSE o_orderpriority END AS name, CASE WHEN o_orderkey%4=0 THEN 'u2' ELSE 'u1' END AS url FROM orders""")
 def _(spark, d):

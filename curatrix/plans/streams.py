@@ -91,5 +91,5 @@ def _(spark, d):
         return accepted, fresh
 
     target = sink_folder(spark, "written")
-    jobs.stream_write(_stream(spark, d), write, target, sink_folder(spark, "written-state"), addr).awaitTermination()
-    return jobs.current_rows(spark, target, ["row_id"]).select("row_id", "address_id")
+    jobs.stream_write(_stream(spark, d), write, target, sink_folder(spark, "written-state"), addr, ["row_id"]).awaitTermination()
+    return jobs.current_rows(spark, target).select("row_id", "address_id")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.keyed import latest_per_key
+from ..sources import buckets
 
 BREAKER_OUT = "domain string, opened_at timestamp, until timestamp, failures int"
 COOLDOWN_OUT = "scope string, blocked_at timestamp, strikes int, cooldown_sec long, until timestamp"
@@ -123,13 +123,14 @@ def address_path(target: str) -> str:
     return f"{target.rstrip('/')}-addresses"
 
 
-def stream_write(stream: DataFrame, write: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], target: str, checkpoint: str, addresses: DataFrame, trigger: dict[str, Any] | None = None):
+def stream_write(stream: DataFrame, write: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], target: str, checkpoint: str, addresses: DataFrame, keys: list[str], trigger: dict[str, Any] | None = None):
     """Run the write path per micro-batch.
 
     ``write(batch, known)`` gives (accepted rows, new addresses); ``known`` holds the given
     addresses and those that earlier batches added, so their ids go on. A batch owns its
-    partition of both tables, so a replayed batch replaces itself; ``current_rows`` reads
-    the newest version of each key.
+    partition of the added addresses, so a replayed batch replaces itself. Accepted rows are
+    merged by ``keys`` into a bucketed table, where a batch counts once and rewrites only
+    the buckets of its keys; ``current_rows`` reads it.
     """
     spark, added = addresses.sparkSession, address_path(target)
     addresses.limit(0).write.mode("overwrite").parquet(f"{added}/batch_id=-1")
@@ -137,15 +138,18 @@ def stream_write(stream: DataFrame, write: Callable[[DataFrame, DataFrame], tupl
     def sink(batch: DataFrame, batch_id: int) -> None:
         earlier = spark.read.parquet(added).filter(F.col("batch_id") < batch_id).drop("batch_id")
         accepted, fresh = write(batch, addresses.unionByName(earlier, allowMissingColumns=True))
-        accepted.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
         fresh.write.mode("overwrite").parquet(f"{added}/batch_id={batch_id}")
+        if buckets.state_of(spark, target) is None:
+            buckets.create(accepted, target, keys, batch_id=batch_id)
+        else:
+            buckets.merge(accepted, target, batch_id=batch_id)
 
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def current_rows(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
+def current_rows(spark: SparkSession, target: str) -> DataFrame:
     """Newest written row of each key."""
-    return latest_per_key(spark.read.parquet(target), keys, ["batch_id"]).drop("batch_id")
+    return buckets.read(spark, target)
 
 
 def run_to_table(stream: DataFrame, target: str, checkpoint: str, mode: str = "append") -> None:

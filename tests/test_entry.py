@@ -2,8 +2,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from curatrix.plans import load_all, registry
 from tools.check import TABLES, connect, table_rows
 
+load_all()
+OWN = sorted(registry.QUERIES)
 CHEAP = ["count_by_source", "url_compare_key", "time_window_duplicates", "quarter_hour_groups_exact", "upsert_overwrite", "step_telemetry", "connected_components"]
 
 
@@ -23,3 +26,9 @@ def test_matches_oracle(spark, sf, name):
     df = entry.queries()[name](spark, sf)
     cur = connect(sf).execute(entry.oracle_sql()[name])
     assert table_rows(df.columns, [tuple(r) for r in df.collect()]) == table_rows([d[0] for d in cur.description], cur.fetchall())
+
+
+@pytest.mark.parametrize("name", OWN)
+def test_every_query_runs(spark, sf, name):
+    """All queries outside the text operators, which have their own tests, on the smallest tables."""
+    entry.queries()[name](spark, sf).write.format("noop").mode("overwrite").save()

@@ -92,8 +92,8 @@ def test_stream_write_keeps_addresses_and_newest_rows(spark, tmp_path):
 
     spark.sparkContext.setCheckpointDir(str(tmp_path / "cp"))
     stream = spark.readStream.schema("event_id long, place string").option("maxFilesPerTrigger", 1).parquet(str(src))
-    jobs.stream_write(stream, write, target, str(tmp_path / "ck"), base).awaitTermination()
-    rows = jobs.current_rows(spark, target, ["event_id"]).collect()
+    jobs.stream_write(stream, write, target, str(tmp_path / "ck"), base, ["event_id"]).awaitTermination()
+    rows = jobs.current_rows(spark, target).collect()
     assert len(rows) == 4 and len({r.event_id for r in rows}) == 4
     stored = spark.read.parquet(jobs.address_path(target)).collect()
     assert len({r.address_id for r in stored}) == len(stored) == 3 and {r.place for r in stored} == {"x", "y", "w"}
