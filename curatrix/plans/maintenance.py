@@ -109,12 +109,12 @@ def _(spark, d):
 
 @query("bucket_upsert", """
 SELECT o_orderkey, CASE WHEN o_custkey%40=3 THEN 'second' WHEN o_custkey%40=1 AND o_orderkey%2=0 THEN 'first' ELSE o_orderpriority END AS name, CASE WHEN o_custkey%40=1 THEN 1 WHEN o_custkey%40=3 THEN 2 ELSE 0 END AS step FROM orders
-UNION ALL SELECT -c_custkey, 'new', 1 FROM customer""")
+UNION ALL SELECT -1-c_custkey, 'new', 1 FROM customer""")
 def _(spark, d):
     o = table(spark, d, "orders")
     folder = sink_folder(spark, "orders-table")
     buckets.create(o.select("o_orderkey", F.col("o_orderpriority").alias("name"), F.lit(0).alias("step")), folder, ["o_orderkey"], 16)
-    fresh = table(spark, d, "customer").select((-F.col("c_custkey")).alias("o_orderkey"), F.lit("new").alias("name"), F.lit(1).alias("step"))
+    fresh = table(spark, d, "customer").select((-1 - F.col("c_custkey")).alias("o_orderkey"), F.lit("new").alias("name"), F.lit(1).alias("step"))
     one = o.filter("o_custkey % 40 = 1").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "first").alias("name"), F.lit(1).alias("step"))
     two = o.filter("o_custkey % 40 = 3").select("o_orderkey", F.lit("second").alias("name"), F.lit(2).alias("step"))
     # NULL names keep the stored ones; the second delivery of a batch changes nothing
