@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
@@ -27,7 +30,12 @@ BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 24
 SUFFIX = ".idplane"
 WORD_END = "</w>"
-SIGNS = frozenset(".,;:!?")
+#: The tokenizer's own words, as far as ASCII signs go.
+WORDS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+PRINTABLE = re.compile(rb"[!-@\[-~]+")  # without A-Z
+ENDING_SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Texts of a batch are encoded together up to so many bytes.
+TOGETHER = 1 << 22
 
 
 def to_planes(ids: np.ndarray, unit: str) -> list[bytes]:
@@ -135,56 +143,98 @@ class WordIds(dict):
     The tokenizer composes (NFC), lower-cases and drops white space before it looks for
     tokens, so a text's ids are those of its chunks one after the other. Chunks of ASCII signs,
     which composing leaves alone, are lower-cased here; in others only the small letter may
-    compose with a mark, so they stay as written. Each chunk is encoded once and remembered;
-    the store is emptied when it has grown large.
+    compose with a mark, so they stay as written. Many texts are encoded together: the
+    distinct chunks that are new are cut at the tokenizer's own word borders, and each new
+    word is encoded once. A word has the same ids as a chunk, so one store holds both; it is
+    emptied when it has grown large.
     """
 
     def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         super().__init__()
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # for words of small ASCII signs only: they are normal already, and a space is between any two
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.limit = limit
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
 
     def encode(self, text: str | None) -> bytes:
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        cut = [self._chunks(text) for text in texts]
+        if len(self) > self.limit:
+            self.clear()
+        self._learn([c for c in set().union(*cut) if c not in self])
+        return [b"".join(map(self.__getitem__, chunks)) for chunks in cut]
+
+    @staticmethod
+    def _chunks(text: str | None) -> list[bytes]:
         raw = (text or "").encode("utf-8", "surrogatepass")
         if b"<|" in raw:  # the names of special tokens are kept as they are
-            chunks = raw.split()
-        elif raw.isascii():
-            chunks = raw.lower().split()
-        else:
-            chunks = [c.lower() if c.isascii() else c for c in raw.split()]
-        found = list(map(self.get, chunks))
-        if None in found:
-            if len(self) > self.limit:
-                self.clear()
-            fresh = self._encoded(list({c for c, f in zip(chunks, found, strict=True) if f is None}))
-            self.update(fresh)
-            found = [fresh[c] if f is None else f for c, f in zip(chunks, found, strict=True)]
-        return b"".join(found)
-
-    def _encoded(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of new chunks. Words, with a sign after them or not, go in rows, told apart by the tokens that end a word."""
-        texts = {c: c.decode("utf-8", "surrogatepass") for c in chunks}
-        ends_of = {c: 1 if t.isalpha() else 2 for c, t in texts.items() if t.isalpha() or t[-1] in SIGNS and t[:-1].isalpha()}
-        words = list(ends_of)
+            return raw.split()
+        if raw.isascii():
+            return raw.lower().split()
+        return [c.lower() if c.isascii() else c for c in raw.split()]
+
+    @staticmethod
+    def _words(chunk: bytes) -> list[bytes]:
+        """Words of a chunk, none of which depends on its neighbours; the chunk alone if that is not sure."""
+        if b"<|" in chunk:
+            return [chunk]
+        if chunk.isascii():
+            return WORDS.findall(chunk) if PRINTABLE.fullmatch(chunk) else [chunk]
+        stem = chunk.rstrip(ENDING_SIGNS)
+        if len(stem) == len(chunk):
+            return [chunk]
+        # a letter that becomes letter and mark would put the mark into the next word
+        text = stem.decode("utf-8", "surrogatepass")
+        sure = text.isalpha() and unicodedata.normalize("NFC", text).lower().isalpha()
+        return [stem, chunk[len(stem) :]] if sure else [chunk]
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Remembers the ids of new chunks, from those of their words."""
+        cut = [(c, self._words(c)) for c in chunks if not c.isalpha() or not c.islower()]
+        new = {c for c in chunks if c.isalpha() and c.islower()}
+        new.update(w for _, words in cut for w in words if w not in self)
+        texts = {w: w.decode("utf-8", "surrogatepass") for w in new}
+        small = [w for w in new if w.islower() and w.isalpha() or PRINTABLE.fullmatch(w) and len(WORDS.findall(w)) == 1 and b"<|" not in w]
+        self._in_rows(self.plain, small, texts)
+        rest = [w for w in new if w not in self]
+        self._in_rows(self.tokenizer, [w for w in rest if texts[w].isalpha()], texts)
+        rest = [w for w in rest if w not in self]
+        self.update(zip(rest, [e.tobytes() for e in self._ids(self.tokenizer, [texts[w] for w in rest])], strict=True))
+        self.update((c, b"".join(map(self.__getitem__, words))) for c, words in cut if len(words) > 1)
+
+    def _in_rows(self, tokenizer, words: list[bytes], texts: dict[bytes, str]) -> None:
+        """Remembers the ids of single words, many in a row, told apart by the tokens that end a word; a row in doubt is left."""
         rows = [words[k : k + 256] for k in range(0, len(words), 256)]
-        out: dict[bytes, bytes] = {}
-        for row, e in zip(rows, self._ids([" ".join(texts[c] for c in row) for row in rows]), strict=True):
+        for row, e in zip(rows, self._ids(tokenizer, [" ".join(map(texts.__getitem__, row)) for row in rows]), strict=True):
             ends = np.flatnonzero(self.last[e]) + 1
-            of_word = np.cumsum([ends_of[c] for c in row])
-            if len(ends) == of_word[-1] and ends[-1] == len(e):
-                raw, cuts = e.tobytes(), [0, *(4 * ends[of_word - 1]).tolist()]
-                out.update((c, raw[a:b]) for c, a, b in zip(row, cuts, cuts[1:], strict=False))
-        rest = [c for c in chunks if c not in out]
-        out.update((c, e.tobytes()) for c, e in zip(rest, self._ids([texts[c] for c in rest]), strict=True))
-        return out
+            if len(ends) == len(row) and ends[-1] == len(e):
+                raw, cuts = e.tobytes(), [0, *(4 * ends).tolist()]
+                self.update((w, raw[a:b]) for w, a, b in zip(row, cuts, cuts[1:], strict=False))
+
+    @staticmethod
+    def _ids(tokenizer, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Stretches of a batch with at most ``TOGETHER`` bytes of text, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    upto = np.cumsum(sizes, dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        before = upto[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(upto, before + TOGETHER, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 #: Encoders of this Python worker: what one task has encoded serves the next.
@@ -226,11 +276,13 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, id
             rows.append((shard, len(rows), name, len(current.docs), current.n_ids))
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                current.add(doc_id.as_py(), encoder.encode(text.as_py()) + end)
-                if current.n_ids >= file_ids:
-                    close()
-                    current = PlaneFile(unit, block_ids)
+            for part in slices(batch):
+                encoded = encoder.encode_many(part.column("text").to_pylist())
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoded, strict=True):
+                    current.add(doc_id, ids + end)
+                    if current.n_ids >= file_ids:
+                        close()
+                        current = PlaneFile(unit, block_ids)
         if current.docs:
             close()
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], arrow.field(k).type) for k in range(5)], schema=arrow)
