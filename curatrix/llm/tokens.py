@@ -137,7 +137,7 @@ def read_plane_file(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
         ready = ready[lengths[k] :]
 
 
-class WordIds(dict):
+class WordIds:
     """Ids of one white-space separated chunk of a text, from the tokenizers library.
 
     The tokenizer composes (NFC), lower-cases and drops white space before it looks for
@@ -149,16 +149,16 @@ class WordIds(dict):
     emptied when it has grown large.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        super().__init__()
         self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
         # for words of small ASCII signs only: they are normal already, and a space is between any two
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.limit = limit
+        self.known: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
@@ -168,10 +168,10 @@ class WordIds(dict):
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         cut = [self._chunks(text) for text in texts]
-        if len(self) > self.limit:
-            self.clear()
-        self._learn([c for c in set().union(*cut) if c not in self])
-        return [b"".join(map(self.__getitem__, chunks)) for chunks in cut]
+        if len(self.known) > self.limit:
+            self.known.clear()
+        self._learn(set().union(*cut).difference(self.known))
+        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in cut]
 
     @staticmethod
     def _chunks(text: str | None) -> list[bytes]:
@@ -182,43 +182,58 @@ class WordIds(dict):
             return raw.lower().split()
         return [c.lower() if c.isascii() else c for c in raw.split()]
 
-    @staticmethod
-    def _words(chunk: bytes) -> list[bytes]:
-        """Words of a chunk, none of which depends on its neighbours; the chunk alone if that is not sure."""
-        if b"<|" in chunk:
-            return [chunk]
-        if chunk.isascii():
-            return WORDS.findall(chunk) if PRINTABLE.fullmatch(chunk) else [chunk]
-        stem = chunk.rstrip(ENDING_SIGNS)
-        if len(stem) == len(chunk):
-            return [chunk]
-        # a letter that becomes letter and mark would put the mark into the next word
-        text = stem.decode("utf-8", "surrogatepass")
-        sure = text.isalpha() and unicodedata.normalize("NFC", text).lower().isalpha()
-        return [stem, chunk[len(stem) :]] if sure else [chunk]
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        """Remembers the ids of new chunks, from those of their words."""
-        cut = [(c, self._words(c)) for c in chunks if not c.isalpha() or not c.islower()]
-        new = {c for c in chunks if c.isalpha() and c.islower()}
-        new.update(w for _, words in cut for w in words if w not in self)
-        texts = {w: w.decode("utf-8", "surrogatepass") for w in new}
-        small = [w for w in new if w.islower() and w.isalpha() or PRINTABLE.fullmatch(w) and len(WORDS.findall(w)) == 1 and b"<|" not in w]
-        self._in_rows(self.plain, small, texts)
-        rest = [w for w in new if w not in self]
-        self._in_rows(self.tokenizer, [w for w in rest if texts[w].isalpha()], texts)
-        rest = [w for w in rest if w not in self]
-        self.update(zip(rest, [e.tobytes() for e in self._ids(self.tokenizer, [texts[w] for w in rest])], strict=True))
-        self.update((c, b"".join(map(self.__getitem__, words))) for c, words in cut if len(words) > 1)
-
-    def _in_rows(self, tokenizer, words: list[bytes], texts: dict[bytes, str]) -> None:
-        """Remembers the ids of single words, many in a row, told apart by the tokens that end a word; a row in doubt is left."""
+    def _learn(self, chunks: set[bytes]) -> None:
+        """Remembers the ids of new chunks, from those of their words, none of which depends on its neighbours.
+
+        A chunk of which that is not sure is encoded alone.
+        """
+        known = self.known
+        plain, full, alone, compounds = set(), set(), [], []
+        for c in chunks:
+            if c.isalpha() and c.islower():
+                plain.add(c)
+            elif b"<|" in c:
+                alone.append(c)
+            elif c.isascii():
+                words = WORDS.findall(c) if PRINTABLE.fullmatch(c) else ()
+                if len(words) > 1:
+                    compounds.append((c, words))
+                    plain.update(words)
+                elif words:
+                    plain.add(c)
+                else:
+                    alone.append(c)
+            else:
+                stem = c.rstrip(ENDING_SIGNS)
+                text = stem.decode("utf-8", "surrogatepass")
+                if not text.isalpha():
+                    alone.append(c)
+                elif len(stem) == len(c):
+                    full.add(c)
+                elif unicodedata.is_normalized("NFC", text) and text.lower().isalpha():
+                    compounds.append((c, (stem, c[len(stem) :])))
+                    full.add(stem)
+                    plain.add(c[len(stem) :])
+                else:  # a letter that becomes letter and mark would put the mark into the next word
+                    alone.append(c)
+        alone += self._in_rows(self.plain, list(plain.difference(known)))
+        alone += self._in_rows(self.tokenizer, list(full.difference(known)))
+        ids = self._ids(self.tokenizer, [c.decode("utf-8", "surrogatepass") for c in alone])
+        known.update(zip(alone, [e.tobytes() for e in ids], strict=True))
+        known.update([(c, b"".join([known[w] for w in words])) for c, words in compounds])
+
+    def _in_rows(self, tokenizer, words: list[bytes]) -> list[bytes]:
+        """Remembers the ids of single words, many in a row, told apart by the tokens that end a word; returns the words of rows in doubt."""
         rows = [words[k : k + 256] for k in range(0, len(words), 256)]
-        for row, e in zip(rows, self._ids(tokenizer, [" ".join(map(texts.__getitem__, row)) for row in rows]), strict=True):
+        doubt: list[bytes] = []
+        for row, e in zip(rows, self._ids(tokenizer, [b" ".join(row).decode("utf-8", "surrogatepass") for row in rows]), strict=True):
             ends = np.flatnonzero(self.last[e]) + 1
             if len(ends) == len(row) and ends[-1] == len(e):
                 raw, cuts = e.tobytes(), [0, *(4 * ends).tolist()]
-                self.update((w, raw[a:b]) for w, a, b in zip(row, cuts, cuts[1:], strict=False))
+                self.known.update((w, raw[a:b]) for w, a, b in zip(row, cuts, cuts[1:], strict=False))
+            else:
+                doubt += row
+        return doubt
 
     @staticmethod
     def _ids(tokenizer, texts: list[str]) -> list[np.ndarray]:
