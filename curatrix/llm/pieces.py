@@ -76,6 +76,9 @@ class PieceTransducer:
         self.trie = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | self.ids
         self.pieces = pieces
         self.whole = any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids)
+        #: Neighbouring characters of some piece. No merge crosses any other pair of characters.
+        self.inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.parts: dict[str, bytes] = {}
         self.borders: dict[int, bool] = {}
         self.remembered = remembered
         self.segments: dict[str, bytes] = {}
@@ -142,9 +145,21 @@ class PieceTransducer:
         return path[::-1]
 
     def segment_ids(self, segment: str) -> bytes:
+        """Ids of a segment, from those of its parts: no path has an arc across a pair of characters that no piece holds."""
         if len(self.segments) > self.remembered:
             self.segments.clear()
-        value = self.segments[segment] = np.array(self.shortest_path(segment), "<i4").tobytes()
+        if len(self.parts) > self.remembered:
+            self.parts.clear()
+        inside, known = self.inside, self.parts
+        cuts = [k for k in range(1, len(segment)) if segment[k - 1 : k + 1] not in inside]
+        found = []
+        for begin, end in zip([0, *cuts], [*cuts, len(segment)], strict=True):
+            part = segment[begin:end]
+            ids = known.get(part)
+            if ids is None:
+                ids = known[part] = np.array(self.shortest_path(part), "<i4").tobytes()
+            found.append(ids)
+        value = self.segments[segment] = b"".join(found)
         return value
 
     def encode(self, text: str) -> bytes:
