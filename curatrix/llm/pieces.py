@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -72,14 +73,21 @@ class PieceTransducer:
         self.prefix = bool(spec.get(3, 1))
         written = {i: p.replace(SPACE, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in self.byte_ids.items()}
         self.output = [written.get(i, " ⁇ ".encode() if i == self.unknown else b"") for i in range(count)]
-        #: All beginnings of pieces: the id where a piece ends, else -1. The states of the piece acceptor.
-        self.trie = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | self.ids
+        #: The states of the piece acceptor: by the next sign, the id where a piece ends (else -1) and the arcs from there.
+        self.trie: dict[str, list] = {}
+        for piece, i in self.ids.items():
+            arcs, state = self.trie, [-1, {}]
+            for sign in piece:
+                state = arcs.setdefault(sign, [-1, {}])
+                arcs = state[1]
+            state[0] = i
         self.pieces = pieces
         self.whole = any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids)
         #: Neighbouring characters of some piece. No merge crosses any other pair of characters.
         self.inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.parts: dict[str, bytes] = {}
-        self.borders: dict[int, bool] = {}
+        self.borders: dict[int, dict[int, bool]] = {}
+        self.known_borders = 0
         self.remembered = remembered
         self.segments: dict[str, bytes] = {}
 
@@ -99,10 +107,12 @@ class PieceTransducer:
 
     def border(self, left: int, right: int) -> bool:
         """The arc that reads ``right`` after ``left`` has weight 0, else infinity."""
-        if len(self.borders) > 4 * self.remembered:
+        if self.known_borders > 4 * self.remembered:
             self.borders.clear()
+            self.known_borders = 0
         x, y = self.pieces[left], self.pieces[right]
-        free = self.borders[left << 32 | right] = self.merged(x + y) == [x, y]
+        free = self.borders.setdefault(left, {})[right] = self.merged(x + y) == [x, y]
+        self.known_borders += 1
         return free
 
     def shortest_path(self, segment: str) -> list[int]:
@@ -111,24 +121,29 @@ class PieceTransducer:
         All weights are 0 or infinite, so a position is settled by the first arc that
         reaches it with weight 0; infinite arcs are never followed.
         """
-        trie, borders = self.trie, self.borders
         size = len(segment)
+        signs = list(segment)
         reached: list[int | None] = [None] * (size + 1)
         reached[0] = -1
         start = [0] * (size + 1)
+        nothing: dict[int, bool] = {}
         for begin in range(size):
             before = reached[begin]
             if before is None:
                 continue
-            for end in range(begin + 1, size + 1):
-                piece = trie.get(segment[begin:end])
-                if piece is None:
+            free_after = self.borders.get(before, nothing)
+            arcs, end = self.trie, begin
+            for sign in signs[begin:]:
+                state = arcs.get(sign)
+                end += 1
+                if state is None:
                     if end == begin + 1:
                         reached[end], start[end] = -1, begin
                     break
+                piece, arcs = state
                 if piece >= 0 and reached[end] is None:
                     if before >= 0:
-                        free = borders.get(before << 32 | piece)
+                        free = free_after.get(piece)
                         if not (self.border(before, piece) if free is None else free):
                             continue
                     reached[end], start[end] = piece, begin
@@ -144,6 +159,10 @@ class PieceTransducer:
             end = begin
         return path[::-1]
 
+    def path_bytes(self, segment: str) -> bytes:
+        path = self.shortest_path(segment)
+        return struct.pack(f"<{len(path)}i", *path)
+
     def segment_ids(self, segment: str) -> bytes:
         """Ids of a segment, from those of its parts: no path has an arc across a pair of characters that no piece holds."""
         if len(self.segments) > self.remembered:
@@ -151,13 +170,16 @@ class PieceTransducer:
         if len(self.parts) > self.remembered:
             self.parts.clear()
         inside, known = self.inside, self.parts
+        if segment[1:].isascii() and segment[1:].isalpha():  # hardly ever has a cut
+            value = self.segments[segment] = self.path_bytes(segment)
+            return value
         cuts = [k for k in range(1, len(segment)) if segment[k - 1 : k + 1] not in inside]
         found = []
         for begin, end in zip([0, *cuts], [*cuts, len(segment)], strict=True):
             part = segment[begin:end]
             ids = known.get(part)
             if ids is None:
-                ids = known[part] = np.array(self.shortest_path(part), "<i4").tobytes()
+                ids = known[part] = self.path_bytes(part)
             found.append(ids)
         value = self.segments[segment] = b"".join(found)
         return value
