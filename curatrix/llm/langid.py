@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-import zlib
+from collections import Counter
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import bounded_sample, held_out, id_and_text, map_texts, sampled
+from .wordhash import FACTOR, mixed, slice_hashes
 
 #: Bound on the labelled texts that the word model is fitted on.
 FIT_ROWS = 16_000
@@ -19,6 +22,8 @@ BUCKETS = 1 << 17
 #: Log-likelihood that a change of language costs, and the most that one word may count against one.
 SWITCH, FLOOR = 15.0, 12.0
 UNKNOWN = "und"
+#: So many new words are scored at once.
+TOGETHER = 1 << 14
 
 
 def _other_numbers() -> str:
@@ -51,33 +56,48 @@ SCRIPTS = (
 OTHER = len(SCRIPTS)
 
 
+@lru_cache(maxsize=1 << 16)
 def script_of(char: str) -> int:
     code = ord(char)
     return next((k for k, (_, ranges) in enumerate(SCRIPTS) if any(a <= code <= b for a, b in ranges)), OTHER)
 
 
-def bucket_of(piece: str) -> int:
-    return zlib.crc32(piece.encode("utf-8", "surrogatepass")) % BUCKETS
+def word_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the 1- to 3-letter pieces of many words and of the words themselves.
 
-
-class Buckets(dict):
-    """Buckets of short pieces, which repeat a lot; emptied when it has grown large."""
-
-    def __missing__(self, piece: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        at = self[piece] = bucket_of(piece)
-        return at
-
-
-PIECES = Buckets()
-
-
-def word_grams(word: str) -> list[int]:
-    """Buckets of the word and of its 1- to 3-letter pieces, its ends marked."""
-    marked = f"^{word}$"
-    pieces = [marked[i : i + n] for n in (1, 2, 3) for i in range(len(marked) - n + 1)]
-    return [*map(PIECES.__getitem__, pieces), bucket_of(f"={word}")]
+    Words stand one after the other with their ends marked. Returns for each sign the
+    buckets of the pieces that begin there (``BUCKETS``: none of that length), the place
+    where each word begins, and the bucket of each word.
+    """
+    codes = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    begin = np.cumsum(sizes) - sizes
+    left = np.repeat(begin + sizes, sizes) - np.arange(len(codes))
+    own = mixed(codes + np.uint64(1))
+    grams = np.full((len(codes), 3), BUCKETS, np.int64)
+    hashes = own.copy()
+    for n in range(3):
+        at = np.flatnonzero(left > n)
+        if n:
+            hashes[at] = mixed(hashes[at] * np.uint64(FACTOR) + own[at + n])
+        grams[at, n] = (hashes[at] % np.uint64(BUCKETS)).astype(np.int64)
+    whole = (slice_hashes(own, begin + 1, begin + sizes - 1) % np.uint64(BUCKETS)).astype(np.int64)
+    return grams, begin, whole
+
+
+def counted_buckets(words: dict[str, int]) -> np.ndarray:
+    """How often each bucket, and behind the buckets each script of a first letter, occurs in counted words."""
+    total = np.zeros(BUCKETS + OTHER + 1)
+    names = list(words)
+    for start in range(0, len(names), TOGETHER):
+        part = names[start : start + TOGETHER]
+        times = np.array([words[w] for w in part], float)
+        grams, begin, whole = word_buckets(part)
+        sizes = np.diff(np.append(begin, len(grams)))
+        pieces = np.bincount(grams.ravel(), weights=np.repeat(times, 3 * sizes), minlength=BUCKETS + 1)[:BUCKETS]
+        total[:BUCKETS] += pieces + np.bincount(whole, weights=times, minlength=BUCKETS)
+        total[BUCKETS:] += np.bincount([script_of(w[0]) for w in part], weights=times, minlength=OTHER + 1)
+    return total
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS) -> dict:
@@ -93,21 +113,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     out = "lang string, bucket int, weight double"
 
     def count(batches):
-        grams: dict[str, list[int]] = {}
         for batch in batches:
-            sums: dict[str, np.ndarray] = {}
+            seen: dict[str, Counter] = {}
             for text, lang in zip(batch.column("text"), batch.column("lang"), strict=True):
-                own = sums.setdefault(lang.as_py(), np.zeros(BUCKETS + OTHER + 1))
-                found = []
-                for word in LETTERS.findall(text.as_py().lower()):
-                    at = grams.get(word)
-                    if at is None:
-                        if len(grams) > 300_000:
-                            grams.clear()
-                        at = grams[word] = [*word_grams(word), BUCKETS + script_of(word[0])]
-                    found.extend(at)
-                own += np.bincount(found, minlength=BUCKETS + OTHER + 1) if found else 0
-            for lang, own in sums.items():
+                seen.setdefault(lang.as_py(), Counter()).update(LETTERS.findall(text.as_py().lower()))
+            for lang, words in seen.items():
+                own = counted_buckets(words)
                 at = np.flatnonzero(own)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at])], names=["lang", "bucket", "weight"])
 
@@ -122,30 +133,36 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return {"langs": langs, "logs": np.log(seen / seen.sum(axis=1, keepdims=True)).astype(np.float32).T.copy(), "used": used}
 
 
-class WordScores(dict):
-    """Row of a word in a growing matrix of scores by language; emptied when it has grown large."""
+class WordScores:
+    """Rows of words in a growing matrix of scores by language; emptied when it has grown large."""
 
     def __init__(self, model: dict, limit: int = 300_000):
-        super().__init__()
         self.model, self.limit = model, limit
-        self.rows = np.zeros((1024, len(model["langs"])), np.float32)
+        # a last row of zeros for pieces that are not there
+        self.logs = np.concatenate([model["logs"], np.zeros((1, len(model["langs"])), np.float32)])
+        self.clear()
 
-    def room(self) -> None:
-        """Called between slices of texts, so that rows stay valid within one."""
-        if len(self) > self.limit:
-            self.clear()
-            self.rows = np.zeros((1024, len(self.model["langs"])), np.float32)
+    def clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.rows = np.zeros((1024, len(self.model["langs"])), np.float32)
 
-    def __missing__(self, word: str) -> int:
-        at = self[word] = len(self)
-        if at >= len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        scores = self.model["logs"][word_grams(word)].sum(axis=0)
-        fits = self.model["used"][:, script_of(word[0])]
-        if fits.any():
-            scores = np.where(fits, scores, -np.inf)
-        self.rows[at] = np.maximum(scores - scores.max(), -FLOOR)
-        return at
+    def learn(self, words: list[list[str]]) -> None:
+        """Makes room for all words of a slice of texts; rows stay valid until the next call."""
+        if len(self.at) > self.limit:
+            self.clear()
+        # in a stated order, so that sums do not hang on the order of a set
+        new = sorted(set().union(*words).difference(self.at))
+        for start in range(0, len(new), TOGETHER):
+            part = new[start : start + TOGETHER]
+            have = len(self.at)
+            if have + len(part) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros((max(len(part), len(self.rows)), self.rows.shape[1]), np.float32)])
+            grams, begin, whole = word_buckets(part)
+            scores = np.add.reduceat(self.logs[grams].sum(axis=1), begin, axis=0) + self.logs[whole]
+            fits = self.model["used"][:, [script_of(w[0]) for w in part]].T
+            scores = np.where(fits | ~fits.any(axis=1, keepdims=True), scores, -np.inf)
+            self.rows[have : have + len(part)] = np.maximum(scores - scores.max(axis=1, keepdims=True), -FLOOR)
+            self.at.update(zip(part, range(have, have + len(part)), strict=True))
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
@@ -190,19 +207,39 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
     return labels
 
 
+def best_labels(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
+    """As ``viterbi``; where all words of a text have the same best language, that is the path and no search is made.
+
+    The best language of a word has score 0 and no path is above 0. Of languages with score
+    0 in all words the first is taken, as in ``viterbi``.
+    """
+    if not len(scores):
+        return np.zeros(0, np.int32)
+    labels = scores.argmax(axis=1).astype(np.int32)
+    some = lengths > 0
+    starts = (np.cumsum(lengths) - lengths)[some]
+    mixed_texts = np.zeros(len(lengths), bool)
+    mixed_texts[some] = np.minimum.reduceat(labels, starts) != np.maximum.reduceat(labels, starts)
+    at = np.repeat(mixed_texts, lengths)
+    if at.any():
+        labels[at] = viterbi(scores[at], lengths[mixed_texts], switch)
+    return labels
+
+
 def label_texts(texts: list, scores: WordScores, switch: float) -> list[tuple[str, float, list]]:
     """(language, share of letters, spans) of each text."""
     langs = scores.model["langs"]
     if not langs:
         return [(UNKNOWN, 0.0, [])] * len(texts)
-    scores.room()
     lows = [(t or "").lower() for t in texts]
     words = [LETTERS.findall(t) for t in lows]
+    scores.learn(words)
     order = sorted(range(len(texts)), key=lambda k: -len(words[k]))
     lengths = np.array([len(words[k]) for k in order], np.int64)
-    rows = np.fromiter((scores[w] for k in order for w in words[k]), np.int64, int(lengths.sum()))
-    labels = viterbi(scores.rows[rows], lengths, switch)
-    sizes = np.fromiter((len(w) for k in order for w in words[k]), np.int64, len(rows))
+    flat = list(chain.from_iterable(words[k] for k in order))
+    found = scores.rows[np.fromiter(map(scores.at.__getitem__, flat), np.int64, len(flat))]
+    labels = best_labels(found, lengths, switch)
+    sizes = np.fromiter(map(len, flat), np.int64, len(flat))
     out: list = [(UNKNOWN, 0.0, [])] * len(texts)
     at = 0
     for k, n in zip(order, lengths, strict=True):
