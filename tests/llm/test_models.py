@@ -90,6 +90,47 @@ def test_viterbi_is_best():
             at += n
 
 
+def test_texts_of_one_language_need_no_search():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        sizes = np.array(sorted(rng.integers(0, 6, 4), reverse=True))
+        scores = rng.integers(-3, 1, (sizes.sum(), 3)).astype(np.float32)
+        scores -= scores.max(axis=1, keepdims=True) if len(scores) else 0
+        switch = float(rng.integers(0, 5))
+        got, at = langid.best_labels(scores, sizes, switch), 0
+        for n in sizes:
+            cost = lambda p: sum(scores[at + i, x] for i, x in enumerate(p)) - switch * sum(a != b for a, b in zip(p, p[1:], strict=False))  # noqa: B023, E731
+            if n:
+                assert abs(cost(got[at : at + n]) - max(map(cost, itertools.product(range(3), repeat=int(n))))) < 1e-4
+            at += n
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abcéßд日", min_size=1, max_size=9), min_size=1, max_size=8, unique=True))
+def test_word_buckets_do_not_hang_on_neighbours(words):
+    """All words together give each word the pieces that it has alone, three a sign but for the ends."""
+    grams, begin, whole = langid.word_buckets(words)
+    ends = [*begin[1:], len(grams)]
+    for k, w in enumerate(words):
+        alone, _, name = langid.word_buckets([w])
+        assert np.array_equal(grams[begin[k] : ends[k]], alone) and name[0] == whole[k]
+        assert (alone < langid.BUCKETS).sum() == 3 * (len(w) + 2) - 3
+    times = {w: 1 + k for k, w in enumerate(words)}
+    counted = langid.counted_buckets(times)
+    assert counted[: langid.BUCKETS].sum() == sum(n * (3 * len(w) + 4) for w, n in times.items())
+    assert counted[langid.BUCKETS :].sum() == sum(times.values())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abAB'st.,%1²éİΣ\u0301 \n", max_size=30) | st.none(), max_size=8))
+def test_ids_of_many_texts_equal_the_library(texts):
+    encoder = tokens.WordIds.__new__(tokens.WordIds)
+    encoder.__dict__.update(ENCODER.__dict__, known={}, limit=3)
+    for _ in range(2):  # the second time the store is emptied first
+        got = [np.frombuffer(r, "<u4").tolist() for r in encoder.encode_many(texts)]
+        assert got == [PLAIN.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     model = langid.fit(docs)
