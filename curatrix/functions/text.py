@@ -95,10 +95,15 @@ def evidence_terms(body: Column, vocabulary: Iterable[str]) -> Column:
     return F.when(F.size(hits) > 0, F.array_join(hits, ", "))
 
 
-def whole_word_terms(body: Column, terms: Iterable[str], default: str) -> Column:
-    """Terms that occur as whole words; the default term when there is none."""
+def whole_word_terms(body: Column, terms: Iterable[str], default: str, ascii_words: bool = False) -> Column:
+    """Terms that occur as whole words; the default term when there is none.
+
+    With ``ascii_words`` only ASCII letters, digits and the underscore make words, so a term
+    may stand beside any other letter.
+    """
+    edge = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))" if ascii_words else r"\b"
     hits = [
-        F.when(F.lower(body).rlike(r"\b" + _escape(t).replace(" ", r"\s+") + r"\b"), F.lit(t))
+        F.when(F.lower(body).rlike(edge + _escape(t).replace(" ", r"\s+") + edge), F.lit(t))
         for t in terms
         if t and t != default
     ]
