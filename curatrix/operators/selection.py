@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,12 +95,13 @@ def capped_promotion(
 def image_score(url: Column | str, width: Column, height: Column) -> Column:
     """Poster likelihood of an image by host, path, area and aspect."""
     h, p = u.netloc(url), F.lower(u.path(url))
+    times = lambda n: F.lit(Decimal(n))  # noqa: E731  exact, so that a side just at a limit counts
     junk = h.contains("static.cdninstagram.com") | p.contains("/rsrc.php/") | p.endswith("/rsrc.php")
     area = F.least(F.lit(40), F.floor(F.greatest(F.lit(0), width * height) / 50000))
     aspect = (
-        F.when((height >= width * 1.1) & (height <= width * 2.3), 25)
-        .when((width >= height * 0.85) & (width <= height * 1.2), 12)
-        .when((width >= height * 2.0) | (height >= width * 3.0), -30).otherwise(0)
+        F.when((height >= width * times("1.1")) & (height <= width * times("2.3")), 25)
+        .when((width >= height * times("0.85")) & (width <= height * times("1.2")), 12)
+        .when((width >= height * times("2.0")) | (height >= width * times("3.0")), -30).otherwise(0)
     )
     score = F.when(h.contains("fbcdn.net"), 120).when(h.contains("cdninstagram.com"), 90).otherwise(0)
     score = score + F.when(p.contains("/v/t51"), 35).otherwise(0) + area + aspect

@@ -90,7 +90,7 @@ def _(spark, d):
     host = F.when(k % 3 == 0, "scontent.fbcdn.net").when(k % 3 == 1, "scontent.cdninstagram.com").otherwise("a.org")
     p = table(spark, d, "part").select(
         "p_brand", "p_partkey", F.concat(F.lit("https://"), host, F.when(k % 5 == 0, "/v/t51/x.jpg").otherwise("/x.jpg")).alias("img"),
-        (F.col("p_size") * 40).alias("w"), F.col("p_retailprice").cast("bigint").alias("h"),
+        (F.col("p_size") * 40).alias("w"), F.rint("p_retailprice").cast("bigint").alias("h"),  # SQL rounds
     )
     return op.rank_images(p, "p_brand", "img", "w", "h", "p_partkey", 4).select("p_brand", "p_partkey", "score")
 
