@@ -18,11 +18,13 @@ from .rules import contained_in_text
 
 def match_street(df: DataFrame, addr: DataFrame, key: str, location: str) -> DataFrame:
     """Address whose street number is the first number in the text and whose street name occurs in it (lowest id)."""
-    probe = df.select(key, F.col(location).alias("_loc"), F.regexp_extract(location, r"(\d+)", 1).alias("_num")).filter("_num <> ''")
+    rows = df.select(key, F.col(location).alias("_loc"))
+    probe = rows.select("_loc", F.regexp_extract("_loc", r"(\d+)", 1).alias("_num")).filter("_num <> ''").distinct()
     named = addr.filter(~tx.blank("street_name"))
-    inside = contained_in_text(probe.select("_loc").distinct(), "_loc", "_loc", named.select("street_name").distinct(), "street_name", "street_name", lower=False)
+    inside = contained_in_text(probe.select("_loc"), "_loc", "_loc", named.select("street_name").distinct(), "street_name", "street_name", lower=False)
     first = named.groupBy(F.col("street_number").alias("_num"), "street_name").agg(F.min("address_id").alias("address_id"))
-    return probe.join(inside, "_loc").join(first, ["_num", "street_name"]).groupBy(key).agg(F.min("address_id").alias("address_id"))
+    found = probe.join(inside, "_loc").join(first, ["_num", "street_name"]).groupBy("_loc").agg(F.min("address_id").alias("address_id"))
+    return rows.join(found, "_loc").groupBy(key).agg(F.min("address_id").alias("address_id"))
 
 
 def name_tokens(c: Column | str) -> Column:
@@ -103,8 +105,10 @@ def scored_names(left: DataFrame, right: DataFrame, scores: Callable = fz.name_s
 
     x, y = cut_lineage(x), cut_lineage(y)  # read five times each
     met = by_token(x, "left_name").join(by_token(y, "right_name"), "_t").select("left_name", "right_name")
-    for l, r in ((bare(x, "left_name"), y), (x, bare(y, "right_name"))):
-        met = met.unionByName(_near_names(l, r, lower))
+    for l, r, few in ((bare(x, "left_name"), y, 0), (x, bare(y, "right_name"), 1)):
+        # the other side's names are cut into pieces only where some name has no token
+        if not (l, r)[few].isEmpty():
+            met = met.unionByName(_near_names(l, r, lower))
     pairs = spread(met, "left_name", "right_name").distinct()
     a, b = F.col("left_name"), F.col("right_name")
     return pairs.withColumn("s", scores(F.lower(a), F.lower(b)) if lower else scores(a, b))
@@ -198,53 +202,64 @@ def resolve_address(parsed: DataFrame, addr: DataFrame, key: str, scores: Callab
 
 
 def quick_lookup(df: DataFrame, addr: DataFrame, key: str, location: str, scores: Callable = fz.name_scores, ratio: Callable = fz.indel_ratio) -> DataFrame:
-    """(key, address_id, step): exact text, single street match, best name on the street, best name, near-equal text."""
+    """(key, address_id, step): exact text, single street match, best name on the street, best name, near-equal text.
+
+    Each step looks only at the distinct texts that the steps before it left over. Names
+    on a street meet by a shared token; only names without any meet all names there.
+    """
     c = F.col
-    d = df.select(key, tx.text(location).alias("_loc")).filter("_loc <> ''")
+    rows = df.select(key, tx.text(location).alias("_loc")).filter("_loc <> ''")
     a = addr.select("address_id", tx.text("building_name").alias("_b"), (tx.text("full_address") if "full_address" in addr.columns else F.lit("")).alias("_f"), F.lower(tx.text("street_number")).alias("_n"), F.lower(tx.text("street_name")).alias("_s"))
     full = a.filter("_f <> ''").groupBy(F.lower("_f").alias("_lf")).agg(F.min("address_id").alias("address_id"))
-    exact = d.join(full, F.lower("_loc") == c("_lf")).select(key, "address_id", F.lit(1).alias("step"))
+    texts = rows.select("_loc").distinct().join(full, F.lower("_loc") == c("_lf"), "left").select("_loc", "address_id")
+    texts = cut_lineage(texts)
+    exact = texts.filter("address_id is not null").select("_loc", "address_id", F.lit(1).alias("step"))
     street = rf"(?i)(\d+)\s+([A-Za-z\s]+?)(?:,|\s+(?:{STREET_TYPES}))"
-    parsed = d.withColumns({
+    parsed = texts.filter("address_id is null").select("_loc").withColumns({
         "_num": F.regexp_extract("_loc", street, 1),
         "_str": F.lower(F.trim(F.regexp_replace(F.regexp_extract("_loc", street, 2), rf"(?i)\b(?:{STREET_TYPES})\b", ""))),
         "_bld": F.trim(F.regexp_extract("_loc", r"^([^,\d]+?)(?:,|\s+\d+)", 1)),
     })
-    on_street = parsed.filter("_num <> ''").join(a, (c("_num") == c("_n")) & (c("_str") == c("_s")))
-    counted = on_street.groupBy(key).agg(F.count(F.lit(1)).alias("_k"), F.min("address_id").alias("address_id"))
-    single = counted.filter("_k = 1").select(key, "address_id", F.lit(2).alias("step"))
-    several = on_street.join(counted.filter("_k > 1").select(key), key).filter("_bld <> '' and _b <> ''").filter(
-        tx.token_overlap(tx.venue_tokens("_bld"), tx.venue_tokens("_b"))
-    ).withColumn("_r", ratio(F.lower("_bld"), F.lower("_b"))).filter("_r >= 85")
-    named = several.groupBy(key).agg(F.max_by("address_id", F.struct("_r", -c("address_id"))).alias("address_id")).withColumn("step", F.lit(3))
-    free = parsed.filter("_num = ''").select(key, c("_loc").alias("left_name"))
+    line = (c("_num") == c("_n")) & (c("_str") == c("_s"))
+    lines = a.groupBy("_n", "_s").agg(F.count(F.lit(1)).alias("_k"), F.min("address_id").alias("address_id"))
+    counted = parsed.filter("_num <> ''").join(lines, line)
+    single = counted.filter("_k = 1").select("_loc", "address_id", F.lit(2).alias("step"))
+    no_token = lambda c: F.size(tx.venue_tokens(c)) == 0
+    asked = cut_lineage(counted.filter("_k > 1 and _bld <> ''").select(F.lower("_bld").alias("_bld"), "_n", "_s").distinct())
+    names = a.filter("_b <> '' and _n <> ''").select(F.lower("_b").alias("_b"), "_n", "_s").distinct()
+    by_token = asked.withColumn("_t", F.explode(name_tokens("_bld"))).join(names.withColumn("_t", F.explode(name_tokens("_b"))), ["_n", "_s", "_t"]).drop("_t")
+    bare = asked.join(names.filter(no_token("_b")), ["_n", "_s"]).unionByName(asked.filter(no_token("_bld")).join(names, ["_n", "_s"]))
+    several = spread(by_token.unionByName(bare), "_bld", "_b").distinct().withColumn("_r", ratio(c("_bld"), c("_b"))).filter("_r >= 85")
+    ids = a.groupBy("_n", "_s", F.lower("_b").alias("_b")).agg(F.min("address_id").alias("address_id"))
+    best = several.join(ids, ["_n", "_s", "_b"]).groupBy("_bld", "_n", "_s").agg(F.max_by("address_id", F.struct("_r", -c("address_id"))).alias("address_id"))
+    named = parsed.withColumns({"_n": c("_num"), "_s": c("_str"), "_bld": F.lower("_bld")}).join(best, ["_bld", "_n", "_s"]).select("_loc", "address_id", F.lit(3).alias("step"))
+    free = parsed.filter("_num = ''").select(c("_loc").alias("left_name"))
     sim = scored_names(free.select(c("left_name").alias("name")), a.select(c("_b").alias("name")), scores, lower=True)
     sim = sim.withColumn("_r", F.greatest("s.ratio", "s.partial")).filter("_r >= 80")
     by_name = a.filter("_b <> ''").groupBy(c("_b").alias("right_name")).agg(F.min("address_id").alias("address_id"))
     best = sim.join(by_name, "right_name").groupBy("left_name").agg(F.max_by("address_id", F.struct("_r", -c("address_id"))).alias("address_id"))
-    by_text = free.join(best, "left_name").select(key, "address_id", F.lit(4).alias("step"))
+    by_text = best.select(c("left_name").alias("_loc"), "address_id", F.lit(4).alias("step"))
     # read three times below; written once, so that the plan stays small
     hits = cut_lineage(exact.unionByName(single).unionByName(named).unionByName(by_text))
     # near-equal text: shared token of the building name; without such tokens on a side any text that can reach 90
-    rest = d.join(hits.select(key).distinct(), key, "left_anti")
-    rest_texts = rest.select("_loc").distinct()
+    rest = cut_lineage(texts.select("_loc").join(hits, "_loc", "left_anti"))
     full = a.filter("_f <> ''")
-    probe = rest_texts.select("_loc", F.explode(name_tokens("_loc")).alias("_t"))
+    probe = rest.select("_loc", F.explode(name_tokens("_loc")).alias("_t"))
     index = full.select("_f", F.explode(name_tokens("_b")).alias("_t")).distinct()
     close = F.least(F.length("_loc"), F.length("_f")) * 200 >= 90 * (F.length("_loc") + F.length("_f"))
-    shared = probe.join(index, "_t").filter(close).select("_loc", "_f")
-    no_token = lambda c: F.size(tx.venue_tokens(c)) == 0
-    near = shared
-    for x, y in ((rest_texts.filter(no_token("_loc")), full), (rest_texts, full.filter(no_token("_b")))):
-        texts, fulls = (t.select(c, F.lower(c).alias(n)).distinct() for t, c, n in ((x, "_loc", "_ll"), (y, "_f", "_lf")))
-        met = piece_pairs(texts.select("_ll").distinct(), fulls.select("_lf").distinct(), "_ll", "_lf", 20000 / 90 - 200 + 1e-6)
-        near = near.unionByName(met.join(texts, "_ll").join(fulls, "_lf").filter(close).select("_loc", "_f"))
+    near = probe.join(index, "_t").filter(close).select("_loc", "_f")
+    for x, y, few in ((rest.filter(no_token("_loc")), full, 0), (rest, full.filter(no_token("_b")), 1)):
+        if (x, y)[few].isEmpty():
+            continue
+        said, fulls = (t.select(c, F.lower(c).alias(n)).distinct() for t, c, n in ((x, "_loc", "_ll"), (y, "_f", "_lf")))
+        met = piece_pairs(said.select("_ll").distinct(), fulls.select("_lf").distinct(), "_ll", "_lf", 20000 / 90 - 200 + 1e-6)
+        near = near.unionByName(met.join(said, "_ll").join(fulls, "_lf").filter(close).select("_loc", "_f"))
     near = spread(near, "_loc", "_f").distinct()
     near = near.filter(ratio(F.lower("_loc"), F.lower("_f")) >= 90)
     allowed = no_token("_loc") | no_token("_b") | F.arrays_overlap(tx.venue_tokens("_loc"), tx.venue_tokens("_b"))
-    last = rest.join(near, "_loc").join(a, "_f").filter(allowed).groupBy(key).agg(F.min("address_id").alias("address_id")).withColumn("step", F.lit(5))
-    hits = hits.unionByName(last)
-    return hits.groupBy(key).agg(F.min_by(F.struct("address_id", "step"), F.struct("step", "address_id")).alias("m")).select(key, "m.address_id", "m.step")
+    last = near.join(a, "_f").filter(allowed).groupBy("_loc").agg(F.min("address_id").alias("address_id")).withColumn("step", F.lit(5))
+    found = rows.join(hits.unionByName(last), "_loc")
+    return found.groupBy(key).agg(F.min_by(F.struct("address_id", "step"), F.struct("step", "address_id")).alias("m")).select(key, "m.address_id", "m.step")
 
 
 def supports_candidate(raw: Column | str) -> Column:
@@ -285,19 +300,25 @@ def cache_insert(cache: DataFrame, fresh: DataFrame) -> DataFrame:
 def name_in_text(df: DataFrame, addr: DataFrame, key: str, body: str, partial: Callable = fz.partial_ratio, threshold: float = 80) -> DataFrame:
     """(key, address_id, how): a building name contained in the text, else the closest one above the threshold.
 
-    The fuzzy step looks at all names of six or more characters.
+    The fuzzy step looks at all names of six or more characters. Distinct texts are looked
+    up, so copies of a text cost one look-up.
     """
     names = addr.filter(~tx.blank("building_name")).groupBy(F.lower(tx.text("building_name")).alias("name")).agg(F.max("address_id").alias("address_id"), F.min("address_id").alias("first_id"))
-    inside = contained_in_text(df, key, body, names, "first_id", "name")
-    exact = inside.join(names.select("first_id", "address_id"), "first_id").groupBy(key).agg(
-        F.min_by("address_id", "first_id").alias("address_id")).withColumn("how", F.lit("contains"))
-    rest = df.join(exact, key, "left_anti").select(key, F.lower(tx.text(body)).alias("_b"))
-    long = names.filter(F.length("name") >= 6).select("name", "address_id")
-    near = close_pairs(long.select("name"), rest.select("_b").distinct(), "name", "_b", threshold)
-    near = near.withColumn("_s", partial(F.col("name"), F.col("_b"))).filter(F.col("_s") > threshold)
-    scored = near.join(long, "name").join(rest, "_b")
-    fuzzy = scored.groupBy(key).agg(F.max_by("address_id", F.struct("_s", -F.col("address_id"))).alias("address_id")).withColumn("how", F.lit("fuzzy"))
-    return exact.unionByName(fuzzy)
+    rows = df.select(key, F.lower(tx.text(body)).alias("_text"))
+    texts = cut_lineage(rows.select("_text").distinct())
+    inside = contained_in_text(texts, "_text", "_text", names, "first_id", "name")
+    exact = cut_lineage(inside.join(names.select("first_id", "address_id"), "first_id").groupBy("_text").agg(
+        F.min_by("address_id", "first_id").alias("address_id")).withColumn("how", F.lit("contains")))
+    rest = cut_lineage(texts.join(exact, "_text", "left_anti"))
+    found = exact
+    if not rest.isEmpty():
+        long = names.filter(F.length("name") >= 6).select("name", "address_id")
+        near = spread(close_pairs(long.select("name"), rest, "name", "_text", threshold), "name", "_text")
+        near = near.withColumn("_s", partial(F.col("name"), F.col("_text"))).filter(F.col("_s") > threshold)
+        found = found.unionByName(near.join(long, "name").groupBy("_text").agg(
+            F.max_by("address_id", F.struct("_s", -F.col("address_id"))).alias("address_id")).withColumn("how", F.lit("fuzzy")))
+    # a text of many rows is one row here
+    return rows.join(found, "_text").groupBy(key).agg(F.min(F.struct("how", "address_id")).alias("m")).select(key, "m.address_id", "m.how")
 
 
 def postal_lookup(df: DataFrame, civic: DataFrame, key: str, location: str, postal: str) -> DataFrame:

@@ -103,7 +103,7 @@ def _(spark, d):
 SELECT o_orderkey AS k, o_custkey AS address_id, CASE WHEN o_orderkey%4=0 THEN 1 ELSE 3 END AS step FROM orders WHERE o_orderkey%4<2""")
 def _(spark, d):
     def hall(c):
-        return F.concat(F.lit("Hall "), F.translate(F.lpad(F.col(c).cast("string"), 5, "0"), "0123456789", "abcdefghij"))
+        return F.concat(F.lit("Hall "), F.translate(F.lpad(F.col(c).cast("string"), 9, "0"), "0123456789", "abcdefghij"))
 
     def line(c):
         return F.concat(hall(c), F.lit(", "), (F.col(c) % 500).cast("string"), F.lit(" Oak St, "), (F.col(c) % 25).cast("string"))
