@@ -55,14 +55,16 @@ def has_minimum_data(name="event_name", start="start_date", details=("location",
 
 
 def is_nonlocal(t: Column, markers: Iterable[str] = NONLOCAL_MARKERS) -> Column:
-    padded = F.concat(F.lit(" "), tx.squeeze(t), F.lit(" "))
-    coded = padded.rlike(r"\b(?:pl|pt)\b") & padded.rlike(r"\b(?:country|conference|festival)\b")
-    return coded | tx.contains_any(padded, markers)
+    def marked(padded):
+        coded = padded.rlike(r"\b(?:pl|pt)\b") & padded.rlike(r"\b(?:country|conference|festival)\b")
+        return coded | tx.contains_any(padded, markers)
+
+    return tx.let(F.concat(F.lit(" "), tx.squeeze(t), F.lit(" ")), marked)
 
 
 def is_local(t: Column, markers: Iterable[str] = LOCAL_MARKERS) -> Column:
     padded = F.concat(F.lit(" "), tx.squeeze(t), F.lit(" "))
-    return padded.rlike(r"\b(?:bc|b\.c\.)\b") | tx.contains_any(padded, markers)
+    return tx.let(padded, lambda p: p.rlike(r"\b(?:bc|b\.c\.)\b") | tx.contains_any(p, markers))
 
 
 def quality_reason(

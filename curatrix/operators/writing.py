@@ -20,7 +20,7 @@ from . import normalize as norm
 from . import rules as rl
 from .entity import fuzzy_dedup
 from .joins import fill_missing, orphans, sync_from_dim, time_window_losers
-from .keyed import top_per_key
+from .keyed import spread, top_per_key
 from ..session import cut_lineage
 
 # Dance styles the write path knows.
@@ -89,7 +89,8 @@ def write_events(df: DataFrame, addr: DataFrame, rules: WriteRules) -> tuple[Dat
     joins. Rows are rejected with the reason of the first gate they fail. The repaired
     rows feed the rejects, the lookups and the log, so they are written once.
     """
-    ready = cut_lineage(prepare(df, rules))
+    # the rows are few bytes and much work, so they are spread over all cores
+    ready = cut_lineage(spread(prepare(df, rules), "row_id"))
     pre = (
         F.when(~F.col("keep"), "missing_or_blocked_url")
         .when(gates.is_us_address("location"), "us_postal_code_location")
@@ -102,7 +103,7 @@ def write_events(df: DataFrame, addr: DataFrame, rules: WriteRules) -> tuple[Dat
         F.when(gates.is_us_address("location"), "us_postal_code_location")
         .otherwise(F.coalesce(_quality(rules, True), F.when(gates.all_empty(rules.required), "all_fields_empty")))
     )
-    checked = located.withColumn("reject_reason", post)
+    checked = cut_lineage(spread(located, "row_id").withColumn("reject_reason", post))
     accepted = checked.filter(F.col("reject_reason").isNull()).drop("reject_reason")
     rejected = gated.filter(F.col("reject_reason").isNotNull()).select("row_id", "batch_url", "reject_reason").unionByName(
         checked.filter(F.col("reject_reason").isNotNull()).select("row_id", "batch_url", "reject_reason"))
@@ -116,11 +117,14 @@ def locate(df: DataFrame, addr: DataFrame, rules: WriteRules) -> tuple[DataFrame
         hits = hits.unionByName(rl.alias_match(df, rules.aliases, "row_id", ["location"]).filter("decision = 'applied'").select("row_id", "address_id", F.lit(2).alias("step")))
     if rules.cache is not None:
         hits = hits.unionByName(ad.cache_lookup(df, rules.cache, addr, "row_id", "location").withColumn("step", F.lit(3)))
-    quick = ad.quick_lookup(df, addr, "row_id", "location", rules.scores, rules.ratio)
-    hits = hits.unionByName(quick.select("row_id", "address_id", F.lit(4).alias("step")))
-    found = cut_lineage(hits.groupBy("row_id").agg(F.min_by("address_id", F.struct("step", "address_id")).alias("address_id")))
-    # what the cheap steps leave over is small; written once, because three lookups read it
+    first = lambda hits: cut_lineage(hits.groupBy("row_id").agg(F.min_by("address_id", F.struct("step", "address_id")).alias("address_id")))
+    found = first(hits)
+    # the scored look-ups see only rows that the steps by key leave over; written once, because each is read again
     rest = cut_lineage(df.drop("address_id").join(found, "row_id", "left_anti"))
+    if not rest.isEmpty():
+        quick = cut_lineage(ad.quick_lookup(rest, addr, "row_id", "location", rules.scores, rules.ratio).select("row_id", "address_id"))
+        found = found.unionByName(quick)
+        rest = cut_lineage(rest.join(quick, "row_id", "left_anti"))
     body = rest.withColumn("_body", F.concat_ws(" ", tx.text("event_name"), tx.text("description")))
     named = ad.name_in_text(body, addr, "row_id", "_body", rules.ratio if rules.ratio is not fz.indel_ratio else fz.partial_ratio).select("row_id", "address_id")
     parsed = rest.join(named, "row_id", "left_anti").filter(~tx.blank("location")).withColumn("_p", norm.split_full_address("location")).select(
