@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fuzzy as fz
 from ..operators import writing
-from ..sources.adapters import as_events, customer_address, table
+from ..sources.adapters import as_events, table
 from ..streaming import jobs
 from .common import EV
-from .maintenance import _day, candidates
+from .maintenance import _day, candidates, write_addresses
 from .registry import query
 from .scans import sink_folder
 
@@ -82,7 +82,7 @@ def _(spark, d):
 @query("stream_write", f"""
 WITH {EV} SELECT event_id AS row_id, place AS address_id FROM ev WHERE event_id%11<>0 AND event_id%13<>0 AND start_date>=DATE '2024-01-31'-20""")
 def _(spark, d):
-    addr = customer_address(spark, d)
+    addr = write_addresses(spark, d)
     rules = writing.WriteRules(_day("2024-01-31"), 20, scores=fz.lev_scores, ratio=fz.lev_ratio)
 
     def write(batch, known):
