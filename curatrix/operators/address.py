@@ -313,7 +313,8 @@ def name_in_text(df: DataFrame, addr: DataFrame, key: str, body: str, partial: C
     found = exact
     if not rest.isEmpty():
         long = names.filter(F.length("name") >= 6).select("name", "address_id")
-        near = spread(close_pairs(long.select("name"), rest, "name", "_text", threshold), "name", "_text")
+        long = cut_lineage(long)  # few names need not be derived again for each side of the pairs
+        near = cut_lineage(spread(close_pairs(long.select("name"), rest, "name", "_text", threshold), "name", "_text"))
         near = near.withColumn("_s", partial(F.col("name"), F.col("_text"))).filter(F.col("_s") > threshold)
         found = found.unionByName(near.join(long, "name").groupBy("_text").agg(
             F.max_by("address_id", F.struct("_s", -F.col("address_id"))).alias("address_id")).withColumn("how", F.lit("fuzzy")))
