@@ -22,9 +22,9 @@ def contained_in_text(docs: DataFrame, doc_key: str, body: str, needles: DataFra
     contains the needle, its first word ends a word of the text, its last word begins
     one, and a lone word lies inside one; a needle without words lies inside a stretch
     of signs and is keyed by its beginning. The words and stretches of a text are
-    exploded into exactly the kinds and lengths that occur among the needles and joined
-    by equality, so the work grows with the text, not with text times needles. Empty
-    needles match nothing.
+    exploded into exactly the kinds and lengths that occur among the needles, which are
+    looked up first, and joined by equality, so the work grows with the text, not with
+    text times needles. Empty needles match nothing.
     """
     def fold(c):
         return F.lower(c) if lower else c
@@ -47,27 +47,40 @@ def contained_in_text(docs: DataFrame, doc_key: str, body: str, needles: DataFra
     )
     keyed = n.withColumn("_key", chosen)
     index = keyed.select(needle_key, "_n", F.concat_ws(":", "_key.k", "_key.t").alias("_w"), F.col("_key.k").alias("_kind"), F.length("_key.t").alias("_size"))
-    # one row; as many entries as there are kinds and word lengths
-    shapes = index.filter("_kind <> 'w'").agg(F.collect_set(F.struct(F.col("_kind").alias("k"), F.col("_size").alias("l"))).alias("_shapes"))
-    none = F.array().cast("array<string>")
-
-    def inside(t, s):
-        return F.transform(F.sequence(F.lit(1), F.length(t) - s["l"] + 1), lambda i: F.concat(s["k"], F.lit(":"), F.substring(t, i, s["l"])))
-
-    def keys_of(t, s):
-        size, end, signs = s["l"], F.length(t), ~t.rlike(rf"^{WORD}$")
-        return (
-            F.when((end < size) | (signs != (s["k"] == "y")), none)
-            .when(s["k"] == "p", F.array(F.concat(F.lit("p:"), F.substring(t, F.lit(1), size))))
-            .when(s["k"] == "s", F.array(F.concat(F.lit("s:"), F.substring(t, end - size + 1, size))))
-            .otherwise(inside(t, s))
-        )
+    # as many entries as there are kinds and word lengths
+    found = index.select("_kind", F.when(F.col("_kind") != "w", F.col("_size")).alias("_size")).distinct().collect()
+    shapes = sorted((r["_kind"], r["_size"]) for r in found if r["_kind"] != "w")
+    kinds = {r["_kind"] for r in found}
+    if not kinds:
+        return docs.select(doc_key).join(needles.select(needle_key), F.lit(False))
+
+    def keys_of(t, kind, size):
+        end = F.length(t)
+
+        def key_at(i):
+            return F.concat(F.lit(f"{kind}:"), F.substring(t, i, F.lit(size)))
+
+        if kind == "p":
+            keys = F.array(key_at(F.lit(1)))
+        elif kind == "s":
+            keys = F.array(key_at(end - size + 1))
+        else:
+            keys = F.transform(F.sequence(F.lit(1), end - size + 1), key_at)
+        fits = end >= size
+        if "y" in kinds:
+            fits = fits & (t.rlike(rf"^{WORD}$") == F.lit(kind != "y"))
+        return F.when(fits, keys).otherwise(F.array().cast("array<string>"))
 
     d = docs.select(doc_key, fold(F.col(body)).alias("_b"))
-    parts = F.array_distinct(F.regexp_extract_all("_b", F.lit(rf"{WORD}|[^\p{{L}}\p{{N}}]+"), F.lit(0)))
-    tokens = d.select(doc_key, F.explode(parts).alias("_token")).join(F.broadcast(shapes))
-    probes = tokens.select(doc_key, F.explode(F.concat(
-        F.array(F.concat(F.lit("w:"), "_token")), F.flatten(F.transform("_shapes", lambda s: keys_of(F.col("_token"), s))))).alias("_w"))
+    # stretches of signs are looked at only where a needle is one
+    part = rf"{WORD}|[^\p{{L}}\p{{N}}]+" if "y" in kinds else WORD
+    probes = d.select(doc_key, F.explode(F.array_distinct(F.regexp_extract_all("_b", F.lit(part), F.lit(0)))).alias("_token"))
+    whole = F.concat(F.lit("w:"), "_token")
+    if shapes:
+        keys = [keys_of(F.col("_token"), k, s) for k, s in shapes]
+        probes = probes.select(doc_key, F.explode(F.concat(*([F.array(whole)] if "w" in kinds else []), *keys)).alias("_w"))
+    else:
+        probes = probes.select(doc_key, whole.alias("_w"))
     met = probes.join(index.select(needle_key, "_n", "_w"), "_w").select(doc_key, needle_key, "_n").distinct()
     return met.join(d, doc_key).filter(F.contains("_b", "_n")).select(doc_key, needle_key)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import pages as op
 from ..operators.rules import contained_in_text
 from ..operators.normalize import visible_text_native
+from ..session import written
 from ..sources.adapters import table, wide
 from .common import netloc, path, qry
 from .normalize import _VT
@@ -114,7 +115,7 @@ def _(spark, d):
 
 @query("classifier_predictions")
 def _(spark, d):
-    rows = _training(spark, d)
+    rows = written(_training(spark, d))  # read by each step of the training
     model, indexer = op.train_classifier(rows, "label", max_iter=5)
     return op.predict_classifier(model, indexer, rows).select("doc_id", "label", "predicted", "confidence")
 
