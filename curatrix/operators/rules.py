@@ -11,6 +11,8 @@ from ..functions import urls as u
 WORD = r"[\p{L}\p{N}]+"
 #: Characters of a needle without words that serve as its key.
 SIGN_KEY = 4
+#: Patterns that a text is searched for one by one; more are looked up by key.
+FEW = 64
 #: Joins texts into one; no pattern holds it.
 BETWEEN = "\u0000"
 
@@ -98,13 +100,25 @@ def anti_contains(df: DataFrame, needles: DataFrame, column: str = "url", needle
 
 
 def tag_by_keywords(df: DataFrame, keywords: DataFrame, evidence, out: str) -> DataFrame:
-    """Set ``out`` to all keywords found in the evidence columns, with a changed flag."""
+    """Set ``out`` to all keywords found in the evidence columns, with a changed flag.
+
+    Up to ``FEW`` keywords are looked for in each row as it is read; more meet the texts by
+    key, where a digest stands for the text.
+    """
     body = F.concat_ws(BETWEEN, *[F.lower(tx.text(c)) for c in evidence])
-    found = texts_with(df.select(body.alias("_t")), keywords.select(F.lower("keyword").alias("_k")), "_k")
-    tags = found.groupBy("_t").agg(F.array_join(F.array_sort(F.collect_set("_k")), ", ").alias("_tags"))
-    return df.join(tags, body == F.col("_t"), "left").withColumns({
-        "changed": F.col("_tags").isNotNull(), out: F.coalesce("_tags", F.col(out)),
-    }).drop("_t", "_tags")
+    words = keywords.select(F.lower("keyword").alias("_k")).filter("_k <> ''").distinct()
+    few = sorted(r["_k"] for r in words.limit(FEW + 1).collect())
+    if len(few) <= FEW:
+        listed = F.array(*[F.lit(k) for k in few]).cast("array<string>")
+        tags = tx.let(body, lambda t: F.array_sort(F.filter(listed, lambda k: F.contains(t, k))))
+        marked = df.withColumn("_found", tags)
+        marked = marked.withColumn("_tags", F.when(F.size("_found") > 0, F.array_join("_found", ", "))).drop("_found")
+    else:
+        rows = df.withColumn("_h", F.sha2(body, 256))
+        found = contained_in_text(rows.select("_h", body.alias("_t")), "_h", "_t", words, "_k", "_k", lower=False)
+        tags = found.groupBy("_h").agg(F.array_join(F.array_sort(F.collect_set("_k")), ", ").alias("_tags"))
+        marked = rows.join(tags, "_h", "left").select(*df.columns, "_tags")
+    return marked.withColumns({"changed": F.col("_tags").isNotNull(), out: F.coalesce("_tags", F.col(out))}).drop("_tags")
 
 
 def apply_overrides(df: DataFrame, rules: DataFrame, columns, url: str = "url") -> DataFrame:
