@@ -156,32 +156,35 @@ def resolve_address(parsed: DataFrame, addr: DataFrame, key: str, scores: Callab
     # five tiers read the scores; written once so that the UDF does not run per tier
     sim = cut_lineage(sim.select("left_name", "right_name", "s.*"))
 
-    def keyed_tier(tier, probe, on, ratio, partial, token):
-        met = probe.join(a, on)
-        single = met.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-        named = met.filter("building_name <> '' and a_building_name <> ''").join(
-            sim, (c("building_name") == c("left_name")) & (c("a_building_name") == c("right_name"))
-        ).filter((c("ratio") >= ratio) | (c("partial") >= partial) | (c("token_set") >= token)).select(key, "address_id")
-        bare = met.filter("building_name = '' and a_building_name = ''").join(single.filter("_n = 1"), key).select(key, "address_id")
-        return named.unionByName(bare).groupBy(key).agg(F.min("address_id").alias("address_id")).withColumn("tier", F.lit(tier))
-
-    t1 = keyed_tier(
-        2, p.filter("postal_code <> '' and street_number <> ''"),
-        (F.lower("postal_code") == F.lower("a_postal_code")) & (F.lower("street_number") == F.lower("a_street_number")), 85, 95, 90)
-    t2 = keyed_tier(
-        3, p.filter("street_number <> '' and street_name <> ''"),
-        (F.lower("street_number") == F.lower("a_street_number")) & (F.lower("street_name") == F.lower("a_street_name")), 75, 90, 85)
-    by_name = a.filter("a_building_name <> ''").groupBy(c("a_building_name").alias("right_name")).agg(F.min("address_id").alias("address_id"))
-    by_city = a.filter("a_building_name <> '' and a_city <> ''").groupBy(c("a_building_name").alias("right_name"), F.lower("a_city").alias("_city")).agg(F.min("address_id").alias("address_id"))
-    named = p.filter("building_name <> ''").select(key, c("building_name").alias("left_name"), F.lower("city").alias("_city"))
+    def keyed_tier(tier, fields, ratio, partial, token):
+        # rows of one key and name stand for each other, so the pairs are those of distinct names
+        keys = [f"_{f}" for f in fields]
+        probe = p.filter(" and ".join(f"{f} <> ''" for f in fields)).select(key, "building_name", *[F.lower(f).alias(f"_{f}") for f in fields])
+        have = a.groupBy(*[F.lower(f"a_{f}").alias(f"_{f}") for f in fields], "a_building_name").agg(F.min("address_id").alias("address_id"), F.count(F.lit(1)).alias("_n"))
+        close = sim.filter((c("ratio") >= ratio) | (c("partial") >= partial) | (c("token_set") >= token)).select("left_name", "right_name")
+        asked = probe.filter("building_name <> ''").select("building_name", *keys).distinct()
+        near = asked.join(close, c("building_name") == c("left_name")).join(have.withColumnRenamed("a_building_name", "right_name"), ["right_name", *keys])
+        found = near.groupBy("building_name", *keys).agg(F.min("address_id").alias("address_id"))
+        named = probe.join(found, ["building_name", *keys]).select(key, "address_id")
+        # the number of rows that a key's rows meet
+        single = probe.join(have.groupBy(*keys).agg(F.sum("_n").alias("_n")), keys).groupBy(key).agg(F.sum("_n").alias("_n")).filter("_n = 1")
+        bare = probe.filter("building_name = ''").join(have.filter("a_building_name = ''").drop("_n"), keys).join(single, key).select(key, "address_id")
+        return best(named.unionByName(bare), tier)
 
     def best(df, tier):
         return df.groupBy(key).agg(F.min("address_id").alias("address_id")).withColumn("tier", F.lit(tier))
 
+    t1 = keyed_tier(2, ("postal_code", "street_number"), 85, 95, 90)
+    t2 = keyed_tier(3, ("street_number", "street_name"), 75, 90, 85)
+    by_name = a.filter("a_building_name <> ''").groupBy(c("a_building_name").alias("right_name")).agg(F.min("address_id").alias("address_id"))
+    by_city = a.filter("a_building_name <> '' and a_city <> ''").groupBy(c("a_building_name").alias("right_name"), F.lower("a_city").alias("_city")).agg(F.min("address_id").alias("address_id"))
+    named = p.filter("building_name <> ''").select(key, c("building_name").alias("left_name"), F.lower("city").alias("_city"))
+
     strong = sim.filter((c("ratio") >= 90) | (c("partial") >= 95) | (c("token_set") >= 95))
-    t3 = best(named.filter("_city <> ''").join(strong, "left_name").join(by_city, ["right_name", "_city"]), 4)
+    in_city = named.filter("_city <> ''").select("left_name", "_city").distinct().join(strong, "left_name").join(by_city, ["right_name", "_city"])
+    t3 = best(named.join(in_city.groupBy("left_name", "_city").agg(F.min("address_id").alias("address_id")), ["left_name", "_city"]), 4)
     sure = sim.filter((c("ratio") >= 95) | ((c("partial") >= 98) & (c("token_set") >= 95)))
-    t4 = best(named.join(sure, "left_name").join(by_name, "right_name"), 5)
+    t4 = best(named.join(sure.join(by_name, "right_name").groupBy("left_name").agg(F.min("address_id").alias("address_id")), "left_name"), 5)
     inside = sim.filter((c("partial") >= 80) & (F.length("left_name") > 2)).join(by_name, "right_name").groupBy("left_name").agg(
         F.max_by("address_id", F.struct("partial", -c("address_id"))).alias("address_id"))
     t5 = named.join(inside, "left_name").select(key, "address_id", F.lit(6).alias("tier"))
