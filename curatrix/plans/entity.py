@@ -10,6 +10,8 @@ from ..operators import entity as op
 from ..operators import joins
 from ..operators import metrics
 from ..operators.graph import connected_components
+from ..operators.keyed import spread
+from ..session import written
 from ..sources.adapters import customer_address, ev, table
 from .common import ADDR, EV, label, netloc
 from .registry import query
@@ -260,7 +262,11 @@ def _(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_name")
     j = c.join(p, c["c_custkey"] == p["p_partkey"])
     a, b = F.concat_ws(" ", F.lower("c_mktsegment"), "p_name"), F.concat_ws(" ", "p_name", F.lit("hall"))
-    return j.select(
-        "c_custkey", fz.indel_ratio(a, b).alias("ratio"), fz.partial_ratio(a, b).alias("partial"), fz.token_sort_ratio(a, b).alias("token_sort"),
-        fz.token_set_ratio(a, b).alias("token_set"), fz.sequence_ratio(a, b).alias("sequence"),
+    rows = j.select("c_custkey", a.alias("a"), b.alias("b"))
+    # equal pairs of texts are scored once
+    x, y = F.col("x"), F.col("y")
+    scored = spread(rows.select(F.col("a").alias("x"), F.col("b").alias("y")).distinct(), "x", "y").select(
+        "x", "y", fz.indel_ratio(x, y).alias("ratio"), fz.partial_ratio(x, y).alias("partial"), fz.token_sort_ratio(x, y).alias("token_sort"),
+        fz.token_set_ratio(x, y).alias("token_set"), fz.sequence_ratio(x, y).alias("sequence"),
     )
+    return rows.join(written(scored), (F.col("a") == x) & (F.col("b") == y)).drop("a", "b", "x", "y")
