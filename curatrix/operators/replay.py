@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as dt
 from ..functions import fuzzy as fz
 from ..functions import text as tx
+from ..session import written
 from .keyed import spread
 
 FIELDS = ("event_name", "start_date", "start_time", "source", "location", "url")
@@ -39,7 +40,7 @@ def match_replay(
     ``base``: base_id and FIELDS. ``cand``: cand_id, page_url (the page that was read) and
     FIELDS. ``status``: page_url, ok, category for pages that could not be read. Equal
     candidates of a page are compared once (with their count), and names are scored as
-    distinct pairs.
+    distinct pairs. Of rows with one base_id each gets the best candidate of its own page.
     """
     social = social or (lambda c: F.lower(c).rlike(r"(facebook|instagram)\.com"))
     calendar = calendar or (lambda c: F.lower(c).rlike(r"calendar\.google\.com|google\.com/calendar|group\.calendar\.google\.com|/calendar/ical/"))
@@ -48,7 +49,8 @@ def match_replay(
     c = c.select("page_url", "cand_id", "copies", *[F.col(f).alias(f"c_{f}") for f in FIELDS])
     pairs = b.join(c, b["url"] == c["page_url"])
     names = spread(pairs.select("event_name", "c_event_name"), "event_name", "c_event_name").distinct()
-    names = names.withColumn("sim", similarity(F.col("event_name"), F.col("c_event_name")))
+    # few names stand in many pairs: with files of a known size they are sent to the pairs, not the pairs to them
+    names = written(names.withColumn("sim", similarity(F.col("event_name"), F.col("c_event_name"))))
     n = names.select(F.col("event_name").alias("_ne"), F.col("c_event_name").alias("_nc"), "sim")
     p = pairs.join(n, (pairs["event_name"] == n["_ne"]) & (pairs["c_event_name"] == n["_nc"])).drop("_ne", "_nc")
     same = {f: F.col(f) == F.col(f"c_{f}") for f in FIELDS}
@@ -66,15 +68,16 @@ def match_replay(
     def best(cond, out):
         return F.max_by(F.when(cond, F.struct("cand_id", *[f"c_{f}" for f in FIELDS], "sim", "variant", "time_ok")), F.when(cond, F.struct("score", -F.col("cand_id")))).alias(out)
 
-    agg = p.groupBy("base_id").agg(
+    # the url, by which the pairs were met, is a key too, so they stay where they are
+    agg = p.groupBy("url", "base_id").agg(
         F.sum("copies").alias("n"), F.sum(F.when(F.col("same_page"), F.col("copies"))).alias("n_page"), F.max(dated.cast("int")).alias("has_date"),
         F.sum(F.when(F.col("identical"), F.col("copies"))).alias("n_identical"), F.max("sim").alias("top_sim"), F.bool_or("variant").alias("any_variant"),
         best(F.lit(True), "b_all"), best(dated & strong, "b_ds"), best(dated & F.col("time_ok"), "b_dt"), best(dated, "b_d"),
         best(F.col("same_page") & strong, "b_ps"), best(F.col("same_page") & F.col("time_ok"), "b_pt"), best(F.col("same_page"), "b_p"),
     )
     pick = F.when(F.col("n_page") > 1, F.when(F.col("has_date") == 1, F.coalesce("b_ds", "b_dt", "b_d")).otherwise(F.coalesce("b_ps", "b_pt", "b_p"))).otherwise(F.col("b_all"))
-    chosen = agg.select(F.col("base_id").alias("_bid"), "n", "n_identical", "top_sim", "any_variant", pick.alias("r"))
-    j = b.join(chosen, b["base_id"] == chosen["_bid"], "left")
+    chosen = agg.select(F.col("base_id").alias("_bid"), F.col("url").alias("_burl"), "n", "n_identical", "top_sim", "any_variant", pick.alias("r"))
+    j = b.join(chosen, (b["base_id"] == chosen["_bid"]) & (b["url"] == chosen["_burl"]), "left")
     if status is not None:
         s = status.filter(~F.col("ok")).select(F.col("page_url").alias("_su"), F.coalesce("category", F.lit("parser_or_llm_failure")).alias("_sc"))
         j = j.join(s, j["url"] == s["_su"], "left")
