@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fuzzy as fz
 from ..functions import text as tx
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from .keyed import global_rank, spread
 from .normalize import STREET_TYPES, build_full_address
 from .rules import contained_in_text
@@ -338,9 +338,12 @@ def postal_lookup(df: DataFrame, civic: DataFrame, key: str, location: str, post
 def best_building(df: DataFrame, addr: DataFrame, key: str, location: str, scores: Callable = fz.name_scores, threshold: float = 85) -> DataFrame:
     """Best partial score of at least the threshold per location; poor texts and names are left out."""
     c = F.col
-    loc = df.filter(~tx.low_quality_location(location)).select(key, c(location).alias("left_name"))
-    good = addr.filter(~tx.low_quality_name("building_name") & ~tx.low_quality_location("full_address"))
-    sim = scored_names(loc.select(c("left_name").alias("name")), good.select(c("building_name").alias("name")), scores, lower=True, partial=threshold)
+    loc = df.select(key, c(location).alias("left_name"))
+    # the quality of a text costs far more than reading it, so each is judged once; written, or the filter would go below the grouping
+    asked = spread(written(loc.select("left_name").distinct()), "left_name").filter(~tx.low_quality_location("left_name"))
+    known = written(addr.groupBy("building_name", "full_address").agg(F.min("address_id").alias("address_id")))
+    good = written(spread(known, "building_name", "full_address").filter(~tx.low_quality_name("building_name") & ~tx.low_quality_location("full_address")))
+    sim = scored_names(written(asked).select(c("left_name").alias("name")), good.select(c("building_name").alias("name")), scores, lower=True, partial=threshold)
     by_name = good.groupBy(c("building_name").alias("right_name")).agg(F.min("address_id").alias("address_id"))
     best = sim.join(by_name, "right_name").groupBy("left_name").agg(F.max_by(F.struct("address_id", c("s.partial").alias("score")), F.struct("s.partial", -c("address_id"))).alias("m"))
     return loc.join(best, "left_name").select(key, "m.address_id", "m.score")
