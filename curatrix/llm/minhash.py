@@ -21,6 +21,9 @@ SKETCH, SHARED = 64, 27
 #: Members from which on an inverted list is replaced by lists over whole sets, and the
 #: ratio of sizes between two size classes there.
 LONG_LIST, SIZE_STEP = 32, 1.05
+#: A family is dealt into parts of ``PART`` members up to ``PARTS`` parts, and of at most
+#: ``LARGE_PART`` members or ``PART_BYTES`` of text beyond; two parts at a time are compared.
+PART, PARTS, LARGE_PART, PART_BYTES = 256, 8, 4096, 4 << 20
 
 
 def shingle_words(text: str | None) -> list[bytes]:
@@ -76,13 +79,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        whole sets, by pairs of size classes: there the least overlap of similar sets is
        exact, and only the few rarest shingles of a set can be the first common one.
     4. Each class is compared with the most common class near it, which links most groups.
-    5. Rounds: in each list some classes are pivots and are compared with the members that
-       are not yet in their component. The sketch of the union estimates the similarity;
-       pairs that can reach 0.8 are confirmed on the full texts. Pivots leave their lists,
-       and are not taken from a list's largest component, since each open pair has a member
-       outside it; those with most common shingles come first. A list ends when all its
-       members are in one component. So a group of n near copies costs about n comparisons,
-       not n * n, and no link between components is lost.
+    5. Lists that are still long share most of their members with one another. They are
+       merged to families, by the class that step 4 compared most of their members with, so
+       that two classes meet once in a family and not in each list. A family is dealt into
+       parts, and each task compares the whole sets of two parts (see ``_family_links``).
+    6. Rounds over the short lists: in each list some classes are pivots and are compared
+       with the members that are not yet in their component. The sketch of the union
+       estimates the similarity; pairs that can reach 0.8 are confirmed on the full texts.
+       Pivots leave their lists, and are not taken from a list's largest component, since
+       each open pair has a member outside it; those with most common shingles come first.
+       A list ends when all its members are in one component.
+
+    No link between components is lost. Copies that their original links cost one comparison
+    each. Those of a family that stay outside its largest component must be compared with
+    all of it; no row is made of such a pair, but the work grows with their product.
 
     Returns per document: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id that is
     reachable), ``kept``; with ``rows`` also ``row`` (xxhash64 of the text), which tells texts
@@ -166,9 +176,12 @@ def _linked(texts, classes, lists, width) -> DataFrame:
     members = stored(short_lists.unionByName(_whole_set_lists(hot, bodies, width)).withColumn("component", F.col("class")), "lists")
     short = stored(needed.select("class", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("sketch")), "short")
     none = texts.sparkSession.createDataFrame([], "class long, component long")
-    labels = _relabelled(none, _confirmed(_estimated(_with_hubs(members), short), bodies, width))
+    hubs = _hubs(members)
+    labels = _relabelled(none, _confirmed(_estimated(_hub_pairs(hubs), short), bodies, width))
+    long = stored(members.groupBy("value").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > LONG_LIST).select("value"), "long")
+    labels = _relabelled(labels, _confirmed(_family_links(_families(members.join(long, "value", "left_semi"), hubs), labels, bodies, width), bodies, width))
     per_list = 1
-    members = _unfinished(_marked(members.drop("component"), labels))
+    members = _unfinished(_marked(members.join(long, "value", "left_anti").drop("component"), labels))
     while not members.isEmpty():
         pivots = _pivots(members, per_list)
         pairs = members.join(pivots, "value").filter("component <> pivot_component and 5 * least(n, pivot_n) >= 4 * greatest(n, pivot_n)")
@@ -180,8 +193,8 @@ def _linked(texts, classes, lists, width) -> DataFrame:
     return labels
 
 
-def _with_hubs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each class and the most common class in its lists or in theirs.
+def _hubs(members: DataFrame) -> DataFrame:
+    """(class, n, hub): each class and the most common class in its lists or in theirs.
 
     The original of many near copies is the one with most shingles in common, but each copy
     shares only some lists with it; so the best class of a list goes to its members, and
@@ -192,10 +205,91 @@ def _with_hubs(members: DataFrame) -> DataFrame:
         of_class = members.select("value", "class", "n").join(best, "value").groupBy("class", "n").agg(F.max("hub").alias("hub"))
         of_class = stored(of_class, "hubs")
         best = members.select("value", "class").join(of_class.select("class", "hub"), "class").groupBy("value").agg(F.max("hub").alias("hub"))
-    near = of_class.filter("class <> hub.class and 5 * least(n, hub.n) >= 4 * greatest(n, hub.n)")
+    return of_class
+
+
+def _hub_pairs(hubs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each class and its hub."""
+    near = hubs.filter("class <> hub.class and 5 * least(n, hub.n) >= 4 * greatest(n, hub.n)")
     return stored(near.select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).distinct(), "pairs")
 
 
+def _families(members: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(family, class): the lists of ``members`` merged by the most frequent hub in each; all members of a list are in its family."""
+    placed = members.select("value", "class").join(hubs.select("class", F.col("hub.class").alias("hub")), "class")
+    counts = placed.groupBy("value", "hub").agg(F.count(F.lit(1)).alias("n"))
+    names = counts.groupBy("value").agg(F.max_by("hub", F.struct("n", "hub")).alias("family"))
+    return stored(members.select("value", "class").join(names, "value").select("family", "class").distinct(), "families")
+
+
+def _family_links(families: DataFrame, labels: DataFrame, bodies: DataFrame, width: int) -> DataFrame:
+    """Links (a, b) that connect the components of each family, found on whole sets.
+
+    Only classes outside a family's largest component are compared with others, since each
+    open pair has one. A family's members are dealt into parts by hash, and each pair of
+    parts is a group of its own, which bounds what a task holds. Of the links of a group
+    only those are returned that join components, so there are fewer than members.
+    """
+    marked = stored(families.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class")), "members")
+    parts = marked.groupBy("family", "component").agg(F.count(F.lit(1)).alias("size"))
+    top = stored(parts.groupBy("family").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("several"), F.sum("size").alias("members")).filter("several > 1"), "open")
+    rows = stored(marked.join(top, "family").join(bodies, "class").select("family", "members", "class", "component", (F.col("component") != F.col("top.component")).alias("outer"), "text"), "members")
+    heavy = rows.groupBy("family").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    by_count = F.greatest(F.least(F.ceil(F.col("members") / PART), F.lit(PARTS)), F.ceil(F.col("members") / LARGE_PART))
+    dealt = rows.join(heavy, "family").withColumn("parts", F.greatest(by_count, F.ceil(F.col("bytes") / PART_BYTES)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64(F.lit(2), "class"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    tiles = dealt.select("family", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "class", "component", "outer", "text")
+
+    def run(table: pa.Table) -> pa.Table:
+        hasher = WordHasher(byte_table(WHITE, lower=True))
+        sets = [hashed_shingles(hasher([t.as_py().encode("utf-8", "surrogatepass")])[0], width) for t in table.column("text")]
+        names, component, part = (table.column(c).to_numpy() for c in ("class", "component", "part"))
+        outer = table.column("outer").to_numpy(zero_copy_only=False)
+        found = joining_links(sets, names, component, outer, part, part.min() != part.max())
+        return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    found = tiles.groupBy("family", "low", "high").applyInArrow(run, "a long, b long")
+    return stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
+
+def joining_links(sets: list[np.ndarray], names: np.ndarray, component: np.ndarray, outer: np.ndarray, part: np.ndarray, across: bool) -> list[tuple]:
+    """Pairs of names whose sets have a Jaccard similarity of 0.8, as far as they join components.
+
+    Each set that is ``outer`` is compared with all sets of a similar size; ``across``
+    leaves out those of its own part.
+    """
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    sets, names, component, outer, part = [sets[k] for k in order], names[order], component[order], outer[order], part[order]
+    n = np.array([len(s) for s in sets])
+    _, values = np.unique(np.concatenate(sets), return_inverse=True)
+    begins = np.append(0, np.cumsum(n))
+    held = np.zeros(values.max() + 1, np.uint8)
+    parent = {c: c for c in component.tolist()}
+
+    def root(c):
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    found = []
+    for k in np.flatnonzero(outer):
+        first, last = np.searchsorted(5 * n, 4 * n[k]), np.searchsorted(4 * n, 5 * n[k], side="right")
+        own = values[begins[k] : begins[k + 1]]
+        held[own] = 1
+        both = np.add.reduceat(held[values[begins[first] : begins[last]]], begins[first:last] - begins[first], dtype=np.int64)
+        held[own] = 0
+        near = 100 * both >= 80 * (n[first:last] + n[k] - both)
+        if across:
+            near &= part[first:last] != part[k]
+        met = np.flatnonzero(near) + first
+        for m in met[np.unique(component[met], return_index=True)[1]].tolist():
+            x, y = root(int(component[k])), root(int(component[m]))
+            if x != y:
+                parent[x] = y
+                found.append((int(names[k]), int(names[m])))
+    return found
+
+
 def _marked(members: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(members.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class")), "lists")
 

@@ -62,6 +62,28 @@ def test_near_many_small_lists(spark):
     assert got == components(rows, 2) and got[59][1] == 0
 
 
+def test_near_family_makes_no_row_per_pair(spark, monkeypatch):
+    """Copies of one text that lie about the threshold from one another; many have no link."""
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(k, " ".join(w if rng.random() > 0.1 else f"v{rng.integers(60)}" for w in base)) for k in range(260)]
+    made, write = [], minhash.stored
+
+    def counted(df, name):
+        out = write(df, name)
+        made.append(out.count() if name == "pairs" else 0)
+        return out
+
+    monkeypatch.setattr(minhash, "stored", counted)
+    want = components(rows, 2)
+    for part in (256, 40):
+        made.clear()
+        monkeypatch.setattr(minhash, "PART", part)
+        got = {r.doc_id: tuple(r)[1:] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
+        assert got == want and len({c for _, c, _ in want.values()}) > 20
+        assert sum(made) < 12 * len(rows)  # all pairs: 129 each
+
+
 def test_near_odd_rows(odd, none):
     rows = minhash.near_duplicates(odd).collect()
     assert minhash.near_duplicates(none).collect() == []
