@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: Iterable[str]) -> Column:
@@ -81,6 +81,13 @@ def global_rank(keys: DataFrame, order: Sequence[str], out: str) -> DataFrame:
     return placed.join(F.broadcast(offsets), part == F.col("_part")).withColumn(out, place + F.col("_before") + 1).drop("_at", "_part", "_before")
 
 
+def once_per_value(rows: DataFrame, value: str, **made: Column) -> DataFrame:
+    """``rows`` with columns made from ``value`` alone, which are worked out once per distinct value, on all tasks."""
+    known = spread(rows.select(F.col(value).alias("_value")).distinct().select(F.col("_value").alias(value)), value)
+    known = written(known.select(F.col(value).alias("_value"), *[c.alias(n) for n, c in made.items()]))
+    return rows.join(known, rows[value].eqNullSafe(known["_value"])).drop("_value")
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Hash-partition rows in front of a CPU-heavy Python step.
 

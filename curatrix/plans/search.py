@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as dt
 from ..operators import search as op
+from ..operators.keyed import once_per_value
 from ..sources.adapters import ev, table, wide
 from .common import EV
 from .registry import query
@@ -107,7 +108,7 @@ def _(spark, d):
         .when(k == 3, F.concat(F.lit("all styles, top "), (c % 9 + 1).cast("string"))).when(k == 4, "workshops without kizomba or kizomba lessons")
         .otherwise(F.concat(F.lit("lindy hop or zouk "), "o_orderstatus"))
     )
-    t = wide(spark, d, "orders").select("o_orderkey", op.question_tags(q).alias("t"))
+    t = once_per_value(table(spark, d, "orders").select("o_orderkey", q.alias("q")), "q", t=op.question_tags("q"))
     return t.select(
         "o_orderkey", *[F.array_join(f"t.{x}", "|").alias(x) for x in ("include_styles", "exclude_styles", "include_types")],
         F.array_join(F.transform("t.weekdays", lambda v: v.cast("string")), "|").alias("weekdays"), F.coalesce("t.limit", F.lit(-1)).alias("limit"),
