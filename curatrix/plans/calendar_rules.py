@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as dt
 from ..operators import calendar as op
+from ..operators.keyed import once_per_value
 from ..sources.adapters import ev, table
 from .common import EV, ORD
 from .registry import query
@@ -126,11 +127,9 @@ def _(spark, d):
         F.date_format("d", "MMM "), F.least(F.dayofmonth("d"), F.lit(28)).cast("string"), F.lit(" or Feb 31, may 99"),
     )
     o = _orders(spark, d).select("o_orderkey", F.add_months("d", 60).alias("d")).select("o_orderkey", body.alias("body"))
-    o = o.withColumn("dates", dt.candidate_dates("body", F.lit("2001-08-01").cast("date")))
-    return o.select(
-        "o_orderkey", F.array_join(F.transform("dates", lambda x: x.cast("string")), ",").alias("dates"),
-        dt.poster_type("body", F.col("dates")).alias("poster"),
-    )
+    dates = dt.candidate_dates("body", F.lit("2001-08-01").cast("date"))
+    o = once_per_value(o, "body", dates=F.array_join(F.transform(dates, lambda x: x.cast("string")), ","), poster=dt.poster_type("body", dates))
+    return o.select("o_orderkey", "dates", "poster")
 
 
 @query("poster_dates", f"""
