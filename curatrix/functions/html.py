@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _SKIP = {"script", "style", "noscript", "template", "svg"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -73,14 +79,46 @@ def _walk(page: str) -> _Walk:
     return w
 
 
-@F.pandas_udf(T.StringType())
-def html_to_text(pages: pd.Series) -> pd.Series:
+def page_text(page: str | None) -> str:
     """Visible text of the whole page, main node first."""
-    def one(page):
-        w = _walk(page)
-        return " ".join(w.main + w.everything)
+    w = _walk(page)
+    return " ".join(w.main + w.everything)
 
-    return pages.map(one)
+
+@F.pandas_udf(T.StringType())
+def html_to_text(pages: pd.Series) -> pd.Series:
+    """``page_text`` as a column."""
+    return pages.map(page_text)
+
+
+#: Pages of a batch are read and returned together up to so many bytes.
+TOGETHER = 1 << 20
+
+
+def with_page_text(pages: DataFrame, html: str, out: str) -> DataFrame:
+    """``pages`` with ``page_text`` in column ``out`` in place of ``html``.
+
+    A task holds the Arrow batch it was given and the texts of a stretch of it, not those
+    of the whole batch as ``html_to_text`` does.
+    """
+    keep = [c for c in pages.columns if c != html]
+    schema = T.StructType([*[pages.schema[c] for c in keep], T.StructField(out, T.StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(html)), 0).to_numpy(zero_copy_only=False)
+            upto = np.cumsum(sizes, dtype=np.int64)
+            start = 0
+            while start < batch.num_rows:
+                before = upto[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(upto, before + TOGETHER, side="right")))
+                part = batch.slice(start, stop - start)
+                texts = pa.array((page_text(p.as_py()) for p in part.column(html)), pa.string())
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], texts], schema=arrow)
+                start = stop
+
+    return pages.mapInArrow(run, schema)
 
 
 HTML_STATS = T.StructType([
