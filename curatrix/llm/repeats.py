@@ -163,7 +163,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     copied = _bit_filter(groups.select(F.col("h1").alias("symbol")), filter_bytes)
     firsts = known.mapInArrow(_split(copied, True), known.schema).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text")).alias("m"))
     firsts = stored(firsts.select("m.doc_id", "m.text"), "firsts")
-    singles = known.mapInArrow(_split(copied, False), known.schema).select("doc_id", "text")
+    single = _split(copied, False)
     table = byte_table(WHITE, lower=False)
 
     def symbols(batches):
@@ -178,7 +178,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
                     out = pairs[:, fresh].view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(out[1]), pa.array(out[0])], names=["symbol", "doc_id"])
 
-    both = lambda run, schema: singles.mapInArrow(run, schema).unionByName(firsts.mapInArrow(run, schema))
+    # one after the other in the same Python worker: a step of its own would hold a second worker and its batches
+    both = lambda run, schema: known.mapInArrow(lambda batches: run(single(batches)), schema).unionByName(firsts.mapInArrow(run, schema))
     counted = both(symbols, "symbol long, doc_id long").groupBy("symbol").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     shared = _bit_filter(counted.filter("low < high").select("symbol"), filter_bytes)
 

@@ -138,3 +138,16 @@ def test_window_keys_are_consistent():
             keys, seen = repeats.window_keys(h, first, 13, rounds), {}
             for p in np.flatnonzero(np.arange(len(h)) + 13 <= ends):
                 assert seen.setdefault(h[p : p + 13].tobytes(), keys[p]) == keys[p]
+
+
+def test_windows_take_one_python_step(docs, monkeypatch):
+    """Texts are split from their copies and cut into windows by one Python worker of a task."""
+    steps, write = {}, repeats.stored
+
+    def seen(df, name):
+        steps[name] = df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+        return write(df, name)
+
+    monkeypatch.setattr(repeats, "stored", seen)
+    repeats.repeats(docs)
+    assert steps["windows"] == 2
