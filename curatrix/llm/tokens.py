@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import unicodedata
 import uuid
@@ -30,9 +29,11 @@ BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 24
 SUFFIX = ".idplane"
 WORD_END = "</w>"
-#: The tokenizer's own words, as far as ASCII signs go.
-WORDS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-PRINTABLE = re.compile(rb"[!-@\[-~]+")  # without A-Z
+#: Kinds of bytes: white space, letters, digits, other printable ASCII signs, and those whose chunk is not cut here.
+SPACE, LETTER, DIGIT, SIGN, UNCUT = range(5)
+KINDS = np.full(256, UNCUT, np.uint8)
+KINDS[[*b" \t\n\x0b\x0c\r"]], KINDS[0x21:0x7F] = SPACE, SIGN
+KINDS[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]], KINDS[[*b"0123456789"]] = LETTER, DIGIT
 ENDING_SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Texts of a batch are encoded together up to so many bytes.
 TOGETHER = 1 << 22
@@ -137,107 +138,168 @@ def read_plane_file(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
         ready = ready[lengths[k] :]
 
 
+def uncut_bytes(data: np.ndarray) -> np.ndarray:
+    """Whether each byte is one whose chunk is not cut: no printable ASCII sign, or ``<`` before ``|``."""
+    uncut = KINDS[data] == UNCUT
+    uncut[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+    return uncut
+
+
+def cut_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts one after the other, and the number of words before each text and after the last.
+
+    Chunks between ASCII white space that hold printable ASCII signs only are lower-cased and
+    cut as the tokenizer does (``'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+``). Others, and
+    those with ``<|``, as special tokens have it, are one word each, as written.
+    """
+    data = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n   ", np.uint8)
+    kind = KINDS[data]
+    solid = kind != SPACE
+    begin = np.append(False, solid[1:] & (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT))
+    uncut = uncut_bytes(data)
+    edges = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+    first, last = edges[::2], edges[1::2]
+    whole = np.unique(np.searchsorted(first, np.flatnonzero(uncut), side="right") - 1)
+    step = np.zeros(len(data), np.int8)
+    step[first[whole]], step[last[whole]] = 1, -1
+    inside = np.cumsum(step, dtype=np.int8).view(bool)
+    begin &= ~inside
+    begin[first[whole]] = True
+    small = np.where((kind == LETTER) & ~inside, data | 0x20, data)
+    # an apostrophe that begins a word, with the letters it takes along
+    at = np.flatnonzero(begin & ~inside & (small == ord("'")))
+    one, two = small[at + 1], small[at + 2]
+    taken = np.isin(one, [*b"stmd"]) + 2 * ((one == ord("r")) & (two == ord("e")) | (one == ord("v")) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))
+    at, after = at[taken > 0], (at + 1 + taken)[taken > 0]
+    begin[at + 1] = False
+    begin[after] |= kind[after] == LETTER
+    upto = np.searchsorted(np.flatnonzero(begin), np.cumsum([1, *(len(t) + 1 for t in texts)]))
+    offsets = np.append(np.flatnonzero(begin[solid]), np.count_nonzero(solid)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(small[solid])]), upto
+
+
 class WordIds:
     """Ids of one white-space separated chunk of a text, from the tokenizers library.
 
     The tokenizer composes (NFC), lower-cases and drops white space before it looks for
     tokens, so a text's ids are those of its chunks one after the other. Chunks of ASCII signs,
-    which composing leaves alone, are lower-cased here; in others only the small letter may
-    compose with a mark, so they stay as written. Many texts are encoded together: the
-    distinct chunks that are new are cut at the tokenizer's own word borders, and each new
-    word is encoded once. A word has the same ids as a chunk, so one store holds both; it is
-    emptied when it has grown large.
+    which composing leaves alone, are lower-cased and cut at the tokenizer's own word borders;
+    in others only the small letter may compose with a mark, so they stay as written and whole.
+    Many texts are encoded together, as arrays: each distinct word is looked up once, and new
+    ones are encoded. The store (the words, and where in ``pool`` the ids of each stand) is
+    arrays too, so it takes some 40 bytes a word; it is emptied when it has grown large.
     """
 
     def __init__(self, path: str, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
         # for words of small ASCII signs only: they are normal already, and a space is between any two
-        self.plain.normalizer = normalizers.Sequence([])
+        self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.limit = limit
-        self.known: dict[bytes, bytes] = {}
+        self._forget()
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
 
+    def _forget(self) -> None:
+        self.words, self.begin, self.pool = pa.array([], pa.binary()), np.zeros(1, np.int64), np.empty(0, "<u4")
+
     def encode(self, text: str | None) -> bytes:
         return self.encode_many([text])[0]
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self._chunks(text) for text in texts]
-        if len(self.known) > self.limit:
-            self.known.clear()
-        self._learn(set().union(*cut).difference(self.known))
-        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in cut]
-
-    @staticmethod
-    def _chunks(text: str | None) -> list[bytes]:
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        if b"<|" in raw:  # the names of special tokens are kept as they are
-            return raw.split()
-        if raw.isascii():
-            return raw.lower().split()
-        return [c.lower() if c.isascii() else c for c in raw.split()]
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        """Remembers the ids of new chunks, from those of their words, none of which depends on its neighbours.
-
-        A chunk of which that is not sure is encoded alone.
+        words, upto = cut_words([(text or "").encode("utf-8", "surrogatepass") for text in texts])
+        coded = words.dictionary_encode()
+        if len(self.words) > self.limit:
+            self._forget()
+        ids, n = self._gathered(self._places(coded.dictionary)[coded.indices.to_numpy()])
+        cuts = (4 * np.append(0, np.cumsum(n))[upto]).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _gathered(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words at ``places`` of the store one after the other, and the number of each."""
+        at, n = self.begin[places], self.begin[places + 1] - self.begin[places]
+        ends = np.cumsum(n)
+        where = np.repeat((at - (ends - n)).astype(np.int32), n)
+        where += np.arange(len(where), dtype=np.int32)
+        return self.pool[where], n
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where the store has each of some distinct words; new ones are put into it."""
+        places = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            places[new] = self._learn(words.take(pa.array(new)))
+        return places
+
+    def _put(self, words: pa.Array, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        start = len(self.words)
+        self.words = pa.concat_arrays([self.words, words])
+        self.begin = np.append(self.begin, self.begin[-1] + np.cumsum(n))
+        self.pool = np.append(self.pool, ids)
+        return np.arange(start, len(self.words))
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Puts new words and uncut chunks, none of which depends on its neighbours, into the store.
+
+        A chunk is encoded by its letters and the signs after them, or alone where that is not sure.
         """
-        known = self.known
-        plain, full, alone, compounds = set(), set(), [], []
-        for c in chunks:
-            if c.isalpha() and c.islower():
-                plain.add(c)
-            elif b"<|" in c:
-                alone.append(c)
-            elif c.isascii():
-                words = WORDS.findall(c) if PRINTABLE.fullmatch(c) else ()
-                if len(words) > 1:
-                    compounds.append((c, words))
-                    plain.update(words)
-                elif words:
-                    plain.add(c)
-                else:
-                    alone.append(c)
-            else:
-                stem = c.rstrip(ENDING_SIGNS)
-                text = stem.decode("utf-8", "surrogatepass")
-                if not text.isalpha():
-                    alone.append(c)
-                elif len(stem) == len(c):
-                    full.add(c)
-                elif unicodedata.is_normalized("NFC", text) and text.lower().isalpha():
-                    compounds.append((c, (stem, c[len(stem) :])))
-                    full.add(stem)
-                    plain.add(c[len(stem) :])
-                else:  # a letter that becomes letter and mark would put the mark into the next word
-                    alone.append(c)
-        alone += self._in_rows(self.plain, list(plain.difference(known)))
-        alone += self._in_rows(self.tokenizer, list(full.difference(known)))
-        ids = self._ids(self.tokenizer, [c.decode("utf-8", "surrogatepass") for c in alone])
-        known.update(zip(alone, [e.tobytes() for e in ids], strict=True))
-        known.update([(c, b"".join([known[w] for w in words])) for c, words in compounds])
-
-    def _in_rows(self, tokenizer, words: list[bytes]) -> list[bytes]:
-        """Remembers the ids of single words, many in a row, told apart by the tokens that end a word; returns the words of rows in doubt."""
-        rows = [words[k : k + 256] for k in range(0, len(words), 256)]
-        doubt: list[bytes] = []
-        for row, e in zip(rows, self._ids(tokenizer, [b" ".join(row).decode("utf-8", "surrogatepass") for row in rows]), strict=True):
-            ends = np.flatnonzero(self.last[e]) + 1
-            if len(ends) == len(row) and ends[-1] == len(e):
-                raw, cuts = e.tobytes(), [0, *(4 * ends).tolist()]
-                self.known.update((w, raw[a:b]) for w, a, b in zip(row, cuts, cuts[1:], strict=False))
-            else:
-                doubt += row
-        return doubt
+        offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset)
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        uncut = np.add.reduceat(uncut_bytes(data), offsets[:-1] - offsets[0], dtype=np.int64) > 0
+        # two words side by side may look like the sign of a special token, and are then encoded alone
+        groups: dict[str, list[int]] = {"full": [], "alone": [], "compound": []}
+        stems, tails = [], []
+        rest = np.flatnonzero(uncut)
+        for k, c in zip(rest.tolist(), words.take(pa.array(rest)).to_pylist(), strict=True):
+            stem = c.rstrip(ENDING_SIGNS)
+            text = stem.decode("utf-8", "surrogatepass")
+            if b"<|" in c or c.isascii() or not text.isalpha():
+                groups["alone"].append(k)
+            elif len(stem) == len(c):
+                groups["full"].append(k)
+            elif unicodedata.is_normalized("NFC", text) and text.lower().isalpha():
+                groups["compound"].append(k)
+                stems.append(stem)
+                tails.append(c[len(stem) :])
+            else:  # a letter that becomes letter and mark would put the mark into the next word
+                groups["alone"].append(k)
+        places = np.empty(len(words), np.int64)
+        for tokenizer, chosen in ((self.plain, np.flatnonzero(~uncut)), (self.tokenizer, groups["full"])):
+            groups["alone"] += self._in_rows(tokenizer, words, np.array(chosen, np.int64), places)
+        alone = words.take(pa.array(groups["alone"], pa.int64()))
+        found = self._ids(self.tokenizer, [c.decode("utf-8", "surrogatepass") for c in alone.to_pylist()])
+        places[groups["alone"]] = self._put(alone, np.concatenate([self.pool[:0], *found]), np.array([len(f) for f in found], np.int64))
+        if stems:
+            parts = pa.array(stems + tails, pa.binary()).dictionary_encode()
+            both = self._places(parts.dictionary)[parts.indices.to_numpy().reshape(2, -1).T.reshape(-1)]
+            ids, n = self._gathered(both)
+            places[groups["compound"]] = self._put(words.take(pa.array(groups["compound"])), ids, n.reshape(-1, 2).sum(axis=1))
+        return places
+
+    def _in_rows(self, tokenizer, words: pa.Array, chosen: np.ndarray, places: np.ndarray) -> list[int]:
+        """Encodes the chosen words, many in a row, told apart by the tokens that end a word, and notes their places; returns those of rows in doubt."""
+        if not len(chosen):
+            return []
+        cuts = np.append(np.arange(0, len(chosen), 256), len(chosen)).astype(np.int32)
+        rows = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), words.take(pa.array(chosen))), b" ")
+        found = self._ids(tokenizer, [row.decode("utf-8", "surrogatepass") for row in rows.to_pylist()])
+        sure = np.ones(len(chosen), bool)
+        for k, e in enumerate(found):
+            if np.count_nonzero(self.last[e]) != cuts[k + 1] - cuts[k] or not self.last[e[-1]]:
+                sure[cuts[k] : cuts[k + 1]], found[k] = False, e[:0]
+        ids = np.concatenate(found)
+        places[chosen[sure]] = self._put(words.take(pa.array(chosen[sure])), ids, np.diff(np.flatnonzero(self.last[ids]) + 1, prepend=0))
+        return chosen[~sure].tolist()
 
     @staticmethod
     def _ids(tokenizer, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        some = [texts[k : k + 32] for k in range(0, len(texts), 32)]  # an encoding holds far more than its ids
+        return [np.array(e.ids, "<u4") for part in some for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -292,6 +354,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, id
 
         for batch in batches:
             for part in slices(batch):
+                pa.default_memory_pool().release_unused()
                 encoded = encoder.encode_many(part.column("text").to_pylist())
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoded, strict=True):
                     current.add(doc_id, ids + end)

@@ -1,7 +1,9 @@
 import itertools
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import sentencepiece
@@ -131,6 +133,16 @@ def test_ids_of_many_texts_equal_the_library(texts):
         assert got == [PLAIN.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_store_of_words_is_small():
+    """Words cost the store less than 100 bytes each, and words with signs around them make no new ones."""
+    encoder, words = tokens.WordIds(IDS), [np.base_repr(k, 26).translate(str.maketrans("0123456789", "qrstuvwxyz")).lower() for k in range(30_000, 60_000)]
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+    encoder.encode_many([" ".join(f"{w} {w}, ({w})" for w in words)])
+    assert tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before < 100 * len(words)
+    tracemalloc.stop()
+
+
 def test_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     model = langid.fit(docs)
