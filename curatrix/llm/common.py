@@ -43,6 +43,15 @@ def small_side(table: DataFrame, limit: int = 8 << 20) -> DataFrame:
     return F.broadcast(table) if size is not None and size <= limit else table
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished plans.
+
+    It finds those by the driver's garbage collection, which seldom comes by itself when
+    the driver has little to do; so jobs in rounds ask for one.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
     """Only the two columns an operator works on, so no other column can clash with its own.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import id_and_text, map_texts, stored
+from .common import forget_shuffles, id_and_text, map_texts, small_side, stored
 from .wordhash import WHITE, WordHasher, byte_table, mixed
 
 SHINGLE_WORDS = 5
@@ -24,6 +24,8 @@ LONG_LIST, SIZE_STEP = 32, 1.05
 #: A family is dealt into parts of ``PART`` members up to ``PARTS`` parts, and of at most
 #: ``LARGE_PART`` members or ``PART_BYTES`` of text beyond; two parts at a time are compared.
 PART, PARTS, LARGE_PART, PART_BYTES = 256, 8, 4096, 4 << 20
+#: Classes whose table takes up to so many bytes are broadcast to find their texts.
+CHOSEN_BYTES = 16 << 20
 
 
 def shingle_words(text: str | None) -> list[bytes]:
@@ -177,6 +179,7 @@ def _linked(texts, classes, lists, width) -> DataFrame:
     short = stored(needed.select("class", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("sketch")), "short")
     none = texts.sparkSession.createDataFrame([], "class long, component long")
     hubs = _hubs(members)
+    forget_shuffles(texts.sparkSession)
     labels = _relabelled(none, _confirmed(_estimated(_hub_pairs(hubs), short), bodies, width))
     long = stored(members.groupBy("value").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > LONG_LIST).select("value"), "long")
     labels = _relabelled(labels, _confirmed(_family_links(_families(members.join(long, "value", "left_semi"), hubs), labels, bodies, width), bodies, width))
@@ -189,6 +192,7 @@ def _linked(texts, classes, lists, width) -> DataFrame:
         labels = _relabelled(labels, _confirmed(_estimated(pairs, short), bodies, width))
         rest = members.join(pivots.select("value", F.col("pivot").alias("class")), ["value", "class"], "left_anti").drop("component")
         members = _unfinished(_marked(rest, labels))
+        forget_shuffles(texts.sparkSession)
         per_list *= 8
     return labels
 
@@ -233,8 +237,9 @@ def _family_links(families: DataFrame, labels: DataFrame, bodies: DataFrame, wid
     marked = stored(families.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class")), "members")
     parts = marked.groupBy("family", "component").agg(F.count(F.lit(1)).alias("size"))
     top = stored(parts.groupBy("family").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("several"), F.sum("size").alias("members")).filter("several > 1"), "open")
-    rows = stored(marked.join(top, "family").join(bodies, "class").select("family", "members", "class", "component", (F.col("component") != F.col("top.component")).alias("outer"), "text"), "members")
-    heavy = rows.groupBy("family").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    texts = _texts_of(marked.select("class").distinct(), bodies)
+    rows = stored(marked.join(small_side(top), "family").join(texts, "class").select("family", "members", "class", "component", (F.col("component") != F.col("top.component")).alias("outer"), "text"), "members")
+    heavy = small_side(stored(rows.groupBy("family").agg(F.sum(F.octet_length("text")).alias("bytes")), "heavy"))
     by_count = F.greatest(F.least(F.ceil(F.col("members") / PART), F.lit(PARTS)), F.ceil(F.col("members") / LARGE_PART))
     dealt = rows.join(heavy, "family").withColumn("parts", F.greatest(by_count, F.ceil(F.col("bytes") / PART_BYTES)))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64(F.lit(2), "class"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
@@ -248,7 +253,8 @@ def _family_links(families: DataFrame, labels: DataFrame, bodies: DataFrame, wid
         found = joining_links(sets, names, component, outer, part, part.min() != part.max())
         return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], names=["a", "b"])
 
-    found = tiles.groupBy("family", "low", "high").applyInArrow(run, "a long, b long")
+    # the parts of a family would stay in one task where its rows already lie by family
+    found = tiles.repartition("family", "low", "high").groupBy("family", "low", "high").applyInArrow(run, "a long, b long")
     return stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
 
@@ -317,7 +323,9 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     merged = stored(connected_components(met, "a", "b").select(F.col("id").alias("_id"), F.col("component").alias("_to")), "merged")
     moved = labels.join(merged, labels["component"] == merged["_id"], "left").select("class", F.coalesce("_to", "component").alias("component"))
     fresh = merged.join(labels, merged["_id"] == labels["class"], "left_anti").select(F.col("_id").alias("class"), F.col("_to").alias("component"))
-    return stored(moved.unionByName(fresh), "labels")
+    both = stored(moved.unionByName(fresh), "labels")
+    forget_shuffles(both.sparkSession)
+    return both
 
 
 def _bodies(texts, needed) -> DataFrame:
@@ -326,6 +334,13 @@ def _bodies(texts, needed) -> DataFrame:
     return stored(texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["id"]) & (texts["row"] == chosen["r"])).select("class", "text"), "texts")
 
 
+def _texts_of(chosen: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The rows of ``bodies`` whose class is among ``chosen``, without a shuffle of all texts unless those classes are very many."""
+    chosen = stored(chosen, "chosen")
+    few = small_side(chosen, CHOSEN_BYTES)
+    return bodies if few is chosen else stored(bodies.join(few, "class", "left_semi"), "texts")
+
+
 def _estimated(pairs: DataFrame, short: DataFrame) -> DataFrame:
     """Pairs that the sketch of the union leaves possible.
 
@@ -341,7 +356,9 @@ def _estimated(pairs: DataFrame, short: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, bodies: DataFrame, width: int) -> DataFrame:
     """Pairs whose exact shingle sets reach the similarity."""
-    a, b = bodies.select(F.col("class").alias("a"), F.col("text").alias("text_a")), bodies.select(F.col("class").alias("b"), F.col("text").alias("text_b"))
+    pairs = stored(pairs, "possible")
+    texts = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), bodies)
+    a, b = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("class").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
 
     def run(batches):

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -84,6 +85,29 @@ def test_near_family_makes_no_row_per_pair(spark, monkeypatch):
         assert sum(made) < 12 * len(rows)  # all pairs: 129 each
 
 
+def test_near_confirms_without_all_texts(spark, monkeypatch):
+    """Pairs are confirmed from the texts of their own classes; the table of all texts is not joined each time."""
+    rng = random.Random(8)
+    common = [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.sample(common, 40)) for _ in range(60)]
+    texts += [texts[0] + " tail", texts[1] + " end"]
+    files, joined, stored = [], [], minhash.stored
+
+    def watched(df, name):
+        if name == "links":
+            joined.append(set(df.inputFiles()))
+        out = stored(df, name)
+        if name == "texts" and not files:
+            files.extend(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(minhash, "stored", watched)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, width=2).collect()}
+    assert got == {k: {60: 0, 61: 1}.get(k, k) for k in range(62)}
+    assert files and joined and not any(j & set(files) for j in joined)
+
+
 def test_near_odd_rows(odd, none):
     rows = minhash.near_duplicates(odd).collect()
     assert minhash.near_duplicates(none).collect() == []
