@@ -1,4 +1,4 @@
-"""Near duplicates from bottom-k sketches of one hash function."""
+"""Near duplicates from min-hash keys, bottom-k sketches and lists over whole sets."""
 
 from __future__ import annotations
 
@@ -13,10 +13,13 @@ from .common import forget_shuffles, id_and_text, map_texts, small_side, stored
 from .wordhash import WHITE, WordHasher, byte_table, mixed
 
 SHINGLE_WORDS = 5
+#: Keys of a set, and least values under as many hash functions that make one key. Sets with a
+#: similarity of 0.8 share no key with a chance of (1 - 0.8 ** 4) ** 48, about 1e-11; those of
+#: 0.01, as texts of one language have here, share a given key with a chance of 1e-8.
+KEYS, KEY_VALUES = 48, 4
 #: Values kept of a set, and how many of them two similar sets must have in common at least.
 #: For a true similarity of 0.8, 51 of 64 are common on average; that they are fewer than 27
-#: has a chance of about 1e-9 (Chernoff). Sets of up to 64 shingles are kept whole; for
-#: them the least number follows from the sizes alone.
+#: has a chance of about 1e-9 (Chernoff). Sets of up to 64 shingles are kept whole.
 SKETCH, SHARED = 64, 27
 #: Members from which on an inverted list is replaced by lists over whole sets, and the
 #: ratio of sizes between two size classes there.
@@ -49,34 +52,71 @@ def hashed_shingles(h: np.ndarray, width: int) -> np.ndarray:
     return np.unique(out)
 
 
-def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id, sketch); ``set_id`` is a 128-bit digest of the whole set."""
+def hash_functions(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers ``x`` and odd factors ``f`` of the functions (value ^ x) * f of 32 bits."""
+    h = mixed(np.arange(1, 2 * count + 1, dtype=np.uint64))
+    x, f = (h >> np.uint64(32)).astype(np.uint32).reshape(2, count)
+    return x, f | np.uint32(1)
+
+
+def least_values(values: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The least value of a set of 64-bit hashes under each function; stretches keep long sets small in memory."""
+    x, f = functions
+    least = np.full(len(f), 0xFFFFFFFF, np.uint32)
+    upper = (values >> np.uint64(32)).astype(np.uint32)[:, None]
+    for k in range(0, len(upper), 256):
+        np.minimum(least, ((upper[k : k + 256] ^ x) * f).min(axis=0), out=least)
+    return least
+
+
+def keyed_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, row, n_shingles, set_id, keys); ``set_id`` is a 128-bit digest of the whole set."""
 
     def prepare():
         hasher = WordHasher(byte_table(WHITE, lower=True))
+        functions = hash_functions(KEYS * KEY_VALUES)
 
         def work(texts: list) -> dict:
             hashes, counts = hasher([(t or "").encode("utf-8", "surrogatepass") for t in texts])
             sets = [hashed_shingles(h, width) for h in np.split(hashes, np.cumsum(counts)[:-1])]
+            least = np.array([least_values(s, functions) for s in sets]).reshape(len(sets), KEYS, KEY_VALUES)
+            keys = np.broadcast_to(np.arange(KEYS, dtype=np.uint64), (len(sets), KEYS))
+            for k in range(KEY_VALUES):
+                keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + least[:, :, k])
             return {
                 "n_shingles": [len(s) for s in sets],
                 "set_id": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                # in the order of signed numbers, as Spark has none without sign
-                "sketch": [(s[:k] ^ np.uint64(1 << 63)).view(np.int64) for s in sets],
+                "keys": pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * KEYS, keys.view(np.int64).ravel()),
             }
 
         return work
 
-    return map_texts(docs, prepare, "n_shingles long, set_id binary, sketch array<long>")
+    return map_texts(docs, prepare, "n_shingles long, set_id binary, keys array<long>")
+
+
+def short_sketches(bodies: DataFrame, width: int) -> DataFrame:
+    """(class, sketch): upper halves of the ``SKETCH`` least hashes of each class, in the order of signed numbers."""
+
+    def prepare():
+        hasher = WordHasher(byte_table(WHITE, lower=True))
+
+        def work(texts: list) -> dict:
+            hashes, counts = hasher([t.encode("utf-8", "surrogatepass") for t in texts])
+            sets = [hashed_shingles(h, width) for h in np.split(hashes, np.cumsum(counts)[:-1])]
+            return {"sketch": [((s[:SKETCH] >> np.uint64(32)).astype(np.uint32) ^ np.uint32(1 << 31)).view(np.int32) for s in sets]}
+
+        return work
+
+    return map_texts(bodies, prepare, "sketch array<int>")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, rows: bool = False) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of 0.8 or more.
 
-    1. One pass makes the bottom-k sketch of each set. Equal sets become one class.
-    2. Inverted lists hold, of each class, the rarest retained values: a class that shares
-       ``t`` of its ``s`` values with another must meet it in one of its ``s - t + 1``
-       rarest. Frequent shingles therefore make no lists.
+    1. One pass makes ``KEYS`` keys of each set. Equal sets become one class.
+    2. Lists hold the classes with a common key. A key stands for ``KEY_VALUES`` least values
+       of the set under hash functions, so that sets with few common shingles seldom share
+       one, however many classes there are and however frequent their shingles.
     3. Classes in lists of more than ``LONG_LIST`` members meet instead in lists over their
        whole sets, by pairs of size classes: there the least overlap of similar sets is
        exact, and only the few rarest shingles of a set can be the first common one.
@@ -89,7 +129,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        with the members that are not yet in their component. The sketch of the union
        estimates the similarity; pairs that can reach 0.8 are confirmed on the full texts.
        Pivots leave their lists, and are not taken from a list's largest component, since
-       each open pair has a member outside it; those with most common shingles come first.
+       each open pair has a member outside it; those with most common keys come first.
        A list ends when all its members are in one component.
 
     No link between components is lost. Copies that their original links cost one comparison
@@ -106,12 +146,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     * An empty table gives an empty result. Other columns are ignored.
     """
     texts = id_and_text(docs, id_col, text_col).withColumn("row", F.xxhash64("text"))
-    marked = stored(sketches(texts, width, SKETCH), "sketches")
+    marked = stored(keyed_sets(texts, width), "sketches")
     classes = marked.filter("n_shingles > 0").groupBy("set_id").agg(
-        F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "row")).alias("member"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "row")).alias("member"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")
     )
     classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
-    links = _linked(texts, classes, _inverted_lists(classes), width)
+    links = _linked(texts, classes, _key_lists(classes), width)
     groups = classes.select("set_id", "class", "first_id").join(links, "class", "left").withColumn("component", F.coalesce("component", "class"))
     lowest = groups.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = stored(groups.join(lowest, "component").select("set_id", "component_id", "component"), "components")
@@ -122,30 +162,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return both.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _least_common(n):
-    """Values that the sketches of a set of ``n`` shingles and of a similar set share at least.
-
-    A similar set has 0.8 * n of its shingles at least. One of up to n / 0.8 shingles may
-    itself be cut to ``SKETCH`` values, which loses at most n / 4 beyond those.
-    """
-    whole = F.least(F.ceil(n * 8 / 10), SKETCH - F.ceil(n / 4))
-    return F.when(n <= SKETCH, whole).otherwise(SHARED).cast("int")
-
-
-def _inverted_lists(classes: DataFrame) -> DataFrame:
-    """(value, class, n): the rarest retained values of each class that other classes have too."""
-    posts = classes.select("class", "n", F.explode("sketch").alias("value"))
-    counts = stored(posts.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "values")
-    common = posts.join(counts, "value").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("common"))
-    held = F.least("n", F.lit(SKETCH))
-    # values that no other class has are the rarest ones
-    indexed = held - _least_common(F.col("n")) + 1 - (held - F.size("common"))
-    rare = common.select("class", "n", F.size("common").alias("shared"), F.explode(F.slice("common", F.lit(1), F.greatest(F.lit(0), indexed).cast("int"))).alias("c"))
-    return stored(rare.select(F.col("c.value").alias("value"), "class", "n", "shared"), "lists")
+def _key_lists(classes: DataFrame) -> DataFrame:
+    """(value, class, n, size): the keys that several classes have, and how many those are."""
+    posts = classes.select("class", "n", F.explode("keys").alias("value"))
+    counts = stored(posts.groupBy("value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "values")
+    return stored(posts.join(counts, "value"), "lists")
 
 
 def _whole_set_lists(hot: DataFrame, bodies: DataFrame, width: int) -> DataFrame:
-    """As ``_inverted_lists``, over the whole sets of the classes in long lists."""
+    """(value, class, n): lists over the whole sets of the classes in long lists."""
 
     def shingles(batches):
         hasher = WordHasher(byte_table(WHITE, lower=True))
@@ -163,20 +188,22 @@ def _whole_set_lists(hot: DataFrame, bodies: DataFrame, width: int) -> DataFrame
     # sets of n and m shingles with a similarity of 0.8 share 4 / 9 of n + m at least, and 0.8 of the larger
     overlap = F.greatest(F.ceil((F.col("n") + smallest) * 4 / 9 - 1e-9), F.ceil(F.greatest("n", smallest) * 8 / 10 - 1e-9))
     indexed = F.greatest(F.lit(0), F.size("common") - overlap + 1).cast("int")
-    rare = spread.select("class", "n", F.size("common").alias("shared"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.explode(F.slice("common", F.lit(1), indexed)).alias("c"))
-    return rare.select(F.xxhash64("c.value", "low", "high").alias("value"), "class", "n", "shared")
+    rare = spread.select("class", "n", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.explode(F.slice("common", F.lit(1), indexed)).alias("c"))
+    return rare.select(F.xxhash64("c.value", "low", "high").alias("value"), "class", "n")
 
 
 def _linked(texts, classes, lists, width) -> DataFrame:
     """(class, component) of the classes that have a link."""
-    sizes = stored(lists.groupBy("value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
-    listed = lists.join(sizes, "value")
-    short_lists = listed.filter(F.col("size") <= LONG_LIST).drop("size")
-    hot = stored(listed.filter(F.col("size") > LONG_LIST).select("class").distinct(), "hot")
-    needed = stored(listed.select("class").distinct().join(classes, "class"), "needed")
-    bodies = _bodies(texts, needed)
-    members = stored(short_lists.unionByName(_whole_set_lists(hot, bodies, width)).withColumn("component", F.col("class")), "lists")
-    short = stored(needed.select("class", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("sketch")), "short")
+    # keys in common with all other classes: most for the original of many near copies
+    shared = stored(lists.groupBy("class").agg(F.sum("size").alias("shared"), (F.max("size") > LONG_LIST).alias("hot")), "shared")
+    bodies = _bodies(texts, classes.join(shared, "class"))
+    short_lists = lists.filter(F.col("size") <= LONG_LIST).join(shared, "class")
+    # the lists over whole sets have each pair of hot classes that can be similar
+    other = short_lists.groupBy("value").agg(F.min("hot").alias("hot")).filter("not hot").select("value")
+    whole = _whole_set_lists(shared.filter("hot").select("class"), bodies, width).join(shared, "class")
+    members = short_lists.join(other, "value", "left_semi").select("value", "class", "n", "shared").unionByName(whole.select("value", "class", "n", "shared"))
+    members = stored(members.withColumn("component", F.col("class")), "lists")
+    short = stored(short_sketches(bodies, width).dropDuplicates(["class"]), "short")
     none = texts.sparkSession.createDataFrame([], "class long, component long")
     hubs = _hubs(members)
     forget_shuffles(texts.sparkSession)
@@ -200,7 +227,7 @@ def _linked(texts, classes, lists, width) -> DataFrame:
 def _hubs(members: DataFrame) -> DataFrame:
     """(class, n, hub): each class and the most common class in its lists or in theirs.
 
-    The original of many near copies is the one with most shingles in common, but each copy
+    The original of many near copies is the one with most keys in common, but each copy
     shares only some lists with it; so the best class of a list goes to its members, and
     from there once more to their lists. One comparison a class links most of a group.
     """
@@ -329,8 +356,12 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _bodies(texts, needed) -> DataFrame:
-    """(class, text) of one member of each needed class."""
-    chosen = needed.select("class", F.col("member.doc_id").alias("id"), F.col("member.row").alias("r"))
+    """(class, text) of one member of each needed class; of all texts only theirs are shuffled unless those classes are very many."""
+    chosen = stored(needed.select("class", F.col("member.doc_id").alias("id"), F.col("member.row").alias("r")), "needed")
+    marks = stored(chosen.select(F.xxhash64("id", "r").alias("mark")).distinct(), "marks")
+    few = small_side(marks, CHOSEN_BYTES)
+    if few is not marks:
+        texts = texts.join(few, F.xxhash64("doc_id", "row") == F.col("mark"), "left_semi")
     return stored(texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["id"]) & (texts["row"] == chosen["r"])).select("class", "text"), "texts")
 
 

@@ -108,6 +108,38 @@ def test_near_confirms_without_all_texts(spark, monkeypatch):
     assert files and joined and not any(j & set(files) for j in joined)
 
 
+def test_near_frequent_shingles_make_no_candidates(spark, monkeypatch):
+    """Unrelated texts of a small vocabulary, as in large tables: other texts have each of their shingles too, yet few texts are looked at again."""
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(60)) for _ in range(400)]
+    texts += [texts[k] + " tail" for k in range(8)]
+    rows, made, stored = list(enumerate(texts)), {}, minhash.stored
+
+    def watched(df, name):
+        out = stored(df, name)
+        made.setdefault(name, out.count() if name in ("texts", "lists") else 0)
+        return out
+
+    monkeypatch.setattr(minhash, "stored", watched)
+    got = {r.doc_id: tuple(r)[1:] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
+    assert got == components(rows, 2) and sum(low != i for i, (_, low, _) in got.items()) == 8
+    assert made["texts"] < 60 and made["lists"] < 2 * 8 * minhash.KEYS + 60  # before: 408 and thousands
+
+
+def test_least_values_agree_as_often_as_sets_are_similar():
+    functions = minhash.hash_functions(minhash.KEYS * minhash.KEY_VALUES)
+    rng = np.random.default_rng(2)
+    for n in (5, 10, 700):
+        agreed = []
+        for _ in range(200):
+            values = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+            values[0] >>= np.uint64(32)  # no value is least under all functions, whatever its upper half
+            a, b = values[: n * 9 // 10], np.concatenate([values[: n * 8 // 10], values[n * 9 // 10 :]])
+            agreed.append(minhash.least_values(a, functions) == minhash.least_values(b, functions))
+        keys = np.array(agreed).reshape(200, minhash.KEYS, minhash.KEY_VALUES).all(2).sum(1)
+        assert abs(np.mean(agreed) - 0.8) < 0.02 and keys.min() > 3
+
+
 def test_near_odd_rows(odd, none):
     rows = minhash.near_duplicates(odd).collect()
     assert minhash.near_duplicates(none).collect() == []
