@@ -123,7 +123,7 @@ def test_near_frequent_shingles_make_no_candidates(spark, monkeypatch):
     monkeypatch.setattr(minhash, "stored", watched)
     got = {r.doc_id: tuple(r)[1:] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
     assert got == components(rows, 2) and sum(low != i for i, (_, low, _) in got.items()) == 8
-    assert made["texts"] < 60 and made["lists"] < 2 * 8 * minhash.KEYS + 60  # before: 408 and thousands
+    assert made["texts"] < 60 and made["lists"] < 2 * 8 * minhash.KEYS + 60  # before: 408 texts
 
 
 def test_least_values_agree_as_often_as_sets_are_similar():
